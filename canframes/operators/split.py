@@ -43,28 +43,39 @@ def kth_smallest(hashes: DataFrame, k: Column, col: str = _H, digits: int = PREF
     return F.coalesce(cut, F.lit(""))
 
 
-def group_split(
-    df: DataFrame,
+def split_column(
+    groups_from: DataFrame,
     group_col: str = GROUP_KEY_COL,
     test_size: float = 0.2,
     val_size: float | None = None,
     seed: int = SEED,
-    out: str = SPLIT_COL,
-) -> DataFrame:
-    """Label each row train / test (/ val) so that no group lands on two sides.
+) -> Column:
+    """The split rule as a column: groups (and their count G) come from ``groups_from``;
+    the column can label any table that has ``group_col``.
 
     test = first ceil(test_size * G) groups in seeded hash order; with ``val_size``,
     val = the next ceil(val_size * (G - n_test)) groups."""
-    rows = df.withColumn(_H, salted_hash(group_col, seed))
-    hashes = rows.select(_H).distinct()
+    hashes = groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct()
     n_groups = hashes.agg(F.count(F.lit(1)).alias("g")).scalar()
     k_test = F.ceil(F.lit(float(test_size)) * n_groups)
-    cut_test = kth_smallest(hashes, k_test)
-    label = F.when(F.col(_H) <= cut_test, F.lit("test"))
+    h = salted_hash(group_col, seed)
+    label = F.when(h <= kth_smallest(hashes, k_test), F.lit("test"))
     if val_size is not None:
         k_val = k_test + F.ceil(F.lit(float(val_size)) * (n_groups - k_test))
-        label = label.when(F.col(_H) <= kth_smallest(hashes, k_val), F.lit("val"))
-    return rows.withColumn(out, label.otherwise(F.lit("train"))).drop(_H)
+        label = label.when(h <= kth_smallest(hashes, k_val), F.lit("val"))
+    return label.otherwise(F.lit("train"))
+
+
+def group_split(
+    df: DataFrame,
+    group_col: str = GROUP_KEY_COL,
+    test_size: float = 0.2,
+    val_size: float | None = None,
+    seed: int = SEED,
+    out: str = SPLIT_COL,
+) -> DataFrame:
+    """Label each row train / test (/ val) so that no group lands on two sides."""
+    return df.withColumn(out, split_column(df, group_col, test_size, val_size, seed))
 
 
 def hash_row_split(df: DataFrame, key_col: str, test_size: float = 0.2, seed: int = SEED, out: str = SPLIT_COL) -> DataFrame:
