@@ -1 +1,192 @@
-"""Queries (filled in below)."""
+"""Queries: majority baseline, Naive Bayes variants (closed form, SQL-checked), and the
+``pyspark.ml`` learners (metric rows; rows-only check plus own tests)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canframes.operators import metrics as M
+from canframes.operators import naive_bayes as NB
+from canframes.operators.learners import coefficient_table, fit_and_score, importance_table
+from canframes.operators.scale import UniformBinner
+from canframes.plans.catalog import register
+from canframes.plans.fixtures import oracle
+from canframes.plans.q_scale import EDGES_CTE, SCALE_CTES, bins_cte, standardized
+from canframes.plans.q_split import prepared
+from canframes.schema import FEATURES
+
+
+def _prob_sql(j0: str, j1: str) -> str:
+    d = f"({j0} - {j1})"
+    e = f"exp(-abs({d}))"
+    return f"CASE WHEN {d} > 0 THEN {e} / (1.0 + {e}) ELSE 1.0 / (1.0 + {e}) END"
+
+
+def _scores_from_jll(src: str) -> str:
+    """Final SELECT: P(class 1) per test frame from a (frame_id, label, c, j) table."""
+    return f"""SELECT frame_id, label, round({_prob_sql('j0', 'j1')}, 9) AS score FROM (
+      SELECT frame_id, label, max(CASE WHEN c = 0 THEN j END) AS j0, max(CASE WHEN c = 1 THEN j END) AS j1
+      FROM {src} GROUP BY frame_id, label) x"""
+
+
+# --- majority baseline -------------------------------------------------------------------
+
+@register(
+    "dummy_scores",
+    oracle(
+        """SELECT p.frame_id, p.label, CAST(m.label AS DOUBLE) AS score, m.label AS pred FROM prepared p,
+           (SELECT label FROM prepared WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) m
+           WHERE p.split = 'test'""",
+        ["prepared"],
+    ),
+)
+def q_dummy_scores(spark, sf_dir):
+    df = prepared(spark, sf_dir)
+    m = NB.Majority.fit(df.filter(F.col("split") == "train"))
+    return m.transform(df.filter(F.col("split") == "test")).select("frame_id", "label", "score", "pred")
+
+
+# --- Gaussian NB on standardized features ---------------------------------------------------
+
+_GNB_CTES = SCALE_CTES + [
+    ("tr", "SELECT * FROM z WHERE split = 'train'"),
+    ("ge", "SELECT GREATEST(" + ", ".join(f"var_pop({c})" for c in FEATURES) + ") * 1e-9 AS eps, count(*) AS tot FROM tr"),
+    (
+        "gc",
+        "SELECT label, count(*) AS n, " + ", ".join(f"avg({c}) AS mu_{c}, var_pop({c}) AS va_{c}" for c in FEATURES) + " FROM tr GROUP BY label",
+    ),
+    (
+        "gp",
+        "SELECT gc.label, gc.n, CAST(gc.n AS DOUBLE) / ge.tot AS prior, "
+        + ", ".join(f"mu_{c}, va_{c} + ge.eps AS v_{c}" for c in FEATURES)
+        + " FROM gc, ge",
+    ),
+]
+
+
+@register(
+    "gnb_params",
+    oracle(
+        "SELECT label, feature, n, round(prior, 9) AS prior, round(mean, 9) AS mean, round(var, 9) AS var FROM ("
+        + " UNION ALL ".join(f"SELECT label, '{c}' AS feature, n, prior, mu_{c} AS mean, v_{c} AS var FROM gp" for c in FEATURES)
+        + ") u",
+        ["prepared"],
+        _GNB_CTES,
+    ),
+)
+def q_gnb_params(spark, sf_dir):
+    z, _ = standardized(spark, sf_dir)
+    return M.round_doubles(NB.gnb_params(z.filter(F.col("split") == "train")), 9)
+
+
+_GNB_JLL = (
+    "SELECT t.frame_id, t.label, g.label AS c, ln(g.prior) - ("
+    + " + ".join(f"0.5 * ln(2 * pi() * g.v_{c}) + 0.5 * (t.{c} - g.mu_{c}) * (t.{c} - g.mu_{c}) / g.v_{c}" for c in FEATURES)
+    + ") AS j FROM z t, gp g WHERE t.split = 'test'"
+)
+
+
+@register("gnb_scores", oracle(_scores_from_jll("jl"), ["prepared"], _GNB_CTES + [("jl", _GNB_JLL)]))
+def q_gnb_scores(spark, sf_dir):
+    z, _ = standardized(spark, sf_dir)
+    m = NB.GaussianNB.fit(z.filter(F.col("split") == "train"))
+    return M.round_doubles(m.transform(z.filter(F.col("split") == "test")).select("frame_id", "label", "score"), 9)
+
+
+# --- Complement NB on 16 ordinal bins -------------------------------------------------------
+
+BIN16 = [f"{c}_bin" for c in FEATURES]
+_CNB_CTES = [
+    EDGES_CTE,
+    ("b", bins_cte(16)),
+    ("fc", "SELECT label, " + ", ".join(f"CAST(sum({b}) AS DOUBLE) AS f_{b}" for b in BIN16) + " FROM b WHERE split = 'train' GROUP BY label"),
+    ("fa", "SELECT " + ", ".join(f"sum(f_{b}) AS a_{b}" for b in BIN16) + " FROM fc"),
+    ("cc", "SELECT label, " + ", ".join(f"a_{b} - f_{b} + 1.0 AS c_{b}" for b in BIN16) + " FROM fc, fa"),
+    ("fl", "SELECT label, " + ", ".join(f"-ln(c_{b} / (" + " + ".join(f"c_{x}" for x in BIN16) + f")) AS w_{b}" for b in BIN16) + " FROM cc"),
+    ("jl", "SELECT b.frame_id, b.label, f.label AS c, " + " + ".join(f"b.{x} * f.w_{x}" for x in BIN16) + " AS j FROM b, fl f WHERE b.split = 'test'"),
+]
+
+
+def _binned_split(spark, sf_dir, n):
+    df = prepared(spark, sf_dir)
+    b = UniformBinner.fit(df.filter(F.col("split") == "train"), n)
+    return b.transform(df)
+
+
+@register("cnb_scores", oracle(_scores_from_jll("jl"), ["prepared"], _CNB_CTES))
+def q_cnb_scores(spark, sf_dir):
+    df = _binned_split(spark, sf_dir, 16)
+    m = NB.ComplementNB.fit(df.filter(F.col("split") == "train"), BIN16)
+    return M.round_doubles(m.transform(df.filter(F.col("split") == "test")).select("frame_id", "label", "score"), 9)
+
+
+# --- Bernoulli NB on 2 bins ---------------------------------------------------------------------
+
+_BNB_CTES = [
+    EDGES_CTE,
+    ("b", bins_cte(2)),
+    ("bc", "SELECT label, count(*) AS n, " + ", ".join(f"sum(CASE WHEN {x} > 0 THEN 1 ELSE 0 END) AS f_{x}" for x in BIN16) + " FROM b WHERE split = 'train' GROUP BY label"),
+    ("bp", "SELECT label, ln(CAST(n AS DOUBLE) / t.tot) AS lp, " + ", ".join(f"ln(f_{x} + 1.0) - ln(n + 2.0) AS l_{x}" for x in BIN16) + " FROM bc, (SELECT sum(n) AS tot FROM bc) t"),
+    ("bq", "SELECT *, " + ", ".join(f"ln(1 - exp(l_{x})) AS g_{x}" for x in BIN16) + " FROM bp"),
+    (
+        "jl",
+        "SELECT b.frame_id, b.label, q.label AS c, q.lp + ("
+        + " + ".join(f"q.g_{x}" for x in BIN16)
+        + ") + "
+        + " + ".join(f"(CASE WHEN b.{x} > 0 THEN 1.0 ELSE 0.0 END) * (q.l_{x} - q.g_{x})" for x in BIN16)
+        + " AS j FROM b, bq q WHERE b.split = 'test'",
+    ),
+]
+
+
+@register("bnb_scores", oracle(_scores_from_jll("jl"), ["prepared"], _BNB_CTES))
+def q_bnb_scores(spark, sf_dir):
+    df = _binned_split(spark, sf_dir, 2)
+    m = NB.BernoulliNB.fit(df.filter(F.col("split") == "train"), BIN16)
+    return M.round_doubles(m.transform(df.filter(F.col("split") == "test")).select("frame_id", "label", "score"), 9)
+
+
+# --- pyspark.ml learners: one metrics row per model (rows-only check) ------------------------
+
+LEARNERS = {
+    "logreg": "LogReg(balanced)",
+    "logreg_l1": "LogReg-L1(balanced)",
+    "svc": "LinearSVC(balanced)",
+    "sgd_hinge": "SGD-hinge(balanced)",
+    "ridge": "RidgeClassifier(balanced)",
+    "tree": "DecisionTree(shallow)",
+    "forest": "ExtraTrees(shallow)",
+    "mlp": "MLP(balanced)",
+}
+
+
+def learner_scores(spark, sf_dir, name):
+    z, _ = standardized(spark, sf_dir)
+    model, scored = fit_and_score(name, z.filter(F.col("split") == "train"), z.filter(F.col("split") == "test"))
+    return model, scored.select(F.lit(LEARNERS[name]).alias("model"), "frame_id", "label", "score")
+
+
+def _register_learner(name: str):
+    @register(f"{name}_metrics")
+    def q(spark, sf_dir):
+        _, s = learner_scores(spark, sf_dir, name)
+        return M.round_doubles(M.metrics_table(M.eval_with_thresholds(s, thr=None)))
+
+    q.__name__ = f"q_{name}_metrics"
+    return q
+
+
+for _n in LEARNERS:
+    _register_learner(_n)
+
+
+@register("coef_table")
+def q_coef_table(spark, sf_dir):
+    model, _ = learner_scores(spark, sf_dir, "logreg")
+    return coefficient_table(model, spark=spark)
+
+
+@register("importance_table")
+def q_importance_table(spark, sf_dir):
+    model, _ = learner_scores(spark, sf_dir, "forest")
+    return importance_table(model, spark=spark)

@@ -72,12 +72,20 @@ def q_bin_edges(spark, sf_dir):
     return Z.bin_edges(prepared(spark, sf_dir).filter(F.col("split") == "train"))
 
 
-def _bins_sql(n: int) -> str:
+def bins_cte(n: int) -> str:
+    """SELECT of frame_id, split, label and the n-bin ordinal of each feature (needs ``ed``)."""
     cols = ", ".join(
         f"CASE WHEN e.hi_{c} = e.lo_{c} THEN 0 ELSE LEAST(GREATEST(CAST(FLOOR((CAST(p.{c} AS DOUBLE) - e.lo_{c}) / (e.hi_{c} - e.lo_{c}) * {float(n)}) AS INT), 0), {n - 1}) END AS {c}_bin"
         for c in FEATURES
     )
-    return oracle(f"SELECT p.frame_id, {cols} FROM prepared p, ed e", ["prepared"], [("ed", _EDGES)])
+    return f"SELECT p.frame_id, p.split, p.label, {cols} FROM prepared p, ed e"
+
+
+EDGES_CTE = ("ed", _EDGES)
+
+
+def _bins_sql(n: int) -> str:
+    return oracle("SELECT frame_id, " + ", ".join(f"{c}_bin" for c in FEATURES) + " FROM b", ["prepared"], [EDGES_CTE, ("b", bins_cte(n))])
 
 
 def _binned(spark, sf_dir, n):
