@@ -172,3 +172,17 @@ def oracle(select: str, views: tuple[str, ...] | list[str] = (), ctes: tuple | l
                 order.append(d)
     parts = [f"frames AS ({FRAMES_SQL})"] + [f"{v} AS ({VIEWS[v]})" for v in order] + [f"{n} AS ({s})" for n, s in ctes]
     return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+def frames_raw_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``frames_raw`` plus the source file each row is written to (CSV round trip)."""
+    src = frames(spark, sf_dir).select("frame_id", source_of().alias("source"))
+    return frames_raw(spark, sf_dir).join(src, "frame_id")
+
+
+SRC_SQL = f"SELECT frame_id, {SOURCE_SQL} AS source FROM frames"
+SOURCE_RANK_SQL = (
+    "CASE source "
+    + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(ATTACK_FILES + [BENIGN_FILE]))
+    + " END"
+)

@@ -1 +1,119 @@
-"""Queries (filled in below)."""
+"""Queries: CSV sources and sinks end to end (write the fixture files into the shared work
+folder, read them back through the source operators)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canframes.operators import metrics as M
+from canframes.plans.catalog import register
+from canframes.plans.q_metrics import AUC_SQL, CUM_SQL
+from canframes.plans.fixtures import SOURCE_RANK_SQL, SRC_SQL, frames_raw_with_source, oracle, scores
+from canframes.schema import BENIGN_FILE, FEATURES
+from canframes.session import work_path
+from canframes.sources.frame_csv import (
+    combined_order,
+    load_frames,
+    scan_class,
+    scan_csv,
+    source_paths,
+    with_file_positions,
+    write_ordered_csv,
+    write_source_files,
+)
+from canframes.sources.score_csv import compare_files
+
+_RS = [("src", SRC_SQL), ("rs", "SELECT r.*, s.source FROM frames_raw r JOIN src s USING (frame_id)")]
+_CLEAN_COLS = ", ".join(f"TRY_CAST({c} AS FLOAT) AS {c}" for c in FEATURES)
+_NOID_WHERE = " AND ".join(f"TRY_CAST({c} AS FLOAT) IS NOT NULL" for c in FEATURES)
+
+
+def write_fixture(spark, sf_dir, with_id: bool = True) -> str:
+    out = work_path(spark, "frames-csv")
+    drop = ["frame_id"] + ([] if with_id else ["ID"])
+    write_source_files(frames_raw_with_source(spark, sf_dir), out, drop=drop)
+    return out
+
+
+@register(
+    "csv_round_trip",
+    oracle(
+        f"""SELECT source, frame_seq, ID, {_CLEAN_COLS}, CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label FROM (
+              SELECT *, row_number() OVER (PARTITION BY source ORDER BY frame_id) - 1 AS frame_seq FROM rs) x
+            WHERE ID IS NOT NULL AND {_NOID_WHERE}""",
+        ["frames_raw"],
+        _RS,
+    ),
+)
+def q_csv_round_trip(spark, sf_dir):
+    data_dir = write_fixture(spark, sf_dir)
+    loaded = load_frames(spark, data_dir, partitioned=True)
+    return loaded.frames.select("source", "frame_seq", "ID", *FEATURES, "label")
+
+
+@register(
+    "csv_round_trip_noid",
+    oracle(
+        f"""SELECT source, frame_seq, 'gid_' || CAST(CAST(floor(class_pos / 50) AS BIGINT) AS VARCHAR) AS ID, {_CLEAN_COLS},
+                   CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label FROM (
+              SELECT *, row_number() OVER (PARTITION BY source ORDER BY frame_id) - 1 AS frame_seq,
+                     row_number() OVER (PARTITION BY source = '{BENIGN_FILE}' ORDER BY {SOURCE_RANK_SQL}, frame_id) - 1 AS class_pos
+              FROM rs) x WHERE {_NOID_WHERE}""",
+        ["frames_raw"],
+        _RS,
+    ),
+)
+def q_csv_round_trip_noid(spark, sf_dir):
+    """Files without an ID column: ids ``gid_<pos // 50>`` restart per class."""
+    data_dir = write_fixture(spark, sf_dir, with_id=False)
+    loaded = load_frames(spark, data_dir, partitioned=True)
+    return loaded.frames.select("source", "frame_seq", "ID", *FEATURES, "label")
+
+
+_RAW_COLS = ["ID", *FEATURES, "label"]
+
+
+@register(
+    "union_sources",
+    oracle(
+        "SELECT row_number() OVER (ORDER BY CASE WHEN source = '" + BENIGN_FILE + "' THEN -1 ELSE " + SOURCE_RANK_SQL
+        + " END, frame_id) - 1 AS row_seq, " + ", ".join(_RAW_COLS) + " FROM rs",
+        ["frames_raw"],
+        _RS,
+    ),
+)
+def q_union_sources(spark, sf_dir):
+    """All six files combined benign first into one CSV dataset, read back in file order."""
+    data_dir = write_fixture(spark, sf_dir)
+    raw = scan_class(spark, source_paths(data_dir, partitioned=True))
+    combined = combined_order(raw).select("row_seq", *_RAW_COLS)
+    out = work_path(spark, "combined-csv")
+    write_ordered_csv(combined, out, "row_seq")
+    back = with_file_positions(scan_csv(spark, out, "combined", 0))
+    return back.select(F.col("frame_seq").alias("row_seq"), *_RAW_COLS)
+
+
+@register(
+    "compare_score_files",
+    oracle(
+        """SELECT CASE model WHEN 'a' THEN 'tree' ELSE 'mlp' END AS model, round(auc, 9) AS auc FROM auc""",
+        ["scores"],
+        [
+            ("cum", CUM_SQL),
+            ("auc", AUC_SQL),
+        ],
+    ),
+)
+def q_compare_score_files(spark, sf_dir):
+    """Two prediction files (text truth + 'Prob'; numeric truth + 'confidence'), aligned by
+    row position, truth from the first file; ROC-AUC per file."""
+    s = scores(spark, sf_dir)
+    a = s.filter("model = 'a'").select(
+        "frame_id", F.when(F.col("label") == 1, "ATTACK").otherwise("BENIGN").alias("Label"), F.col("score").alias("Prob")
+    )
+    b = s.filter("model = 'b'").select("frame_id", F.col("label").alias("y_true"), F.col("score").alias("confidence"))
+    pa, pb = work_path(spark, "pred-tree"), work_path(spark, "pred-mlp")
+    write_ordered_csv(a, pa, "frame_id")
+    write_ordered_csv(b, pb, "frame_id")
+    long = compare_files(spark, ("tree", pa), ("mlp", pb))
+    return M.round_doubles(M.auc_and_totals(M.curve(long)).select("model", "auc"))
