@@ -1 +1,125 @@
-"""Queries (filled in below)."""
+"""Queries: streaming twins of batch operators, run with ``trigger(availableNow=True)``
+over the frames written as several time-ordered Parquet files; results are read back
+from the Parquet sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canframes.operators.naive_bayes import GaussianNB
+from canframes.operators.scale import Standardizer
+from canframes.plans.catalog import register
+from canframes.plans.fixtures import frames, oracle
+from canframes.plans.q_models import _GNB_CTES, _prob_sql
+from canframes.plans.q_sequence import POS_SQL, windows_sql
+from canframes.plans.q_split import prepared
+from canframes.schema import FEATURES
+from canframes.session import work_path
+from canframes.streaming.scoring import alert_counts, score_stream
+from canframes.streaming.windows import stream_windows
+
+STREAM_FILES = 8
+ALERT_THRESHOLD = 0.5
+
+
+def write_stream_input(spark, sf_dir, n_files: int = STREAM_FILES) -> str:
+    """The frames as ``n_files`` Parquet files, each a later time range than the one before,
+    appended one after another so that file times follow event time."""
+    f = frames(spark, sf_dir)
+    out = work_path(spark, "stream-in")
+    secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").cast("double")
+    cuts = f.select(secs.alias("s")).approxQuantile("s", [i / n_files for i in range(1, n_files)], 0.0)  # n_files - 1 numbers
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (secs > lo)
+        if hi is not None:
+            cond = cond & (secs <= hi)
+        f.filter(cond).coalesce(1).sortWithinPartitions("ts", "frame_id").write.mode("append").parquet(out)
+    return out
+
+
+def run_to_sink(df, spark, name: str, mode: str = "append"):
+    sink, ck = work_path(spark, f"{name}-out"), work_path(spark, f"{name}-ck")
+    q = df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def _stream(spark, sf_dir):
+    src = write_stream_input(spark, sf_dir)
+    schema = frames(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@register(
+    "stream_windows",
+    oracle(
+        "SELECT CAST(ID AS VARCHAR) AS ID, start, start_frame_id, y FROM (" + windows_sql(10, 1, "any") + ") w",
+        ["clean"],
+        [("fpos", POS_SQL)],
+    ),
+)
+def q_stream_windows(spark, sf_dir):
+    """Stateful per-ID count windows over micro-batches = the batch windows (T=10, any)."""
+    return run_to_sink(stream_windows(_stream(spark, sf_dir), timesteps=10), spark, "stream-windows")
+
+
+def _fitted(spark, sf_dir):
+    df = prepared(spark, sf_dir)
+    train = df.filter(F.col("split") == "train")
+    std = Standardizer.fit(train)
+    return std, GaussianNB.fit(std.transform(train))
+
+
+_ALL_JLL = (
+    "SELECT t.frame_id, t.ID, g.label AS c, ln(g.prior) - ("
+    + " + ".join(f"0.5 * ln(2 * pi() * g.v_{c}) + 0.5 * (t.{c} - g.mu_{c}) * (t.{c} - g.mu_{c}) / g.v_{c}" for c in FEATURES)
+    + ") AS j FROM zf t, gp g"
+)
+_ZF = "SELECT p.frame_id, c.ID, " + ", ".join(f"p.{c}" for c in FEATURES) + " FROM z p JOIN clean c USING (frame_id)"
+
+
+@register(
+    "stream_scores",
+    oracle(
+        f"""SELECT frame_id, ID, round(s, 9) AS score, CASE WHEN s >= {ALERT_THRESHOLD} THEN 1 ELSE 0 END AS alert FROM (
+              SELECT frame_id, ID, {_prob_sql('j0', 'j1')} AS s FROM (
+                SELECT frame_id, ID, max(CASE WHEN c = 0 THEN j END) AS j0, max(CASE WHEN c = 1 THEN j END) AS j1
+                FROM jla GROUP BY frame_id, ID) x) y""",
+        ["prepared"],
+        _GNB_CTES + [("zf", _ZF), ("jla", _ALL_JLL)],
+    ),
+)
+def q_stream_scores(spark, sf_dir):
+    """Clean -> scale -> Gaussian NB -> alert on the stream, per frame."""
+    std, gnb = _fitted(spark, sf_dir)
+    scored = score_stream(_stream(spark, sf_dir), std, gnb, ALERT_THRESHOLD)
+    out = run_to_sink(scored.select("frame_id", "ID", "score", "alert"), spark, "stream-scores")
+    return out.select("frame_id", "ID", F.round("score", 9).alias("score"), "alert")
+
+
+_SCORED_ALL = f"""SELECT frame_id, CASE WHEN {_prob_sql('j0', 'j1')} >= {ALERT_THRESHOLD} THEN 1 ELSE 0 END AS alert FROM (
+  SELECT frame_id, max(CASE WHEN c = 0 THEN j END) AS j0, max(CASE WHEN c = 1 THEN j END) AS j1 FROM jla GROUP BY frame_id) x"""
+
+
+@register(
+    "stream_alert_counts",
+    oracle(
+        """SELECT window_start_us, window_end_us, n_frames, n_alerts FROM (
+             SELECT epoch_us(date_trunc('hour', c.ts)) AS window_start_us,
+                    epoch_us(date_trunc('hour', c.ts)) + 3600000000 AS window_end_us,
+                    count(*) AS n_frames, CAST(sum(s.alert) AS BIGINT) AS n_alerts
+             FROM clean c JOIN sc s USING (frame_id) GROUP BY 1, 2) h
+           WHERE window_end_us <= (SELECT epoch_us(max(ts)) FROM clean) - 3600000000""",
+        ["prepared"],
+        _GNB_CTES + [("zf", _ZF), ("jla", _ALL_JLL), ("sc", _SCORED_ALL)],
+    ),
+)
+def q_stream_alert_counts(spark, sf_dir):
+    """Hourly frame / alert counts with a 1-hour watermark (append mode: windows the
+    watermark has passed; frames later than the watermark are dropped)."""
+    std, gnb = _fitted(spark, sf_dir)
+    scored = score_stream(_stream(spark, sf_dir), std, gnb, ALERT_THRESHOLD)
+    return run_to_sink(alert_counts(scored), spark, "stream-alerts")
