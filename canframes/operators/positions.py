@@ -3,10 +3,11 @@
 A window function partitioned by ID puts a whole ID into one task; one CAN ID can carry
 a third of all frames. Instead:
 
-* ``with_positions`` numbers rows inside each key with a two-level scheme: each key is
-  cut into quantile buckets of its order column (a hot key spreads over many buckets and
-  tasks), ``row_number`` runs per (key, bucket), and a small per-(key, bucket) table of
-  counts gives the offsets (a prefix sum over at most keys x buckets rows).
+* ``with_positions`` numbers rows inside each key. When a key is larger than one task
+  should sort, it uses a two-level scheme: each key is cut into quantile buckets of its
+  order column (a hot key spreads over many buckets and tasks), ``row_number`` runs per
+  (key, bucket), and a small per-(key, bucket) table of counts gives the offsets (a
+  prefix sum over at most keys x buckets rows).
 * ``blocked`` cuts each key into blocks of ``block_rows`` positions and copies the few
   boundary rows a window frame needs (look-back / look-ahead) into the neighbour block,
   so window functions can be partitioned by (key, block) with bounded task size.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from canframes.schema import N_COL, POS_COL
 
 DEFAULT_BLOCK_ROWS = 1 << 20
-DEFAULT_POSITION_BUCKETS = 256
+DEFAULT_BUCKET_ROWS = 1 << 21  # rows one window task sorts comfortably
+MAX_POSITION_BUCKETS = 1 << 14
 _BLK, _OWN = "_blk", "_own"
 
 
@@ -39,26 +41,56 @@ def _monotone_number(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
+def bucket_count(df: DataFrame, key: str, target_rows: int) -> int:
+    """Buckets per key so the largest key gets about ``target_rows`` rows per bucket
+    (a power of two; 1 when every key fits one task). One small aggregate."""
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    need = max(1, -(-largest // max(target_rows, 1)))
+    return min(1 << (need - 1).bit_length(), MAX_POSITION_BUCKETS)
+
+
+def with_count_below(df: DataFrame, bounds: str, value: str, size: int, out: str) -> DataFrame:
+    """``out`` = number of elements of the sorted array column ``bounds`` (``size`` entries)
+    smaller than ``value``: a binary search of log2(size + 1) steps, one column per step,
+    each a plain ``element_at`` comparison (stays in generated code, unlike a lambda
+    over the array, and each step refers to the previous one once)."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << (size.bit_length() - 1) if size else 0
+    while step:
+        nxt = F.col(out) + F.lit(step)
+        hit = (nxt <= F.lit(size)) & (F.element_at(F.col(bounds), nxt.cast("int")) < F.col(value))
+        df = df.withColumn(out, F.when(hit, nxt).otherwise(F.col(out)))
+        step >>= 1
+    return df
+
+
 def with_positions(
     df: DataFrame,
     key: str,
     order: list[str],
     pos: str = POS_COL,
     n: str = N_COL,
-    buckets: int = DEFAULT_POSITION_BUCKETS,
+    target_rows: int = DEFAULT_BUCKET_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row inside ``key`` (sorted by ``order``, which must
     make rows unique) and the number of rows of the key.
 
-    Each key is cut into up to ``buckets`` ranges of its first order column at approximate
-    quantiles; the bucket is a plain (deterministic) column, so the per-(key, bucket)
-    counts and the per-(key, bucket) row numbers agree however often the input is read."""
+    When some key holds more than ``target_rows`` rows, every key is cut into ``buckets``
+    ranges of its first order column at approximate quantiles; the bucket is a plain
+    (deterministic) column, so the per-(key, bucket) counts and the per-(key, bucket) row
+    numbers agree however often the input is read, and a hot key spreads over many tasks."""
+    if buckets is None:
+        buckets = bucket_count(df, key, target_rows)
+    if buckets <= 1:
+        w = Window.partitionBy(key)
+        return df.withColumn(pos, (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(n, F.count(F.lit(1)).over(w))
     num = _monotone_number(df, order[0])
     qs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(key).agg(F.percentile_approx(num, qs, 10000).alias("_b"))
-    # one bounded array per key: broadcast by AQE when the key count is small
+    # one array of buckets - 1 numbers per key; AQE broadcasts it when the key count is small
     x = df.join(bounds, key).withColumn("_v", num)
-    x = x.withColumn("_bk", F.size(F.filter(F.col("_b"), lambda b: b < F.col("_v")))).drop("_b", "_v")
+    x = with_count_below(x, "_b", "_v", buckets - 1, "_bk").drop("_b", "_v")
     stats = x.groupBy(key, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select(
@@ -86,8 +118,8 @@ def blocked(df: DataFrame, pos: str = POS_COL, block_rows: int = DEFAULT_BLOCK_R
         copies.append(F.when(off >= block_rows - lookback, F.struct((b + 1).alias(_BLK), F.lit(False).alias(_OWN))))
     if len(copies) == 1:
         return df.withColumn(_BLK, b).withColumn(_OWN, F.lit(True))
-    arr = F.filter(F.array(*copies), lambda x: x.isNotNull())
-    return df.withColumn("_cp", F.explode(arr)).select("*", F.col("_cp." + _BLK).alias(_BLK), F.col("_cp." + _OWN).alias(_OWN)).drop("_cp")
+    exploded = df.withColumn("_cp", F.explode(F.array(*copies))).filter(F.col("_cp").isNotNull())
+    return exploded.select("*", F.col("_cp." + _BLK).alias(_BLK), F.col("_cp." + _OWN).alias(_OWN)).drop("_cp")
 
 
 def block_window(key: str, pos: str = POS_COL) -> Window:
