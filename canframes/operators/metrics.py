@@ -7,7 +7,8 @@ score order. The running sums use a two-level prefix sum so that no single task
 all distinct scores of a model:
 
 1. bucket boundaries per model from ``percentile_approx`` over the distinct scores
-   (a bounded array per model),
+   (a bounded array per model; only when a model has more distinct scores than one task
+   should order, otherwise one bucket per model),
 2. per-(model, bucket) totals -> offsets (a bounded table, broadcast),
 3. a running sum inside each (model, bucket) window + the bucket offset.
 
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.thresholds import default_threshold
+from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, with_count_below
 
-DEFAULT_BUCKETS = 64
 F1_EPS_TUNE = 1e-9  # best_threshold_by_f1
 F1_EPS_EVAL = 1e-12  # eval_with_thresholds
 
@@ -40,15 +41,23 @@ def score_counts(scores: DataFrame, model: str = "model", score: str = "score",
     ).withColumnRenamed(model, "model").withColumnRenamed(score, "score")
 
 
-def cumulative_counts(counts: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Add ``tp``/``fp`` (counts with score >= this score), ``idx`` (1-based point number in
-    descending score order), totals ``P``/``N`` and ``m`` (points of the model)."""
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy("model").agg(F.percentile_approx("score", qs, 10000).alias("_b"))
-    # one row per model with a fixed-size array: a bounded broadcast
-    g = counts.join(F.broadcast(bounds), "model").withColumn(
-        "_bk", F.size(F.filter(F.col("_b"), lambda x: x > F.col("score")))
-    ).drop("_b")
+    descending score order), totals ``tot_p``/``tot_n`` and ``m`` (points of the model).
+
+    ``buckets`` defaults to what keeps the largest model at ``target_rows`` distinct
+    scores per running-sum task (1 = a plain running window per model)."""
+    if buckets is None:
+        buckets = bucket_count(counts, "model", target_rows)
+    if buckets <= 1:
+        g = counts.withColumn("_bk", F.lit(0))
+    else:
+        qs = [i / buckets for i in range(1, buckets)]
+        # bucket 0 holds the highest scores: bounds of the negated score, ascending
+        bounds = counts.groupBy("model").agg(F.percentile_approx(-F.col("score"), qs, 10000).alias("_b"))
+        # one row per model with a fixed-size array: a bounded broadcast
+        g = counts.join(F.broadcast(bounds), "model").withColumn("_v", -F.col("score"))
+        g = with_count_below(g, "_b", "_v", buckets - 1, "_bk").drop("_b", "_v")
     totals = g.groupBy("model", "_bk").agg(F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"))
     before = Window.partitionBy("model").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("model")
@@ -88,7 +97,7 @@ def cumulative_counts(counts: DataFrame, buckets: int = DEFAULT_BUCKETS) -> Data
     )
 
 
-def curve(scores: DataFrame, buckets: int = DEFAULT_BUCKETS, **cols) -> DataFrame:
+def curve(scores: DataFrame, buckets: int | None = None, **cols) -> DataFrame:
     return cumulative_counts(score_counts(scores, **cols), buckets)
 
 
@@ -153,7 +162,7 @@ def confusion(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: s
     )
 
 
-def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", buckets: int | None = None) -> DataFrame:
     """acc / prec / rec / f1 at the threshold (default rule unless given) and AUC, per model."""
     if thresholds is None:
         thresholds = threshold_rule(scores).select("model", F.col("thr_default").alias(thr_col))
@@ -240,7 +249,7 @@ def best_threshold_by_f1(cum: DataFrame) -> DataFrame:
     return _best(cum, F1_EPS_TUNE).select("model", "threshold", "precision", "recall", "f1")
 
 
-def tune_and_report(scores: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def tune_and_report(scores: DataFrame, buckets: int | None = None) -> DataFrame:
     """Tune the threshold by F1, then report metrics at it (the counts come from the curve)."""
     cum = curve(scores, buckets)
     best = _best(cum, F1_EPS_TUNE)
@@ -249,24 +258,27 @@ def tune_and_report(scores: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFr
     return best.join(auc, "model").select("model", F.col("threshold").alias("thr"), *_rates(tp, fp, P, N), "auc")
 
 
-def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Default-threshold and best-F1 report, 13 fields per model, from one curve."""
+def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: int | None = None, tune: DataFrame | None = None) -> DataFrame:
+    """Default-threshold and best-F1 report, 13 fields per model, from one curve.
+
+    With ``tune`` (scores of a validation split) the best-F1 threshold is chosen there and
+    the ``_b`` metrics are those of ``scores`` at that threshold."""
     cum = curve(scores, buckets)
     if thr is None:
         thresholds = threshold_rule(scores).select("model", F.col("thr_default").alias("thr"))
     else:
         thresholds = cum.select("model").distinct().withColumn("thr", F.lit(float(thr)))
     at = counts_at(cum, thresholds, "thr")
-    best = _best(cum, F1_EPS_EVAL)
     auc = auc_and_totals(cum).select("model", "auc")
     tp, fp, P, N = (F.col(c) for c in ("tp", "fp", "tot_p", "tot_n"))
     d = at.select("model", F.col("thr").alias("thr_default"), *_rates(tp, fp, P, N))
-    b = best.select(
-        "model",
-        F.col("threshold").alias("thr_bestF1"),
-        *_rates(tp, fp, P, N, "_b"),
-        F.col("f1").alias("bestF1"),
-    )
+    if tune is None:
+        best = _best(cum, F1_EPS_EVAL)
+        b = best.select("model", F.col("threshold").alias("thr_bestF1"), *_rates(tp, fp, P, N, "_b"), F.col("f1").alias("bestF1"))
+    else:
+        tuned = _best(curve(tune, buckets), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
+        at_b = counts_at(cum, tuned.select("model", F.col("thr_bestF1")), "thr_bestF1")
+        b = at_b.join(tuned.select("model", "bestF1"), "model").select("model", "thr_bestF1", *_rates(tp, fp, P, N, "_b"), "bestF1")
     return d.join(auc, "model").join(b, "model")
 
 

@@ -117,3 +117,28 @@ def q_compare_score_files(spark, sf_dir):
     write_ordered_csv(b, pb, "frame_id")
     long = compare_files(spark, ("tree", pa), ("mlp", pb))
     return M.round_doubles(M.auc_and_totals(M.curve(long)).select("model", "auc"))
+
+
+@register("export_artifacts")
+def q_export_artifacts(spark, sf_dir):
+    """Fit the three export models, write all artifacts, return the written metrics table."""
+    from canframes.plans.export import export_artifacts
+
+    return export_artifacts(spark, sf_dir, work_path(spark, "artifacts"))
+
+
+@register("score_artifacts")
+def q_score_artifacts(spark, sf_dir):
+    """Export, then load the stored artifacts and score the test split at the stored
+    thresholds; confusion counts per model."""
+    from canframes.plans.export import export_artifacts, score_with_artifacts
+
+    out = work_path(spark, "artifacts")
+    export_artifacts(spark, sf_dir, out)
+    scored = score_with_artifacts(spark, sf_dir, out)
+    return scored.groupBy("model", "thr").agg(
+        F.count_if((F.col("pred") == 1) & (F.col("label") == 1)).alias("tp"),
+        F.count_if((F.col("pred") == 1) & (F.col("label") == 0)).alias("fp"),
+        F.count_if((F.col("pred") == 0) & (F.col("label") == 1)).alias("fn"),
+        F.count_if((F.col("pred") == 0) & (F.col("label") == 0)).alias("tn"),
+    )

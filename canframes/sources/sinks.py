@@ -47,7 +47,7 @@ def thresholds_frame(evaluated: DataFrame, notes: str, features: list[str] | Non
     """One struct row {features[], models{key: {thr_default, thr_bestF1}}, notes} from the
     per-model evaluation rows (one row per model)."""
     features = features or FEATURES
-    entries = evaluated.select(F.col(key_col).alias("k"), F.struct(F.col("thr_default").cast("double"), F.col("thr_bestF1").cast("double")).alias("v"))
+    entries = evaluated.select(F.col(key_col).alias("k"), F.struct(F.col("thr_default").cast("double").alias("thr_default"), F.col("thr_bestF1").cast("double").alias("thr_bestF1")).alias("v"))
     return entries.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("models")).select(
         F.array(*[F.lit(f) for f in features]).alias("features"), "models", F.lit(notes).alias("notes")
     )
