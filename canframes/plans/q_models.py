@@ -190,3 +190,54 @@ def q_coef_table(spark, sf_dir):
 def q_importance_table(spark, sf_dir):
     model, _ = learner_scores(spark, sf_dir, "forest")
     return importance_table(model, spark=spark)
+
+
+# --- online learners by parameter mixing, sequence classifiers (rows-only) ---------------------
+
+def _online_metrics(spark, sf_dir, kind: str, label: str):
+    from canframes.operators.online import decision_function, fit_online
+
+    z, _ = standardized(spark, sf_dir)
+    w = fit_online(z.filter(F.col("split") == "train"), kind=kind)
+    test = decision_function(z.filter(F.col("split") == "test"), w)
+    scored = test.select(F.lit(label).alias("model"), "frame_id", "label", "score")
+    return M.round_doubles(M.metrics_table(M.eval_with_thresholds(scored, thr=None)))
+
+
+@register("perceptron_metrics")
+def q_perceptron_metrics(spark, sf_dir):
+    return _online_metrics(spark, sf_dir, "perceptron", "Perceptron(balanced)")
+
+
+@register("passive_aggressive_metrics")
+def q_passive_aggressive_metrics(spark, sf_dir):
+    return _online_metrics(spark, sf_dir, "pa", "PassiveAggressive(balanced)")
+
+
+def _seq_metrics(spark, sf_dir, improved: bool):
+    from canframes.operators import sequence as Q
+    from canframes.operators.seq_models import fit_sequence_mlp, sequence_dataset
+    from canframes.plans.q_sequence import framed
+
+    fp = framed(spark, sf_dir)
+    if improved:
+        fp = Q.add_sequence_context(fp)
+        data = sequence_dataset(fp, Q.context_features(), timesteps=20, label_rule="ratio", pos_ratio=0.3, with_id=True)
+        name = "SeqMLP(seq+ID)"
+    else:
+        data = sequence_dataset(fp, FEATURES, timesteps=10, label_rule="any")
+        name = "SeqMLP(seq)"
+    scored = fit_sequence_mlp(data, with_id=improved).select(F.lit(name).alias("model"), "frame_id", "label", "score")
+    return M.round_doubles(M.metrics_table(M.eval_with_thresholds(scored, thr=0.5)))
+
+
+@register("seq_mlp_metrics")
+def q_seq_mlp_metrics(spark, sf_dir):
+    """Flattened T=10 windows (label = any attack frame), split by ID, MLP."""
+    return _seq_metrics(spark, sf_dir, improved=False)
+
+
+@register("seq_id_mlp_metrics")
+def q_seq_id_mlp_metrics(spark, sf_dir):
+    """T=20 windows of 32 context features (label = attack share >= 0.3) + one-hot ID, MLP."""
+    return _seq_metrics(spark, sf_dir, improved=True)
