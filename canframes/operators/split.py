@@ -4,17 +4,22 @@ The grouped split takes exactly ceil(f * G) of the G groups for test, ordered by
 sha1 of the group key. The k-th smallest hash is found without a global sort or a
 one-task window over all groups: a histogram over the first hex digits of the hash
 (16**4 buckets at most) locates the bucket holding position k, and only that bucket
-(about G / 65536 groups) is ranked. The cut travels as a scalar subquery, so every row
-is labelled in place by ``hash <= cut``: no join back, no shuffle of the frames.
+(about G / 65536 groups) is ranked. The distinct group hashes are checkpointed once to
+the shared folder, so the count and the cuts never rescan the frames; every row is then
+labelled in place by ``hash <= cut`` (a literal): no join back, no shuffle of the frames.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.hashing import row_hash, salted_hash
 from canframes.schema import FEATURES, GROUP_KEY_COL, SEED, SPLIT_COL
+from canframes.session import cut_lineage
 
 _H = "_split_hash"
 PREFIX_DIGITS = 4
@@ -24,23 +29,54 @@ def with_group_key(df: DataFrame, features: list[str] | None = None, out: str =
     return df.withColumn(out, row_hash(features))
 
 
-def kth_smallest(hashes: DataFrame, k: Column, col: str = _H, digits: int = PREFIX_DIGITS) -> Column:
-    """Scalar column: the k-th smallest (1-based) of the distinct hex strings in ``hashes``.
+def kth_smallest(hashes: DataFrame, k: int, col: str = _H, digits: int = PREFIX_DIGITS) -> str:
+    """The k-th smallest (1-based) of the distinct hex strings in ``hashes``; '' for k = 0.
 
-    '' when k = 0, so ``h <= cut`` selects nothing."""
+    Two small jobs: the prefix histogram (at most 16**digits rows, one ordered window)
+    picks the bucket and the rank inside it; only that bucket is then ranked."""
+    if k <= 0:
+        return ""
     pref = F.substring(F.col(col), 1, digits)
     hist = hashes.groupBy(pref.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     # bounded table (16**digits rows): a single ordered window is fine here
     cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
-    target = cum.filter(F.col("_cum") >= k).agg(
-        F.min("_p").alias("_p"), F.min_by(F.col("_cum") - F.col("_c"), F.col("_p")).alias("_before")
-    )
-    t_prefix = target.select("_p").scalar()
-    t_rank = k - target.select("_before").scalar()
-    in_bucket = hashes.filter(pref == t_prefix).select(col)
+    target = cum.filter(F.col("_cum") >= k).orderBy("_p").select("_p", (F.col("_cum") - F.col("_c")).alias("_before")).first()
+    in_bucket = hashes.filter(pref == F.lit(target["_p"])).select(col)
     ranked = in_bucket.withColumn("_rn", F.row_number().over(Window.orderBy(col)))
-    cut = ranked.filter(F.col("_rn") == t_rank).select(col).scalar()
-    return F.coalesce(cut, F.lit(""))
+    return ranked.filter(F.col("_rn") == k - target["_before"]).first()[col]
+
+
+@dataclass(frozen=True)
+class SplitRule:
+    """A fitted grouped split: hash cuts in seeded sha1 order of the group key.
+
+    test = first ceil(test_size * G) groups; with ``val_size`` val = the next
+    ceil(val_size * (G - n_test)) groups; the rest is train."""
+
+    group_col: str
+    seed: int
+    n_groups: int
+    cut_test: str
+    cut_val: str | None = None
+
+    @classmethod
+    def fit(cls, groups_from: DataFrame, group_col: str = GROUP_KEY_COL, test_size: float = 0.2, val_size: float | None = None, seed: int = SEED) -> "SplitRule":
+        # the distinct group hashes are written once to the shared checkpoint folder;
+        # the count and the cuts are small jobs over that table
+        hashes = cut_lineage(groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct())
+        g = hashes.count()
+        k_test = math.ceil(float(test_size) * g)
+        cut_val = None
+        if val_size is not None:
+            cut_val = kth_smallest(hashes, k_test + math.ceil(float(val_size) * (g - k_test)))
+        return cls(group_col, seed, g, kth_smallest(hashes, k_test), cut_val)
+
+    def column(self) -> Column:
+        h = salted_hash(self.group_col, self.seed)
+        label = F.when(h <= F.lit(self.cut_test), F.lit("test"))
+        if self.cut_val is not None:
+            label = label.when(h <= F.lit(self.cut_val), F.lit("val"))
+        return label.otherwise(F.lit("train"))
 
 
 def split_column(
@@ -50,20 +86,9 @@ def split_column(
     val_size: float | None = None,
     seed: int = SEED,
 ) -> Column:
-    """The split rule as a column: groups (and their count G) come from ``groups_from``;
-    the column can label any table that has ``group_col``.
-
-    test = first ceil(test_size * G) groups in seeded hash order; with ``val_size``,
-    val = the next ceil(val_size * (G - n_test)) groups."""
-    hashes = groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct()
-    n_groups = hashes.agg(F.count(F.lit(1)).alias("g")).scalar()
-    k_test = F.ceil(F.lit(float(test_size)) * n_groups)
-    h = salted_hash(group_col, seed)
-    label = F.when(h <= kth_smallest(hashes, k_test), F.lit("test"))
-    if val_size is not None:
-        k_val = k_test + F.ceil(F.lit(float(val_size)) * (n_groups - k_test))
-        label = label.when(h <= kth_smallest(hashes, k_val), F.lit("val"))
-    return label.otherwise(F.lit("train"))
+    """The fitted split rule as a column: groups (and their count G) come from
+    ``groups_from``; the column labels any table that has ``group_col``."""
+    return SplitRule.fit(groups_from, group_col, test_size, val_size, seed).column()
 
 
 def group_split(
