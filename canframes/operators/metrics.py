@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.thresholds import default_threshold
-from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, with_count_below
+from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, join_small, with_count_below
 
 F1_EPS_TUNE = 1e-9  # best_threshold_by_f1
 F1_EPS_EVAL = 1e-12  # eval_with_thresholds
@@ -55,8 +55,9 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
         qs = [i / buckets for i in range(1, buckets)]
         # bucket 0 holds the highest scores: bounds of the negated score, ascending
         bounds = counts.groupBy("model").agg(F.percentile_approx(-F.col("score"), qs, 10000).alias("_b"))
-        # one row per model with a fixed-size array: a bounded broadcast
-        g = counts.join(F.broadcast(bounds), "model").withColumn("_v", -F.col("score"))
+        # one row per model with a fixed-size array, broadcast when its size allows
+        n_models = counts.select("model").distinct().count()
+        g = join_small(counts, bounds, "model", "inner", n_models, 8 * buckets + 64).withColumn("_v", -F.col("score"))
         g = with_count_below(g, "_b", "_v", buckets - 1, "_bk").drop("_b", "_v")
     totals = g.groupBy("model", "_bk").agg(F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"))
     before = Window.partitionBy("model").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ a third of all frames. Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.schema import N_COL, POS_COL
@@ -41,27 +41,49 @@ def _monotone_number(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
+BROADCAST_LIMIT_BYTES = 64 << 20
+
+
 def bucket_count(df: DataFrame, key: str, target_rows: int) -> int:
-    """Buckets per key so the largest key gets about ``target_rows`` rows per bucket
+    """Buckets per heavy key so the largest key gets about ``target_rows`` rows per bucket
     (a power of two; 1 when every key fits one task). One small aggregate."""
     largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     need = max(1, -(-largest // max(target_rows, 1)))
     return min(1 << (need - 1).bit_length(), MAX_POSITION_BUCKETS)
 
 
+def join_small(big: DataFrame, small: DataFrame, on, how: str, n_rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast ``small`` only when its size (known row count x row width) is under the
+    limit; beyond it a regular join, which AQE can still split when a key is skewed."""
+    if n_rows * row_bytes <= BROADCAST_LIMIT_BYTES:
+        small = F.broadcast(small)
+    return big.join(small, on, how)
+
+
 def with_count_below(df: DataFrame, bounds: str, value: str, size: int, out: str) -> DataFrame:
     """``out`` = number of elements of the sorted array column ``bounds`` (``size`` entries)
-    smaller than ``value``: a binary search of log2(size + 1) steps, one column per step,
-    each a plain ``element_at`` comparison (stays in generated code, unlike a lambda
-    over the array, and each step refers to the previous one once)."""
-    df = df.withColumn(out, F.lit(0))
-    step = 1 << (size.bit_length() - 1) if size else 0
-    while step:
-        nxt = F.col(out) + F.lit(step)
-        hit = (nxt <= F.lit(size)) & (F.element_at(F.col(bounds), nxt.cast("int")) < F.col(value))
-        df = df.withColumn(out, F.when(hit, nxt).otherwise(F.col(out)))
-        step >>= 1
-    return df
+    smaller than ``value``, by a two-level lookup: compare with every ``chunk``-th bound
+    (chunk ~ sqrt(size)) to find the chunk, then scan the ``chunk`` bounds inside it.
+    About 2 * sqrt(size) plain ``element_at`` comparisons per row, all in generated code
+    (a lambda over the array would run interpreted, and a chained binary search makes the
+    optimizer's inferred constraints grow exponentially)."""
+    if size <= 0:
+        return df.withColumn(out, F.lit(0))
+    chunk = 1 << ((size.bit_length() + 1) // 2)
+    b, v = F.col(bounds), F.col(value)
+
+    def below(i: Column) -> Column:
+        return F.coalesce((F.element_at(b, i.cast("int")) < v).cast("int"), F.lit(0))
+
+    coarse = F.lit(0)
+    for m in range(chunk, size + 1, chunk):
+        coarse = coarse + below(F.lit(m))
+    df = df.withColumn("_chunk", coarse)
+    fine = F.col("_chunk") * chunk
+    for j in range(1, chunk):
+        pos = F.col("_chunk") * chunk + j
+        fine = fine + F.when(pos <= size, below(pos)).otherwise(F.lit(0))
+    return df.withColumn(out, fine).drop("_chunk")
 
 
 def with_positions(
@@ -87,10 +109,14 @@ def with_positions(
         return df.withColumn(pos, (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(n, F.count(F.lit(1)).over(w))
     num = _monotone_number(df, order[0])
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(key).agg(F.percentile_approx(num, qs, 10000).alias("_b"))
-    # one array of buckets - 1 numbers per key; AQE broadcasts it when the key count is small
-    x = df.join(bounds, key).withColumn("_v", num)
-    x = with_count_below(x, "_b", "_v", buckets - 1, "_bk").drop("_b", "_v")
+    # bounds only for keys bigger than one task; other keys stay in bucket 0
+    heavy = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows).select(key)
+    n_heavy = heavy.count()
+    bounds = df.join(F.broadcast(heavy) if n_heavy <= 100_000 else heavy, key, "left_semi").groupBy(key).agg(
+        F.percentile_approx(num, qs, 10000).alias("_b")
+    )
+    x = join_small(df, bounds, key, "left", n_heavy, 8 * buckets + 64).withColumn("_v", num)
+    x = with_count_below(x, "_b", "_v", buckets - 1, "_bk").withColumn("_bk", F.coalesce(F.col("_bk"), F.lit(0))).drop("_b", "_v")
     stats = x.groupBy(key, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select(

@@ -39,13 +39,13 @@ def test_bucketed_positions_equal_plain(spark):
     cv = clean_view(spark, SMALL)
     plain = rows(Q.positions(cv, buckets=1).select("frame_id", "pos", "n_in_id"))
     for b in (2, 16, 128):
-        assert rows(Q.positions(cv.repartition(7), buckets=b).select("frame_id", "pos", "n_in_id")) == plain
+        assert rows(Q.positions(cv.repartition(7), buckets=b, target_rows=50).select("frame_id", "pos", "n_in_id")) == plain
 
 
 def test_blocked_windows_equal_plain(spark):
     cv = clean_view(spark, SMALL)
     fp = Q.positions(cv)
-    fp_b = Q.positions(cv, buckets=8)
+    fp_b = Q.positions(cv, buckets=8, target_rows=50)
     ctx = rows(Q.add_sequence_context(fp).select("frame_id", *Q.context_features()))
     assert rows(Q.add_sequence_context(fp_b, block_rows=6).select("frame_id", *Q.context_features())) == ctx
     for rule, T in (("any", 10), ("last", 20), ("ratio", 20)):
