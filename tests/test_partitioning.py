@@ -58,3 +58,18 @@ def test_bucketed_curve_equals_plain(spark):
     plain = rows(M.curve(s, buckets=1))
     assert rows(M.curve(s.repartition(5), buckets=16)) == plain
     assert rows(M.curve(s, buckets=64)) == plain
+
+
+def test_bucket_lookup_equals_bisect(spark):
+    import bisect
+    import random
+
+    from canframes.operators.positions import with_count_below
+
+    rnd = random.Random(7)
+    for size in (1, 2, 3, 7, 15, 63, 255, 1023):
+        bounds = sorted(rnd.randint(0, 40) for _ in range(size))
+        vals = list(range(-2, 43))
+        df = spark.createDataFrame([(bounds, v) for v in vals], "b array<bigint>, v bigint")
+        got = [r.o for r in with_count_below(df, "b", "v", size, "o").orderBy("v").collect()]
+        assert got == [bisect.bisect_left(bounds, v) for v in vals]
