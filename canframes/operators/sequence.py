@@ -90,18 +90,24 @@ def sequence_windows(
     key: str = "ID",
     block_rows: int = DEFAULT_BLOCK_ROWS,
     carry: list[str] | None = None,
+    frames_of: list[str] | None = None,
 ) -> DataFrame:
     """One row per full window (start 0, every ``step`` rows, only complete windows):
-    ``key``, ``start`` (position of the first frame), ``start_frame_id``, ``y``."""
+    ``key``, ``start`` (position of the first frame), ``start_frame_id``, ``y``; with
+    ``frames_of`` also ``frames`` = the window's T x F values flattened (same pass)."""
     carry = carry or []
     b = blocked(df_pos, lookahead=timesteps - 1, block_rows=block_rows)
     w = block_window(key)
     fwd = w.rowsBetween(0, timesteps - 1)
-    y = _window_label(label_rule, timesteps, pos_ratio, fwd, w).cast("int").alias("y")
+    extra = [_window_label(label_rule, timesteps, pos_ratio, fwd, w).cast("int").alias("y")]
+    if frames_of:
+        vec = F.array(*[F.col(c).cast("double") for c in frames_of])
+        extra.append(F.flatten(F.collect_list(vec).over(fwd)).alias("frames"))
     starts = (F.col(POS_COL) % step == 0) & (F.col(POS_COL) + timesteps <= F.col(N_COL))
-    out = b.select("*", y)
-    out = owned(out).filter(starts)
-    return out.select(key, F.col(POS_COL).alias("start"), F.col("frame_id").alias("start_frame_id"), "y", *carry)
+    out = owned(b.select("*", *extra)).filter(starts)
+    return out.select(
+        key, F.col(POS_COL).alias("start"), F.col("frame_id").alias("start_frame_id"), "y", *(["frames"] if frames_of else []), *carry
+    )
 
 
 def _starts_covering(timesteps: int, step: int) -> tuple[Column, Column]:
@@ -136,14 +142,8 @@ def window_contents(df_pos: DataFrame, timesteps: int = 10, step: int = 1, featu
 
 def window_tensor(df_pos: DataFrame, timesteps: int, step: int = 1, features: list[str] | None = None, key: str = "ID", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Nested form for the ML edge: ``frames`` = flattened T x F float vector per window."""
-    features = features or FEATURES
-    b = blocked(df_pos, lookahead=timesteps - 1, block_rows=block_rows)
-    fwd = block_window(key).rowsBetween(0, timesteps - 1)
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    out = b.select("*", F.collect_list(vec).over(fwd).alias("_frames"))
-    starts = (F.col(POS_COL) % step == 0) & (F.col(POS_COL) + timesteps <= F.col(N_COL))
-    out = owned(out).filter(starts)
-    return out.select(key, F.col(POS_COL).alias("start"), F.flatten("_frames").alias("frames"))
+    w = sequence_windows(df_pos, timesteps, step, key=key, block_rows=block_rows, frames_of=features or FEATURES)
+    return w.select(key, "start", "frames")
 
 
 def weighted_scaler(df_pos: DataFrame, timesteps: int, step: int = 1, features: list[str] | None = None) -> DataFrame:

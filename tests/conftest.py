@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -17,7 +16,6 @@ SMALL = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    ckpt = tempfile.mkdtemp(prefix="canframes-test-ckpt-")
     s = (
         SparkSession.builder.master("local[4]")
         .appName("canframes-tests")
@@ -25,10 +23,12 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", ckpt)
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from canframes.session import checkpoint_root
+
+    checkpoint_root(s)  # the session's shared folder, or a fresh one only when none is set
     yield s
     s.stop()
 
