@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from canframes.functions.thresholds import default_threshold
 from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, join_small, with_count_below
+from canframes.session import cut_lineage
 
 F1_EPS_TUNE = 1e-9  # best_threshold_by_f1
 F1_EPS_EVAL = 1e-12  # eval_with_thresholds
@@ -98,8 +99,19 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
     )
 
 
-def curve(scores: DataFrame, buckets: int | None = None, **cols) -> DataFrame:
-    return cumulative_counts(score_counts(scores, **cols), buckets)
+def curve(scores: DataFrame, buckets: int | None = None, materialize: bool = False, **cols) -> DataFrame:
+    """Cumulative counts per distinct score. With ``materialize`` the curve (one row per
+    distinct score, far smaller than the scores) is checkpointed to the shared folder,
+    so the several reports built from it never rescan the raw scores."""
+    cum = cumulative_counts(score_counts(scores, **cols), buckets)
+    return cut_lineage(cum) if materialize else cum
+
+
+def rule_from_curve(cum: DataFrame) -> DataFrame:
+    """Default-threshold rule per model from the curve's distinct scores (no raw rescan)."""
+    return cum.groupBy("model").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score")).withColumn(
+        "thr_default", default_threshold(F.col("min_score"), F.col("max_score"))
+    )
 
 
 def threshold_rule(scores: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
@@ -165,9 +177,9 @@ def confusion(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: s
 
 def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", buckets: int | None = None) -> DataFrame:
     """acc / prec / rec / f1 at the threshold (default rule unless given) and AUC, per model."""
+    cum = curve(scores, buckets, materialize=True)
     if thresholds is None:
-        thresholds = threshold_rule(scores).select("model", F.col("thr_default").alias(thr_col))
-    cum = curve(scores, buckets)
+        thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias(thr_col))
     at = counts_at(cum, thresholds, thr_col)
     auc = auc_and_totals(cum).select("model", "auc")
     tp, fp, P, N = (F.col(c) for c in ("tp", "fp", "tot_p", "tot_n"))
@@ -252,7 +264,7 @@ def best_threshold_by_f1(cum: DataFrame) -> DataFrame:
 
 def tune_and_report(scores: DataFrame, buckets: int | None = None) -> DataFrame:
     """Tune the threshold by F1, then report metrics at it (the counts come from the curve)."""
-    cum = curve(scores, buckets)
+    cum = curve(scores, buckets, materialize=True)
     best = _best(cum, F1_EPS_TUNE)
     auc = auc_and_totals(cum).select("model", "auc")
     tp, fp, P, N = (F.col(c) for c in ("tp", "fp", "tot_p", "tot_n"))
@@ -264,9 +276,9 @@ def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: in
 
     With ``tune`` (scores of a validation split) the best-F1 threshold is chosen there and
     the ``_b`` metrics are those of ``scores`` at that threshold."""
-    cum = curve(scores, buckets)
+    cum = curve(scores, buckets, materialize=True)
     if thr is None:
-        thresholds = threshold_rule(scores).select("model", F.col("thr_default").alias("thr"))
+        thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias("thr"))
     else:
         thresholds = cum.select("model").distinct().withColumn("thr", F.lit(float(thr)))
     at = counts_at(cum, thresholds, "thr")
@@ -277,7 +289,7 @@ def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: in
         best = _best(cum, F1_EPS_EVAL)
         b = best.select("model", F.col("threshold").alias("thr_bestF1"), *_rates(tp, fp, P, N, "_b"), F.col("f1").alias("bestF1"))
     else:
-        tuned = _best(curve(tune, buckets), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
+        tuned = _best(curve(tune, buckets, materialize=True), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
         at_b = counts_at(cum, tuned.select("model", F.col("thr_bestF1")), "thr_bestF1")
         b = at_b.join(tuned.select("model", "bestF1"), "model").select("model", "thr_bestF1", *_rates(tp, fp, P, N, "_b"), "bestF1")
     return d.join(auc, "model").join(b, "model")

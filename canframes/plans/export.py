@@ -23,6 +23,7 @@ from canframes.operators.naive_bayes import GaussianNB, gnb_params
 from canframes.operators.scale import Standardizer, scaler_params
 from canframes.plans.q_split import prepared
 from canframes.schema import FEATURES, SEED
+from canframes.session import cut_lineage
 from canframes.sources import sinks
 
 MODELS = [("logreg", "LogReg(balanced)"), ("gnb", "GaussianNB"), ("extratrees", "ExtraTrees(d=8,100)")]
@@ -33,7 +34,7 @@ def export_artifacts(spark: SparkSession, sf_dir: str, out_dir: str, tune_on: st
     df = prepared(spark, sf_dir, val_size=0.2 if tune_on == "val" else None)
     train = df.filter(F.col("split") == "train")
     std = Standardizer.fit(train)
-    z = std.transform(df)
+    z = cut_lineage(std.transform(df))  # read by three fits and three scorings
     ztrain = z.filter(F.col("split") == "train")
 
     logreg, lr_scored = fit_and_score("logreg", ztrain, z, seed=seed)
@@ -46,6 +47,7 @@ def export_artifacts(spark: SparkSession, sf_dir: str, out_dir: str, tune_on: st
         .unionByName(gnb_scored.select(F.lit(LABELS["gnb"]).alias("model"), F.lit("gnb").alias("key"), *cols[2:]))
         .unionByName(rf_scored.select(F.lit(LABELS["extratrees"]).alias("model"), F.lit("extratrees").alias("key"), *cols[2:]))
     )
+    long = cut_lineage(long)  # model scores once; every report reads them from here
     test = long.filter(F.col("split") == "test")
     tune = long.filter(F.col("split") == tune_on) if tune_on != "test" else None
     evaluated = M.eval_with_thresholds(test.drop("key"), thr=0.5, tune=None if tune is None else tune.drop("key"))

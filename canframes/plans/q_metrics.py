@@ -116,7 +116,7 @@ _ROC = """SELECT model, round(threshold, 9) AS threshold, round(fpr, 9) AS fpr,
 
 @register("roc_curve", oracle(_ROC, ["scores"], [("cum", CUM_SQL)]))
 def q_roc_curve(spark, sf_dir):
-    return M.round_doubles(M.roc_curve(M.curve(_scores(spark, sf_dir))))
+    return M.round_doubles(M.roc_curve(M.curve(_scores(spark, sf_dir), materialize=True)))
 
 
 _PR = f"""SELECT model, round(threshold, 9) AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM (
