@@ -50,6 +50,7 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
     scores per running-sum task (1 = a plain running window per model)."""
     if buckets is None:
         buckets = bucket_count(counts, "model", target_rows)
+    n_models = None
     if buckets <= 1:
         g = counts.withColumn("_bk", F.lit(0))
     else:
@@ -84,8 +85,12 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
         F.sum("n").over(run).alias("_ln"),
         F.row_number().over(Window.partitionBy("model", "_bk").orderBy(F.col("score").desc())).alias("_lc"),
     )
-    # offsets: one row per (model, bucket) -> at most models * buckets rows
-    return local.join(F.broadcast(offsets), ["model", "_bk"]).select(
+    # offsets: one row per (model, bucket); broadcast when models * buckets rows are small
+    if n_models is None:
+        joined = local.join(F.broadcast(offsets), ["model", "_bk"])  # one row per model
+    else:
+        joined = join_small(local, offsets, ["model", "_bk"], "inner", n_models * buckets, 64)
+    return joined.select(
         "model",
         "score",
         "p",
