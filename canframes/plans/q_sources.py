@@ -142,3 +142,69 @@ def q_score_artifacts(spark, sf_dir):
         F.count_if((F.col("pred") == 0) & (F.col("label") == 1)).alias("fn"),
         F.count_if((F.col("pred") == 0) & (F.col("label") == 0)).alias("tn"),
     )
+
+
+# --- sequence operators on the file-loaded frames (no time column) -----------------------------
+
+_FILE_POS = f"""SELECT *, row_number() OVER (PARTITION BY source ORDER BY frame_id) - 1 AS frame_seq,
+       {SOURCE_RANK_SQL} AS source_rank FROM rs"""
+
+
+def _ctx_files_sql() -> str:
+    cols = []
+    for c in FEATURES:
+        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
+        cols.append(f"COALESCE(round({x} - lag({x}) OVER w, 6), 0) AS {c}_diff1")
+    for c in FEATURES:
+        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
+        cols.append(f"COALESCE(CASE WHEN count({x}) OVER r = 5 THEN round(avg({x}) OVER r, 6) END, 0) AS {c}_roll5_mean")
+    for c in FEATURES:
+        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
+        cols.append(f"COALESCE(CASE WHEN count({x}) OVER r = 5 THEN round(stddev_samp({x}) OVER r, 6) END, 0) AS {c}_roll5_std")
+    base = ", ".join(f"COALESCE(TRY_CAST({c} AS FLOAT), 0) AS {c}" for c in FEATURES)
+    return (
+        f"SELECT source, frame_seq, ID, CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label, {base}, " + ", ".join(cols)
+        + " FROM fp WINDOW w AS (PARTITION BY ID ORDER BY source_rank, frame_seq),"
+        " r AS (PARTITION BY ID ORDER BY source_rank, frame_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+    )
+
+
+@register("seq_context_files", oracle(_ctx_files_sql(), ["frames_raw"], _RS + [("fp", _FILE_POS)]))
+def q_seq_context_files(spark, sf_dir):
+    """Context features on the uncleaned class tables (rows with bad payloads kept),
+    ordered inside an ID by the concatenation order (attack files, then benign), then
+    every null filled with 0."""
+    from canframes.operators import sequence as Q
+    from canframes.operators.metrics import round_doubles
+
+    loaded = load_frames(spark, write_fixture(spark, sf_dir), partitioned=True)
+    both = loaded.attack_df.unionByName(loaded.benign_df)
+    fp = Q.positions(both, fallback=["source_rank", "frame_seq"])
+    ctx = Q.add_sequence_context(fp)
+    return round_doubles(ctx.select("source", "frame_seq", "ID", "label", *Q.context_features()), 6)
+
+
+_SHUF = f"""SELECT *, row_number() OVER (PARTITION BY ID ORDER BY sha1('42:' || CAST(frame_key AS VARCHAR)), frame_key) - 1 AS pos,
+       count(*) OVER (PARTITION BY ID) AS n_in_id FROM (
+  SELECT ID, frame_id AS fid, CAST(source_rank AS BIGINT) * 1099511627776 + frame_seq AS frame_key,
+         CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label FROM fp
+  WHERE ID IS NOT NULL AND {_NOID_WHERE}) c"""
+
+
+@register(
+    "windows_files",
+    oracle(
+        """SELECT ID, pos AS start, frame_key AS start_frame_id, CAST(y AS INT) AS y FROM (
+             SELECT ID, pos, n_in_id, frame_key, max(label) OVER (PARTITION BY ID ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS y
+             FROM sp) x WHERE pos + 10 <= n_in_id""",
+        ["frames_raw"],
+        _RS + [("fp", _FILE_POS), ("sp", _SHUF)],
+    ),
+)
+def q_windows_files(spark, sf_dir):
+    """Basic windows (T=10, label = any) on cleaned file-loaded frames, which have no time
+    column: frames of an ID in the seeded shuffle order."""
+    from canframes.operators import sequence as Q
+
+    loaded = load_frames(spark, write_fixture(spark, sf_dir), partitioned=True)
+    return Q.sequence_windows(Q.positions(loaded.frames), timesteps=10, label_rule="any")
