@@ -43,6 +43,10 @@ def id_index(df: DataFrame, key: str = "ID", out: str = "id_idx") -> DataFrame:
 
     Works on the distinct IDs only (bounded by the ID space, e.g. 2**29 CAN ids)."""
     ids = df.select(key).distinct()
+    if ids.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz"):
+        # one constant group numbered by the bucketed scheme: spreads over tasks when large
+        ranked = with_positions(ids.withColumn("_all", F.lit(0)), "_all", [key], pos="_p", n="_n")
+        return ranked.select(key, F.col("_p").cast("int").alias(out))
     return ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias(out))
 
 

@@ -22,13 +22,19 @@ STREAM_FILES = 8
 ALERT_THRESHOLD = 0.5
 
 
-def write_stream_input(spark, sf_dir, n_files: int = STREAM_FILES) -> str:
-    """The frames as ``n_files`` Parquet files, each a later time range than the one before,
-    appended one after another so that file times follow event time."""
+def files_per_slice(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // STREAM_FILES)
+
+
+def write_stream_input(spark, sf_dir, n_slices: int = STREAM_FILES) -> str:
+    """The frames as ``n_slices`` time slices appended one after another (so file times
+    follow event time); each slice is written by ``files_per_slice`` parallel tasks as
+    that many range-partitioned files, and the stream reads exactly one slice per trigger."""
     f = frames(spark, sf_dir)
     out = work_path(spark, "stream-in")
+    per = files_per_slice(spark)
     secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").cast("double")
-    cuts = f.select(secs.alias("s")).approxQuantile("s", [i / n_files for i in range(1, n_files)], 0.0)  # n_files - 1 numbers
+    cuts = f.select(secs.alias("s")).approxQuantile("s", [i / n_slices for i in range(1, n_slices)], 0.0)  # n_slices - 1 numbers
     edges = [None, *cuts, None]
     for lo, hi in zip(edges[:-1], edges[1:]):
         cond = F.lit(True)
@@ -36,7 +42,8 @@ def write_stream_input(spark, sf_dir, n_files: int = STREAM_FILES) -> str:
             cond = cond & (secs > lo)
         if hi is not None:
             cond = cond & (secs <= hi)
-        f.filter(cond).coalesce(1).sortWithinPartitions("ts", "frame_id").write.mode("append").parquet(out)
+        part = f.filter(cond).repartitionByRange(per, "ts", "frame_id").sortWithinPartitions("ts", "frame_id")
+        part.write.mode("append").parquet(out)
     return out
 
 
@@ -50,7 +57,7 @@ def run_to_sink(df, spark, name: str, mode: str = "append"):
 def _stream(spark, sf_dir):
     src = write_stream_input(spark, sf_dir)
     schema = frames(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_slice(spark)).parquet(src)
 
 
 @register(
