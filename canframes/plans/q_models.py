@@ -241,3 +241,15 @@ def q_seq_mlp_metrics(spark, sf_dir):
 def q_seq_id_mlp_metrics(spark, sf_dir):
     """T=20 windows of 32 context features (label = attack share >= 0.3) + one-hot ID, MLP."""
     return _seq_metrics(spark, sf_dir, improved=True)
+
+
+@register("logreg_irls_metrics")
+def q_logreg_irls_metrics(spark, sf_dir):
+    """Balanced L2 logistic regression with the bias penalized (Newton / IRLS, one
+    aggregate per iteration); metrics row on the test split."""
+    from canframes.operators.irls import fit_irls, predict_proba
+
+    z, _ = standardized(spark, sf_dir)
+    beta = fit_irls(z.filter(F.col("split") == "train"))
+    scored = predict_proba(z.filter(F.col("split") == "test"), beta).select(F.lit("LogReg(balanced, IRLS)").alias("model"), "frame_id", "label", "score")
+    return M.round_doubles(M.metrics_table(M.eval_with_thresholds(scored, thr=None)))

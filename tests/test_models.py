@@ -73,3 +73,22 @@ def test_metric_row_shape(spark):
     assert df.columns == M.METRICS_TABLE_COLUMNS
     r = df.first()
     assert 0.0 <= r.auc <= 1.0 and r.thr_default == 0.5
+
+
+def test_irls_equals_numpy_newton(spark, z):
+    from canframes.operators.irls import fit_irls
+
+    train = z.filter(F.col("split") == "train")
+    beta = fit_irls(train)
+    pdf = train.select(*FEATURES, "label").toPandas()
+    X = np.hstack([pdf[FEATURES].to_numpy(dtype="float64"), np.ones((len(pdf), 1))])
+    t = pdf["label"].to_numpy(dtype="float64")
+    n1 = t.sum()
+    w = np.where(t == 1, len(t) / (2 * n1), len(t) / (2 * (len(t) - n1)))
+    b = np.zeros(X.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(X @ b)))
+        g = b + X.T @ (w * (p - t))
+        H = np.eye(len(b)) + X.T @ (X * (w * p * (1 - p))[:, None])
+        b = b - np.linalg.solve(H, g)
+    assert np.allclose(beta, b, atol=1e-7)
