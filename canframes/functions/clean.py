@@ -48,12 +48,20 @@ def require_columns(df: DataFrame, features: list[str] | None = None) -> None:
         raise ValueError(f"Missing required columns: {missing}")
 
 
-def read_and_clean(df: DataFrame, features: list[str] | None = None, position_col: str = CLASS_POS_COL) -> DataFrame:
-    """Clean one frame table (before the any-null row drop).
+def read_and_clean(df: DataFrame | str, features: list[str] | None = None, position_col: str = CLASS_POS_COL) -> DataFrame:
+    """Clean one frame table (before the any-null row drop). ``df`` is a DataFrame or a
+    CSV path (read as text with file-order positions).
 
     ``position_col`` is the 0-based row position used to build ``gid_`` ids when the
     table has no ``ID`` column; it is produced by the CSV source (file order)."""
     features = features or FEATURES
+    if isinstance(df, str):
+        from pyspark.sql import SparkSession
+
+        from canframes.sources.frame_csv import scan_csv, with_file_positions
+
+        spark = SparkSession.getActiveSession()
+        df = with_file_positions(scan_csv(spark, df, df.rstrip("/").split("/")[-1], 0))
     df = df.drop(*[c for c in DESCRIPTOR_COLUMNS if c in df.columns])
     require_columns(df, features)
     cols = []

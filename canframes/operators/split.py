@@ -164,6 +164,13 @@ def exact_dups(df: DataFrame, group_col: str = GROUP_KEY_COL, split_col: str = S
     )
 
 
+def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """One row: number of distinct values of each column (exact, or HyperLogLog++ with
+    relative standard deviation ``rsd``), all in one pass."""
+    agg = (lambda c: F.countDistinct(c)) if exact else (lambda c: F.approx_count_distinct(c, rsd))
+    return df.agg(*[agg(c).alias(f"n_{c}") for c in cols])
+
+
 def assert_no_overlap(df: DataFrame, **kw) -> None:
     n = group_overlap(df, **kw).first()["n_overlap"]
     if n:

@@ -131,3 +131,15 @@ def q_shuffled_head(spark, sf_dir):
     """Seeded shuffle of all frames, first 1000 (the calibration / representative sample)."""
     df = clean_view(spark, sf_dir)
     return df.orderBy(shuffle_key("frame_id")).limit(1000).select("frame_id", *FEATURES, "label")
+
+
+@register(
+    "distinct_counts",
+    oracle(
+        "SELECT count(DISTINCT group_key) AS n_group_key, count(DISTINCT ID) AS n_ID, count(DISTINCT label) AS n_label FROM prepared",
+        ["prepared"],
+    ),
+)
+def q_distinct_counts(spark, sf_dir):
+    """Distinct payload groups, IDs and classes (exact)."""
+    return S.distinct_counts(prepared(spark, sf_dir), ["group_key", "ID", "label"])

@@ -177,3 +177,26 @@ def test_pr_curve_end_point_and_ap(spark):
     assert any(r.threshold is None and r.precision == 1.0 and r.recall == 0.0 for r in pts)
     # AP = 0.5 * 1 + 0.5 * 2/3
     assert M.average_precision(cum).first().ap == pytest.approx(0.5 + 1 / 3)
+
+
+def test_overlap_assertion_and_distinct_counts(spark):
+    from canframes.operators.split import assert_no_overlap, distinct_counts
+
+    df = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train")], "group_key string, split string")
+    with pytest.raises(AssertionError, match="1 groups"):
+        assert_no_overlap(df)
+    assert_no_overlap(df.filter("group_key = 'b'"))
+    exact = distinct_counts(df, ["group_key", "split"]).first()
+    approx = distinct_counts(df, ["group_key", "split"], exact=False).first()
+    assert tuple(exact) == (2, 2) == tuple(approx)
+
+
+def test_read_and_clean_from_path(spark):
+    from canframes.session import work_path
+    from canframes.sources.frame_csv import write_ordered_csv
+
+    df = spark.createDataFrame([(i, str(i % 3), "attack" if i % 2 else "benign") for i in range(120)], "o long, DATA_0 string, label string")
+    path = work_path(spark, "single")
+    write_ordered_csv(df, path, "o")
+    out = read_and_clean(path, features=["DATA_0"]).orderBy("class_pos").collect()
+    assert [r.ID for r in out][::50] == ["gid_0", "gid_1", "gid_2"] and out[1].label == 1 and out[1].DATA_0 == 1.0
