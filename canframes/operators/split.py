@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.hashing import row_hash, salted_hash
-from canframes.schema import FEATURES, GROUP_KEY_COL, SEED, SPLIT_COL
+from canframes.schema import GROUP_KEY_COL, SEED, SPLIT_COL
 from canframes.session import cut_lineage
 
 _H = "_split_hash"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from canframes.operators import metrics as M
 from canframes.plans.catalog import register
 from canframes.plans.fixtures import oracle, scores
@@ -205,5 +203,3 @@ def q_model_comparison(spark, sf_dir):
     """The 12-column metrics table, one row per model."""
     return M.round_doubles(M.metrics_table(M.eval_with_thresholds(_scores(spark, sf_dir), thr=0.5)))
 
-
-__all__ = ["F"]
