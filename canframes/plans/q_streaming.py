@@ -70,7 +70,8 @@ def _stream(spark, sf_dir):
 )
 def q_stream_windows(spark, sf_dir):
     """Stateful per-ID count windows over micro-batches = the batch windows (T=10, any)."""
-    return run_to_sink(stream_windows(_stream(spark, sf_dir), timesteps=10), spark, "stream-windows")
+    out = run_to_sink(stream_windows(_stream(spark, sf_dir), timesteps=10), spark, "stream-windows")
+    return out.filter(~F.col("late")).select("ID", "start", "start_frame_id", "y")
 
 
 def _fitted(spark, sf_dir):

@@ -1,9 +1,12 @@
 """Streaming sliding count-windows per ID with ``applyInPandasWithState``.
 
-State per ID: the frames seen so far (count) and the labels / frame ids of the last T-1
-frames. Each micro-batch appends its frames of the ID (in time order) to that tail and
-emits every window that became complete; results equal the batch windows when frames
-of an ID arrive in time order across micro-batches. State size is O(T) per ID.
+State per ID: the frames seen so far (count), the labels / frame ids of the last T-1
+frames and the (time, frame id) of the last frame. Each micro-batch appends its frames of
+the ID (in time order) to that tail and emits every window that became complete; results
+equal the batch windows when frames of an ID arrive in time order across micro-batches.
+A frame not later than the last frame already taken for its ID is late: it is left out
+of the windows and emitted as a side-output row (``late`` = true). State size is O(T)
+per ID.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT_SCHEMA = "ID string, start long, start_frame_id long, y int"
-STATE_SCHEMA = "seen long, tail_label array<int>, tail_frame array<long>"
+OUTPUT_SCHEMA = "ID string, start long, start_frame_id long, y int, late boolean"
+STATE_SCHEMA = "seen long, tail_label array<int>, tail_frame array<long>, last_ts long, last_fid long"
 
 
 def _window_labels(labels: np.ndarray, timesteps: int, rule: str, pos_ratio: float) -> np.ndarray:
@@ -34,31 +37,46 @@ def _window_labels(labels: np.ndarray, timesteps: int, rule: str, pos_ratio: flo
 def make_window_fn(timesteps: int, step: int = 1, rule: str = "any", pos_ratio: float = 0.3, order: tuple[str, ...] = ("ts", "frame_id")):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="mergesort")
+        ts_us = batch[order[0]].to_numpy(dtype="datetime64[us]").astype("int64")
+        fid_all = batch["frame_id"].to_numpy(dtype="int64")
         if state.exists:
-            seen, tail_label, tail_frame = state.get
+            seen, tail_label, tail_frame, last_ts, last_fid = state.get
             tail_label, tail_frame = list(tail_label), list(tail_frame)
+            late = (ts_us < last_ts) | ((ts_us == last_ts) & (fid_all <= last_fid))
         else:
             seen, tail_label, tail_frame = 0, [], []
-        labels = np.concatenate([np.asarray(tail_label, dtype="int32"), batch["label"].to_numpy(dtype="int32")])
-        fids = np.concatenate([np.asarray(tail_frame, dtype="int64"), batch["frame_id"].to_numpy(dtype="int64")])
-        first_pos = seen - len(tail_label)  # position of labels[0] inside the ID
+            late = np.zeros(len(batch), dtype=bool)
         out = []
-        if len(labels) >= timesteps:
-            ys = _window_labels(labels, timesteps, rule, pos_ratio)
-            starts = first_pos + np.arange(len(ys))
-            new = starts >= seen - (timesteps - 1)  # windows not emitted by an earlier batch
-            keep = new & (starts % step == 0)
-            out.append(pd.DataFrame({"ID": str(key[0]), "start": starts[keep], "start_frame_id": fids[: len(ys)][keep], "y": ys[keep]}))
-        keep_n = timesteps - 1
-        state.update((int(seen + len(batch)), [int(v) for v in labels[-keep_n:]], [int(v) for v in fids[-keep_n:]]))
+        if late.any():
+            lb = batch[late]
+            out.append(pd.DataFrame({"ID": str(key[0]), "start": pd.array([None] * len(lb), dtype="Int64"),
+                                     "start_frame_id": lb["frame_id"].to_numpy(dtype="int64"), "y": lb["label"].to_numpy(dtype="int32"), "late": True}))
+        batch = batch[~late]
+        if len(batch):
+            labels = np.concatenate([np.asarray(tail_label, dtype="int32"), batch["label"].to_numpy(dtype="int32")])
+            fids = np.concatenate([np.asarray(tail_frame, dtype="int64"), batch["frame_id"].to_numpy(dtype="int64")])
+            first_pos = seen - len(tail_label)  # position of labels[0] inside the ID
+            if len(labels) >= timesteps:
+                ys = _window_labels(labels, timesteps, rule, pos_ratio)
+                starts = first_pos + np.arange(len(ys))
+                keep = starts % step == 0  # every window here holds at least one new frame
+                out.append(pd.DataFrame({"ID": str(key[0]), "start": starts[keep], "start_frame_id": fids[: len(ys)][keep], "y": ys[keep], "late": False}))
+            keep_n = timesteps - 1
+            state.update(
+                (int(seen + len(batch)), [int(v) for v in labels[-keep_n:]], [int(v) for v in fids[-keep_n:]],
+                 int(ts_us[~late][-1]), int(fid_all[~late][-1]))
+            )
         if out:
-            yield out[0].astype({"start": "int64", "start_frame_id": "int64", "y": "int32"})
+            res = pd.concat(out, ignore_index=True)
+            yield res.astype({"start": "Int64", "start_frame_id": "int64", "y": "int32", "late": "bool"})
 
     return fn
 
 
 def stream_windows(frames: DataFrame, timesteps: int = 10, step: int = 1, rule: str = "any", pos_ratio: float = 0.3, key: str = "ID") -> DataFrame:
-    """Windows per ID from a frame stream (columns ``key``, ts, frame_id, label)."""
+    """Windows per ID from a frame stream (columns ``key``, ts, frame_id, label), plus
+    late frames as rows with ``late`` = true (``start`` null, ``start_frame_id`` = the
+    frame, ``y`` = its label)."""
     fn = make_window_fn(timesteps, step, rule, pos_ratio)
     slim = frames.select(frames[key].cast("string").alias("ID"), "ts", "frame_id", "label")
     return slim.groupBy("ID").applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
