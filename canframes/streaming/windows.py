@@ -11,6 +11,7 @@ per ID.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# pandas notice raised inside the Python worker's state serializer, not by this code
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
+
 OUTPUT_SCHEMA = "ID string, start long, start_frame_id long, y int, late boolean"
 STATE_SCHEMA = "seen long, tail_label array<int>, tail_frame array<long>, last_ts long, last_fid long"
 
