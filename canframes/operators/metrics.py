@@ -104,12 +104,20 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
     )
 
 
-def curve(scores: DataFrame, buckets: int | None = None, materialize: bool = False, **cols) -> DataFrame:
-    """Cumulative counts per distinct score. With ``materialize`` the curve (one row per
-    distinct score, far smaller than the scores) is checkpointed to the shared folder,
-    so the several reports built from it never rescan the raw scores."""
-    cum = cumulative_counts(score_counts(scores, **cols), buckets)
-    return cut_lineage(cum) if materialize else cum
+def curve(scores: DataFrame, buckets: int | None = None, materialize: bool = True, **cols) -> DataFrame:
+    """Cumulative counts per distinct score. The score-grouped table (one row per distinct
+    score, far smaller than the scores) is checkpointed to the shared folder first, so the
+    raw scores are scanned once however many branches the reports build on it."""
+    counts = score_counts(scores, **cols)
+    if materialize:
+        counts = cut_lineage(counts)
+    return cumulative_counts(counts, buckets)
+
+
+def shared_curve(scores: DataFrame, buckets: int | None = None, **cols) -> DataFrame:
+    """The curve checkpointed as well, for reports that read it several times (the running
+    sums are then computed once)."""
+    return cut_lineage(curve(scores, buckets, **cols))
 
 
 def rule_from_curve(cum: DataFrame) -> DataFrame:
@@ -182,7 +190,7 @@ def confusion(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: s
 
 def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", buckets: int | None = None) -> DataFrame:
     """acc / prec / rec / f1 at the threshold (default rule unless given) and AUC, per model."""
-    cum = curve(scores, buckets, materialize=True)
+    cum = shared_curve(scores, buckets)
     if thresholds is None:
         thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias(thr_col))
     at = counts_at(cum, thresholds, thr_col)
@@ -269,7 +277,7 @@ def best_threshold_by_f1(cum: DataFrame) -> DataFrame:
 
 def tune_and_report(scores: DataFrame, buckets: int | None = None) -> DataFrame:
     """Tune the threshold by F1, then report metrics at it (the counts come from the curve)."""
-    cum = curve(scores, buckets, materialize=True)
+    cum = shared_curve(scores, buckets)
     best = _best(cum, F1_EPS_TUNE)
     auc = auc_and_totals(cum).select("model", "auc")
     tp, fp, P, N = (F.col(c) for c in ("tp", "fp", "tot_p", "tot_n"))
@@ -281,7 +289,7 @@ def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: in
 
     With ``tune`` (scores of a validation split) the best-F1 threshold is chosen there and
     the ``_b`` metrics are those of ``scores`` at that threshold."""
-    cum = curve(scores, buckets, materialize=True)
+    cum = shared_curve(scores, buckets)
     if thr is None:
         thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias("thr"))
     else:
@@ -294,7 +302,7 @@ def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: in
         best = _best(cum, F1_EPS_EVAL)
         b = best.select("model", F.col("threshold").alias("thr_bestF1"), *_rates(tp, fp, P, N, "_b"), F.col("f1").alias("bestF1"))
     else:
-        tuned = _best(curve(tune, buckets, materialize=True), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
+        tuned = _best(shared_curve(tune, buckets), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
         at_b = counts_at(cum, tuned.select("model", F.col("thr_bestF1")), "thr_bestF1")
         b = at_b.join(tuned.select("model", "bestF1"), "model").select("model", "thr_bestF1", *_rates(tp, fp, P, N, "_b"), "bestF1")
     return d.join(auc, "model").join(b, "model")

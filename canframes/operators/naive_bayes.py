@@ -48,13 +48,13 @@ def gnb_params(train: DataFrame, features: list[str] | None = None) -> DataFrame
     per_class = train.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mu_{c}") for c in features], *[F.var_pop(c).alias(f"va_{c}") for c in features]
     )
-    overall = train.agg(F.greatest(*[F.var_pop(c) for c in features]).alias("_vmax"))
+    # two global numbers in one pass: largest feature variance and the row count
+    overall = train.agg(F.greatest(*[F.var_pop(c) for c in features]).alias("vmax"), F.count(F.lit(1)).alias("n")).first()
+    eps = float(overall["vmax"]) * VAR_SMOOTHING
     stack = ", ".join(f"'{c}', `mu_{c}`, `va_{c}`" for c in features)
     long = per_class.select("label", "n", F.expr(f"stack({len(features)}, {stack}) AS (feature, mean, var0)"))
-    eps = overall.select((F.col("_vmax") * VAR_SMOOTHING).alias("_eps")).scalar()
-    total = train.agg(F.count(F.lit(1))).scalar()
     return long.select(
-        "label", "feature", "n", (F.col("n") / total).alias("prior"), "mean", (F.col("var0") + eps).alias("var")
+        "label", "feature", "n", (F.col("n") / F.lit(float(overall["n"]))).alias("prior"), "mean", (F.col("var0") + F.lit(eps)).alias("var")
     )
 
 

@@ -114,7 +114,7 @@ _ROC = """SELECT model, round(threshold, 9) AS threshold, round(fpr, 9) AS fpr,
 
 @register("roc_curve", oracle(_ROC, ["scores"], [("cum", CUM_SQL)]))
 def q_roc_curve(spark, sf_dir):
-    return M.round_doubles(M.roc_curve(M.curve(_scores(spark, sf_dir), materialize=True)))
+    return M.round_doubles(M.roc_curve(M.shared_curve(_scores(spark, sf_dir))))
 
 
 _PR = f"""SELECT model, round(threshold, 9) AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM (
@@ -126,7 +126,7 @@ _PR = f"""SELECT model, round(threshold, 9) AS threshold, round(precision, 9) AS
 
 @register("pr_curve", oracle(_PR, ["scores"], [("cum", CUM_SQL)]))
 def q_pr_curve(spark, sf_dir):
-    return M.round_doubles(M.pr_curve(M.curve(_scores(spark, sf_dir))))
+    return M.round_doubles(M.pr_curve(M.shared_curve(_scores(spark, sf_dir))))
 
 
 @register(
