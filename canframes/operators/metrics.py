@@ -174,17 +174,18 @@ def counts_at(cum: DataFrame, thresholds: DataFrame, thr_col: str = "thr") -> Da
 
 
 def confusion(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr_default") -> DataFrame:
-    """tn, fp, fn, tp per model (default-rule threshold unless given), one pass with count_if."""
+    """tn, fp, fn, tp per model at the default-rule threshold (or the given ones), read off
+    the score curve: the raw scores are scanned once."""
+    cum = shared_curve(scores)
     if thresholds is None:
-        thresholds = threshold_rule(scores).select("model", thr_col)
-    j = scores.join(F.broadcast(thresholds.select("model", thr_col)), "model")
-    pred = F.col("score") >= F.col(thr_col)
-    pos = F.col("label") == 1
-    return j.groupBy("model").agg(
-        F.count_if(~pred & ~pos).alias("tn"),
-        F.count_if(pred & ~pos).alias("fp"),
-        F.count_if(~pred & pos).alias("fn"),
-        F.count_if(pred & pos).alias("tp"),
+        thresholds = rule_from_curve(cum).select("model", thr_col)
+    at = counts_at(cum, thresholds, thr_col)
+    return at.select(
+        "model",
+        (F.col("tot_n") - F.col("fp")).alias("tn"),
+        F.col("fp").cast("long").alias("fp"),
+        (F.col("tot_p") - F.col("tp")).alias("fn"),
+        F.col("tp").cast("long").alias("tp"),
     )
 
 
