@@ -73,3 +73,25 @@ def test_bucket_lookup_equals_bisect(spark):
         df = spark.createDataFrame([(bounds, v) for v in vals], "b array<bigint>, v bigint")
         got = [r.o for r in with_count_below(df, "b", "v", size, "o").orderBy("v").collect()]
         assert got == [bisect.bisect_left(bounds, v) for v in vals]
+
+
+def test_queries_independent_of_partitioning(spark):
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    names = ["group_split", "seq_context", "windows_ratio", "eval_with_thresholds", "csv_round_trip", "quantized", "cnb_scores"]
+    conf = {"spark.sql.shuffle.partitions": None, "spark.sql.files.maxPartitionBytes": None, "spark.sql.adaptive.enabled": None}
+    for k in conf:
+        conf[k] = spark.conf.get(k)
+    results = []
+    try:
+        for parts, split_bytes, aqe in (("1", "134217728", "false"), ("13", "4096", "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            results.append({n: rows(qs[n](spark, SMALL)) for n in names})
+    finally:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+    for n in names:
+        assert results[0][n] == results[1][n], n
