@@ -22,17 +22,25 @@ STREAM_FILES = 8
 ALERT_THRESHOLD = 0.5
 
 
-def files_per_slice(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // STREAM_FILES)
+MIN_ROWS_PER_FILE = 1000
 
 
-def write_stream_input(spark, sf_dir, n_slices: int = STREAM_FILES) -> str:
+def files_per_slice(spark, n_rows: int) -> int:
+    """Files per time slice: the shuffle parallelism spread over the slices, but at least
+    ~1000 rows per file so that range partitioning fills every one of them (a trigger
+    must read exactly one slice)."""
+    by_parallelism = int(spark.conf.get("spark.sql.shuffle.partitions")) // STREAM_FILES
+    by_size = n_rows // STREAM_FILES // MIN_ROWS_PER_FILE
+    return max(1, min(by_parallelism, by_size))
+
+
+def write_stream_input(spark, sf_dir, n_slices: int = STREAM_FILES) -> tuple[str, int]:
     """The frames as ``n_slices`` time slices appended one after another (so file times
     follow event time); each slice is written by ``files_per_slice`` parallel tasks as
     that many range-partitioned files, and the stream reads exactly one slice per trigger."""
     f = frames(spark, sf_dir)
     out = work_path(spark, "stream-in")
-    per = files_per_slice(spark)
+    per = files_per_slice(spark, f.count())
     secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").cast("double")
     cuts = f.select(secs.alias("s")).approxQuantile("s", [i / n_slices for i in range(1, n_slices)], 0.0)  # n_slices - 1 numbers
     edges = [None, *cuts, None]
@@ -44,7 +52,7 @@ def write_stream_input(spark, sf_dir, n_slices: int = STREAM_FILES) -> str:
             cond = cond & (secs <= hi)
         part = f.filter(cond).repartitionByRange(per, "ts", "frame_id").sortWithinPartitions("ts", "frame_id")
         part.write.mode("append").parquet(out)
-    return out
+    return out, per
 
 
 def run_to_sink(df, spark, name: str, mode: str = "append"):
@@ -55,9 +63,9 @@ def run_to_sink(df, spark, name: str, mode: str = "append"):
 
 
 def _stream(spark, sf_dir):
-    src = write_stream_input(spark, sf_dir)
+    src, per = write_stream_input(spark, sf_dir)
     schema = frames(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_slice(spark)).parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per).parquet(src)
 
 
 @register(
