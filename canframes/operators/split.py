@@ -164,6 +164,19 @@ def exact_dups(df: DataFrame, group_col: str = GROUP_KEY_COL, split_col: str = S
     )
 
 
+def leakage_audit(df: DataFrame, group_col: str = GROUP_KEY_COL, split_col: str = SPLIT_COL, train: str = "train", test: str = "test") -> DataFrame:
+    """One row: groups on both sides, test rows whose payload occurs in train, test rows
+    (one grouping pass)."""
+    per_group = df.groupBy(group_col).agg(
+        F.count_if(F.col(split_col) == train).alias("_tr"), F.count_if(F.col(split_col) == test).alias("_te")
+    )
+    return per_group.agg(
+        F.count_if((F.col("_tr") > 0) & (F.col("_te") > 0)).alias("n_overlap"),
+        F.coalesce(F.sum(F.when(F.col("_tr") > 0, F.col("_te"))), F.lit(0)).cast("bigint").alias("n_dup"),
+        F.coalesce(F.sum("_te"), F.lit(0)).cast("bigint").alias("n_test"),
+    )
+
+
 def distinct_counts(df: DataFrame, cols: list[str], exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """One row: number of distinct values of each column (exact, or HyperLogLog++ with
     relative standard deviation ``rsd``), all in one pass."""

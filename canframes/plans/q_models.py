@@ -253,3 +253,15 @@ def q_logreg_irls_metrics(spark, sf_dir):
     beta = fit_irls(z.filter(F.col("split") == "train"))
     scored = predict_proba(z.filter(F.col("split") == "test"), beta).select(F.lit("LogReg(balanced, IRLS)").alias("model"), "frame_id", "label", "score")
     return M.round_doubles(M.metrics_table(M.eval_with_thresholds(scored, thr=None)))
+
+
+
+@register("train_evaluate")
+def q_train_evaluate(spark, sf_dir):
+    """All detectors on one split: metrics table (one row per model) with the leakage
+    audit numbers attached to every row."""
+    from canframes.plans.train_evaluate import train_evaluate
+
+    metrics, audit = train_evaluate(spark, sf_dir)
+    a = audit.first()  # three numbers
+    return metrics.withColumns({"n_overlap": F.lit(a.n_overlap), "n_dup": F.lit(a.n_dup), "n_test": F.lit(a.n_test)})
