@@ -39,4 +39,5 @@ def load_all() -> None:
         q_sources,
         q_split,
         q_streaming,
+        q_wide,
     )
