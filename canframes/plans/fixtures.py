@@ -1,7 +1,8 @@
-"""Frame views derived from the driver's ``events`` table (see FIXTURES.md §2).
+"""Frame views derived from the driver's ``events`` table (see FIXTURES.md §2), plus a
+bench-size stand-in frame table from ``lineitem``.
 
 Each view exists twice: as a Spark DataFrame (used by the operators) and as SQL text
-that DuckDB runs as a CTE in the oracle queries. Both read the whole ``events`` table.
+that DuckDB runs as a CTE in the oracle queries. Both read the whole source table.
 """
 
 from __future__ import annotations
@@ -186,3 +187,35 @@ SOURCE_RANK_SQL = (
     + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(ATTACK_FILES + [BENIGN_FILE]))
     + " END"
 )
+
+
+def line_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bench-size stand-in frame table from ``lineitem`` (one frame per order line): 20 IDs
+    by supplier, time = ship date, small-integer payload, label = returned line."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    flag = F.col("l_returnflag")
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame_id"),
+        F.col("l_shipdate").alias("ts"),
+        (F.col("l_suppkey") % 20).cast("bigint").alias("ID"),
+        F.round("l_quantity").cast("int").alias("DATA_0"),
+        F.col("l_linenumber").cast("int").alias("DATA_1"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("DATA_2"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("DATA_3"),
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("DATA_4"),
+        F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("DATA_5"),
+        F.lit(0).alias("DATA_6"),
+        F.lit(255).alias("DATA_7"),
+        F.when(flag == "R", 1).otherwise(0).alias("label"),
+    )
+
+
+LINE_FRAMES_SQL = """
+SELECT l_orderkey * 8 + l_linenumber AS frame_id, l_shipdate AS ts, CAST(l_suppkey % 20 AS BIGINT) AS ID,
+       CAST(round(l_quantity) AS INT) AS DATA_0, CAST(l_linenumber AS INT) AS DATA_1,
+       CAST(round(l_discount * 100) AS INT) AS DATA_2, CAST(round(l_tax * 100) AS INT) AS DATA_3,
+       CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS DATA_4,
+       CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS DATA_5, 0 AS DATA_6, 255 AS DATA_7,
+       CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
+FROM lineitem
+"""

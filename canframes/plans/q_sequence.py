@@ -9,7 +9,7 @@ from canframes.operators import sequence as Q
 from canframes.operators.metrics import round_doubles
 from canframes.operators.split import split_column
 from canframes.plans.catalog import register
-from canframes.plans.fixtures import clean_view, oracle
+from canframes.plans.fixtures import CLEAN_SQL, LINE_FRAMES_SQL, clean_view, oracle
 from canframes.schema import FEATURES
 
 POS_SQL = """SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ts, frame_id) - 1 AS pos,
@@ -150,3 +150,19 @@ def q_window_scaler(spark, sf_dir):
     fp, _, rule = window_split(spark, sf_dir)
     train = fp.withColumn("split", rule).filter(F.col("split") == "train")
     return round_doubles(Q.weighted_scaler(train, timesteps=10), 6)
+
+
+@register(
+    "line_windows",
+    "WITH frames AS (" + LINE_FRAMES_SQL + "), clean AS (" + CLEAN_SQL + "), fpos AS (" + POS_SQL + ")\n"
+    + "SELECT y, count(*) AS n_windows, CAST(sum(start) AS BIGINT) AS sum_start FROM (" + windows_sql(20, 1, "ratio", 0.3) + ") w GROUP BY y",
+)
+def q_line_windows(spark, sf_dir):
+    """T=20 ratio windows per ID on the lineitem stand-in frames (30k frames per ID at
+    sf0.1), summarized per window label."""
+    from canframes.functions.clean import drop_incomplete, read_and_clean
+    from canframes.plans.fixtures import line_frames
+
+    fp = Q.positions(drop_incomplete(read_and_clean(line_frames(spark, sf_dir))))
+    w = Q.sequence_windows(fp, timesteps=20, label_rule="ratio", pos_ratio=0.3)
+    return w.groupBy("y").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("start").cast("bigint").alias("sum_start"))

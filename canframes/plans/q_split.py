@@ -143,3 +143,30 @@ def q_shuffled_head(spark, sf_dir):
 def q_distinct_counts(spark, sf_dir):
     """Distinct payload groups, IDs and classes (exact)."""
     return S.distinct_counts(prepared(spark, sf_dir), ["group_key", "ID", "label"])
+
+
+def _line_sql(select: str) -> str:
+    """Oracle over the lineitem frames: the frame views re-pointed at ``lineitem``."""
+    from canframes.plans.fixtures import CLEAN_SQL, LINE_FRAMES_SQL, SPLIT_SQL
+
+    return f"WITH frames AS ({LINE_FRAMES_SQL}), clean AS ({CLEAN_SQL}), prepared AS ({SPLIT_SQL})\n{select}"
+
+
+def line_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canframes.functions.clean import drop_incomplete, read_and_clean
+    from canframes.plans.fixtures import line_frames
+
+    return S.group_split(S.with_group_key(drop_incomplete(read_and_clean(line_frames(spark, sf_dir)))))
+
+
+@register(
+    "line_split_summary",
+    _line_sql(
+        """SELECT COALESCE(split, 'all') AS split, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_pos,
+                  round(avg(CAST(label AS DOUBLE)), 9) AS pos_share, count(DISTINCT group_key) AS n_groups
+           FROM prepared GROUP BY ROLLUP (split)"""
+    ),
+)
+def q_line_split_summary(spark, sf_dir):
+    """Grouped split summary on the lineitem stand-in frames (bench size)."""
+    return S.split_summary(line_prepared(spark, sf_dir))
