@@ -2,14 +2,15 @@
 ``(model, label, score)``.
 
 Everything is derived from one score-grouped table ``(model, score, p, n)`` (partial
-aggregation before the shuffle, ties collapsed) and its cumulative counts in descending
-score order. The running sums use a two-level prefix sum so that no single task orders
+aggregation before the shuffle, ties collapsed; checkpointed, so the raw scores are read
+once) and its cumulative counts in descending score order. The running sums use a two-level prefix sum so that no single task orders
 all distinct scores of a model:
 
 1. bucket boundaries per model from ``percentile_approx`` over the distinct scores
    (a bounded array per model; only when a model has more distinct scores than one task
    should order, otherwise one bucket per model),
-2. per-(model, bucket) totals -> offsets (a bounded table, broadcast),
+2. per-(model, bucket) totals -> offsets (models x buckets rows, broadcast behind a size
+   check),
 3. a running sum inside each (model, bucket) window + the bucket offset.
 
 The point index ``idx`` (1-based rank of the distinct score) is cumulated the same way,

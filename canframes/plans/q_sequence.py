@@ -112,8 +112,8 @@ _WSPLIT_CTE = [
 
 def window_split(spark, sf_dir, timesteps: int = 10):
     """Frames with positions, their windows, and the split rule by ID. The groups are the
-    IDs that have a window (at least T frames): one small count per ID, so the split's
-    scalar subqueries never recompute the windows."""
+    IDs that have a window (at least T frames): one small count per ID, so fitting the
+    split never computes the windows."""
     fp = framed(spark, sf_dir)
     win = Q.sequence_windows(fp, timesteps=timesteps)
     ids = clean_view(spark, sf_dir).groupBy("ID").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= timesteps)
