@@ -3,7 +3,7 @@
 The grouped split takes exactly ceil(f * G) of the G groups for test, ordered by a seeded
 sha1 of the group key. The k-th smallest hash is found without a global sort or a
 one-task window over all groups: a histogram over the first hex digits of the hash
-(16**4 buckets at most) locates the bucket holding position k, and only that bucket
+(16**4 rows at most, a bounded summary) locates the bucket holding position k, and only that bucket
 (about G / 65536 groups) is ranked. The distinct group hashes are checkpointed once to
 the shared folder, so the count and the cuts never rescan the frames; every row is then
 labelled in place by ``hash <= cut`` (a literal): no join back, no shuffle of the frames.
@@ -29,21 +29,29 @@ def with_group_key(df: DataFrame, features: list[str] | None = None, out: str =
     return df.withColumn(out, row_hash(features))
 
 
-def kth_smallest(hashes: DataFrame, k: int, col: str = _H, digits: int = PREFIX_DIGITS) -> str:
+def prefix_histogram(hashes: DataFrame, col: str = _H, digits: int = PREFIX_DIGITS) -> list[tuple[str, int]]:
+    """Counts of the distinct hashes per leading hex prefix, in prefix order: a bounded
+    summary (at most 16**digits rows) computed by one aggregate."""
+    pref = F.substring(F.col(col), 1, digits)
+    rows = hashes.groupBy(pref.alias("_p")).agg(F.count(F.lit(1)).alias("_c")).collect()
+    return sorted((r["_p"], int(r["_c"])) for r in rows)
+
+
+def kth_smallest(hashes: DataFrame, k: int, hist: list[tuple[str, int]], col: str = _H, digits: int = PREFIX_DIGITS) -> str:
     """The k-th smallest (1-based) of the distinct hex strings in ``hashes``; '' for k = 0.
 
-    Two small jobs: the prefix histogram (at most 16**digits rows, one ordered window)
-    picks the bucket and the rank inside it; only that bucket is then ranked."""
+    The histogram locates the prefix bucket holding rank k; only that bucket (about
+    G / 16**digits hashes) is ranked, in one small job."""
     if k <= 0:
         return ""
-    pref = F.substring(F.col(col), 1, digits)
-    hist = hashes.groupBy(pref.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    # bounded table (16**digits rows): a single ordered window is fine here
-    cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
-    target = cum.filter(F.col("_cum") >= k).orderBy("_p").select("_p", (F.col("_cum") - F.col("_c")).alias("_before")).first()
-    in_bucket = hashes.filter(pref == F.lit(target["_p"])).select(col)
+    before = 0
+    for prefix, count in hist:
+        if before + count >= k:
+            break
+        before += count
+    in_bucket = hashes.filter(F.substring(F.col(col), 1, digits) == F.lit(prefix)).select(col)
     ranked = in_bucket.withColumn("_rn", F.row_number().over(Window.orderBy(col)))
-    return ranked.filter(F.col("_rn") == k - target["_before"]).first()[col]
+    return ranked.filter(F.col("_rn") == k - before).first()[col]
 
 
 @dataclass(frozen=True)
@@ -62,14 +70,15 @@ class SplitRule:
     @classmethod
     def fit(cls, groups_from: DataFrame, group_col: str = GROUP_KEY_COL, test_size: float = 0.2, val_size: float | None = None, seed: int = SEED) -> "SplitRule":
         # the distinct group hashes are written once to the shared checkpoint folder;
-        # the count and the cuts are small jobs over that table
+        # their prefix histogram gives G and locates each cut; one small job per cut
         hashes = cut_lineage(groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct())
-        g = hashes.count()
+        hist = prefix_histogram(hashes)
+        g = sum(c for _, c in hist)
         k_test = math.ceil(float(test_size) * g)
         cut_val = None
         if val_size is not None:
-            cut_val = kth_smallest(hashes, k_test + math.ceil(float(val_size) * (g - k_test)))
-        return cls(group_col, seed, g, kth_smallest(hashes, k_test), cut_val)
+            cut_val = kth_smallest(hashes, k_test + math.ceil(float(val_size) * (g - k_test)), hist)
+        return cls(group_col, seed, g, kth_smallest(hashes, k_test, hist), cut_val)
 
     def column(self) -> Column:
         h = salted_hash(self.group_col, self.seed)
