@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.functions.hashing import shuffle_key
 from canframes.operators import split as S
 from canframes.plans.catalog import register
 from canframes.plans.fixtures import GROUP_KEY_SQL, clean_view, oracle
@@ -129,8 +128,9 @@ def q_distinct_payloads(spark, sf_dir):
 )
 def q_shuffled_head(spark, sf_dir):
     """Seeded shuffle of all frames, first 1000 (the calibration / representative sample)."""
-    df = clean_view(spark, sf_dir)
-    return df.orderBy(shuffle_key("frame_id")).limit(1000).select("frame_id", *FEATURES, "label")
+    from canframes.operators.scale import representative
+
+    return representative(clean_view(spark, sf_dir)).select("frame_id", *FEATURES, "label")
 
 
 @register(
