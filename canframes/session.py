@@ -57,3 +57,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable lineage cut (survives executor loss): ``checkpoint`` into the shared dir."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 200_000) -> dict[str, str]:
+    """Settings sized to the input: enough shuffle partitions that each holds about
+    ``target_partition_bytes`` before AQE coalesces them, input splits of the same size,
+    skew-join splitting on, RocksDB state for streams. Apply with ``spark.conf.set`` (or
+    pass at submit time); nothing here is machine-local."""
+    parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> None:
+    for k, v in settings.items():
+        spark.conf.set(k, v)
