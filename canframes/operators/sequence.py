@@ -19,11 +19,13 @@ from canframes.schema import FEATURES, N_COL, POS_COL, resolve_time_column
 ROLL = 5
 
 
-def order_columns(df: DataFrame, frame_key: str = "frame_id", seed: int = 42, fallback: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def order_columns(
+    df: DataFrame, frame_key: str = "frame_id", seed: int = 42, fallback: list[str] | None = None, time_columns: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
     """Sort keys inside an ID: the time column when present, then the row order as
     tie-break (stable sort). Without a time column: ``fallback`` (e.g. the concatenation
     order source_rank, frame_seq) or, by default, the seeded shuffle order of the frames."""
-    ts = resolve_time_column(df.columns)
+    ts = resolve_time_column(df.columns, time_columns)
     tail = fallback or [frame_key]
     if ts is not None:
         return df, [ts, *tail]
@@ -32,8 +34,10 @@ def order_columns(df: DataFrame, frame_key: str = "frame_id", seed: int = 42, fa
     return df.withColumn("_shuffle", shuffle_key(frame_key, seed)), ["_shuffle", frame_key]
 
 
-def positions(df: DataFrame, key: str = "ID", frame_key: str = "frame_id", fallback: list[str] | None = None, **kw) -> DataFrame:
-    df2, order = order_columns(df, frame_key, fallback=fallback)
+def positions(
+    df: DataFrame, key: str = "ID", frame_key: str = "frame_id", fallback: list[str] | None = None, time_columns: list[str] | None = None, **kw
+) -> DataFrame:
+    df2, order = order_columns(df, frame_key, fallback=fallback, time_columns=time_columns)
     out = with_positions(df2, key, order, **kw)
     return out.drop("_shuffle") if "_shuffle" in out.columns else out
 

@@ -60,6 +60,6 @@ POS_COL = "pos"  # 0-based position inside an ID after the time sort
 N_COL = "n_in_id"  # frames in the ID
 
 
-def resolve_time_column(columns: list[str]) -> str | None:
+def resolve_time_column(columns: list[str], candidates: list[str] | tuple[str, ...] | None = None) -> str | None:
     """First time column that exists, exact case (driver-side, plan-building time)."""
-    return next((c for c in TIME_COLUMNS if c in columns), None)
+    return next((c for c in (candidates or TIME_COLUMNS) if c in columns), None)
