@@ -135,7 +135,7 @@ _SCORED_ALL = f"""SELECT frame_id, CASE WHEN {_prob_sql('j0', 'j1')} >= {ALERT_T
 )
 def q_stream_alert_counts(spark, sf_dir):
     """Hourly frame / alert counts with a 1-hour watermark (append mode: windows the
-    watermark has passed; frames later than the watermark are dropped)."""
+    watermark has passed; a frame behind the watermark counts only while its window is in state)."""
     std, gnb = _fitted(spark, sf_dir)
     scored = score_stream(_stream(spark, sf_dir), std, gnb, ALERT_THRESHOLD)
     return run_to_sink(alert_counts(scored), spark, "stream-alerts")

@@ -21,8 +21,10 @@ def score_stream(frames: DataFrame, scaler, model, threshold: float, features: l
 
 
 def alert_counts(scored: DataFrame, window: str = "1 hour", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Frames and alerts per tumbling window; a window is emitted (append mode) once the
-    watermark (max event time - ``delay``) passes its end; later frames are dropped."""
+    """Frames and alerts per tumbling window; a window is emitted (append mode) once, when
+    the watermark (max event time - ``delay``) passes its end. Frames within the delay are
+    always counted; a frame behind the watermark counts only while its window is still
+    held in state, and is dropped after that."""
     if scored.schema[ts].dataType.typeName() == "timestamp_ntz":
         # wall-clock time read as UTC, independent of the session time zone
         micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")

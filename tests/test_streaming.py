@@ -30,3 +30,30 @@ def test_windows_across_batches_and_late_frames(spark):
     assert win == [(s, s, int(s <= 3)) for s in range(9)]
     late = [(r.start_frame_id, r.y) for r in out.filter("late").collect()]
     assert late == [(100, 1)]
+
+
+def test_alert_counts_watermark_guarantees(spark):
+    """Frames within the delay are always counted and each window is emitted once, after
+    the watermark passes its end; a frame behind the watermark is counted only while its
+    window is still held in state (Spark's one-directional guarantee)."""
+    from canframes.streaming.scoring import alert_counts
+
+    src = work_path(spark, "wm-in")
+    hour = 3600
+
+    def write(rows):
+        df = spark.createDataFrame(rows, "t long, alert int").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(src)
+        return df.schema
+
+    schema = write([(0, 1), (600, 0), (hour + 10, 1), (3 * hour + 5, 0)])  # watermark -> 2h + 5s
+    write([(1200, 1), (4 * hour + 1, 1)])  # t = 20 min is behind the watermark
+    write([(6 * hour, 0)])  # moves the watermark past the 4h window
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sink, ck = work_path(spark, "wm-out"), work_path(spark, "wm-ck")
+    q = alert_counts(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.window_start_us // 3_600_000_000, r.n_frames, r.n_alerts) for r in spark.read.parquet(sink).collect())
+    assert [g[0] for g in got] == [0, 1, 3, 4]  # the 6h window is still open: not emitted
+    assert got[1:] == [(1, 1, 1), (3, 1, 0), (4, 1, 1)]
+    assert got[0] in ((0, 2, 1), (0, 3, 2))
