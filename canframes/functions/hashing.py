@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +32,17 @@ def salted_hash(key: str | Column, seed: int = SEED) -> Column:
 def shuffle_key(frame_key: str | Column, seed: int = SEED) -> Column:
     """Deterministic seeded shuffle order of frames; sort by it only where order matters."""
     return salted_hash(frame_key, seed)
+
+
+def row_hash_bytes(features: list[str] | None = None) -> Column:
+    """sha1 hex of the row's float32 payload bytes (native little-endian, contiguous): the
+    same digest as hashing the raw float32 vector. Arrow-batched pandas UDF; use when the
+    digests themselves must match, ``row_hash`` when only the groups must."""
+    features = features or FEATURES
+
+    @F.pandas_udf("string")
+    def _sha1_f32(payload: pd.DataFrame) -> pd.Series:
+        block = np.ascontiguousarray(payload.to_numpy(dtype="float32"), dtype="<f4")
+        return pd.Series([hashlib.sha1(row.tobytes()).hexdigest() for row in block])
+
+    return _sha1_f32(F.struct(*[F.col(c).cast("float").alias(c) for c in features]))

@@ -200,3 +200,19 @@ def test_read_and_clean_from_path(spark):
     write_ordered_csv(df, path, "o")
     out = read_and_clean(path, features=["DATA_0"]).orderBy("class_pos").collect()
     assert [r.ID for r in out][::50] == ["gid_0", "gid_1", "gid_2"] and out[1].label == 1 and out[1].DATA_0 == 1.0
+
+
+def test_byte_exact_row_hash(spark):
+    import hashlib
+
+    import numpy as np
+
+    from canframes.functions.hashing import row_hash, row_hash_bytes
+
+    rows = [(1, [1.0, 2.0, 3.0, 0.0, 255.0, 7.5, -0.0, 0.1]), (2, [1.0, 2.0, 3.0, 0.0, 255.0, 7.5, 0.0, 0.1])]
+    df = spark.createDataFrame([(i, *v) for i, v in rows], "frame_id long, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = {r.frame_id: (r.b, r.t) for r in df.select("frame_id", row_hash_bytes().alias("b"), row_hash().alias("t")).collect()}
+    for i, v in rows:
+        assert got[i][0] == hashlib.sha1(np.asarray(v, dtype="float32").tobytes()).hexdigest()
+    assert got[1][0] != got[2][0]  # the byte digest separates -0.0 from 0.0
+    assert got[1][1] != got[2][1]  # so does the text key ("-0.0" vs "0.0"), unlike plain grouping
