@@ -4,10 +4,11 @@ A window function partitioned by ID puts a whole ID into one task; one CAN ID ca
 a third of all frames. Instead:
 
 * ``with_positions`` numbers rows inside each key. When a key is larger than one task
-  should sort, it uses a two-level scheme: each key is cut into quantile buckets of its
-  order column (a hot key spreads over many buckets and tasks), ``row_number`` runs per
-  (key, bucket), and a small per-(key, bucket) table of counts gives the offsets (a
-  prefix sum over at most keys x buckets rows).
+  should sort, it uses a two-level scheme: every such heavy key is cut into quantile
+  buckets of its order column (a hot key spreads over many buckets and tasks; the other
+  keys stay in one bucket), ``row_number`` runs per (key, bucket), and a small
+  per-(key, bucket) table of counts gives the offsets (a prefix sum over at most
+  keys x buckets rows).
 * ``blocked`` cuts each key into blocks of ``block_rows`` positions and copies the few
   boundary rows a window frame needs (look-back / look-ahead) into the neighbour block,
   so window functions can be partitioned by (key, block) with bounded task size.
