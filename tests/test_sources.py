@@ -99,3 +99,10 @@ def test_artifact_export_and_scoring(spark):
     assert thr.features == FEATURES and set(thr.models.asDict()) == {"logreg", "gnb", "extratrees"}
     scored = score_with_artifacts(spark, SMALL, out)
     assert {r.model for r in scored.select("model").distinct().collect()} == {"logreg", "gnb", "extratrees"}
+
+
+def test_numeric_truth_with_missing_values_raises(spark):
+    s = scores(spark, SMALL).filter("model = 'a'")
+    p = _write_pred(spark, s.select("frame_id", F.when(F.col("frame_id") % 7 == 0, None).otherwise(F.col("label")).alias("target"), F.col("score").alias("prob")), "pm")
+    with pytest.raises(ValueError, match="missing values"):
+        compare_files(spark, ("a", p), ("b", p))
