@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.clean import drop_incomplete, read_and_clean
+from canframes.operators.positions import join_small
+from canframes.session import cut_lineage
 from canframes.schema import (
     ATTACK_FILES,
     BENIGN_FILE,
@@ -55,8 +57,10 @@ def with_file_positions(df: DataFrame, group_col: str | None = None) -> DataFram
         F.coalesce(F.sum("_c").over(in_src), F.lit(0)).alias("_os"),
         F.coalesce(F.sum("_c").over(in_cls), F.lit(0)).alias("_oc"),
     )
-    # one row per input split: small; AQE broadcasts it
-    j = df.join(splits, grp + keys)
+    # one row per input split (~400k at 100 TB with 256 MB splits): written once, then
+    # broadcast behind the size check so the data itself is never shuffled for the join
+    splits = cut_lineage(splits)
+    j = join_small(df, splits, grp + keys, "inner", splits.count(), 128)
     local = F.col("_mid") - F.col("_m0")
     return j.withColumn(FRAME_SEQ_COL, F.col("_os") + local).withColumn(CLASS_POS_COL, F.col("_oc") + local).drop(
         *_META, "_m0", "_os", "_oc"
