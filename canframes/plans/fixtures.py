@@ -43,8 +43,9 @@ def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_incomplete(read_and_clean(frames(spark, sf_dir)))
 
 
-def frames_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty text copy of ``frames`` (bad numbers, nulls, odd labels, descriptor columns)."""
+def frames_raw(spark: SparkSession, sf_dir: str, with_source: bool = False) -> DataFrame:
+    """Dirty text copy of ``frames`` (bad numbers, nulls, odd labels, descriptor columns);
+    with ``with_source`` also the source file each row goes to (same projection, no join)."""
     f = frames(spark, sf_dir)
     fid = F.col("frame_id")
     data0 = (
@@ -68,6 +69,7 @@ def frames_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         label.alias("label"),
         F.lit("x").alias("category"),
         F.lit("y").alias("specific_class"),
+        *([source_of().alias("source")] if with_source else []),
     )
 
 
@@ -177,8 +179,7 @@ def oracle(select: str, views: tuple[str, ...] | list[str] = (), ctes: tuple | l
 
 def frames_raw_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frames_raw`` plus the source file each row is written to (CSV round trip)."""
-    src = frames(spark, sf_dir).select("frame_id", source_of().alias("source"))
-    return frames_raw(spark, sf_dir).join(src, "frame_id")
+    return frames_raw(spark, sf_dir, with_source=True)
 
 
 SRC_SQL = f"SELECT frame_id, {SOURCE_SQL} AS source FROM frames"
