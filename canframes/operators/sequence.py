@@ -65,7 +65,7 @@ def add_sequence_context(
     """First difference, rolling mean and rolling sample std over 5 frames per ID.
 
     A rolling value needs 5 non-null values in its frame, else null; nulls then become 0
-    (every column, as the reference fills the whole table)."""
+    (every column of the table is filled)."""
     base = base or FEATURES
     b = blocked(df_pos, lookback=ROLL - 1, block_rows=block_rows)
     w = block_window(key)
