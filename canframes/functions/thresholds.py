@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from canframes.schema import DEFAULT_THRESHOLD, MARGIN_THRESHOLD
+
 
 def predict(score: str | Column, thr: str | Column | float) -> Column:
     """Prediction is score >= threshold, as 0/1 int."""
@@ -15,4 +17,4 @@ def predict(score: str | Column, thr: str | Column | float) -> Column:
 
 def default_threshold(min_score: Column, max_score: Column) -> Column:
     """0.0 when scores leave [0, 1] (margins), else 0.5."""
-    return F.when((min_score < 0) | (max_score > 1), F.lit(0.0)).otherwise(F.lit(0.5))
+    return F.when((min_score < 0) | (max_score > 1), F.lit(MARGIN_THRESHOLD)).otherwise(F.lit(DEFAULT_THRESHOLD))

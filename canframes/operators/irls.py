@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canframes.operators.split import class_weights, with_class_weight
-from canframes.schema import FEATURES
+from canframes.schema import FEATURES, LOGREG_C
 
 
 def _margin(beta: np.ndarray, features: list[str]) -> Column:
@@ -30,7 +30,7 @@ def _sigmoid(m: Column) -> Column:
     return F.when(m >= 0, F.lit(1.0) / (F.lit(1.0) + e)).otherwise(e / (F.lit(1.0) + e))
 
 
-def fit_irls(train: DataFrame, C: float = 1.0, features: list[str] | None = None, max_iter: int = 25, tol: float = 1e-10) -> np.ndarray:
+def fit_irls(train: DataFrame, C: float = LOGREG_C, features: list[str] | None = None, max_iter: int = 25, tol: float = 1e-10) -> np.ndarray:
     """[w_1..w_d, b] for balanced class weights computed on ``train``."""
     features = features or FEATURES
     weighted = with_class_weight(train, class_weights(train))

@@ -27,7 +27,24 @@ from pyspark.sql import functions as F
 
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.split import class_weights, with_class_weight
-from canframes.schema import FEATURES, SEED
+from canframes.schema import (
+    EXPORT_FOREST_MIN_LEAF,
+    EXPORT_FOREST_TREES,
+    FEATURES,
+    FOREST_MAX_DEPTH,
+    FOREST_MIN_LEAF,
+    FOREST_TREES,
+    LINEAR_SVC_MAX_ITER,
+    LOGREG_C,
+    LOGREG_L1_MAX_ITER,
+    MLP_HIDDEN,
+    SEED,
+    SGD_ALPHA,
+    SGD_MAX_ITER,
+    SGD_TOL,
+    TREE_MAX_DEPTH,
+    TREE_MIN_LEAF,
+)
 
 VEC = "features"
 
@@ -84,34 +101,34 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     if name in ("logreg", "logreg_l1", "svc", "sgd_hinge", "ridge", "tree", "forest", "forest_export"):
         tr, W = weighted(tr)
     if name == "logreg":
-        m = LogisticRegression(featuresCol=VEC, weightCol="weight", regParam=1.0 / W, standardization=False, maxIter=100, tol=1e-8).fit(tr)
+        m = LogisticRegression(featuresCol=VEC, weightCol="weight", regParam=1.0 / (LOGREG_C * W), standardization=False, maxIter=100, tol=1e-8).fit(tr)
         kind = "probability"
     elif name == "logreg_l1":
-        m = LogisticRegression(featuresCol=VEC, weightCol="weight", regParam=1.0 / W, elasticNetParam=1.0, standardization=False, maxIter=2000).fit(tr)
+        m = LogisticRegression(featuresCol=VEC, weightCol="weight", regParam=1.0 / (LOGREG_C * W), elasticNetParam=1.0, standardization=False, maxIter=LOGREG_L1_MAX_ITER).fit(tr)
         kind = "probability"
     elif name == "svc":
-        m = LinearSVC(featuresCol=VEC, weightCol="weight", regParam=1.0 / W, standardization=False, maxIter=5000).fit(tr)
+        m = LinearSVC(featuresCol=VEC, weightCol="weight", regParam=1.0 / W, standardization=False, maxIter=LINEAR_SVC_MAX_ITER).fit(tr)
         kind = "raw"
     elif name == "sgd_hinge":
-        m = LinearSVC(featuresCol=VEC, weightCol="weight", regParam=1e-4, standardization=False, maxIter=2000, tol=1e-3).fit(tr)
+        m = LinearSVC(featuresCol=VEC, weightCol="weight", regParam=SGD_ALPHA, standardization=False, maxIter=SGD_MAX_ITER, tol=SGD_TOL).fit(tr)
         kind = "raw"
     elif name == "ridge":
         tr = tr.withColumn("_y", F.col("label") * 2.0 - 1.0)
         m = LinearRegression(featuresCol=VEC, labelCol="_y", weightCol="weight", regParam=1.0 / W, solver="normal", standardization=False).fit(tr)
         kind = "prediction"
     elif name == "tree":
-        m = DecisionTreeClassifier(featuresCol=VEC, weightCol="weight", maxDepth=5, minInstancesPerNode=20, maxBins=256, seed=seed).fit(tr)
+        m = DecisionTreeClassifier(featuresCol=VEC, weightCol="weight", maxDepth=TREE_MAX_DEPTH, minInstancesPerNode=TREE_MIN_LEAF, maxBins=256, seed=seed).fit(tr)
         kind = "probability"
     elif name in ("forest", "forest_export"):
-        n_trees, leaf = (64, 10) if name == "forest" else (100, 2)
+        n_trees, leaf = (FOREST_TREES, FOREST_MIN_LEAF) if name == "forest" else (EXPORT_FOREST_TREES, EXPORT_FOREST_MIN_LEAF)
         m = RandomForestClassifier(
-            featuresCol=VEC, weightCol="weight", numTrees=n_trees, maxDepth=8, minInstancesPerNode=leaf,
+            featuresCol=VEC, weightCol="weight", numTrees=n_trees, maxDepth=FOREST_MAX_DEPTH, minInstancesPerNode=leaf,
             featureSubsetStrategy="sqrt", bootstrap=False, maxBins=256, seed=seed,
         ).fit(tr)
         kind = "probability"
     elif name == "mlp":
         bal = balanced_resample(tr, seed)
-        m = MultilayerPerceptronClassifier(featuresCol=VEC, layers=[len(features), 128, 64, 2], maxIter=50, blockSize=256, seed=seed).fit(bal)
+        m = MultilayerPerceptronClassifier(featuresCol=VEC, layers=[len(features), *MLP_HIDDEN, 2], maxIter=50, blockSize=256, seed=seed).fit(bal)
         kind = "probability"
     else:
         raise KeyError(name)

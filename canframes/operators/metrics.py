@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from canframes.functions.thresholds import default_threshold
 from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, join_small, with_count_below
+from canframes.schema import F1_EPS_EVAL, F1_EPS_TUNE
 from canframes.session import cut_lineage
 
-F1_EPS_TUNE = 1e-9  # best_threshold_by_f1
-F1_EPS_EVAL = 1e-12  # eval_with_thresholds
 
 
 def _div(a: Column, b: Column) -> Column:

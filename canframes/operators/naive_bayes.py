@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canframes.schema import FEATURES
+from canframes.schema import FEATURES, NB_ALPHA, NB_VAR_SMOOTHING
 
-VAR_SMOOTHING = 1e-9
-ALPHA = 1.0
+VAR_SMOOTHING = NB_VAR_SMOOTHING
+ALPHA = NB_ALPHA
 
 
 def prob_from_jll(jll0: Column, jll1: Column) -> Column:

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.split import class_weights, with_class_weight
-from canframes.schema import FEATURES, SEED
+from canframes.schema import FEATURES, PA_C, PERCEPTRON_ALPHA, SEED
 from canframes.session import cut_lineage
 
-ALPHA = 1e-4  # L2 strength of the perceptron
-PA_C = 1.0
+ALPHA = PERCEPTRON_ALPHA  # L2 strength of the perceptron
 
 
 def _pass_fn(w0: np.ndarray, features: list[str], kind: str):

@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canframes.functions.hashing import shuffle_key
-from canframes.schema import FEATURES
+from canframes.schema import FEATURES, INT8_MAX, INT8_MIN, REPRESENTATIVE_ROWS
 
-REPRESENTATIVE_ROWS = 1000
-QMIN, QMAX = -128, 127
+QMIN, QMAX = INT8_MIN, INT8_MAX
 
 
 def _long(row_df: DataFrame, features: list[str], cols: list[str]) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from canframes.functions.clean import fill_zero
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.positions import DEFAULT_BLOCK_ROWS, block_window, blocked, owned, with_positions
-from canframes.schema import FEATURES, N_COL, POS_COL, resolve_time_column
+from canframes.schema import FEATURES, N_COL, POS_COL, ROLL_WINDOW, resolve_time_column
 
-ROLL = 5
+ROLL = ROLL_WINDOW
 
 
 def order_columns(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.hashing import row_hash, salted_hash
-from canframes.schema import GROUP_KEY_COL, SEED, SPLIT_COL
+from canframes.schema import GROUP_KEY_COL, SEED, SPLIT_COL, TEST_SIZE
 from canframes.session import cut_lineage
 
 _H = "_split_hash"
@@ -68,7 +68,7 @@ class SplitRule:
     cut_val: str | None = None
 
     @classmethod
-    def fit(cls, groups_from: DataFrame, group_col: str = GROUP_KEY_COL, test_size: float = 0.2, val_size: float | None = None, seed: int = SEED) -> "SplitRule":
+    def fit(cls, groups_from: DataFrame, group_col: str = GROUP_KEY_COL, test_size: float = TEST_SIZE, val_size: float | None = None, seed: int = SEED) -> "SplitRule":
         # the distinct group hashes are written once to the shared checkpoint folder;
         # their prefix histogram gives G and locates each cut; one small job per cut
         hashes = cut_lineage(groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct())
@@ -91,7 +91,7 @@ class SplitRule:
 def split_column(
     groups_from: DataFrame,
     group_col: str = GROUP_KEY_COL,
-    test_size: float = 0.2,
+    test_size: float = TEST_SIZE,
     val_size: float | None = None,
     seed: int = SEED,
 ) -> Column:
@@ -103,7 +103,7 @@ def split_column(
 def group_split(
     df: DataFrame,
     group_col: str = GROUP_KEY_COL,
-    test_size: float = 0.2,
+    test_size: float = TEST_SIZE,
     val_size: float | None = None,
     seed: int = SEED,
     out: str = SPLIT_COL,
@@ -112,7 +112,7 @@ def group_split(
     return df.withColumn(out, split_column(df, group_col, test_size, val_size, seed))
 
 
-def hash_row_split(df: DataFrame, key_col: str, test_size: float = 0.2, seed: int = SEED, out: str = SPLIT_COL) -> DataFrame:
+def hash_row_split(df: DataFrame, key_col: str, test_size: float = TEST_SIZE, seed: int = SEED, out: str = SPLIT_COL) -> DataFrame:
     """Naive row-level split (ignores groups): test when the seeded hash of the row key
     falls in the first ``test_size`` of the 32-bit hash space. Used to show leakage."""
     cut = format(int(test_size * 16**8), "08x")
