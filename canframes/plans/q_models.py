@@ -13,7 +13,7 @@ from canframes.plans.catalog import register
 from canframes.plans.fixtures import oracle
 from canframes.plans.q_scale import EDGES_CTE, SCALE_CTES, bins_cte, standardized
 from canframes.plans.q_split import prepared
-from canframes.schema import FEATURES
+from canframes.schema import BERNOULLI_NB_BINS, COMPLEMENT_NB_BINS, FEATURES
 
 
 def _prob_sql(j0: str, j1: str) -> str:
@@ -98,7 +98,7 @@ def q_gnb_scores(spark, sf_dir):
 BIN16 = [f"{c}_bin" for c in FEATURES]
 _CNB_CTES = [
     EDGES_CTE,
-    ("b", bins_cte(16)),
+    ("b", bins_cte(COMPLEMENT_NB_BINS)),
     ("fc", "SELECT label, " + ", ".join(f"CAST(sum({b}) AS DOUBLE) AS f_{b}" for b in BIN16) + " FROM b WHERE split = 'train' GROUP BY label"),
     ("fa", "SELECT " + ", ".join(f"sum(f_{b}) AS a_{b}" for b in BIN16) + " FROM fc"),
     ("cc", "SELECT label, " + ", ".join(f"a_{b} - f_{b} + 1.0 AS c_{b}" for b in BIN16) + " FROM fc, fa"),
@@ -115,7 +115,7 @@ def _binned_split(spark, sf_dir, n):
 
 @register("cnb_scores", oracle(_scores_from_jll("jl"), ["prepared"], _CNB_CTES))
 def q_cnb_scores(spark, sf_dir):
-    df = _binned_split(spark, sf_dir, 16)
+    df = _binned_split(spark, sf_dir, COMPLEMENT_NB_BINS)
     m = NB.ComplementNB.fit(df.filter(F.col("split") == "train"), BIN16)
     return M.round_doubles(m.transform(df.filter(F.col("split") == "test")).select("frame_id", "label", "score"), 9)
 
@@ -124,7 +124,7 @@ def q_cnb_scores(spark, sf_dir):
 
 _BNB_CTES = [
     EDGES_CTE,
-    ("b", bins_cte(2)),
+    ("b", bins_cte(BERNOULLI_NB_BINS)),
     ("bc", "SELECT label, count(*) AS n, " + ", ".join(f"sum(CASE WHEN {x} > 0 THEN 1 ELSE 0 END) AS f_{x}" for x in BIN16) + " FROM b WHERE split = 'train' GROUP BY label"),
     ("bp", "SELECT label, ln(CAST(n AS DOUBLE) / t.tot) AS lp, " + ", ".join(f"ln(f_{x} + 1.0) - ln(n + 2.0) AS l_{x}" for x in BIN16) + " FROM bc, (SELECT sum(n) AS tot FROM bc) t"),
     ("bq", "SELECT *, " + ", ".join(f"ln(1 - exp(l_{x})) AS g_{x}" for x in BIN16) + " FROM bp"),
@@ -141,7 +141,7 @@ _BNB_CTES = [
 
 @register("bnb_scores", oracle(_scores_from_jll("jl"), ["prepared"], _BNB_CTES))
 def q_bnb_scores(spark, sf_dir):
-    df = _binned_split(spark, sf_dir, 2)
+    df = _binned_split(spark, sf_dir, BERNOULLI_NB_BINS)
     m = NB.BernoulliNB.fit(df.filter(F.col("split") == "train"), BIN16)
     return M.round_doubles(m.transform(df.filter(F.col("split") == "test")).select("frame_id", "label", "score"), 9)
 

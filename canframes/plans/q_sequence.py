@@ -10,7 +10,16 @@ from canframes.operators.metrics import round_doubles
 from canframes.operators.split import split_column
 from canframes.plans.catalog import register
 from canframes.plans.fixtures import CLEAN_SQL, LINE_FRAMES_SQL, clean_view, oracle
-from canframes.schema import FEATURES
+from canframes.schema import (
+    BASIC_RULE,
+    BASIC_STEP,
+    BASIC_TIMESTEPS,
+    FEATURES,
+    IMPROVED_POS_RATIO,
+    IMPROVED_RULE,
+    IMPROVED_STEP,
+    IMPROVED_TIMESTEPS,
+)
 
 POS_SQL = """SELECT *, row_number() OVER (PARTITION BY ID ORDER BY ts, frame_id) - 1 AS pos,
   count(*) OVER (PARTITION BY ID) AS n_in_id FROM clean"""
@@ -78,9 +87,9 @@ def _register_windows(name: str, T: int, step: int, rule: str, ratio: float = 0.
     return q
 
 
-q_windows_any = _register_windows("windows_any", 10, 1, "any")
-q_windows_last = _register_windows("windows_last", 20, 1, "last")
-q_windows_ratio = _register_windows("windows_ratio", 20, 1, "ratio", 0.3)
+q_windows_any = _register_windows("windows_any", BASIC_TIMESTEPS, BASIC_STEP, BASIC_RULE)
+q_windows_last = _register_windows("windows_last", IMPROVED_TIMESTEPS, IMPROVED_STEP, "last")
+q_windows_ratio = _register_windows("windows_ratio", IMPROVED_TIMESTEPS, IMPROVED_STEP, IMPROVED_RULE, IMPROVED_POS_RATIO)
 q_windows_step3 = _register_windows("windows_step3", 10, 3, "any")
 
 
