@@ -21,8 +21,10 @@ from canframes.operators import metrics as M
 from canframes.operators.learners import assemble, coefficient_table, fit_and_score, importance_table, score_column
 from canframes.operators.naive_bayes import GaussianNB, gnb_params
 from canframes.operators.scale import Standardizer, scaler_params
+from canframes.operators import split as S
+from canframes.plans.fixtures import clean_view
 from canframes.plans.q_split import prepared
-from canframes.schema import FEATURES, SEED
+from canframes.schema import FEATURES, SEED, TEST_SIZE
 from canframes.session import cut_lineage
 from canframes.sources import sinks
 
@@ -31,7 +33,14 @@ LABELS = dict(MODELS)
 
 
 def export_artifacts(spark: SparkSession, sf_dir: str, out_dir: str, tune_on: str = "val", seed: int = SEED) -> DataFrame:
-    df = prepared(spark, sf_dir, val_size=0.2 if tune_on == "val" else None)
+    """Export over the fixture frames of ``sf_dir``."""
+    return export_artifacts_frames(clean_view(spark, sf_dir), out_dir, tune_on, seed)
+
+
+def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val", seed: int = SEED) -> DataFrame:
+    """Export over any cleaned frame table (payload, label, frame_id, ID)."""
+    spark = frames.sparkSession
+    df = S.group_split(S.with_group_key(frames), val_size=TEST_SIZE if tune_on == "val" else None)
     train = df.filter(F.col("split") == "train")
     std = Standardizer.fit(train)
     z = cut_lineage(std.transform(df))  # read by three fits and three scorings
@@ -88,12 +97,19 @@ def load_gnb(spark: SparkSession, path: str) -> GaussianNB:
 
 
 def score_with_artifacts(spark: SparkSession, sf_dir: str, art_dir: str, split: str = "test") -> DataFrame:
-    """Long table (model, frame_id, label, score, thr, pred) from the stored artifacts."""
+    """Long table (model, frame_id, label, score, thr, pred) from the stored artifacts,
+    for the given split of the fixture frames."""
+    frames = prepared(spark, sf_dir).filter(F.col("split") == split)
+    return score_frames_with_artifacts(frames, art_dir)
+
+
+def score_frames_with_artifacts(frames: DataFrame, art_dir: str) -> DataFrame:
+    """Score any cleaned frame table with the stored artifacts at the stored thresholds."""
+    spark = frames.sparkSession
     prm = spark.read.parquet(f"{art_dir}/scaler").collect()  # one row per feature
     std = Standardizer({r.feature: r.mean for r in prm}, {r.feature: r.scale for r in prm})
     thr = spark.read.schema(sinks.THRESHOLDS_SCHEMA).json(f"{art_dir}/thresholds.json").first().models
-    frames = prepared(spark, sf_dir)
-    z = std.transform(frames.filter(F.col("split") == split))
+    z = std.transform(frames)
     lr = LogisticRegressionModel.load(f"{art_dir}/logreg_model")
     rf = RandomForestClassificationModel.load(f"{art_dir}/extratrees_model")
     gnb = load_gnb(spark, f"{art_dir}/gnb_params")

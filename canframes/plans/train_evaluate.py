@@ -19,7 +19,7 @@ from canframes.operators.learners import fit_and_score
 from canframes.operators.naive_bayes import BernoulliNB, ComplementNB, GaussianNB, Majority
 from canframes.operators.online import decision_function, fit_online
 from canframes.operators.scale import Standardizer, UniformBinner
-from canframes.plans.q_split import prepared
+from canframes.plans.fixtures import clean_view
 from canframes.schema import FEATURES
 from canframes.session import cut_lineage
 
@@ -37,9 +37,14 @@ BIN_COLS = [f"{c}_bin" for c in FEATURES]
 
 
 def train_evaluate(spark: SparkSession, sf_dir: str, learners: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(metrics table with one row per model, leakage audit row)."""
+    """(metrics table with one row per model, leakage audit row) on the fixture frames."""
+    return train_evaluate_frames(clean_view(spark, sf_dir), learners)
+
+
+def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same on any cleaned frame table (payload columns, label, frame_id, ID)."""
     learners = LEARNERS if learners is None else learners
-    df = cut_lineage(prepared(spark, sf_dir))
+    df = cut_lineage(S.group_split(S.with_group_key(frames)))
     train_raw = df.filter(F.col("split") == "train")
     std = Standardizer.fit(train_raw)
     z = cut_lineage(std.transform(df))

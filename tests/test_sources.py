@@ -106,3 +106,16 @@ def test_numeric_truth_with_missing_values_raises(spark):
     p = _write_pred(spark, s.select("frame_id", F.when(F.col("frame_id") % 7 == 0, None).otherwise(F.col("label")).alias("target"), F.col("score").alias("prob")), "pm")
     with pytest.raises(ValueError, match="missing values"):
         compare_files(spark, ("a", p), ("b", p))
+
+
+def test_command_line_train_evaluate_on_csv_files(spark):
+    from canframes.__main__ import main
+
+    data = work_path(spark, "cli-in")
+    write_source_files(frames_raw_with_source(spark, SMALL), data, drop=["frame_id"])
+    out = work_path(spark, "cli-out")
+    main(["train-evaluate", data, out, "--partitioned"])
+    metrics = spark.read.option("header", True).csv(f"{out}/metrics.csv")
+    assert metrics.count() == 15
+    audit = spark.read.option("header", True).csv(f"{out}/leakage_audit.csv").first()
+    assert audit.n_overlap == "0" and audit.n_dup == "0"
