@@ -119,3 +119,18 @@ def test_command_line_train_evaluate_on_csv_files(spark):
     assert metrics.count() == 15
     audit = spark.read.option("header", True).csv(f"{out}/leakage_audit.csv").first()
     assert audit.n_overlap == "0" and audit.n_dup == "0"
+
+
+def test_command_line_compare(spark):
+    from canframes.__main__ import main
+    from canframes.operators import metrics as M
+
+    s = scores(spark, SMALL)
+    a = _write_pred(spark, s.filter("model = 'a'").select("frame_id", F.when(F.col("label") == 1, "ATTACK").otherwise("BENIGN").alias("Label"), F.col("score").alias("Prob")), "cli-a")
+    b = _write_pred(spark, s.filter("model = 'b'").select("frame_id", F.col("label").alias("y_true"), F.col("score").alias("confidence")), "cli-b")
+    out = work_path(spark, "cli-cmp")
+    main(["compare", a, b, out])
+    got = {r.model: float(r.auc) for r in spark.read.option("header", True).csv(f"{out}/roc_auc.csv").collect()}
+    exp = {r.model: r.auc for r in M.auc_and_totals(M.curve(s)).collect()}
+    assert abs(got["first"] - exp["a"]) < 1e-12 and abs(got["second"] - exp["b"]) < 1e-12
+    assert spark.read.option("header", True).csv(f"{out}/roc_curve.csv").count() > 0
