@@ -134,3 +134,15 @@ def test_command_line_compare(spark):
     exp = {r.model: r.auc for r in M.auc_and_totals(M.curve(s)).collect()}
     assert abs(got["first"] - exp["a"]) < 1e-12 and abs(got["second"] - exp["b"]) < 1e-12
     assert spark.read.option("header", True).csv(f"{out}/roc_curve.csv").count() > 0
+
+
+def test_command_line_export_on_csv_files(spark):
+    from canframes.__main__ import main
+
+    data = work_path(spark, "cli-ex-in")
+    write_source_files(frames_raw_with_source(spark, SMALL), data, drop=["frame_id"])
+    out = work_path(spark, "cli-ex-out")
+    main(["export", data, out, "--partitioned", "--tune-on", "test"])
+    assert spark.read.option("header", True).csv(f"{out}/metrics.csv").count() == 3
+    meta = spark.read.json(f"{out}/meta.json").first()
+    assert meta.features == FEATURES and set(meta.splits.asDict()) == {"train", "test"}
