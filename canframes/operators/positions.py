@@ -138,14 +138,20 @@ def blocked(df: DataFrame, pos: str = POS_COL, block_rows: int = DEFAULT_BLOCK_R
     b = F.floor(F.col(pos) / block_rows).cast("long")
     off = F.col(pos) % block_rows
     own = F.struct(b.alias(_BLK), F.lit(True).alias(_OWN))
-    copies = [own]
-    if lookahead > 0:
-        copies.append(F.when((off < lookahead) & (b > 0), F.struct((b - 1).alias(_BLK), F.lit(False).alias(_OWN))))
-    if lookback > 0:
-        copies.append(F.when(off >= block_rows - lookback, F.struct((b + 1).alias(_BLK), F.lit(False).alias(_OWN))))
-    if len(copies) == 1:
+    ahead = F.struct((b - 1).alias(_BLK), F.lit(False).alias(_OWN))
+    back = F.struct((b + 1).alias(_BLK), F.lit(False).alias(_OWN))
+    need_ahead = (off < lookahead) & (b > 0) if lookahead > 0 else F.lit(False)
+    need_back = off >= block_rows - lookback if lookback > 0 else F.lit(False)
+    if lookahead <= 0 and lookback <= 0:
         return df.withColumn(_BLK, b).withColumn(_OWN, F.lit(True))
-    exploded = df.withColumn("_cp", F.explode(F.array(*copies))).filter(F.col("_cp").isNotNull())
+    # most rows get a one-element array: the generator emits only the rows that exist
+    copies = (
+        F.when(need_ahead & need_back, F.array(own, ahead, back))
+        .when(need_ahead, F.array(own, ahead))
+        .when(need_back, F.array(own, back))
+        .otherwise(F.array(own))
+    )
+    exploded = df.withColumn("_cp", F.explode(copies))
     return exploded.select("*", F.col("_cp." + _BLK).alias(_BLK), F.col("_cp." + _OWN).alias(_OWN)).drop("_cp")
 
 
