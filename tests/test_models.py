@@ -106,3 +106,14 @@ def test_train_evaluate_closed_form_models(spark):
     assert models["Dummy(most_frequent)"].auc == 0.5 and models["GaussianNB"].auc > 0.8
     a = audit.first()
     assert a.n_overlap == 0 and a.n_dup == 0 and a.n_test > 0
+
+
+def test_margin_and_sequence_models_beat_chance(spark):
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    floors = {"svc_metrics": 0.6, "sgd_hinge_metrics": 0.6, "seq_mlp_metrics": 0.52, "seq_id_mlp_metrics": 0.52}
+    for name, floor in floors.items():
+        r = qs[name](spark, SMALL).first()
+        assert r.auc > floor, (name, r.auc)
+        assert r.thr_default == (0.0 if name in ("svc_metrics", "sgd_hinge_metrics") else 0.5)
