@@ -33,8 +33,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir``).
 
-    Read from the session; only when nothing is set (local tests) a fresh folder is
-    created and registered, so ``DataFrame.checkpoint()`` works everywhere.
+    Read from the session. Only a ``local`` master with nothing set (tests, bench) gets a
+    fresh folder; on any other master a missing setting is an error, because a
+    machine-local folder would be unreadable for the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,6 +43,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="canframes-ckpt-", dir=os.environ.get("CANFRAMES_TMP", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -59,6 +62,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: a lineage cut that
+    keeps column pruning, filter pushdown and size statistics for what follows."""
+    path = work_path(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20, max_partitions: int = 200_000) -> dict[str, str]:
     """Settings sized to the input: enough shuffle partitions that each holds about
     ``target_partition_bytes`` before AQE coalesces them, input splits of the same size,
