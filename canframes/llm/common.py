@@ -45,6 +45,24 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class Shared:
+    """A driver-side object of bounded size for the tasks, broadcast once; pickled by value
+    so that executors need no install of this subpackage."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+
 def text_key(text: Column) -> Column:
     """128-bit digest of a text: equal texts share it, so work that depends on the text alone
     is done once per distinct text."""

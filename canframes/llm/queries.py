@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canframes.llm import simhash
+from canframes.llm import language, quality, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,20 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+@_query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.apply_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 @_query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    teach = docs.filter(~language.held_out() & F.col("doc_id").isNotNull())
+    found = language.identify(docs, language.fit_language(teach))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
