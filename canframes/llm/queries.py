@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import language, quality, simhash
+from canframes.llm import language, quality, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     teach = docs.filter(~language.held_out() & F.col("doc_id").isNotNull())
     found = language.identify(docs, language.fit_language(teach))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op8_secret_scans")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
