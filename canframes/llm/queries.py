@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import language, quality, secrets, simhash
+from canframes.llm import language, pii, quality, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+@_query("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 @_query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
