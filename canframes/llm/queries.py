@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import language, pii, quality, secrets, simhash
+from canframes.llm import decontaminate, language, pii, quality, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_secret_scans")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@_query("op9_benchmark_decontamination", decontaminate.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
