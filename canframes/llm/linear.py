@@ -113,19 +113,18 @@ def bounded_sample(docs: DataFrame, ids: DataFrame, per_class: int, blocks_of, d
         for r in rows:
             slots, values = sparse(blocks_of(r["text"]), dims)
             if slots:
-                yield {"doc_id": r["doc_id"], "label": r["label"], "fold": r["fold"], "slots": slots, "vals": values}
+                yield {"doc_id": r["doc_id"], "label": r["label"], "fold": r["fold"], "mark": zlib.crc32(r["text"].encode("utf-8")), "slots": slots, "vals": values}
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    got = map_batches(src, "doc_id long, label string, fold int, slots array<int>, vals array<float>", run, ["doc_id", "label", "fold", "text"], 32).collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.slots, r.vals))
-    got = [r for i, r in enumerate(got) if not i or r.doc_id != got[i - 1].doc_id]  # a repeated id trains once
-    if not got:
+    got = map_batches(src, "doc_id long, label string, fold int, mark long, slots array<int>, vals array<float>", run, ["doc_id", "label", "fold", "text"], 32).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("mark", "ascending")]).combine_chunks()
+    ids_, sizes = got["doc_id"].to_numpy(), got["slots"].combine_chunks().value_lengths().to_numpy()
+    if not len(ids_):
         return empty
-    sizes = [len(r.slots) for r in got]
-    return Sample(
-        [r.label for r in got], np.array([r.fold for r in got]), np.repeat(np.arange(len(got)), sizes),
-        np.concatenate([np.array(r.slots, dtype=np.int64) for r in got]), np.concatenate([np.array(r.vals, dtype=np.float64) for r in got]), dims,
-    )
+    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
+    s = Sample(got["label"].to_pylist(), got["fold"].to_numpy(), np.repeat(np.arange(len(ids_)), sizes), flat("slots"), flat("vals"), dims)
+    once = np.concatenate([[True], ids_[1:] != ids_[:-1]])  # a repeated id trains once
+    return s if once.all() else s.part(once)
 
 
 def _descend(s: Sample, slope, l2: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
