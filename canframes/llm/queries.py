@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import decontaminate, language, linedup, pii, quality, secrets, simhash
+from canframes.llm import decontaminate, language, licenses, linedup, pii, quality, quotes, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+@_query("op2_chat_formatting", quotes.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@_query("op3_license_scans", licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 @_query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
