@@ -16,14 +16,12 @@ gaps between anchors are aligned the same way, and where no line is unique equal
 occurrence numbers stand in. Aligned blocks of at least ``min_block_words`` words go from
 the later document, and the rest is aligned again for moved blocks."""
 
-from __future__ import annotations
-
 import bisect
-import hashlib
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canframes.llm.common import map_batches
@@ -184,17 +182,18 @@ def deletions(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     return land(found.groupBy(*_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")), "line-deletions")
 
 
-@F.pandas_udf("string")
-def _without(texts, lines):
-    import pandas as pd
-
-    def cut(text, gone):
-        if text is None or gone is None or not len(gone):
-            return text
+def _without(text: Column, lines: Column) -> Column:
+    def cut(t: str | None, gone) -> str | None:
+        if t is None or gone is None or not len(gone):
+            return t
         gone = set(gone)
-        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, g) for t, g in zip(texts, numbers, strict=True)], dtype=object)
 
-    return pd.Series([cut(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
+    return left(text, lines)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:

@@ -7,11 +7,10 @@ Bounds: the model is fitted on at most ``per_class`` labelled documents of each
 the fit and calibrates the probability (Platt), weighted back to the class shares of the
 labels. Counts and scores cover whole texts."""
 
-from __future__ import annotations
-
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +127,7 @@ def keep_good(docs: DataFrame, model: QualityModel, min_probability: float = MIN
     shared = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-
+    def kept(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             c = base_counts(t)
