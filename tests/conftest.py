@@ -39,7 +39,7 @@ def duck():
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for t in ["events", "lineitem", "embeddings"]:
+    for t in sorted(f.removesuffix(".parquet") for f in os.listdir(SMOKE) if f.endswith(".parquet")):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     return con
 
