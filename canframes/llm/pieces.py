@@ -56,6 +56,21 @@ class PieceTable:
     def unknown_score(self) -> float:
         return min((s for _, _, s in self.pieces), default=0.0) - 10.0
 
+    def useful(self) -> list[tuple[str, int, float]]:
+        """The pieces that can stand on a best path: not those whose own characters have a
+        better path of other pieces (any path through such a piece could be improved)."""
+        score, longest = {p: s for p, _, s in self.pieces}, self.longest
+
+        def apart(p: str) -> float:
+            best = [0.0] + [-np.inf] * len(p)
+            for e in range(1, len(p) + 1):
+                for b in range(max(0, e - longest), e):
+                    if (b, e) != (0, len(p)):
+                        best[e] = max(best[e], best[b] + score.get(p[b:e], -np.inf))
+            return best[-1]
+
+        return [(p, i, s) for p, i, s in self.pieces if len(p) == 1 or apart(p) <= s]
+
     def unit_pattern(self) -> str:
         """A pattern of units that no piece crosses."""
         if any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
@@ -94,19 +109,26 @@ def count_units(texts: DataFrame, table: PieceTable) -> DataFrame:
 
 
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n, edges): every piece that stands somewhere in a unit as (end, start, id,
-    score), by end and start; id -1 for a character without a piece."""
-    pieces = F.broadcast(units.sparkSession.createDataFrame(table.pieces, "piece string, id int, score double"))
-    size = F.length("unit")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    parts = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), size - F.col("start") + 1))).alias("len"))
+    """(h, unit, n, edges): every piece that stands somewhere in a unit as (end, start, id,
+    score), by end and start; id -1 for a character without a piece. Grouped by the hash
+    ``h`` of the unit, which sorts faster than the text; two units with one hash are an error."""
+    useful = table.useful()
+    pieces = F.broadcast(units.sparkSession.createDataFrame(useful, "piece string, id int, score double"))
+    longest = max((len(p) for p, _, _ in useful), default=1)
+    dealt = units.withColumn("h", F.xxhash64("unit")).repartition("h").withColumn("size", F.length("unit"))
+    starts = dealt.select("h", "unit", "n", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("start"))
+    ends = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start") + 1))
+    parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("len"))
     parts = parts.withColumn("piece", F.substring(F.col("unit"), F.col("start"), F.col("len")))
     met = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
     edge = F.struct(
         (F.col("start") + F.col("len") - 1).alias("end"), (F.col("start") - 1).alias("start"),
         F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
     )
-    return met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    whole = F.when(F.col("start") == 1, F.when(F.col("len") == 1, F.col("unit")))  # once a unit
+    grouped = met.groupBy("h").agg(F.collect_list(whole).alias("units"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    one = F.when(F.size("units") == 1, F.col("units")[0]).otherwise(F.raise_error(F.lit("two units have the same hash")))
+    return grouped.select("h", one.alias("unit"), "n", "edges")
 
 
 def _push(full: Column, block: Column, value: Column, kind: str) -> tuple[Column, Column]:
@@ -161,7 +183,7 @@ def best_path(edges: Column, size: Column, longest: int) -> Column:
 
 
 def segment(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n, ids): the piece ids of every distinct unit."""
+    """(h, unit, n, ids): the piece ids of every distinct unit."""
     path = best_path(F.col("edges"), F.length("unit"), table.longest)
     if table.byte_ids:
         ids = F.array(*map(F.lit, table.byte_ids))
@@ -172,7 +194,7 @@ def segment(units: DataFrame, table: PieceTable) -> DataFrame:
     else:
         spelled = lambda p: F.array(F.lit(table.unknown))
     each = F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(spelled(p)))
-    return lattice(units, table).select("unit", "n", F.flatten(each).alias("ids"))
+    return lattice(units, table).select("h", "unit", "n", F.flatten(each).alias("ids"))
 
 
 @dataclass
@@ -201,6 +223,27 @@ class Dictionary:
         return self.offsets[at].astype(np.int64), size
 
 
+@dataclass
+class Spelling:
+    """The bytes of every id in one buffer, for decoding without a loop over the ids."""
+
+    offsets: np.ndarray
+    buffer: np.ndarray
+    prefix: bool
+
+    @staticmethod
+    def of(table: PieceTable) -> Spelling:
+        raw = table.bytes_of()
+        each = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        return Spelling(np.concatenate([[0], np.cumsum([len(x) for x in each])]), np.frombuffer(b"".join(each), dtype=np.uint8), table.dummy_prefix)
+
+    def text(self, ids) -> str:
+        x = np.asarray(ids, dtype=np.int64)
+        x = x[(x >= 0) & (x < len(self.offsets) - 1)]
+        raw = self.buffer[_ranges(self.offsets[x], self.offsets[x + 1] - self.offsets[x])].tobytes()
+        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 def _fits(lists: pa.ListArray) -> bool:
     flat = lists.flatten()
     return len(flat) == 0 or int(flat.to_numpy().max()) < 1 << 16
@@ -221,22 +264,23 @@ def unit_hash(unit: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _encode_batches(table: PieceTable, shared: Shared, missing: bool):
+def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
     """mapInArrow function over (key columns..., text[, more]): ids, or with ``missing`` the
     distinct units that the broadcast dictionary lacks. ``more`` maps a text's rare units
-    to ids."""
+    to ids. With the ids comes ``round_trip``: whether they decode to the text."""
     pattern, prefix = re.compile(table.unit_pattern()), MARK if table.dummy_prefix else ""
 
     def run(batches):
-        d = shared.value
+        d, spell = Dictionary(*shared.value), spelling.value
         for batch in batches:
             names = batch.schema.names
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 number: dict[str, int] = {}
+                texts = part["text"].to_pylist()
                 each = [
                     np.fromiter((number.setdefault(u, len(number)) for u in pattern.findall(prefix + t.replace(" ", MARK))), dtype=np.int64) if t else np.zeros(0, np.int64)
-                    for t in part["text"].to_pylist()
+                    for t in texts
                 ]
                 units = list(number)
                 begin, size = d.find(np.fromiter(map(unit_hash, units), dtype=np.int64, count=len(units)))
@@ -261,13 +305,15 @@ def _encode_batches(table: PieceTable, shared: Shared, missing: bool):
                     ids = [pool[_ranges(begin[x], size[x])].astype(np.int32) for x in each]
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*head, value], names=[names[i] for i in keep] + ["units" if missing else "ids"])
+                    head.append(pa.array([spell.text(x) == (t or "") for x, t in zip(ids, texts, strict=True)], type=pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*head, value], names=[names[i] for i in keep] + (["units"] if missing else ["round_trip", "ids"]))
 
     return run
 
 
 def encode(docs: DataFrame, table: PieceTable | None = None, max_dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
-    """(doc_id, ids, text) for every row: the piece ids of the whole text.
+    """(doc_id, n_pieces, ids, round_trip) for every row: the piece ids of the whole text and
+    whether decoding them gives the text back (a mark U+2581 in a text decodes to a space).
 
     Defined cases: a null or empty text has no ids (an empty array); a null doc_id stays
     null; repeated rows give repeated results; an empty table gives no rows; other columns
@@ -276,23 +322,23 @@ def encode(docs: DataFrame, table: PieceTable | None = None, max_dictionary_byte
     table = table or load_pieces()
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = land(segment(count_units(src, table), table).select("unit", "n", "ids", F.xxhash64("unit").alias("h")), "piece-units")
+    known = land(segment(count_units(src, table), table), "piece-units")
     cost = F.lit(14) + F.lit(2) * F.size("ids")  # packed bytes of a unit
     at_least = _frequency_bound(known, cost, max_dictionary_bytes)
     frequent = Dictionary.of(known.filter(F.col("n") >= at_least).select("h", "ids").toArrow())
-    shared = Shared(spark, frequent)
-    if at_least <= 1:
-        both = src.withColumn("body", F.col("text"))
-        return both.mapInArrow(_encode_batches(table, shared, False), "doc_id long, body string, ids array<int>").select("doc_id", "ids", F.col("body").alias("text"))
-    rare = known.filter(F.col("n") < at_least).select("unit", "ids")
-    keyed = src.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    lacks = keyed.mapInArrow(_encode_batches(table, shared, True), "doc_id long, key string, units array<string>")
-    more = (
-        lacks.select("key", F.explode("units").alias("unit")).distinct().join(rare, "unit")
-        .groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
-    )
-    full = keyed.withColumn("body", F.col("text")).join(more, "key", "left").drop("key")
-    return full.mapInArrow(_encode_batches(table, shared, False), "doc_id long, body string, ids array<int>").select("doc_id", "ids", F.col("body").alias("text"))
+    shared = spark.sparkContext.broadcast((frequent.keys, frequent.offsets, frequent.ids))
+    spelling = Shared(spark, Spelling.of(table))
+    result = "doc_id long, round_trip boolean, ids array<int>"
+    if at_least > 1:
+        rare = known.filter(F.col("n") < at_least).select("unit", "ids")
+        keyed = src.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        lacks = keyed.mapInArrow(_encode_batches(table, shared, spelling, True), "doc_id long, key string, units array<string>")
+        more = (
+            lacks.select("key", F.explode("units").alias("unit")).distinct().join(rare, "unit")
+            .groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+        )
+        src = keyed.join(more, "key", "left").select("doc_id", "text", "more")
+    return src.mapInArrow(_encode_batches(table, shared, spelling, False), result).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 def _frequency_bound(known: DataFrame, cost: Column, max_bytes: int) -> int:
@@ -309,35 +355,14 @@ def _frequency_bound(known: DataFrame, cost: Column, max_bytes: int) -> int:
     return 1
 
 
-def _text_of(ids, of: dict[int, bytes], prefix: bool) -> str | None:
-    if ids is None:
-        return None
-    raw = b"".join([of.get(i, b"") for i in ids])
-    return (raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
-
-
 def decode(encoded: DataFrame, table: PieceTable | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): pieces joined, byte pieces as UTF-8, marks as spaces,
-    the leading space of the normal form dropped. A null ``ids`` gives a null text."""
-    table = table or load_pieces()
-    shared, prefix = Shared(encoded.sparkSession, table.bytes_of()), table.dummy_prefix
+    the leading space of the normal form dropped. A null ``ids`` gives a null text; ids
+    outside the table are left out."""
+    spelling = Shared(encoded.sparkSession, Spelling.of(table or load_pieces()))
 
     def run(rows):
         for r in rows:
-            yield {"doc_id": r["doc_id"], "text": _text_of(r["ids"], shared.value, prefix)}
+            yield {"doc_id": r["doc_id"], "text": None if r["ids"] is None else spelling.value.text(r["ids"])}
 
     return map_batches(encoded, "doc_id long, text string", run, ["doc_id", "ids"])
-
-
-def with_round_trip(encoded: DataFrame, table: PieceTable | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids, round_trip) of (doc_id, ids, text): whether decoding gives the
-    text back (a mark U+2581 in the text itself comes back as a space)."""
-    table = table or load_pieces()
-    shared, prefix = Shared(encoded.sparkSession, table.bytes_of()), table.dummy_prefix
-
-    def run(rows):
-        for r in rows:
-            same = _text_of(r["ids"], shared.value, prefix) == (r["text"] or "")
-            yield {"doc_id": r["doc_id"], "n_pieces": len(r["ids"]), "ids": r["ids"], "round_trip": same}
-
-    return map_batches(encoded, "doc_id long, n_pieces long, ids array<int>, round_trip boolean", run, ["doc_id", "ids", "text"], 128)

@@ -40,8 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and whether decoding them gives the text back."""
-    model = pieces.load_pieces()
-    return pieces.with_round_trip(pieces.encode(docs, model), model)
+    return pieces.encode(docs)
 
 
 STAGES = [

@@ -8,7 +8,7 @@ from canframes.llm import decontaminate, language, licenses, linedup, pieces, pi
 PER_ROW = {
     "pii": lambda d: pii.span_columns(pii.find_personal_data(d)),
     "licenses": licenses.find_licenses,
-    "pieces": lambda d: pieces.with_round_trip(pieces.encode(d)),
+    "pieces": pieces.encode,
     "quality": lambda d: quality.apply_quality(d, quality.fit_quality(d, d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality", "n_chars AS toxic"))),
     "simhash": simhash.simhash_groups,
     "language": lambda d: language.identify(d, language.fit_language(d)),

@@ -80,24 +80,24 @@ def test_every_known_sentence_has_a_trigger_and_every_rule_known_sentences():
 
 def best_score(text, table):
     """Best total over all segmentations of the whole normal form, by a plain table."""
-    score = {p: s for p, _, s in table.pieces}
+    score, longest, unknown = {p: s for p, _, s in table.pieces}, table.longest, table.unknown_score
     s = "▁" + text.replace(" ", "▁")
     best = [0.0] + [float("-inf")] * len(s)
     for e in range(1, len(s) + 1):
-        for b in range(max(0, e - table.longest), e):
-            v = score.get(s[b:e], table.unknown_score if e - b == 1 else float("-inf"))
+        for b in range(max(0, e - longest), e):
+            v = score.get(s[b:e], unknown if e - b == 1 else float("-inf"))
             best[e] = max(best[e], best[b] + v)
     return best[-1]
 
 
 def total(ids, table):
-    score = {i: s for _, i, s in table.pieces}
+    score, unknown = {i: s for _, i, s in table.pieces}, table.unknown_score
     out, run = 0.0, b""
     for i in [*ids, -1]:
         if i in table.byte_ids:
             run += bytes([table.byte_ids.index(i)])
             continue
-        out += table.unknown_score * len(run.decode("utf-8"))
+        out += unknown * len(run.decode("utf-8"))
         run = b""
         out += score.get(i, 0.0)
     return out
@@ -110,8 +110,10 @@ TRICKY = ["Hello  world\n\tx  é 你好𝔘 ", " ", "a" * 700, "x y\u0000z 12.5
 def test_best_paths_and_round_trip(spark, most):
     model = pieces.load_pieces()
     texts = TRICKY + [None, ""] + [r.text for r in table(spark, SMOKE, "documents").limit(40).collect()]
-    rows = pieces.with_round_trip(pieces.encode(docs_of(spark, texts), model, most), model).collect()
+    out = pieces.encode(docs_of(spark, texts), model, most)
+    rows = out.collect()
     assert len(rows) == len(texts) and all(r.round_trip for r in rows)
+    assert {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame(rows, out.schema), model).collect()} == {i: t or "" for i, t in enumerate(texts)}
     for r in rows:
         if texts[r.doc_id]:
             assert total(r.ids, model) == best_score(texts[r.doc_id], model), texts[r.doc_id][:50]
