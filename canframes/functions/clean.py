@@ -11,18 +11,37 @@ from canframes.schema import (
     DESCRIPTOR_COLUMNS,
     FEATURES,
     LABEL_TEXT_MAP,
+    MISSING_TOKENS,
     SYNTHETIC_ID_BLOCK,
     SYNTHETIC_ID_PREFIX,
 )
 
 
-def to_float32(c: str | Column) -> Column:
+_SPACE_AROUND = r"^\s+|\s+$"
+_NUMBER = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+
+
+def parse_number(c: str | Column, to: str = "float") -> Column:
+    """Text as a number: decimal or exponent form (or inf) with white space around it
+    allowed; anything else, such as ``1D``, ``0F`` or ``0x1p3``, is null."""
+    col = F.col(c) if isinstance(c, str) else c
+    txt = F.regexp_replace(col, _SPACE_AROUND, "")
+    return F.when(txt.rlike(_NUMBER), txt.try_cast(to))
+
+
+def to_float32(c: str | Column, is_text: bool = True) -> Column:
     """Numeric coercion: unparseable text -> null (not an error), NaN -> null, float32."""
     col = F.col(c) if isinstance(c, str) else c
-    v = col.try_cast("float")
+    v = parse_number(col) if is_text else col.try_cast("float")
     return F.when(F.isnan(v), F.lit(None).cast("float")).otherwise(v)
 
 
+def missing_tokens_to_null(c: str | Column) -> Column:
+    """Text that a CSV reader takes for a missing value -> null."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.when(~col.isin(MISSING_TOKENS), col)
+
+
 def normalize_label(c: str | Column = "label") -> Column:
     """Lower-cased text of the label mapped benign/0 -> 0 and attack/1 -> 1; else null.
 
@@ -45,7 +64,7 @@ def require_columns(df: DataFrame, features: list[str] | None = None) -> None:
     features = features or FEATURES
     missing = [c for c in features + ["label"] if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the frame table lacks the columns {missing}")
 
 
 def read_and_clean(df: DataFrame | str, features: list[str] | None = None, position_col: str = CLASS_POS_COL) -> DataFrame:
@@ -67,7 +86,7 @@ def read_and_clean(df: DataFrame | str, features: list[str] | None = None, posit
     cols = []
     for name in df.columns:
         if name in features:
-            cols.append(to_float32(name).alias(name))
+            cols.append(to_float32(F.col(f"`{name}`"), df.schema[name].dataType.typeName() == "string").alias(name))
         elif name == "label":
             cols.append(normalize_label("label").alias("label"))
         else:

@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.functions.thresholds import default_threshold
-from canframes.operators.positions import DEFAULT_BUCKET_ROWS, bucket_count, join_small, with_count_below
+from canframes.operators.positions import join_same, ranged
 from canframes.schema import F1_EPS_EVAL, F1_EPS_TUNE
-from canframes.session import cut_lineage
+from canframes.session import land
 
 
 
@@ -42,54 +42,32 @@ def score_counts(scores: DataFrame, model: str = "model", score: str = "score",
     ).withColumnRenamed(model, "model").withColumnRenamed(score, "score")
 
 
-def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def cumulative_counts(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Add ``tp``/``fp`` (counts with score >= this score), ``idx`` (1-based point number in
-    descending score order), totals ``tot_p``/``tot_n`` and ``m`` (points of the model).
-
-    ``buckets`` defaults to what keeps the largest model at ``target_rows`` distinct
-    scores per running-sum task (1 = a plain running window per model)."""
-    if buckets is None:
-        buckets = bucket_count(counts, "model", target_rows)
-    n_models = None
-    if buckets <= 1:
-        g = counts.withColumn("_bk", F.lit(0))
-    else:
-        qs = [i / buckets for i in range(1, buckets)]
-        # bucket 0 holds the highest scores: bounds of the negated score, ascending
-        bounds = counts.groupBy("model").agg(F.percentile_approx(-F.col("score"), qs, 10000).alias("_b"))
-        # one row per model with a fixed-size array, broadcast when its size allows
-        n_models = counts.select("model").distinct().count()
-        g = join_small(counts, bounds, "model", "inner", n_models, 8 * buckets + 64).withColumn("_v", -F.col("score"))
-        g = with_count_below(g, "_b", "_v", buckets - 1, "_bk").drop("_b", "_v")
-    totals = g.groupBy("model", "_bk").agg(F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"))
-    before = Window.partitionBy("model").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("model")
-    offsets = totals.select(
-        "model",
-        "_bk",
-        F.coalesce(F.sum("_sp").over(before), F.lit(0)).alias("_op"),
-        F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_on"),
-        F.coalesce(F.sum("_sc").over(before), F.lit(0)).alias("_oc"),
-        F.sum("_sp").over(whole).alias("tot_p"),
-        F.sum("_sn").over(whole).alias("tot_n"),
-        F.sum("_sc").over(whole).alias("m"),
+    descending score order), totals ``tot_p``/``tot_n`` and ``m`` (points of the model)."""
+    g = ranged(counts, [F.col("model").asc_nulls_last(), F.col("score").desc()], parts)
+    totals = g.groupBy("model", "_pid").agg(
+        F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"), F.min("_mid").alias("_m0")
     )
-    run = Window.partitionBy("model", "_bk").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    local = g.select(
-        "model",
-        "_bk",
-        "score",
-        "p",
-        "n",
-        F.sum("p").over(run).alias("_lp"),
-        F.sum("n").over(run).alias("_ln"),
-        F.row_number().over(Window.partitionBy("model", "_bk").orderBy(F.col("score").desc())).alias("_lc"),
+    before = Window.partitionBy("model").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("model")
+    offsets = land(
+        totals.select(
+            "model",
+            "_pid",
+            "_m0",
+            F.coalesce(F.sum("_sp").over(before), F.lit(0)).alias("_op"),
+            F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_on"),
+            F.coalesce(F.sum("_sc").over(before), F.lit(0)).alias("_oc"),
+            F.sum("_sp").over(whole).alias("tot_p"),
+            F.sum("_sn").over(whole).alias("tot_n"),
+            F.sum("_sc").over(whole).alias("m"),
+        ),
+        "curve-offsets",
     )
-    # offsets: one row per (model, bucket); broadcast when models * buckets rows are small
-    if n_models is None:
-        joined = local.join(F.broadcast(offsets), ["model", "_bk"])  # one row per model
-    else:
-        joined = join_small(local, offsets, ["model", "_bk"], "inner", n_models * buckets, 64)
+    run = Window.partitionBy("model", "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local = g.select("model", "_pid", "_mid", "score", "p", "n", F.sum("p").over(run).alias("_lp"), F.sum("n").over(run).alias("_ln"))
+    joined = join_same(local, offsets, ["model", "_pid"], offsets.count(), 128)
     return joined.select(
         "model",
         "score",
@@ -97,27 +75,24 @@ def cumulative_counts(counts: DataFrame, buckets: int | None = None, target_rows
         "n",
         (F.col("_op") + F.col("_lp")).alias("tp"),
         (F.col("_on") + F.col("_ln")).alias("fp"),
-        (F.col("_oc") + F.col("_lc")).alias("idx"),
+        (F.col("_oc") + F.col("_mid") - F.col("_m0") + 1).alias("idx"),
         "tot_p",
         "tot_n",
         "m",
     )
 
 
-def curve(scores: DataFrame, buckets: int | None = None, materialize: bool = True, **cols) -> DataFrame:
+def curve(scores: DataFrame, parts: int | None = None, **cols) -> DataFrame:
     """Cumulative counts per distinct score. The score-grouped table (one row per distinct
-    score, far smaller than the scores) is checkpointed to the shared folder first, so the
-    raw scores are scanned once however many branches the reports build on it."""
-    counts = score_counts(scores, **cols)
-    if materialize:
-        counts = cut_lineage(counts)
-    return cumulative_counts(counts, buckets)
+    score, far smaller than the scores) is landed in score order first, so the raw scores
+    are scanned once however many branches the reports build on it."""
+    return cumulative_counts(score_counts(scores, **cols), parts)
 
 
-def shared_curve(scores: DataFrame, buckets: int | None = None, **cols) -> DataFrame:
-    """The curve checkpointed as well, for reports that read it several times (the running
-    sums are then computed once)."""
-    return cut_lineage(curve(scores, buckets, **cols))
+def shared_curve(scores: DataFrame, parts: int | None = None, **cols) -> DataFrame:
+    """The curve landed as well, for reports that read it several times (the running sums
+    are then computed once)."""
+    return land(curve(scores, parts, **cols), "curve")
 
 
 def rule_from_curve(cum: DataFrame) -> DataFrame:
@@ -189,9 +164,9 @@ def confusion(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: s
     )
 
 
-def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", buckets: int | None = None) -> DataFrame:
+def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_col: str = "thr", parts: int | None = None) -> DataFrame:
     """acc / prec / rec / f1 at the threshold (default rule unless given) and AUC, per model."""
-    cum = shared_curve(scores, buckets)
+    cum = shared_curve(scores, parts)
     if thresholds is None:
         thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias(thr_col))
     at = counts_at(cum, thresholds, thr_col)
@@ -276,21 +251,21 @@ def best_threshold_by_f1(cum: DataFrame) -> DataFrame:
     return _best(cum, F1_EPS_TUNE).select("model", "threshold", "precision", "recall", "f1")
 
 
-def tune_and_report(scores: DataFrame, buckets: int | None = None) -> DataFrame:
+def tune_and_report(scores: DataFrame, parts: int | None = None) -> DataFrame:
     """Tune the threshold by F1, then report metrics at it (the counts come from the curve)."""
-    cum = shared_curve(scores, buckets)
+    cum = shared_curve(scores, parts)
     best = _best(cum, F1_EPS_TUNE)
     auc = auc_and_totals(cum).select("model", "auc")
     tp, fp, P, N = (F.col(c) for c in ("tp", "fp", "tot_p", "tot_n"))
     return best.join(auc, "model").select("model", F.col("threshold").alias("thr"), *_rates(tp, fp, P, N), "auc")
 
 
-def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: int | None = None, tune: DataFrame | None = None) -> DataFrame:
+def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, parts: int | None = None, tune: DataFrame | None = None) -> DataFrame:
     """Default-threshold and best-F1 report, 13 fields per model, from one curve.
 
     With ``tune`` (scores of a validation split) the best-F1 threshold is chosen there and
     the ``_b`` metrics are those of ``scores`` at that threshold."""
-    cum = shared_curve(scores, buckets)
+    cum = shared_curve(scores, parts)
     if thr is None:
         thresholds = rule_from_curve(cum).select("model", F.col("thr_default").alias("thr"))
     else:
@@ -303,7 +278,7 @@ def eval_with_thresholds(scores: DataFrame, thr: float | None = 0.5, buckets: in
         best = _best(cum, F1_EPS_EVAL)
         b = best.select("model", F.col("threshold").alias("thr_bestF1"), *_rates(tp, fp, P, N, "_b"), F.col("f1").alias("bestF1"))
     else:
-        tuned = _best(shared_curve(tune, buckets), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
+        tuned = _best(shared_curve(tune, parts), F1_EPS_EVAL).select("model", F.col("threshold").alias("thr_bestF1"), F.col("f1").alias("bestF1"))
         at_b = counts_at(cum, tuned.select("model", F.col("thr_bestF1")), "thr_bestF1")
         b = at_b.join(tuned.select("model", "bestF1"), "model").select("model", "thr_bestF1", *_rates(tp, fp, P, N, "_b"), "bestF1")
     return d.join(auc, "model").join(b, "model")

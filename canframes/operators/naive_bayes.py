@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canframes.session import land
 from canframes.schema import FEATURES, NB_ALPHA, NB_VAR_SMOOTHING
 
 VAR_SMOOTHING = NB_VAR_SMOOTHING
@@ -48,14 +49,19 @@ def gnb_params(train: DataFrame, features: list[str] | None = None) -> DataFrame
     per_class = train.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mu_{c}") for c in features], *[F.var_pop(c).alias(f"va_{c}") for c in features]
     )
-    # two global numbers in one pass: largest feature variance and the row count
-    overall = train.agg(F.greatest(*[F.var_pop(c) for c in features]).alias("vmax"), F.count(F.lit(1)).alias("n")).first()
-    eps = float(overall["vmax"]) * VAR_SMOOTHING
+    per_class = land(per_class, "gnb-classes")  # one row per class; the training rows are read once
+    rows = per_class.collect()
+    total = sum(r["n"] for r in rows)
+
+    def variance(c: str) -> float:
+        """Of all rows, from the moments of the classes."""
+        mean = sum(r["n"] * r[f"mu_{c}"] for r in rows) / total
+        return sum(r["n"] * (r[f"va_{c}"] + (r[f"mu_{c}"] - mean) ** 2) for r in rows) / total
+
+    eps = max(variance(c) for c in features) * VAR_SMOOTHING if rows else 0.0
     stack = ", ".join(f"'{c}', `mu_{c}`, `va_{c}`" for c in features)
     long = per_class.select("label", "n", F.expr(f"stack({len(features)}, {stack}) AS (feature, mean, var0)"))
-    return long.select(
-        "label", "feature", "n", (F.col("n") / F.lit(float(overall["n"]))).alias("prior"), "mean", (F.col("var0") + F.lit(eps)).alias("var")
-    )
+    return long.select("label", "feature", "n", (F.col("n") / F.lit(float(total))).alias("prior"), "mean", (F.col("var0") + F.lit(eps)).alias("var"))
 
 
 @dataclass(frozen=True)

@@ -3,12 +3,11 @@
 A window function partitioned by ID puts a whole ID into one task; one CAN ID can carry
 a third of all frames. Instead:
 
-* ``with_positions`` numbers rows inside each key. When a key is larger than one task
-  should sort, it uses a two-level scheme: every such heavy key is cut into quantile
-  buckets of its order column (a hot key spreads over many buckets and tasks; the other
-  keys stay in one bucket), ``row_number`` runs per (key, bucket), and a small
-  per-(key, bucket) table of counts gives the offsets (a prefix sum over at most
-  keys x buckets rows).
+* ``ranged`` range-partitions rows on (key, order columns), sorts inside the partitions and
+  lands the result with its partition number and place, so a hot key is cut over as many
+  partitions as its rows need, whatever its type, its size or its ties.
+* ``with_positions`` numbers rows inside each key from the landed places and a small
+  per-(partition, key) table of counts (at most partitions + keys rows).
 * ``blocked`` cuts each key into blocks of ``block_rows`` positions and copies the few
   boundary rows a window frame needs (look-back / look-ahead) into the neighbour block,
   so window functions can be partitioned by (key, block) with bounded task size.
@@ -16,43 +15,21 @@ a third of all frames. Instead:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canframes.schema import N_COL, POS_COL
+from canframes.session import land
 
 DEFAULT_BLOCK_ROWS = 1 << 20
-DEFAULT_BUCKET_ROWS = 1 << 21  # rows one window task sorts comfortably
-MAX_POSITION_BUCKETS = 1 << 14
 _BLK, _OWN = "_blk", "_own"
 
 
-def _monotone_number(df: DataFrame, col: str):
-    """A numeric column that never decreases when ``col`` increases (for quantiles)."""
-    kind = df.schema[col].dataType.typeName()
-    if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(col))
-    if kind == "date":
-        return F.unix_date(F.col(col))
-    if kind == "string":
-        # fixed-width hex keys: numeric value of the first 12 digits keeps their order
-        return F.conv(F.substring(F.col(col), 1, 12), 16, 10).cast("long")
-    return F.col(col).cast("double")
-
-
 BROADCAST_LIMIT_BYTES = 64 << 20
 
 
-def bucket_count(df: DataFrame, key: str, target_rows: int) -> int:
-    """Buckets per heavy key so the largest key gets about ``target_rows`` rows per bucket
-    (a power of two; 1 when every key fits one task). One small aggregate."""
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    need = max(1, -(-largest // max(target_rows, 1)))
-    return min(1 << (need - 1).bit_length(), MAX_POSITION_BUCKETS)
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str, n_rows: int, row_bytes: int) -> DataFrame:
     """Broadcast ``small`` only when its size (known row count x row width) is under the
     limit; beyond it a regular join, which AQE can still split when a key is skewed."""
@@ -61,71 +38,38 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, n_rows: int, row_
     return big.join(small, on, how)
 
 
-def with_count_below(df: DataFrame, bounds: str, value: str, size: int, out: str) -> DataFrame:
-    """``out`` = number of elements of the sorted array column ``bounds`` (``size`` entries)
-    smaller than ``value``, by a two-level lookup: compare with every ``chunk``-th bound
-    (chunk ~ sqrt(size)) to find the chunk, then scan the ``chunk`` bounds inside it.
-    About 2 * sqrt(size) plain ``element_at`` comparisons per row, all in generated code
-    (a lambda over the array would run interpreted, and a chained binary search makes the
-    optimizer's inferred constraints grow exponentially)."""
-    if size <= 0:
-        return df.withColumn(out, F.lit(0))
-    chunk = 1 << ((size.bit_length() + 1) // 2)
-    b, v = F.col(bounds), F.col(value)
-
-    def below(i: Column) -> Column:
-        return F.coalesce((F.element_at(b, i.cast("int")) < v).cast("int"), F.lit(0))
-
-    coarse = F.lit(0)
-    for m in range(chunk, size + 1, chunk):
-        coarse = coarse + below(F.lit(m))
-    df = df.withColumn("_chunk", coarse)
-    fine = F.col("_chunk") * chunk
-    for j in range(1, chunk):
-        pos = F.col("_chunk") * chunk + j
-        fine = fine + F.when(pos <= size, below(pos)).otherwise(F.lit(0))
-    return df.withColumn(out, fine).drop("_chunk")
+def ranged(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """``df`` sorted by ``order`` over range partitions, landed with ``_pid`` (partition
+    number, ascending in the order) and ``_mid`` (consecutive inside a partition). ``order``
+    should end in columns that make rows unique, so that no run of ties is too large for a
+    partition."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return land(dealt.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}), "ranged")
+
+
+def join_same(left: DataFrame, small: DataFrame, on: list[str], n_rows: int, row_bytes: int) -> DataFrame:
+    """:func:`join_small`, inner, with null keys equal to each other."""
+    right = small.select(*[F.col(f"`{c}`").alias(f"_same_{i}") if c in on else F.col(f"`{c}`") for i, c in enumerate(small.columns)])
+    pairs = [left[f"`{c}`"].eqNullSafe(right[f"_same_{i}"]) for i, c in enumerate(small.columns) if c in on]
+    joined = join_small(left, right, reduce(lambda a, b: a & b, pairs), "inner", n_rows, row_bytes)
+    return joined.drop(*[f"_same_{i}" for i, c in enumerate(small.columns) if c in on])
 
 
 def with_positions(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    pos: str = POS_COL,
-    n: str = N_COL,
-    target_rows: int = DEFAULT_BUCKET_ROWS,
-    buckets: int | None = None,
+    df: DataFrame, key: str, order: list[str], pos: str = POS_COL, n: str = N_COL, parts: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row inside ``key`` (sorted by ``order``, which must
-    make rows unique) and the number of rows of the key.
-
-    When some key holds more than ``target_rows`` rows, every key is cut into ``buckets``
-    ranges of its first order column at approximate quantiles; the bucket is a plain
-    (deterministic) column, so the per-(key, bucket) counts and the per-(key, bucket) row
-    numbers agree however often the input is read, and a hot key spreads over many tasks."""
-    if buckets is None:
-        buckets = bucket_count(df, key, target_rows)
-    if buckets <= 1:
-        w = Window.partitionBy(key)
-        return df.withColumn(pos, (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(n, F.count(F.lit(1)).over(w))
-    num = _monotone_number(df, order[0])
-    qs = [i / buckets for i in range(1, buckets)]
-    # bounds only for keys bigger than one task; other keys stay in bucket 0
-    heavy = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows).select(key)
-    n_heavy = heavy.count()
-    bounds = df.join(F.broadcast(heavy) if n_heavy <= 100_000 else heavy, key, "left_semi").groupBy(key).agg(
-        F.percentile_approx(num, qs, 10000).alias("_b")
-    )
-    x = join_small(df, bounds, key, "left", n_heavy, 8 * buckets + 64).withColumn("_v", num)
-    x = with_count_below(x, "_b", "_v", buckets - 1, "_bk").withColumn("_bk", F.coalesce(F.col("_bk"), F.lit(0))).drop("_b", "_v")
-    stats = x.groupBy(key, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(
-        key, "_bk", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"), F.sum("_c").over(Window.partitionBy(key)).alias(n)
+    """Add the 0-based position of each row inside ``key`` (sorted by ``order``, nulls last,
+    which must make rows unique) and the number of rows of the key. Null keys are one key."""
+    rows = ranged(df, [F.col(f"`{key}`").asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in order if c != key]], parts)
+    counts = rows.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    earlier = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = land(
+        counts.select(key, "_pid", "_m0", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"), F.sum("_c").over(Window.partitionBy(key)).alias(n)),
+        "offsets",
     )
-    local = F.row_number().over(Window.partitionBy(key, "_bk").orderBy(*order))
-    out = x.withColumn("_l", local).join(stats, [key, "_bk"])
-    return out.withColumn(pos, (F.col("_off") + F.col("_l") - 1).cast("long")).drop("_bk", "_l", "_off")
+    out = join_same(rows, offsets, [key, "_pid"], offsets.count(), 96)
+    return out.withColumn(pos, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long")).drop("_pid", "_mid", "_m0", "_off")
 
 
 def blocked(df: DataFrame, pos: str = POS_COL, block_rows: int = DEFAULT_BLOCK_ROWS, lookback: int = 0, lookahead: int = 0) -> DataFrame:

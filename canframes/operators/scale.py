@@ -4,9 +4,8 @@ Fits are one-row aggregates over the training rows (partial aggregation per task
 tiny shuffle); the fitted parameters (a few numbers per feature) come to the driver, like
 a ``pyspark.ml`` model, and transforms are literal column expressions (stay in codegen).
 
-Mean and variance come from the count, sum and sum of squares:
-``mean = S / n`` and ``var = (n*Q - S*S) / n**2``. For byte payloads every sum is an
-integer below 2**53, so the parameters are exact and identical in any engine.
+Mean and variance are the engine's ``avg`` and ``var_pop`` (merged central moments), which
+do not cancel for large values or many rows.
 """
 
 from __future__ import annotations
@@ -31,13 +30,12 @@ def _long(row_df: DataFrame, features: list[str], cols: list[str]) -> DataFrame:
 def scaler_params(df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """(feature, mean, scale): population std, scale 1 for a zero-variance feature."""
     features = features or FEATURES
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = []
     for c in features:
         x = F.col(c).cast("double")
-        aggs += [F.sum(x).alias(f"s_{c}"), F.sum(x * x).alias(f"q_{c}")]
-    long = _long(df.agg(*aggs), features, ["s", "q"])
-    var = F.greatest((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * F.col("n")), F.lit(0.0))
-    return long.select("feature", (F.col("s") / F.col("n")).alias("mean"), F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0)).alias("scale"))
+        aggs += [F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")]
+    long = _long(df.agg(*aggs), features, ["m", "v"])
+    return long.select("feature", F.col("m").alias("mean"), F.when(F.col("v") > 0, F.sqrt("v")).otherwise(F.lit(1.0)).alias("scale"))
 
 
 @dataclass(frozen=True)

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canframes.functions.clean import fill_zero
+from canframes.functions.clean import fill_zero, parse_number
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.positions import DEFAULT_BLOCK_ROWS, block_window, blocked, owned, with_positions
 from canframes.schema import FEATURES, N_COL, POS_COL, ROLL_WINDOW, resolve_time_column
+from canframes.session import land
 
 ROLL = ROLL_WINDOW
 
@@ -22,12 +23,15 @@ ROLL = ROLL_WINDOW
 def order_columns(
     df: DataFrame, frame_key: str = "frame_id", seed: int = 42, fallback: list[str] | None = None, time_columns: list[str] | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Sort keys inside an ID: the time column when present, then the row order as
-    tie-break (stable sort). Without a time column: ``fallback`` (e.g. the concatenation
+    """Sort keys inside an ID (nulls last): the time column when present, then the row order
+    as tie-break (stable sort). Without a time column: ``fallback`` (e.g. the concatenation
     order source_rank, frame_seq) or, by default, the seeded shuffle order of the frames."""
     ts = resolve_time_column(df.columns, time_columns)
     tail = fallback or [frame_key]
     if ts is not None:
+        if df.schema[ts].dataType.typeName() == "string":
+            # times read as text: numbers by value first, then other text (dates) as written
+            return df.withColumn("_time", parse_number(F.col(ts), "double")), ["_time", ts, *tail]
         return df, [ts, *tail]
     if fallback:
         return df, list(fallback)
@@ -39,19 +43,22 @@ def positions(
 ) -> DataFrame:
     df2, order = order_columns(df, frame_key, fallback=fallback, time_columns=time_columns)
     out = with_positions(df2, key, order, **kw)
-    return out.drop("_shuffle") if "_shuffle" in out.columns else out
+    return out.drop("_shuffle", "_time")
 
 
 def id_index(df: DataFrame, key: str = "ID", out: str = "id_idx") -> DataFrame:
-    """Dense 0-based index of each ID in sorted ID order (ID compared as its own type).
+    """Dense 0-based index of each ID in sorted ID order; null IDs have none.
 
-    Works on the distinct IDs only (bounded by the ID space, e.g. 2**29 CAN ids)."""
-    ids = df.select(key).distinct()
-    if ids.schema[key].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz"):
-        # one constant group numbered by the bucketed scheme: spreads over tasks when large
-        ranked = with_positions(ids.withColumn("_all", F.lit(0)), "_all", [key], pos="_p", n="_n")
-        return ranked.select(key, F.col("_p").cast("int").alias(out))
-    return ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias(out))
+    IDs compare as their own type; IDs read as text compare as numbers if every one of them
+    is a plain number (as a reader that infers types would see them), else as text."""
+    ids = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    order = [key]
+    if ids.schema[key].dataType.typeName() == "string":
+        ids = land(ids, "ids")
+        if not ids.agg(F.count_if(parse_number(F.col(key), "double").isNull())).first()[0]:
+            ids, order = ids.withColumn("_num", parse_number(F.col(key), "double")), ["_num", key]
+    ranked = with_positions(ids.withColumn("_all", F.lit(0)), "_all", order, pos="_p", n="_n")
+    return ranked.select(key, F.col("_p").alias(out))
 
 
 def context_features(base: list[str] | None = None) -> list[str]:
@@ -70,12 +77,13 @@ def add_sequence_context(
     b = blocked(df_pos, lookback=ROLL - 1, block_rows=block_rows)
     w = block_window(key)
     r5 = w.rowsBetween(-(ROLL - 1), 0)
+    known = F.col(key).isNotNull()  # rows without an ID belong to no sequence
     cols = []
     for c in base:
         x = F.col(c).cast("double")
-        full = F.count(x).over(r5) == ROLL
+        full = known & (F.count(x).over(r5) == ROLL)
         cols += [
-            (x - F.lag(x, 1).over(w)).alias(f"{c}_diff1"),
+            F.when(known, x - F.lag(x, 1).over(w)).alias(f"{c}_diff1"),
             F.when(full, F.avg(x).over(r5)).alias(f"{c}_roll5_mean"),
             F.when(full, F.stddev_samp(x).over(r5)).alias(f"{c}_roll5_std"),
         ]
@@ -164,17 +172,15 @@ def weighted_scaler(df_pos: DataFrame, timesteps: int, step: int = 1, features:
     (feature, mean, scale) with scale 1 for a constant feature."""
     features = features or FEATURES
     w = window_weight(timesteps, step)
-    aggs = [F.sum(w).alias("_w")]
-    for c in features:
-        x = F.col(c).cast("double")
-        aggs += [F.sum(w * x).alias(f"_s_{c}"), F.sum(w * x * x).alias(f"_q_{c}")]
-    row = df_pos.agg(*aggs)
-    stack = ", ".join(f"'{c}', _s_{c}, _q_{c}" for c in features)
-    long = row.select("_w", F.expr(f"stack({len(features)}, {stack}) AS (feature, s, q)"))
-    mean = F.col("s") / F.col("_w")
-    # (W*Q - S^2) / W^2: exact for integer payloads (all sums are integers below 2**53)
-    var = F.greatest((F.col("_w") * F.col("q") - F.col("s") * F.col("s")) / (F.col("_w") * F.col("_w")), F.lit(0.0))
-    return long.select("feature", mean.alias("mean"), F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0)).alias("scale"))
+    x = lambda c: F.col(c).cast("double")
+    first = df_pos.agg(F.sum(w).alias("_w"), *[(F.sum(w * x(c)) / F.sum(w)).alias(c) for c in features]).first()
+    mean = {c: first[c] if first[c] is not None else 0.0 for c in features}
+    # squares around the mean: no cancellation, however large the values or the table
+    dev = df_pos.agg(F.sum(w).alias("_w"), *[F.sum(w * F.pow(x(c) - F.lit(mean[c]), 2)).alias(f"_q_{c}") for c in features])
+    stack = ", ".join(f"'{c}', CAST({mean[c]!r} AS DOUBLE), _q_{c}" for c in features)
+    long = dev.select("_w", F.expr(f"stack({len(features)}, {stack}) AS (feature, mean, q)"))
+    var = F.col("q") / F.col("_w")
+    return long.select("feature", "mean", F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0)).alias("scale"))
 
 
 def n_windows(n: int, timesteps: int, step: int) -> int:

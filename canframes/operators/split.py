@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from canframes.functions.hashing import row_hash, salted_hash
 from canframes.schema import GROUP_KEY_COL, SEED, SPLIT_COL, TEST_SIZE
-from canframes.session import cut_lineage
+from canframes.session import land
 
 _H = "_split_hash"
 PREFIX_DIGITS = 4
+RANKED_ROWS = 1 << 20  # hashes that one task ranks
 
 
 def with_group_key(df: DataFrame, features: list[str] | None = None, out: str = GROUP_KEY_COL) -> DataFrame:
@@ -40,18 +41,25 @@ def prefix_histogram(hashes: DataFrame, col: str = _H, digits: int = PREFIX_DIGI
 def kth_smallest(hashes: DataFrame, k: int, hist: list[tuple[str, int]], col: str = _H, digits: int = PREFIX_DIGITS) -> str:
     """The k-th smallest (1-based) of the distinct hex strings in ``hashes``; '' for k = 0.
 
-    The histogram locates the prefix bucket holding rank k; only that bucket (about
-    G / 16**digits hashes) is ranked, in one small job."""
+    The histogram locates the prefix bucket holding rank k; while that bucket is larger
+    than one task should rank, a histogram of the next digits narrows it down."""
     if k <= 0:
         return ""
-    before = 0
-    for prefix, count in hist:
-        if before + count >= k:
+    bucket, length = hashes.select(col), digits
+    while True:
+        before = 0
+        for prefix, count in hist:
+            if before + count >= k:
+                break
+            before += count
+        k -= before
+        bucket = bucket.filter(F.substring(F.col(col), 1, length) == F.lit(prefix))
+        if count <= RANKED_ROWS:
             break
-        before += count
-    in_bucket = hashes.filter(F.substring(F.col(col), 1, digits) == F.lit(prefix)).select(col)
-    ranked = in_bucket.withColumn("_rn", F.row_number().over(Window.orderBy(col)))
-    return ranked.filter(F.col("_rn") == k - before).first()[col]
+        length += digits
+        hist = prefix_histogram(bucket, col, length)
+    ranked = bucket.withColumn("_rn", F.row_number().over(Window.orderBy(col)))
+    return ranked.filter(F.col("_rn") == k).first()[col]
 
 
 @dataclass(frozen=True)
@@ -71,7 +79,7 @@ class SplitRule:
     def fit(cls, groups_from: DataFrame, group_col: str = GROUP_KEY_COL, test_size: float = TEST_SIZE, val_size: float | None = None, seed: int = SEED) -> "SplitRule":
         # the distinct group hashes are written once to the shared checkpoint folder;
         # their prefix histogram gives G and locates each cut; one small job per cut
-        hashes = cut_lineage(groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct())
+        hashes = land(groups_from.select(salted_hash(group_col, seed).alias(_H)).distinct(), "group-hashes")
         hist = prefix_histogram(hashes)
         g = sum(c for _, c in hist)
         k_test = math.ceil(float(test_size) * g)
@@ -121,16 +129,20 @@ def hash_row_split(df: DataFrame, key_col: str, test_size: float = TEST_SIZE, se
 
 
 def split_summary(df: DataFrame, group_col: str = GROUP_KEY_COL, split_col: str = SPLIT_COL) -> DataFrame:
-    """Rows, positives, positive share and groups per split, plus an ``all`` row."""
+    """Rows, positives, positive share and groups per split, plus an ``all`` row. Rows are
+    counted per (split, group) first, so the rollup and its distinct count see one row per
+    group instead of every frame."""
+    per_group = df.groupBy(split_col, group_col).agg(F.count(F.lit(1)).alias("_n"), F.sum("label").cast("bigint").alias("_p"))
     return (
-        df.rollup(split_col)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum("label").cast("bigint").alias("n_pos"),
-            F.round(F.avg(F.col("label").cast("double")), 9).alias("pos_share"),
-            F.countDistinct(group_col).alias("n_groups"),
+        per_group.rollup(split_col)
+        .agg(F.sum("_n").alias("n_rows"), F.sum("_p").alias("n_pos"), F.countDistinct(group_col).alias("n_groups"))
+        .select(
+            F.coalesce(F.col(split_col), F.lit("all")).alias(split_col),
+            "n_rows",
+            "n_pos",
+            F.round(F.col("n_pos").cast("double") / F.col("n_rows"), 9).alias("pos_share"),
+            "n_groups",
         )
-        .select(F.coalesce(F.col(split_col), F.lit("all")).alias(split_col), "n_rows", "n_pos", "pos_share", "n_groups")
     )
 
 

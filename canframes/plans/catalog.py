@@ -31,6 +31,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from canframes.plans import (  # noqa: F401
+        q_checks,
         q_clean,
         q_metrics,
         q_models,

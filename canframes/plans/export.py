@@ -25,7 +25,7 @@ from canframes.operators import split as S
 from canframes.plans.fixtures import clean_view
 from canframes.plans.q_split import prepared
 from canframes.schema import FEATURES, SEED, TEST_SIZE
-from canframes.session import cut_lineage
+from canframes.session import land
 from canframes.sources import sinks
 
 MODELS = [("logreg", "LogReg(balanced)"), ("gnb", "GaussianNB"), ("extratrees", "ExtraTrees(d=8,100)")]
@@ -43,7 +43,7 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
     df = S.group_split(S.with_group_key(frames), val_size=TEST_SIZE if tune_on == "val" else None)
     train = df.filter(F.col("split") == "train")
     std = Standardizer.fit(train)
-    z = cut_lineage(std.transform(df))  # read by three fits and three scorings
+    z = land(std.transform(df), "scaled", ["split"])  # read by three fits and three scorings
     ztrain = z.filter(F.col("split") == "train")
 
     logreg, lr_scored = fit_and_score("logreg", ztrain, z, seed=seed)
@@ -56,7 +56,7 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
         .unionByName(gnb_scored.select(F.lit(LABELS["gnb"]).alias("model"), F.lit("gnb").alias("key"), *cols[2:]))
         .unionByName(rf_scored.select(F.lit(LABELS["extratrees"]).alias("model"), F.lit("extratrees").alias("key"), *cols[2:]))
     )
-    long = cut_lineage(long)  # model scores once; every report reads them from here
+    long = land(long, "model-scores")  # model scores once; every report reads them from here
     test = long.filter(F.col("split") == "test")
     tune = long.filter(F.col("split") == tune_on) if tune_on != "test" else None
     evaluated = M.eval_with_thresholds(test.drop("key"), thr=0.5, tune=None if tune is None else tune.drop("key"))

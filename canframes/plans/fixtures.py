@@ -43,6 +43,11 @@ def clean_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_incomplete(read_and_clean(frames(spark, sf_dir)))
 
 
+# every frame_id divisible by the number gets this text as DATA_1 (the last that fits wins):
+# not numbers, numbers with white space, and tokens that a CSV reader takes for missing
+DIRTY_DATA_1 = {107: "1D", 109: "0F", 113: "0x1p3", 127: " 5 ", 131: "NA", 137: "NaN", 139: "null", 151: "1e1"}
+
+
 def frames_raw(spark: SparkSession, sf_dir: str, with_source: bool = False) -> DataFrame:
     """Dirty text copy of ``frames`` (bad numbers, nulls, odd labels, descriptor columns);
     with ``with_source`` also the source file each row goes to (same projection, no join)."""
@@ -53,6 +58,9 @@ def frames_raw(spark: SparkSession, sf_dir: str, with_source: bool = False) -> D
         .when(fid % 89 == 0, F.lit(None).cast("string"))
         .otherwise(F.col("DATA_0").cast("string"))
     )
+    data1 = F.col("DATA_1").cast("string")
+    for divisor, text in DIRTY_DATA_1.items():
+        data1 = F.when(fid % divisor == 0, F.lit(text)).otherwise(data1)
     label = (
         F.when(fid % 101 == 0, F.lit("unknown"))
         .when(fid % 103 == 0, F.lit("1.0"))
@@ -63,9 +71,10 @@ def frames_raw(spark: SparkSession, sf_dir: str, with_source: bool = False) -> D
     )
     return f.select(
         fid,
-        F.col("ID").cast("string").alias("ID"),
+        F.when(fid % 149 == 0, F.lit("NA")).otherwise(F.col("ID").cast("string")).alias("ID"),
         data0.alias("DATA_0"),
-        *[F.col(c).cast("string").alias(c) for c in FEATURES[1:]],
+        data1.alias("DATA_1"),
+        *[F.col(c).cast("string").alias(c) for c in FEATURES[2:]],
         label.alias("label"),
         F.lit("x").alias("category"),
         F.lit("y").alias("specific_class"),
@@ -125,10 +134,19 @@ CLEAN_SQL = (
 PAYLOAD_TEXT_SQL = "concat_ws(',', " + ", ".join(f"CAST(CAST({c} AS FLOAT) AS VARCHAR)" for c in FEATURES) + ")"
 GROUP_KEY_SQL = f"sha1({PAYLOAD_TEXT_SQL})"
 
+_DATA_1_SQL = "CASE " + " ".join(f"WHEN frame_id % {d} = 0 THEN '{t}'" for d, t in reversed(DIRTY_DATA_1.items())) + " ELSE CAST(DATA_1 AS VARCHAR) END AS DATA_1, "
+
+
+def number_sql(c: str, to: str = "FLOAT") -> str:
+    """DuckDB: text as a number in plain decimal or exponent form, else null."""
+    return f"CASE WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trim({c}) AS {to}) END"
+
+
 FRAMES_RAW_SQL = (
-    "SELECT frame_id, CAST(ID AS VARCHAR) AS ID, "
+    "SELECT frame_id, CASE WHEN frame_id % 149 = 0 THEN 'NA' ELSE CAST(ID AS VARCHAR) END AS ID, "
     "CASE WHEN frame_id % 97 = 0 THEN 'bad' WHEN frame_id % 89 = 0 THEN NULL ELSE CAST(DATA_0 AS VARCHAR) END AS DATA_0, "
-    + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in FEATURES[1:])
+    + _DATA_1_SQL
+    + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in FEATURES[2:])
     + ", CASE WHEN frame_id % 101 = 0 THEN 'unknown' WHEN frame_id % 103 = 0 THEN '1.0' "
     "WHEN label = 1 AND frame_id % 2 = 0 THEN 'ATTACK' WHEN label = 1 THEN '1' "
     "WHEN frame_id % 2 = 0 THEN 'Benign' ELSE '0' END AS label, "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canframes.operators import metrics as M
 from canframes.plans.catalog import register
 from canframes.plans.q_metrics import AUC_SQL, CUM_SQL
-from canframes.plans.fixtures import SOURCE_RANK_SQL, SRC_SQL, frames_raw_with_source, oracle, scores
+from canframes.plans.fixtures import SOURCE_RANK_SQL, SRC_SQL, frames_raw_with_source, number_sql, oracle, scores
 from canframes.schema import BENIGN_FILE, FEATURES
 from canframes.session import work_path
 from canframes.sources.frame_csv import (
@@ -23,9 +23,9 @@ from canframes.sources.frame_csv import (
 )
 from canframes.sources.score_csv import compare_files
 
-_RS = [("src", SRC_SQL), ("rs", "SELECT r.*, s.source FROM frames_raw r JOIN src s USING (frame_id)")]
-_CLEAN_COLS = ", ".join(f"TRY_CAST({c} AS FLOAT) AS {c}" for c in FEATURES)
-_NOID_WHERE = " AND ".join(f"TRY_CAST({c} AS FLOAT) IS NOT NULL" for c in FEATURES)
+_RS = [("src", SRC_SQL), ("rs", "SELECT r.* REPLACE (nullif(ID, 'NA') AS ID, CASE WHEN DATA_1 NOT IN ('NA', 'NaN', 'null') THEN trim(DATA_1) END AS DATA_1), s.source FROM frames_raw r JOIN src s USING (frame_id)")]
+_CLEAN_COLS = ", ".join(f"{number_sql(c)} AS {c}" for c in FEATURES)
+_NOID_WHERE = " AND ".join(f"{number_sql(c)} IS NOT NULL" for c in FEATURES)
 
 
 def write_fixture(spark, sf_dir, with_id: bool = True) -> str:
@@ -153,17 +153,17 @@ _FILE_POS = f"""SELECT *, row_number() OVER (PARTITION BY source ORDER BY frame_
 def _ctx_files_sql() -> str:
     cols = []
     for c in FEATURES:
-        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
-        cols.append(f"COALESCE(round({x} - lag({x}) OVER w, 6), 0) AS {c}_diff1")
+        x = f"CAST({number_sql(c)} AS DOUBLE)"
+        cols.append(f"COALESCE(CASE WHEN ID IS NOT NULL THEN round({x} - lag({x}) OVER w, 6) END, 0) AS {c}_diff1")
     for c in FEATURES:
-        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
-        cols.append(f"COALESCE(CASE WHEN count({x}) OVER r = 5 THEN round(avg({x}) OVER r, 6) END, 0) AS {c}_roll5_mean")
+        x = f"CAST({number_sql(c)} AS DOUBLE)"
+        cols.append(f"COALESCE(CASE WHEN ID IS NOT NULL AND count({x}) OVER r = 5 THEN round(avg({x}) OVER r, 6) END, 0) AS {c}_roll5_mean")
     for c in FEATURES:
-        x = f"CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE)"
-        cols.append(f"COALESCE(CASE WHEN count({x}) OVER r = 5 THEN round(stddev_samp({x}) OVER r, 6) END, 0) AS {c}_roll5_std")
-    base = ", ".join(f"COALESCE(TRY_CAST({c} AS FLOAT), 0) AS {c}" for c in FEATURES)
+        x = f"CAST({number_sql(c)} AS DOUBLE)"
+        cols.append(f"COALESCE(CASE WHEN ID IS NOT NULL AND count({x}) OVER r = 5 THEN round(stddev_samp({x}) OVER r, 6) END, 0) AS {c}_roll5_std")
+    base = ", ".join(f"COALESCE({number_sql(c)}, 0) AS {c}" for c in FEATURES)
     return (
-        f"SELECT source, frame_seq, ID, CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label, {base}, " + ", ".join(cols)
+        f"SELECT source, frame_seq, COALESCE(ID, '0.0') AS ID, CASE WHEN source = '{BENIGN_FILE}' THEN 0 ELSE 1 END AS label, {base}, " + ", ".join(cols)
         + " FROM fp WINDOW w AS (PARTITION BY ID ORDER BY source_rank, frame_seq),"
         " r AS (PARTITION BY ID ORDER BY source_rank, frame_seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
     )

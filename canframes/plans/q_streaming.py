@@ -4,6 +4,7 @@ from the Parquet sink."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from canframes.operators.naive_bayes import GaussianNB
@@ -14,47 +15,45 @@ from canframes.plans.q_models import _GNB_CTES, _prob_sql
 from canframes.plans.q_sequence import POS_SQL, windows_sql
 from canframes.plans.q_split import prepared
 from canframes.schema import FEATURES
-from canframes.session import work_path
+from canframes.session import land, work_path
 from canframes.streaming.scoring import alert_counts, score_stream
-from canframes.streaming.windows import stream_windows
+from canframes.streaming.windows import read_windows, start_windows
 
-STREAM_FILES = 8
+STREAM_SLICES = 4
 ALERT_THRESHOLD = 0.5
 
 
-MIN_ROWS_PER_FILE = 1000
-
-
-def files_per_slice(spark, n_rows: int) -> int:
-    """Files per time slice: the shuffle parallelism spread over the slices, but at least
-    ~1000 rows per file so that range partitioning fills every one of them (a trigger
-    must read exactly one slice)."""
-    by_parallelism = int(spark.conf.get("spark.sql.shuffle.partitions")) // STREAM_FILES
-    by_size = n_rows // STREAM_FILES // MIN_ROWS_PER_FILE
-    return max(1, min(by_parallelism, by_size))
-
-
-def write_stream_input(spark, sf_dir, n_slices: int = STREAM_FILES) -> tuple[str, int]:
-    """The frames as ``n_slices`` time slices appended one after another (so file times
-    follow event time); each slice is written by ``files_per_slice`` parallel tasks as
-    that many range-partitioned files, and the stream reads exactly one slice per trigger."""
+def write_stream_input(spark, sf_dir, n_slices: int = STREAM_SLICES) -> tuple[str, int]:
+    """The frames as ``n_slices`` time slices appended one after another, so that file times
+    follow event time. The frames are scanned once: cut at approximate quantiles of the time
+    (a few numbers) and landed by slice; each append reads its slice alone and deals its
+    frames evenly over the files. Returns the folder and the files of a slice."""
     f = frames(spark, sf_dir)
+    secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    cuts = f.agg(F.percentile_approx(secs, [i / n_slices for i in range(1, n_slices)], 10000)).first()[0] or []
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + (secs > F.lit(cut)).cast("int")
+    sliced = land(f.withColumn("_slice", number), "stream-slices", ["_slice"])
+    sizes = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
+    # a trigger must read whole slices: the same number of files in each, none of them empty
+    per = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), min(sizes.values(), default=1) // 1000))
     out = work_path(spark, "stream-in")
-    per = files_per_slice(spark, f.count())
-    secs = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").cast("double")
-    cuts = f.select(secs.alias("s")).approxQuantile("s", [i / n_slices for i in range(1, n_slices)], 0.0)  # n_slices - 1 numbers
-    edges = [None, *cuts, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (secs > lo)
-        if hi is not None:
-            cond = cond & (secs <= hi)
-        part = f.filter(cond).repartitionByRange(per, "ts", "frame_id").sortWithinPartitions("ts", "frame_id")
-        part.write.mode("append").parquet(out)
+    for i in sorted(sizes):
+        before = _files(spark, out)
+        sliced.filter(F.col("_slice") == i).drop("_slice").repartition(per).write.mode("append").parquet(out)
+        if _files(spark, out) - before != per:
+            raise RuntimeError(f"slice {i} was not written as {per} files; a trigger would not read whole slices")
     return out, per
 
 
+def _files(spark, path: str) -> int:
+    try:
+        return spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    except AnalysisException:  # nothing written yet
+        return 0
+
+
 def run_to_sink(df, spark, name: str, mode: str = "append"):
     sink, ck = work_path(spark, f"{name}-out"), work_path(spark, f"{name}-ck")
     q = df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start()
@@ -78,7 +77,9 @@ def _stream(spark, sf_dir):
 )
 def q_stream_windows(spark, sf_dir):
     """Stateful per-ID count windows over micro-batches = the batch windows (T=10, any)."""
-    out = run_to_sink(stream_windows(_stream(spark, sf_dir), timesteps=10), spark, "stream-windows")
+    path, ck = work_path(spark, "stream-windows"), work_path(spark, "stream-windows-ck")
+    start_windows(_stream(spark, sf_dir), path, ck, timesteps=10, availableNow=True).awaitTermination()
+    out = read_windows(spark, path)
     return out.filter(~F.col("late")).select("ID", "start", "start_frame_id", "y")
 
 

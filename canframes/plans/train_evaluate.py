@@ -21,7 +21,7 @@ from canframes.operators.online import decision_function, fit_online
 from canframes.operators.scale import Standardizer, UniformBinner
 from canframes.plans.fixtures import clean_view
 from canframes.schema import FEATURES
-from canframes.session import cut_lineage
+from canframes.session import land
 
 LEARNERS = {
     "logreg": "LogReg(balanced)",
@@ -44,10 +44,10 @@ def train_evaluate(spark: SparkSession, sf_dir: str, learners: dict[str, str] |
 def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The same on any cleaned frame table (payload columns, label, frame_id, ID)."""
     learners = LEARNERS if learners is None else learners
-    df = cut_lineage(S.group_split(S.with_group_key(frames)))
+    df = land(S.group_split(S.with_group_key(frames)), "split-frames", ["split"])
     train_raw = df.filter(F.col("split") == "train")
     std = Standardizer.fit(train_raw)
-    z = cut_lineage(std.transform(df))
+    z = land(std.transform(df), "scaled", ["split"])
     train, test = z.filter(F.col("split") == "train"), z.filter(F.col("split") == "test")
     cols = ["frame_id", "label", "score"]
 
@@ -69,7 +69,7 @@ def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = N
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
-    scores = cut_lineage(scores)  # every report below reads the scores from here
+    scores = land(scores, "model-scores")  # every report below reads the scores from here
     metrics = M.metrics_table(M.eval_with_thresholds(scores, thr=None))
     audit = S.leakage_audit(df)
     return M.round_doubles(metrics), audit

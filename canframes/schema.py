@@ -10,6 +10,7 @@ FIXED VALUES (must stay equal to the behaviour being reproduced; do not edit):
 - benign source file: decimal_benign.csv
 - descriptor columns dropped on read: category, specific_class
 - frame label text map (after lower-casing): benign -> 0, 0 -> 0, attack -> 1, 1 -> 1
+- text of a CSV field that counts as missing (besides the empty field): see MISSING_TOKENS
 - synthetic group id when no ID column: "gid_" + (row position // 50)
 - time column candidates, first present wins: timestamp, time, ts
 - score-file truth column candidates (lower-cased, in order): label, category, target, y_true, gt, truth
@@ -45,6 +46,10 @@ ATTACK_FILES = [
 BENIGN_FILE = "decimal_benign.csv"
 DESCRIPTOR_COLUMNS = ["category", "specific_class"]
 LABEL_TEXT_MAP = {"benign": 0, "0": 0, "attack": 1, "1": 1}
+MISSING_TOKENS = [
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
 SYNTHETIC_ID_PREFIX = "gid_"
 SYNTHETIC_ID_BLOCK = 50
 TIME_COLUMNS = ["timestamp", "time", "ts"]

@@ -1,11 +1,12 @@
 """Frame CSV sources: one benign and five attack files, class decided by the file.
 
 Row order inside a file matters (synthetic IDs, stable sorts), so every scanned row gets
-its file-order position without a single-task numbering: rows are counted per file
-split (``_metadata.file_path`` / ``file_block_start``, at most one row per input split),
-split offsets are prefix sums over that small table, and the position inside a split is
-the distance of ``monotonically_increasing_id`` from the split's first id (ids are
-consecutive inside a scan partition and identical when a scan task is re-run).
+its file-order position without a single-task numbering. Each file is scanned once: rows
+are landed as Parquet together with the coordinates of that scan (``_metadata.file_path``,
+``file_block_start`` and ``monotonically_increasing_id``, consecutive inside a split), so
+nothing depends on a later scan being cut the same way. Rows are then counted per split of
+the landed copy, split offsets are prefix sums over that small table, and the position
+inside a split is the distance from the split's first id.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canframes.functions.clean import drop_incomplete, read_and_clean
+from canframes.functions.clean import drop_incomplete, missing_tokens_to_null, read_and_clean
 from canframes.operators.positions import join_small
-from canframes.session import cut_lineage
+from canframes.session import land
 from canframes.schema import (
     ATTACK_FILES,
     BENIGN_FILE,
@@ -35,7 +36,7 @@ def scan_csv(spark: SparkSession, path: str, source: str, rank: int) -> DataFram
     """All columns as text (no inference), plus source name / rank and scan coordinates."""
     df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *[missing_tokens_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns],
         F.lit(source).alias(SOURCE_COL),
         F.lit(rank).alias(SOURCE_RANK_COL),
         F.col("_metadata.file_path").alias("_file"),
@@ -47,20 +48,26 @@ def scan_csv(spark: SparkSession, path: str, source: str, rank: int) -> DataFram
 def with_file_positions(df: DataFrame, group_col: str | None = None) -> DataFrame:
     """``frame_seq`` = position inside the source; ``class_pos`` = position inside the
     concatenation of the sources (in rank order) of the same ``group_col`` value."""
+    df = land(df, "csv-scan")
     keys = [SOURCE_RANK_COL, "_file", "_blk0"]
     grp = [group_col] if group_col else []
     splits = df.groupBy(*grp, *keys).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     in_src = Window.partitionBy(*grp, SOURCE_RANK_COL).orderBy("_file", "_blk0").rowsBetween(Window.unboundedPreceding, -1)
     in_cls = Window.partitionBy(*grp).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        *grp, *keys, "_m0",
-        F.coalesce(F.sum("_c").over(in_src), F.lit(0)).alias("_os"),
-        F.coalesce(F.sum("_c").over(in_cls), F.lit(0)).alias("_oc"),
+    # one row per input split (~400k at 100 TB with 256 MB splits), each with a file path;
+    # broadcast behind the size check, so the data itself is not shuffled for the join
+    splits = land(
+        splits.select(
+            *grp, *keys, "_m0", "_c",
+            F.coalesce(F.sum("_c").over(in_src), F.lit(0)).alias("_os"),
+            F.coalesce(F.sum("_c").over(in_cls), F.lit(0)).alias("_oc"),
+        ),
+        "csv-splits",
     )
-    # one row per input split (~400k at 100 TB with 256 MB splits): written once, then
-    # broadcast behind the size check so the data itself is never shuffled for the join
-    splits = cut_lineage(splits)
-    j = join_small(df, splits, grp + keys, "inner", splits.count(), 128)
+    known = splits.agg(F.count(F.lit(1)), F.sum("_c"), F.max(F.length("_file"))).first()
+    if (known[1] or 0) != df.count():
+        raise RuntimeError("the split table does not cover every landed row")
+    j = join_small(df, splits.drop("_c"), grp + keys, "inner", known[0], 64 + 2 * (known[2] or 0))
     local = F.col("_mid") - F.col("_m0")
     return j.withColumn(FRAME_SEQ_COL, F.col("_os") + local).withColumn(CLASS_POS_COL, F.col("_oc") + local).drop(
         *_META, "_m0", "_os", "_oc"

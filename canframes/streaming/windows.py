@@ -1,86 +1,74 @@
-"""Streaming sliding count-windows per ID with ``applyInPandasWithState``.
+"""Streaming sliding count-windows per ID as a ``foreachBatch`` sink, in DataFrame operations.
 
-State per ID: the frames seen so far (count), the labels / frame ids of the last T-1
-frames and the (time, frame id) of the last frame. Each micro-batch appends its frames of
-the ID (in time order) to that tail and emits every window that became complete; results
-equal the batch windows when frames of an ID arrive in time order across micro-batches.
-A frame not later than the last frame already taken for its ID is late: it is left out
-of the windows and emitted as a side-output row (``late`` = true). State size is O(T)
-per ID.
+State: the last T - 1 frames of each ID (at least one) with their positions, a Parquet
+table written per micro-batch under the output folder. A micro-batch numbers its frames
+behind the state (range partitions, so an ID with most of the batch spreads over tasks),
+puts the stored tail in front and runs the batch windows on (ID, block) partitions; results
+equal the batch windows when frames of an ID arrive in time order across micro-batches. A
+frame not later than the last frame already taken for its ID is late: it is left out of the
+windows and written as a side-output row (``late`` = true). Frames without an ID belong to no
+sequence and are left out. Every batch overwrites its own folders, so a batch that is run again
+after a failure leaves the same result.
 """
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-# pandas notice raised inside the Python worker's state serializer, not by this code
-warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
+from canframes.operators.positions import with_positions
+from canframes.operators.sequence import sequence_windows
+from canframes.schema import N_COL, POS_COL
+from canframes.session import land
 
 OUTPUT_SCHEMA = "ID string, start long, start_frame_id long, y int, late boolean"
-STATE_SCHEMA = "seen long, tail_label array<int>, tail_frame array<long>, last_ts long, last_fid long"
 
 
-def _window_labels(labels: np.ndarray, timesteps: int, rule: str, pos_ratio: float) -> np.ndarray:
-    """Label of each full window starting at 0..len-T (vectorized over the batch)."""
-    n = len(labels) - timesteps + 1
-    if rule == "last":
-        return labels[timesteps - 1 :].astype("int32")
-    c = np.concatenate([[0], np.cumsum(labels, dtype=np.int64)])
-    sums = c[timesteps : timesteps + n] - c[:n]
-    if rule in ("any", "max"):
-        return (sums > 0).astype("int32")
-    return (sums.astype("float64") / float(timesteps) >= pos_ratio).astype("int32")
+class CountWindows:
+    """``foreachBatch`` function; results under ``path/out``, state under ``path/state``."""
 
+    def __init__(self, path: str, timesteps: int = 10, step: int = 1, rule: str = "any", pos_ratio: float = 0.3):
+        self.path, self.timesteps, self.step, self.rule, self.pos_ratio = path, timesteps, step, rule, pos_ratio
+        self.keep = max(timesteps - 1, 1)
 
-def make_window_fn(timesteps: int, step: int = 1, rule: str = "any", pos_ratio: float = 0.3, order: tuple[str, ...] = ("ts", "frame_id")):
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="mergesort")
-        ts_us = batch[order[0]].to_numpy(dtype="datetime64[us]").astype("int64")
-        fid_all = batch["frame_id"].to_numpy(dtype="int64")
-        if state.exists:
-            seen, tail_label, tail_frame, last_ts, last_fid = state.get
-            tail_label, tail_frame = list(tail_label), list(tail_frame)
-            late = (ts_us < last_ts) | ((ts_us == last_ts) & (fid_all <= last_fid))
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.filter("ID IS NOT NULL").select(F.col("ID").cast("string").alias("ID"), "ts", F.col("frame_id").cast("long"), F.col("label").cast("int"))
+        columns = ["ID", POS_COL, "ts", "frame_id", "label"]
+        if batch_id:
+            tail = spark.read.parquet(f"{self.path}/state/batch={batch_id - 1}").select(columns)
+            last = tail.groupBy("ID").agg(F.max_by(F.struct("ts", "frame_id"), POS_COL).alias("_last"), (F.max(POS_COL) + 1).alias("_seen"))
+            new = land(new.join(last, "ID", "left"), "stream-batch")
+            late = F.col("_last").isNotNull() & (F.struct("ts", "frame_id") <= F.col("_last"))
         else:
-            seen, tail_label, tail_frame = 0, [], []
-            late = np.zeros(len(batch), dtype=bool)
-        out = []
-        if late.any():
-            lb = batch[late]
-            out.append(pd.DataFrame({"ID": str(key[0]), "start": pd.array([None] * len(lb), dtype="Int64"),
-                                     "start_frame_id": lb["frame_id"].to_numpy(dtype="int64"), "y": lb["label"].to_numpy(dtype="int32"), "late": True}))
-        batch = batch[~late]
-        if len(batch):
-            labels = np.concatenate([np.asarray(tail_label, dtype="int32"), batch["label"].to_numpy(dtype="int32")])
-            fids = np.concatenate([np.asarray(tail_frame, dtype="int64"), batch["frame_id"].to_numpy(dtype="int64")])
-            first_pos = seen - len(tail_label)  # position of labels[0] inside the ID
-            if len(labels) >= timesteps:
-                ys = _window_labels(labels, timesteps, rule, pos_ratio)
-                starts = first_pos + np.arange(len(ys))
-                keep = starts % step == 0  # every window here holds at least one new frame
-                out.append(pd.DataFrame({"ID": str(key[0]), "start": starts[keep], "start_frame_id": fids[: len(ys)][keep], "y": ys[keep], "late": False}))
-            keep_n = timesteps - 1
-            state.update(
-                (int(seen + len(batch)), [int(v) for v in labels[-keep_n:]], [int(v) for v in fids[-keep_n:]],
-                 int(ts_us[~late][-1]), int(fid_all[~late][-1]))
-            )
-        if out:
-            res = pd.concat(out, ignore_index=True)
-            yield res.astype({"start": "Int64", "start_frame_id": "int64", "y": "int32", "late": "bool"})
+            tail, late, new = None, F.lit(False), new.withColumn("_seen", F.lit(None).cast("long"))
+        seen = F.coalesce("_seen", F.lit(0))
+        rows = with_positions(new.filter(~late), "ID", ["ts", "frame_id"])
+        rows = rows.select("ID", (F.col(POS_COL) + seen).alias(POS_COL), "ts", "frame_id", "label", (F.col(N_COL) + seen).alias(N_COL))
+        if tail is not None:
+            sizes = rows.groupBy("ID").agg(F.max(N_COL).alias(N_COL))
+            older = land(tail.join(sizes, "ID", "left").select(*columns, N_COL), "stream-tail")
+            rows = rows.unionByName(older)
+        windows = sequence_windows(rows.filter(F.col(N_COL).isNotNull()), self.timesteps, self.step, self.rule, self.pos_ratio)
+        out = windows.select("ID", "start", "start_frame_id", "y", F.lit(False).alias("late"))
+        if tail is not None:
+            out = out.unionByName(new.filter(late).select(
+                "ID", F.lit(None).cast("long").alias("start"), F.col("frame_id").alias("start_frame_id"), F.col("label").alias("y"), F.lit(True).alias("late")
+            ))
+        out.write.mode("overwrite").parquet(f"{self.path}/out/batch={batch_id}")
+        rest = rows.filter(F.col(N_COL).isNull() | (F.col(POS_COL) >= F.col(N_COL) - self.keep))
+        rest.select(columns).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch_id}")
+
 
-    return fn
+def start_windows(frames: DataFrame, path: str, checkpoint: str, timesteps: int = 10, step: int = 1, rule: str = "any", pos_ratio: float = 0.3, **trigger) -> StreamingQuery:
+    """Start the windows of a frame stream (columns ID, ts, frame_id, label); ``trigger`` as
+    for ``DataStreamWriter.trigger``. Read the results with :func:`read_windows`."""
+    writer = frames.writeStream.foreachBatch(CountWindows(path, timesteps, step, rule, pos_ratio)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def stream_windows(frames: DataFrame, timesteps: int = 10, step: int = 1, rule: str = "any", pos_ratio: float = 0.3, key: str = "ID") -> DataFrame:
-    """Windows per ID from a frame stream (columns ``key``, ts, frame_id, label), plus
-    late frames as rows with ``late`` = true (``start`` null, ``start_frame_id`` = the
-    frame, ``y`` = its label)."""
-    fn = make_window_fn(timesteps, step, rule, pos_ratio)
-    slim = frames.select(frames[key].cast("string").alias("ID"), "ts", "frame_id", "label")
-    return slim.groupBy("ID").applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def read_windows(spark, path: str) -> DataFrame:
+    """Windows and late frames written so far; late rows have ``start`` null,
+    ``start_frame_id`` = the frame and ``y`` = its label."""
+    return spark.read.schema(OUTPUT_SCHEMA + ", batch int").parquet(f"{path}/out").drop("batch")

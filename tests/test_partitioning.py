@@ -1,12 +1,14 @@
-"""Results do not depend on partitioning, and the skew paths (bucketed positions, blocked
-windows, bucketed running sums) equal the plain paths."""
+"""Results do not depend on partitioning; positions, blocked windows and running sums equal
+plain windows at every partition count."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canframes.operators import metrics as M
 from canframes.operators import sequence as Q
+from canframes.operators.positions import with_positions
 from canframes.plans.fixtures import clean_view, scores
 from canframes.plans.q_split import prepared
 from tests.conftest import SMALL, rows
@@ -35,17 +37,23 @@ def test_split_exact_group_count(spark):
     assert by["test"] + by["train"] == total
 
 
-def test_bucketed_positions_equal_plain(spark):
+def test_positions_equal_a_plain_window(spark):
+    """Text, tied and null times and null keys, at several partition counts."""
     cv = clean_view(spark, SMALL)
-    plain = rows(Q.positions(cv, buckets=1).select("frame_id", "pos", "n_in_id"))
-    for b in (2, 16, 128):
-        assert rows(Q.positions(cv.repartition(7), buckets=b, target_rows=50).select("frame_id", "pos", "n_in_id")) == plain
+    text = F.when(F.col("frame_id") % 7 == 0, F.lit(None)).otherwise((F.col("frame_id") * 37 % 400).cast("string"))
+    for df, order in ((cv, ["ts", "frame_id"]), (cv.withColumn("ts", text), ["ts", "frame_id"])):
+        df = df.withColumn("ID", F.when(F.col("frame_id") % 11 != 0, F.col("ID")))
+        w = Window.partitionBy("ID")
+        by = [F.col(c).asc_nulls_last() for c in order]
+        plain = rows(df.select("frame_id", (F.row_number().over(w.orderBy(*by)) - 1).cast("long").alias("pos"), F.count("*").over(w).alias("n_in_id")))
+        for parts in (1, 3, 16):
+            assert rows(with_positions(df.repartition(7), "ID", order, parts=parts).select("frame_id", "pos", "n_in_id")) == plain
 
 
 def test_blocked_windows_equal_plain(spark):
     cv = clean_view(spark, SMALL)
     fp = Q.positions(cv)
-    fp_b = Q.positions(cv, buckets=8, target_rows=50)
+    fp_b = Q.positions(cv, parts=31)
     ctx = rows(Q.add_sequence_context(fp).select("frame_id", *Q.context_features()))
     assert rows(Q.add_sequence_context(fp_b, block_rows=6).select("frame_id", *Q.context_features())) == ctx
     for rule, T in (("any", 10), ("last", 20), ("ratio", 20)):
@@ -53,26 +61,11 @@ def test_blocked_windows_equal_plain(spark):
         assert rows(Q.sequence_windows(fp_b, timesteps=T, label_rule=rule, block_rows=T + 3)) == w
 
 
-def test_bucketed_curve_equals_plain(spark):
+def test_curve_equals_plain(spark):
     s = scores(spark, SMALL)
-    plain = rows(M.curve(s, buckets=1))
-    assert rows(M.curve(s.repartition(5), buckets=16)) == plain
-    assert rows(M.curve(s, buckets=64)) == plain
-
-
-def test_bucket_lookup_equals_bisect(spark):
-    import bisect
-    import random
-
-    from canframes.operators.positions import with_count_below
-
-    rnd = random.Random(7)
-    for size in (1, 2, 3, 7, 15, 63, 255, 1023):
-        bounds = sorted(rnd.randint(0, 40) for _ in range(size))
-        vals = list(range(-2, 43))
-        df = spark.createDataFrame([(bounds, v) for v in vals], "b array<bigint>, v bigint")
-        got = [r.o for r in with_count_below(df, "b", "v", size, "o").orderBy("v").collect()]
-        assert got == [bisect.bisect_left(bounds, v) for v in vals]
+    plain = rows(M.curve(s, parts=1))
+    assert rows(M.curve(s.repartition(5), parts=16)) == plain
+    assert rows(M.curve(s, parts=64)) == plain
 
 
 def test_queries_independent_of_partitioning(spark):

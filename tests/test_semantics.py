@@ -216,3 +216,25 @@ def test_byte_exact_row_hash(spark):
         assert got[i][0] == hashlib.sha1(np.asarray(v, dtype="float32").tobytes()).hexdigest()
     assert got[1][0] != got[2][0]  # the byte digest separates -0.0 from 0.0
     assert got[1][1] != got[2][1]  # so does the text key ("-0.0" vs "0.0"), unlike plain grouping
+
+
+def test_scaler_of_large_values_does_not_cancel(spark):
+    df = spark.createDataFrame([(1e9 + i % 3, 0.0) for i in range(3000)], "x double, k double")
+    got = {r.feature: (r.mean, r.scale) for r in _scaler_rows(df)}
+    assert abs(got["x"][1] - (2 / 3) ** 0.5) < 1e-9 and got["k"] == (0.0, 1.0)
+
+
+def _scaler_rows(df):
+    from canframes.operators.scale import scaler_params
+
+    return scaler_params(df, ["x", "k"]).collect()
+
+
+def test_ids_of_digits_sort_as_numbers(spark):
+    from canframes.operators.sequence import id_index
+
+    def index(ids):
+        return {r.ID: r.id_idx for r in id_index(spark.createDataFrame([(i,) for i in ids], "ID string")).collect()}
+
+    assert index(["10", "2", "300", "2", None]) == {"2": 0, "10": 1, "300": 2}
+    assert index(["10", "2", "gid_1"]) == {"10": 0, "2": 1, "gid_1": 2}

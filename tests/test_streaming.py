@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from canframes.session import work_path
-from canframes.streaming.windows import stream_windows
+from canframes.streaming.windows import read_windows, start_windows
 
 
 def _write(spark, path, rows):
@@ -19,13 +19,15 @@ def test_windows_across_batches_and_late_frames(spark):
     # ID 1: frames at t = 0..11 split over two files, then a late frame (t = 5) in a third file
     schema = _write(spark, src, [(1, t, t, int(t == 3)) for t in range(7)])
     _write(spark, src, [(1, t, t, 0) for t in range(7, 12)])
-    _write(spark, src, [(1, 5, 100, 1), (1, 12, 12, 0)])
+    _write(spark, src, [(1, 5, 100, 1), (1, 12, 12, 0), (2, 0, 50, 1), (None, 1, 60, 1)])
+    _write(spark, src, [(2, t, 50 + t, 0) for t in range(1, 6)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    sink, ck = work_path(spark, "late-out"), work_path(spark, "late-ck")
-    q = stream_windows(stream, timesteps=5).writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.parquet(sink)
-    win = sorted((r.start, r.start_frame_id, r.y) for r in out.filter(~F.col("late")).collect())
+    path, ck = work_path(spark, "late-out"), work_path(spark, "late-ck")
+    start_windows(stream, path, ck, timesteps=5, availableNow=True).awaitTermination()
+    out = read_windows(spark, path)
+    windows = out.filter(~F.col("late")).collect()
+    assert sorted((r.start, r.start_frame_id, r.y) for r in windows if r.ID == "2") == [(0, 50, 1), (1, 51, 0)]
+    win = sorted((r.start, r.start_frame_id, r.y) for r in windows if r.ID == "1")
     # 13 in-order frames (t = 0..12) -> starts 0..8; 'any' label is 1 while frame 3 is inside
     assert win == [(s, s, int(s <= 3)) for s in range(9)]
     late = [(r.start_frame_id, r.y) for r in out.filter("late").collect()]
