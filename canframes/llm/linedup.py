@@ -162,7 +162,9 @@ def deletions(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     loses any."""
     seen = land(profiles(docs, min_words), "line-profiles").dropDuplicates(_KEY)
     keys = seen.select(F.struct(*_KEY).alias("d"), F.explode("k").alias("k"))
+    # landed, so that both sides of the join are plain shuffles and a hot key can be split
     firsts = keys.groupBy("k").agg(F.min("d").alias("first"), F.count("*").alias("df")).filter("df > 1").select("k", "first")
+    firsts = land(firsts, "line-firsts")
     pairs = keys.join(firsts, "k").filter(F.col("d") != F.col("first")).select(F.col("d").alias("later"), "first").distinct()
     arrays = seen.select(F.struct(*_KEY).alias("d"), "h", "w")
     sides = (
