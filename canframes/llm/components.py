@@ -2,8 +2,8 @@
 
 Every round is two aggregations and two joins over the edges, landed in the shared folder;
 edges are never collected. A node with very many neighbours is pre-aggregated (its minimum
-is a partial aggregate) and only meets the join as a skewed key, which adaptive execution
-splits. The round count grows with the logarithm of the component sizes; the loop ends when
+is a partial aggregate, landed) and only meets the join as a skewed key of a plain shuffle,
+which adaptive execution splits. The round count grows with the logarithm of the component sizes; the loop ends when
 a round changes nothing."""
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from canframes.session import land
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = land(least, "star-minima")
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = land(down.groupBy("a").agg(F.min("b").alias("m")), "star-minima")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
