@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -23,9 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_PER_BATCH = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts travel in Arrow batches: unless the session says otherwise, batches of
+    1,000 rows instead of Spark's 10,000 keep a task's buffers to a few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[list[dict]], Iterator[dict] | list[dict]], columns: list[str], chunk_rows: int = 256) -> DataFrame:
     """``fn`` over chunks of rows of ``columns`` in Arrow batches; only those columns travel.
     Chunks keep the Python objects alive at one time to a few hundred documents."""
+    bounded_batches(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
@@ -45,6 +58,17 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+@contextlib.contextmanager
+def scoped_setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs run inside the block only."""
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Shared:
     """A driver-side object of bounded size for the tasks, broadcast once; pickled by value
     so that executors need no install of this subpackage."""

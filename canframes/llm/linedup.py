@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canframes.llm.common import map_batches
+from canframes.llm.common import bounded_batches, map_batches
 from canframes.session import land
 
 MIN_BLOCK_WORDS = 8
@@ -209,6 +209,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     earlier; null ids come last; an empty table gives no rows; other columns pass through
     untouched, whatever their names (those starting with ``_`` and ``lines`` included)."""
     names = docs.columns
+    bounded_batches(docs.sparkSession)
     out = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     out = _keyed(out).join(deletions(docs, min_words), _KEY, "left")
     text = _without(F.col("text"), F.col("lines"))

@@ -19,15 +19,16 @@ rest get those units from a shuffle join and are encoded the same way."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canframes.llm.common import Shared, map_batches
+from canframes.llm.common import Shared, bounded_batches, map_batches, scoped_setting
 from canframes.llm.spans import let
 from canframes.session import land
 
@@ -35,6 +36,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 DICTIONARY_BYTES = 96 << 20
 _LETTERS = "A-Za-zÀ-ɏ"
+_OTHER = re.compile(f"[^{_LETTERS}{MARK}]|{MARK}{MARK}")
 _BLOCK = 256
 
 
@@ -71,12 +73,23 @@ class PieceTable:
 
         return [(p, i, s) for p, i, s in self.pieces if len(p) == 1 or apart(p) <= s]
 
+    def most_ending(self, of_letters: bool) -> int:
+        """How many pieces can end at one position at most, in a unit of letters (behind one mark) or in
+        any unit: those that do are suffixes of the longest of them. One more for a character
+        without a piece."""
+        known = {p for p, _, _ in self.useful() if not of_letters or not _OTHER.search(p)}
+        return 1 + max((sum(p[k:] in known for k in range(len(p))) for p in known), default=0)
+
+    def mixed(self) -> bool:
+        """Whether a piece goes across letters and other characters."""
+        across = re.compile(f"[{_LETTERS}][^{_LETTERS}{MARK}]|[^{_LETTERS}{MARK}][{_LETTERS}]")
+        return any(across.search(p) for p, _, _ in self.pieces)
+
     def unit_pattern(self) -> str:
         """A pattern of units that no piece crosses."""
         if any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
             raise ValueError("pieces with a space mark behind other characters are not supported")
-        across = re.compile(f"[{_LETTERS}][^{_LETTERS}{MARK}]|[^{_LETTERS}{MARK}][{_LETTERS}]")
-        if any(across.search(p) for p, _, _ in self.pieces):
+        if self.mixed():
             return f"{MARK}*[^{MARK}]+|{MARK}+"
         return f"{MARK}*(?:[{_LETTERS}]+|[^{_LETTERS}{MARK}]+)|{MARK}+"
 
@@ -97,103 +110,141 @@ def load_pieces(path: str = DEFAULT_MODEL) -> PieceTable:
     return PieceTable(pieces, [in_bytes[f"<0x{b:02X}>"] for b in range(256)] if in_bytes else None, sp.unk_id())
 
 
-def _normal(text: Column, table: PieceTable) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return F.when(t == "", "").otherwise(F.concat(F.lit(MARK if table.dummy_prefix else ""), F.replace(t, F.lit(" "), F.lit(MARK))))
+class Units:
+    """Cuts a text into its units."""
+
+    def __init__(self, table: PieceTable):
+        self.prefix, self.pattern = MARK if table.dummy_prefix else "", table.unit_pattern()
+        self._find = None
+
+    def __call__(self, text: str | None) -> list[str]:
+        self._find = self._find or re.compile(self.pattern).findall
+        return self._find(self.prefix + text.replace(" ", MARK)) if text else []
+
+
+_OPEN_UNITS = 100_000  # distinct units a task counts before it hands them on
 
 
 def count_units(texts: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n) of the column ``text``."""
-    units = F.regexp_extract_all(_normal(F.col("text"), table), F.lit(table.unit_pattern()), F.lit(0))
-    return texts.select(F.explode(units).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    """(unit, n) of the column ``text``. Tasks count in Arrow batches and hand on at most
+    ``_OPEN_UNITS`` units at a time; Spark sums them up."""
+    units = Units(table)
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def handed():
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                counts.update(units(text.as_py()))
+                if len(counts) >= _OPEN_UNITS:
+                    yield handed()
+        if counts:
+            yield handed()
+
+    return texts.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+UNITS_PER_TASK = 20_000
 
 
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(h, unit, n, edges): every piece that stands somewhere in a unit as (end, start, id,
-    score), by end and start; id -1 for a character without a piece. Grouped by the hash
-    ``h`` of the unit, which sorts faster than the text; two units with one hash are an error."""
-    useful = table.useful()
-    pieces = F.broadcast(units.sparkSession.createDataFrame(useful, "piece string, id int, score double"))
-    longest = max((len(p) for p, _, _ in useful), default=1)
-    dealt = units.withColumn("h", F.xxhash64("unit")).repartition("h").withColumn("size", F.length("unit"))
+    """(h, unit, n, edges): every piece that stands somewhere in a unit as one number, with
+    its end, its length and its place + 1 among the useful pieces in the bits from high to
+    low, sorted; place -1 for a character without a piece. ``units`` is a landed table; its
+    size sets the number of tasks, so that none spills."""
+    useful = [(p, k) for k, (p, _, _) in enumerate(table.useful())]
+    pieces = F.broadcast(units.sparkSession.createDataFrame(useful, "piece string, place int"))
+    longest = max((len(p) for p, _ in useful), default=1)
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_PER_TASK))
+    dealt = units.withColumn("h", F.xxhash64("unit")).repartition(tasks, "h").withColumn("size", F.length("unit"))
     starts = dealt.select("h", "unit", "n", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("start"))
     ends = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start") + 1))
     parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("len"))
     parts = parts.withColumn("piece", F.substring(F.col("unit"), F.col("start"), F.col("len")))
-    met = parts.join(pieces, "piece", "left").filter("id IS NOT NULL OR len = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("len") - 1).alias("end"), (F.col("start") - 1).alias("start"),
-        F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-    )
-    whole = F.when(F.col("start") == 1, F.when(F.col("len") == 1, F.col("unit")))  # once a unit
-    grouped = met.groupBy("h").agg(F.collect_list(whole).alias("units"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    one = F.when(F.size("units") == 1, F.col("units")[0]).otherwise(F.raise_error(F.lit("two units have the same hash")))
-    return grouped.select("h", one.alias("unit"), "n", "edges")
-
-
-def _push(full: Column, block: Column, value: Column, kind: str) -> tuple[Column, Column]:
-    """Append to a list kept as full blocks and an open one (appending copies the open one)."""
-    more = F.concat(block, F.array(value))
-    done = F.size(block) >= _BLOCK - 1
-    return F.when(done, F.concat(full, F.array(more))).otherwise(full), F.when(done, F.array().cast(f"array<{kind}>")).otherwise(more)
-
-
-def best_path(edges: Column, size: Column, longest: int) -> Column:
-    """array<struct<id, end>>: the pieces of the best path over ``edges`` (by end, start)."""
-    doubles, longs = F.array().cast("array<double>"), F.array().cast("array<bigint>")
-    start = F.struct(
-        F.lit(0).alias("end"), F.lit(0.0).alias("best"), F.lit(0).cast("bigint").alias("back"), doubles.alias("window"),
-        F.array().cast("array<array<bigint>>").alias("full"), longs.alias("block"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        same = x["end"] == acc["end"]
-        grown = F.concat(acc["window"], F.array(acc["best"]))
-        window = F.when(same, acc["window"]).when(F.size(acc["window"]) >= longest, F.slice(grown, 2, longest)).otherwise(grown)
-        full, block = _push(acc["full"], acc["block"], acc["back"], "bigint")
-
-        def choose(w: Column) -> Column:
-            score = F.get(w["w"], x["start"] - x["end"] + F.size(w["w"])) + x["score"]
-            back = F.shiftleft((x["end"] - x["start"]).cast("bigint"), 32) + x["id"] + 1
-            return let(F.struct(w["w"].alias("w"), score.alias("s"), back.alias("b")), lambda c: F.struct(
-                x["end"].alias("end"), F.when(~same | (c["s"] > acc["best"]), c["s"]).otherwise(acc["best"]).alias("best"),
-                F.when(~same | (c["s"] > acc["best"]), c["b"]).otherwise(acc["back"]).alias("back"), c["w"].alias("window"),
-                F.when(same, acc["full"]).otherwise(full).alias("full"), F.when(same, acc["block"]).otherwise(block).alias("block"),
-            ))
-
-        return let(F.struct(window.alias("w")), choose)
-
-    found = F.aggregate(edges, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(F.concat(acc["block"], F.array(acc["back"]))))))
-
-    def walk(backs: Column) -> Column:
-        zero = F.struct(size.alias("at"), F.array().cast("array<array<struct<id:int,end:int>>>").alias("full"), F.array().cast("array<struct<id:int,end:int>>").alias("block"))
-
-        def back(acc: Column, end: Column) -> Column:
-            entry = F.get(backs, end)
-            full, block = _push(acc["full"], acc["block"], F.struct((entry.bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int").alias("id"), end.alias("end")), "struct<id:int,end:int>")
-            here = end == acc["at"]
-            return F.struct(
-                F.when(here, end - F.shiftright(entry, 32).cast("int")).otherwise(acc["at"]).alias("at"),
-                F.when(here, full).otherwise(acc["full"]).alias("full"), F.when(here, block).otherwise(acc["block"]).alias("block"),
-            )
-
-        return F.reverse(F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), zero, back, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["block"])))))
-
-    return let(found, walk)
+    met = parts.join(pieces, "piece", "left").filter("place IS NOT NULL OR len = 1")
+    end = F.shiftleft((F.col("start") + F.col("len") - 1).cast("bigint"), 32)
+    edge = end + F.shiftleft(F.col("len").cast("bigint"), 24) + F.coalesce("place", F.lit(-1)) + 1
+    # grouped by the hash first, which sorts faster than the text
+    return met.groupBy("h", "unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _place(code: Column) -> Column:
+    """Place + 1 of the piece among the useful ones; 0 for a character without a piece."""
+    return code.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+
+
+def _len(code: Column) -> Column:
+    return F.shiftright(code, 24).bitwiseAND(F.lit(255)).cast("int")
+
+
+def best_path(edges: Column, size: Column, scores: Column, longest: int, most: Column) -> Column:
+    """Codes of the best path over ``edges`` (sorted codes); ``scores`` by place + 1. The
+    fold goes over the positions; at most ``most`` edges end at one, so those that end here
+    are among the next ``most`` edges. The state is the number of edges done and, for
+    the last ``longest`` positions, the best score and path; a path is a list of full blocks
+    and an open one, since appending copies the open one."""
+    block = F.array().cast("array<bigint>")
+    first = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<array<bigint>>").alias("full"), block.alias("block"))
+
+    def step(acc: Column, end: Column) -> Column:
+        here = F.filter(F.slice(edges, acc["done"] + 1, most), lambda x: F.shiftright(x, 32) == end)
+
+        def extend(own: Column) -> Column:
+            window = acc["window"]
+            before = lambda code: F.get(window, F.size(window) - _len(code))
+            best = F.array_max(F.transform(own, lambda x: F.struct((before(x)["s"] + F.get(scores, _place(x))).alias("s"), x.alias("code"))))
+
+            def take(b: Column) -> Column:
+                def push(path: Column) -> Column:
+                    more = F.concat(path["block"], F.array(b["code"]))
+                    full = F.size(path["block"]) >= _BLOCK - 1
+                    entry = F.when(full, F.struct(b["s"].alias("s"), F.concat(path["full"], F.array(more)).alias("full"), block.alias("block"))).otherwise(
+                        F.struct(b["s"].alias("s"), path["full"].alias("full"), more.alias("block"))
+                    )
+                    grown = F.concat(window, F.array(entry))
+                    return F.struct(
+                        (acc["done"] + F.size(own)).alias("done"),
+                        F.when(F.size(window) >= longest, F.slice(grown, 2, longest)).otherwise(grown).alias("window"),
+                    )
+
+                return let(before(b["code"]), push)
+
+            return let(best, take)
+
+        return let(here, extend)
+
+    zero = F.struct(F.lit(0).alias("done"), F.array(first).alias("window"))
+    last = F.aggregate(F.sequence(F.lit(1).cast("bigint"), size.cast("bigint")), zero, step, lambda acc: F.element_at(acc["window"], -1))
+    return let(last, lambda x: F.flatten(F.concat(x["full"], F.array(x["block"]))))
+
+
+def _constants(values: list, kind: str) -> Column:
+    """A constant array: one literal once the plan is optimised, however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def segment(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(h, unit, n, ids): the piece ids of every distinct unit."""
-    path = best_path(F.col("edges"), F.length("unit"), table.longest)
+    """(h, unit, n, ids): the piece ids of every distinct unit of a landed table (unit, n)."""
+    useful = table.useful()
+    scores = _constants([table.unknown_score, *[s for _, _, s in useful]], "double")
+    longest = max((len(p) for p, _, _ in useful), default=1)
+    most = F.when(F.col("unit").rlike(_OTHER.pattern), F.lit(table.most_ending(False))).otherwise(F.lit(table.most_ending(True)))
+    path = let(most, lambda m: best_path(F.col("edges"), F.length("unit"), scores, longest, m))
     if table.byte_ids:
-        ids = F.array(*map(F.lit, table.byte_ids))
+        byte_ids = _constants(table.byte_ids, "int")
 
-        def spelled(p: Column) -> Column:
-            code = F.hex(F.substring(F.col("unit"), p["end"], F.lit(1)).cast("binary"))
-            return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.get(ids, F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")))
+        def spelled(code: Column) -> Column:
+            char = F.hex(F.substring(F.col("unit"), F.shiftright(code, 32).cast("int"), F.lit(1)).cast("binary"))
+            return F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(char, i, F.lit(2)), 16, 10).cast("int")))
     else:
-        spelled = lambda p: F.array(F.lit(table.unknown))
-    each = F.transform(path, lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(spelled(p)))
+        spelled = lambda code: F.array(F.lit(table.unknown))
+    ids = _constants([-1, *[i for _, i, _ in useful]], "int")
+    each = F.transform(path, lambda c: F.when(_place(c) > 0, F.array(F.get(ids, _place(c)))).otherwise(spelled(c)))
     return lattice(units, table).select("h", "unit", "n", F.flatten(each).alias("ids"))
 
 
@@ -206,21 +257,25 @@ class Dictionary:
     ids: np.ndarray
 
     @staticmethod
-    def of(rows: pa.Table) -> Dictionary:
-        keys = rows["h"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        lists = rows["ids"].combine_chunks()
-        flat, sizes = lists.flatten().to_numpy().astype(np.uint16 if _fits(lists) else np.int32), lists.value_lengths().to_numpy()
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        return Dictionary(keys[order], np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int32), flat[_ranges(begin[order], sizes[order])])
+    def of(rows: DataFrame, largest_id: int) -> Dictionary:
+        """Of (h, ids), sorted by Spark, so that the driver only lays chunks end to end."""
+        small = largest_id < 1 << 15
+        got = rows.select("h", F.col("ids").cast("array<smallint>" if small else "array<int>").alias("ids")).orderBy("h").toArrow()
+        lay = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        keys = lay([c.to_numpy() for c in got["h"].chunks], np.int64)
+        sizes = lay([c.value_lengths().to_numpy() for c in got["ids"].chunks], np.int32)
+        ids = lay([c.flatten().to_numpy() for c in got["ids"].chunks], np.int16 if small else np.int32)
+        return Dictionary(keys, np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)]), ids)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first id, number of ids) of each key; -1 ids where a key is missing."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        if not len(self.keys) or not len(keys):
+            return np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        order = np.argsort(keys)  # lookups in ascending order stay in the cache
+        at = np.empty(len(keys), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
         size = np.where(self.keys[at] == keys, self.offsets[at + 1] - self.offsets[at], -1)
-        return self.offsets[at].astype(np.int64), size
+        return self.offsets[at].astype(np.int64), size.astype(np.int64)
 
 
 @dataclass
@@ -237,16 +292,14 @@ class Spelling:
         each = [raw.get(i, b"") for i in range(max(raw) + 1)]
         return Spelling(np.concatenate([[0], np.cumsum([len(x) for x in each])]), np.frombuffer(b"".join(each), dtype=np.uint8), table.dummy_prefix)
 
-    def text(self, ids) -> str:
+    def raw(self, ids) -> bytes:
         x = np.asarray(ids, dtype=np.int64)
         x = x[(x >= 0) & (x < len(self.offsets) - 1)]
-        raw = self.buffer[_ranges(self.offsets[x], self.offsets[x + 1] - self.offsets[x])].tobytes()
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
-
+        return self.buffer[_ranges(self.offsets[x], self.offsets[x + 1] - self.offsets[x])].tobytes()
 
-def _fits(lists: pa.ListArray) -> bool:
-    flat = lists.flatten()
-    return len(flat) == 0 or int(flat.to_numpy().max()) < 1 << 16
+    def text(self, ids) -> str:
+        raw = self.raw(ids)
+        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -264,49 +317,82 @@ def unit_hash(unit: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_CHUNK_CHARS = 400_000
+
+
+def _chunks(batch: pa.RecordBatch, chars: int):
+    """Slices of a batch with about ``chars`` characters of text, and their texts."""
+    texts, at, held = [], 0, 0
+    for i, value in enumerate(batch["text"]):
+        texts.append(value.as_py())
+        held += len(texts[-1] or "")
+        if held >= chars or i == batch.num_rows - 1:
+            yield batch.slice(at, len(texts)), texts
+            texts, at, held = [], i + 1, 0
+
+
+def _decode_alike(texts, flat, ends, of, units, pool, begin, size, spell, prefix) -> list[bool]:
+    """Whether the ids of each text decode to it. Decoding joins the bytes of the pieces, so
+    the ids of a text give the text of its units if the ids of every unit do; the units must
+    make up the whole normal form, and the text itself must be free of marks."""
+    want = [u.replace(MARK, " ").encode("utf-8") for u in units]
+    good = np.ones(len(units), dtype=bool)
+    if spell.raw(pool[_ranges(begin, size)]) != b"".join(want):
+        good = np.array([spell.raw(pool[b : b + n]) == w for b, n, w in zip(begin, size, want, strict=True)], dtype=bool)
+    length = np.array([len(u) for u in units], dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(length[of])])
+    wrong = np.concatenate([[0], np.cumsum(~good[of])])
+    out, start = [], 0
+    for t, end in zip(texts, ends, strict=True):
+        whole = not t or total[end] - total[start] == len(prefix) + len(t)
+        out.append(bool(whole and wrong[end] == wrong[start] and MARK not in (t or "")))
+        start = end
+    return out
+
+
 def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
     """mapInArrow function over (key columns..., text[, more]): ids, or with ``missing`` the
     distinct units that the broadcast dictionary lacks. ``more`` maps a text's rare units
     to ids. With the ids comes ``round_trip``: whether they decode to the text."""
-    pattern, prefix = re.compile(table.unit_pattern()), MARK if table.dummy_prefix else ""
+    cut = Units(table)
 
     def run(batches):
-        d, spell = Dictionary(*shared.value), spelling.value
+        d, spell = Dictionary(*(x.value for x in shared)), spelling.value
         for batch in batches:
             names = batch.schema.names
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                number: dict[str, int] = {}
-                texts = part["text"].to_pylist()
-                each = [
-                    np.fromiter((number.setdefault(u, len(number)) for u in pattern.findall(prefix + t.replace(" ", MARK))), dtype=np.int64) if t else np.zeros(0, np.int64)
-                    for t in texts
-                ]
-                units = list(number)
+            keep = [i for i, n in enumerate(names) if n not in ("text", "more")]
+            for part, texts in _chunks(batch, _CHUNK_CHARS):
+                counts, flat = [], []
+                for t in texts:
+                    units = cut(t)
+                    counts.append(len(units))
+                    flat += units
+                coded = pa.array(flat, pa.string()).dictionary_encode()
+                of, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # token -> place among the chunk's units
+                ends = np.cumsum(counts)
                 begin, size = d.find(np.fromiter(map(unit_hash, units), dtype=np.int64, count=len(units)))
-                keep = [i for i, n in enumerate(names) if n not in ("text", "more")]
                 head = [part.column(i) for i in keep]
                 if missing:
-                    value = pa.array([[units[u] for u in dict.fromkeys(x[size[x] < 0].tolist())] for x in each], type=pa.list_(pa.string()))
-                else:
-                    pool = d.ids.astype(np.int32) if not len(units) else d.ids
-                    if "more" in names:
-                        extra, found = [], {}
-                        for x in part["more"].to_pylist():
-                            for e in x or []:
-                                if e["unit"] in number and number[e["unit"]] not in found:
-                                    found[number[e["unit"]]] = (len(pool) + len(extra), len(e["ids"]))
-                                    extra += e["ids"]
-                        pool = np.concatenate([pool.astype(np.int32), np.array(extra, dtype=np.int32)])
-                        for u, (b, n) in found.items():
-                            begin[u], size[u] = b, n
-                    if any((size[x] < 0).any() for x in each):
-                        raise ValueError("a unit of the text is in no dictionary")
-                    ids = [pool[_ranges(begin[x], size[x])].astype(np.int32) for x in each]
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                    head.append(pa.array([spell.text(x) == (t or "") for x, t in zip(ids, texts, strict=True)], type=pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*head, value], names=[names[i] for i in keep] + (["units"] if missing else ["round_trip", "ids"]))
+                    lack = [dict.fromkeys(x[size[x] < 0].tolist()) for x in np.split(of, ends[:-1])]
+                    value = pa.array([[units[u] for u in x] for x in lack], type=pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*head, value], names=[names[i] for i in keep] + ["units"])
+                    continue
+                pool = d.ids
+                if "more" in names:
+                    place, extra = {u: k for k, u in enumerate(units)}, {}
+                    for x in part["more"].to_pylist():
+                        extra |= {place[e["unit"]]: e["ids"] for e in x or [] if e["unit"] in place}
+                    own = np.array(list(extra), dtype=np.int64)
+                    lengths = np.array([len(v) for v in extra.values()], dtype=np.int64)
+                    begin[own], size[own] = len(pool) + np.cumsum(lengths) - lengths, lengths
+                    pool = np.concatenate([pool.astype(np.int32), np.array([i for v in extra.values() for i in v], dtype=np.int32)])
+                if len(size) and size.min() < 0:
+                    raise ValueError("a unit of the text is in no dictionary")
+                ids = pool[_ranges(begin[of], size[of])].astype(np.int32)
+                offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(size[of])])[ends]]).astype(np.int32)
+                value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                same = _decode_alike(texts, flat, ends, of, units, pool, begin, size, spell, cut.prefix)
+                yield pa.RecordBatch.from_arrays([*head, pa.array(same, pa.bool_()), value], names=[names[i] for i in keep] + ["round_trip", "ids"])
 
     return run
 
@@ -321,12 +407,18 @@ def encode(docs: DataFrame, table: PieceTable | None = None, max_dictionary_byte
     fallback the unknown id)."""
     table = table or load_pieces()
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = land(segment(count_units(src, table), table), "piece-units")
+    counted = land(count_units(src, table), "piece-counts")
+    # a task of the lattice groups about UNITS_PER_TASK units: few enough to group without sorting
+    with scoped_setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * UNITS_PER_TASK)):
+        known = land(segment(counted, table), "piece-units")
     cost = F.lit(14) + F.lit(2) * F.size("ids")  # packed bytes of a unit
     at_least = _frequency_bound(known, cost, max_dictionary_bytes)
-    frequent = Dictionary.of(known.filter(F.col("n") >= at_least).select("h", "ids").toArrow())
-    shared = spark.sparkContext.broadcast((frequent.keys, frequent.offsets, frequent.ids))
+    frequent = Dictionary.of(known.filter(F.col("n") >= at_least), max([table.unknown, *(i for _, i, _ in table.pieces), *(table.byte_ids or [])]))
+    # three broadcasts, so that a worker holds one of them twice at most while it reads them
+    shared = [spark.sparkContext.broadcast(x) for x in (frequent.keys, frequent.offsets, frequent.ids)]
+    del frequent
     spelling = Shared(spark, Spelling.of(table))
     result = "doc_id long, round_trip boolean, ids array<int>"
     if at_least > 1:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canframes.llm.common import Shared, map_batches
+from canframes.llm.common import Shared, bounded_batches, map_batches
 from canframes.llm.linear import Sample, bounded_sample, char_slots, fit_logistic, margins, platt, word_slots
 
 DIMS = 1 << 16
@@ -124,6 +124,7 @@ def apply_quality(docs: DataFrame, model: QualityModel, min_probability: float =
 
 def keep_good(docs: DataFrame, model: QualityModel, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """The rows of ``docs`` (all its columns) that the rules keep; no shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = Shared(docs.sparkSession, model)
 
     @F.pandas_udf("boolean")
