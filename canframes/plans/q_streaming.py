@@ -19,7 +19,7 @@ from canframes.session import land, work_path
 from canframes.streaming.scoring import alert_counts, score_stream
 from canframes.streaming.windows import read_windows, start_windows
 
-STREAM_SLICES = 4
+STREAM_SLICES = 3
 ALERT_THRESHOLD = 0.5
 
 
