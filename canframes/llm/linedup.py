@@ -3,8 +3,9 @@
 Lines compare by their words, lower-cased in A-Z. A line alone is a poor key if it is short,
 so the keys of a line are the shortest runs of lines from it, forward and backward, that
 reach ``min_block_words`` words: a rare line hash by itself, or a few short lines that
-together are as rare. Two documents share a block worth deleting exactly if they share such
-a key, and every line of the block lies in one of the keys shared.
+together are as rare. Lines without a word inside a run are part of its key. Two documents
+share a block worth deleting exactly if they share such a key, and every line with a word of
+the block lies in one of the keys shared.
 
 Documents stand in the order of doc_id (nulls last), equal ids by text. Each key is linked
 to the *earliest* document that holds it, however many hold it: a document meets at most
@@ -14,7 +15,9 @@ dropped). Each pair is aligned with patience diff on the line hashes (texts do n
 lines unique on both sides anchor the alignment along their longest increasing run, the
 gaps between anchors are aligned the same way, and where no line is unique equal
 occurrence numbers stand in. Aligned blocks of at least ``min_block_words`` words go from
-the later document, and the rest is aligned again for moved blocks."""
+the later document, and the rest is aligned again for moved blocks. An alignment keeps the
+most lines, not the most words, so a block may lose its place to a short line that stands in
+another order: the keys shared with the partner name the lines of such blocks directly."""
 
 import bisect
 
@@ -35,22 +38,28 @@ def profile(text: str | None, min_words: int = MIN_BLOCK_WORDS) -> tuple[list[in
     lines = [x.lower().split() for x in (text or "").encode("utf-8").split(b"\n")]
     size = [len(x) for x in lines]
     hashes = [_signed(xxhash.xxh64_intdigest(b" ".join(x))) for x in lines]
-    real = [(h, n) for h, n in zip(hashes, size, strict=True) if n]  # lines with a word
-    keys = _runs(real, min_words) | {r[::-1] for r in _runs(real[::-1], min_words)}
+    keys = {tuple(hashes[a:b]) for a, b in _runs(size, min_words)}
     return hashes, size, sorted({_signed(xxhash.xxh64_intdigest(np.array(r, dtype=np.int64).tobytes(), 1)) for r in keys})
 
 
-def _runs(lines: list[tuple[int, int]], min_words: int) -> set[tuple[int, ...]]:
-    """The shortest runs of line hashes from each line on that reach ``min_words`` words."""
+def _runs(size: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs of lines from each line with a word, forward and
+    backward, that reach ``min_words`` words; both ends are lines with a word."""
+    n = len(size)
+    return _forward(size, min_words) | {(n - b, n - a) for a, b in _forward(size[::-1], min_words)}
+
+
+def _forward(size: list[int], min_words: int) -> set[tuple[int, int]]:
     out, end, total = set(), 0, 0
-    for start in range(len(lines)):
-        while end < len(lines) and total < min_words:
-            total += lines[end][1]
+    for start in range(len(size)):
+        while end < len(size) and total < min_words:
+            total += size[end]
             end += 1
         if total < min_words:
             break
-        out.add(tuple(h for h, _ in lines[start:end]))
-        total -= lines[start][1]
+        if size[start]:
+            out.add((start, end))
+        total -= size[start]
     return out
 
 
@@ -114,25 +123,41 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_block_lines(first: list[int], later: list[int], size: list[int], min_words: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Lines of ``later`` in aligned blocks with ``first`` of at least ``min_words`` words
-    (a block: consecutive on both sides). What is left is aligned again until no block is
-    found, so that moved and repeated blocks are met too."""
-    out: list[int] = []
+    """Lines of ``later`` in blocks shared with ``first`` of at least ``min_words`` words
+    (a block: consecutive on both sides). Aligned blocks go first, and what is left is
+    aligned again. Where the alignment finds no more, a block can still stand in another
+    order than shorter common lines, or overlap one that is gone: the shared runs meet
+    those, so no common block is left whatever the order."""
+    gone = set(_shared_run_lines(first, later, size, min_words))
     left = list(range(len(later)))
     while left:
-        gone, block = set(), []
+        found, block = set(), []
         for i, q in [*patience(first, [later[j] for j in left]), (-9, -9)]:
             j = left[q] if q >= 0 else -9
             if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
                 if sum(size[x] for _, x in block) >= min_words:
-                    gone.update(x for _, x in block)
+                    found.update(x for _, x in block)
                 block = []
             block.append((i, j))
-        if not gone:
+        if not found:
             break
-        out += gone
-        left = [j for j in left if j not in gone]
-    return sorted(out)
+        gone |= found
+        left = [j for j in left if j not in found]
+    return sorted(gone)
+
+
+def _shared_run_lines(first: list[int], later: list[int], size: list[int], min_words: int) -> set[int]:
+    """Lines of ``later`` in a shortest run of ``min_words`` words that ``first`` holds too:
+    every line with a word of every common block lies in one. Linear in both texts."""
+    words = dict(zip(later, size, strict=True))  # a line that only first has ends its runs
+    held, piece = set(), []
+    for h in [*first, None]:
+        if h in words:
+            piece.append(h)
+            continue
+        held.update(tuple(piece[a:b]) for a, b in _runs([words[x] for x in piece], min_words))
+        piece = []
+    return {x for a, b in _runs(size, min_words) if tuple(later[a:b]) in held for x in range(a, b)}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -135,3 +135,49 @@ def test_sketch_misses_no_pair_at_the_threshold(spark):
     d = docs_of(spark, texts)
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     same_as_oracle(decontaminate.find_leaks(d, b), decontaminate.ORACLE, documents=d, benchmark=b)
+
+
+def runs_searched(first, later, size, least=8):
+    """Lines with a word of ``later`` in any common run of ``least`` words, by comparing all pairs of starts."""
+    out = set()
+    for i in range(len(first)):
+        for j in range(len(later)):
+            n = 0
+            while i + n < len(first) and j + n < len(later) and first[i + n] == later[j + n]:
+                n += 1
+            if sum(size[j : j + n]) >= least:
+                out.update(x for x in range(j, j + n) if size[x])
+    return out
+
+
+def test_a_block_beside_a_short_line_in_another_order():
+    assert linedup.common_block_lines([1, 2], [2, 1], [3, 50]) == [1]
+    assert linedup.common_block_lines([1, 5, 2, 6, 3], [3, 2, 1], [3, 4, 50]) == [2]
+    assert linedup.common_block_lines([1, 2, 9, 2, 3], [1, 2, 3], [4, 5, 4]) == [0, 1, 2]  # overlapping blocks
+
+
+def test_no_common_run_is_left():
+    rng = random.Random(4)
+    for _ in range(1500):
+        words = [0, *(rng.randint(1, 9) for _ in range(rng.randint(2, 9)))]
+        a = [rng.randrange(len(words)) for _ in range(rng.randint(0, 14))]
+        b = [rng.randrange(len(words)) for _ in range(rng.randint(0, 14))]
+        size = [words[x] for x in b]
+        got = linedup.common_block_lines(a, b, size)
+        assert {x for x in got if size[x]} == runs_searched(a, b, size)
+
+
+def test_deletions_are_the_runs_of_any_earlier_document(spark):
+    rng = random.Random(5)
+    pool = ["", *(line(i, rng.randint(1, 9)) for i in range(12))]
+    made = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    gap = [f"{line(80, 4)}\n\n{line(81, 5)}", f"{line(80, 4)}\n{line(81, 5)}", f"{line(82, 2)}\n{line(80, 4)}\n{line(81, 5)}"]
+    smoke = [r.text for r in table(spark, SMOKE, "documents").orderBy("doc_id").collect()]
+    for texts in (made, gap, smoke):
+        got = {r.doc_id: set(r.removed_lines) for r in linedup.dedup_lines(docs_of(spark, texts)).collect()}
+        shapes = []
+        for i, text in enumerate(texts):
+            h, w, _ = linedup.profile(text)
+            expected = {x for g in shapes if not set(g).isdisjoint(h) for x in runs_searched(g, h, w)}
+            assert {x for x in got[i] if w[x]} == expected
+            shapes.append(h)
