@@ -9,12 +9,15 @@ the middle of the alphabet, and lag-1 serial correlation. Their p-values combine
 into one randomness p-value.
 
 A long enough word fails these tests, a random token passes, but a short token passes too
-easily. So the null hypothesis of the decision is "written text", and its p-value is read
-from the corpus: the share of *reference* tokens (all letters, that is words) of the same
-length class that look at least as random. Classes are powers of sqrt(2) in length. False
-discoveries are controlled per length class by Benjamini-Hochberg over the tokens tested.
-Both counts live in a histogram of bounded size (length classes x 400 bins), the only thing
-that reaches the driver."""
+easily. So the null hypothesis of the decision is "written text", and its p-value is the
+share of *reference* tokens of the same lengths that look at least as random. The reference
+holds no candidate: it is drawn from a character model (trigrams) of the ordinary words of
+the corpus, runs of letters under 20 characters, joined up plainly, in camel case or with
+hyphens. Classes are powers of sqrt(2) in length; lengths over 64 share the reference of
+64, which looks more random than longer text. False discoveries are controlled per length
+class by Benjamini-Hochberg over all candidates, those of letters alone included; a share is
+never taken as less than one in the reference. Only the trigram counts (27^3) and histograms
+of bounded size (length classes x 400 bins, 64 lengths) reach the driver."""
 
 from __future__ import annotations
 
@@ -24,6 +27,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs, so the same as all runs less those under 24
 KINDS = ["assign", "access", "hex", "random"]
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_WORD = re.compile(r"(?<![\w+/=-])[A-Za-z]{1,19}(?![\w+/=-])")
+# counts once in every model, so that a corpus of few words has one too
+_PRIOR = (
+    "It was a bright morning and the people of the small town went down to the river to see what the water had brought "
+    "them over night some of them found pieces of wood while others looked for their boats which were not where they should be"
+)
 
 FALSE_DISCOVERY_RATE = 0.01
 MIN_RANDOMNESS = 0.01  # randomness p-value below which no token is called random
 BINS = 400
 _BIN_WIDTH = 0.05  # of -ln p
+MAX_LENGTH = 64  # of reference tokens
+MIN_REFERENCE, MAX_REFERENCE, _PER_DRAW = 20_000, 2_000_000, 2_000  # reference tokens of a length class
 
 # fixed alphabets in the order they are tried; symbols in their numeric order
 ALPHABETS = {
@@ -123,7 +135,7 @@ def _scan(rows):
             before = bisect.bisect_left(starts, m.end())  # base spans that start before the token ends
             if not before or reach[before - 1] <= m.start():
                 enc, *_, p = randomness(m[0])
-                cands.append({"start": m.start(), "end": m.end(), "enc": enc, "size": _length_class(m[0]), "bin": _bin(p), "p": p, "word": m[0].isalpha()})
+                cands.append({"start": m.start(), "end": m.end(), "enc": enc, "size": _length_class(m[0]), "length": len(m[0].rstrip("=")), "bin": _bin(p), "p": p})
         yield {"doc_id": r["doc_id"], "base": [{"start": s, "kind": k, "end": e} for s, k, e in base], "cands": cands}
 
 
@@ -137,26 +149,96 @@ def _bin(p: float) -> int:
 
 _SCAN_SCHEMA = (
     "doc_id long, base array<struct<start:int,kind:int,end:int>>, "
-    "cands array<struct<start:int,end:int,enc:string,size:int,bin:int,p:double,word:boolean>>"
+    "cands array<struct<start:int,end:int,enc:string,size:int,length:int,bin:int,p:double>>"
 )
 
 
-def discovery_limits(rows: list[tuple[int, int, int, int]], rate: float) -> dict[int, int]:
+def _letters(words: list[str]) -> np.ndarray:
+    """Joined words as numbers: 0 between them, 1 to 26 for the letters."""
+    x = np.frombuffer(f" {' '.join(words)} ".lower().encode(), dtype=np.uint8).astype(np.int64)
+    return np.where(x == 32, 0, x - 96)
+
+
+def _trigrams(words: list[str]) -> np.ndarray:
+    x = _letters(words)
+    return np.bincount(x[:-2] * 729 + x[1:-1] * 27 + x[2:], minlength=27**3)
+
+
+def word_model(docs: DataFrame) -> np.ndarray:
+    """Trigram counts (27 x 27, 27) of the ordinary words of ``docs``."""
+
+    def run(batches):
+        total = np.zeros(27**3, dtype=np.int64)
+        for batch in batches:
+            total += _trigrams([w for x in batch.column(0) for w in _WORD.findall(x.as_py() or "")])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["code", "n"])
+
+    out = _trigrams(_PRIOR.split()).astype(np.float64)
+    for r in docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r["code"]] += r["n"]
+    return out.reshape(27 * 27, 27)
+
+
+def written_tokens(model: np.ndarray, length: int, number: int, seed: list[int]) -> list[str]:
+    """``number`` tokens of ``length`` characters of words drawn from ``model``: joined
+    plainly, in camel case and with hyphens in turn."""
+    rng = np.random.default_rng(seed)
+    starts = model[::27]  # contexts that end between two words
+    first = starts.sum(axis=0)
+    share = np.where(model.sum(axis=1, keepdims=True) > 0, model, first)
+    upto = np.cumsum(share / share.sum(axis=1, keepdims=True), axis=1)
+    state = rng.choice(27, size=number, p=starts.sum(axis=1) / starts.sum()) * 27
+    drawn = np.empty((number, 2 * length + 2), dtype=np.uint8)  # no two gaps meet: enough letters
+    for step in range(drawn.shape[1]):
+        c = np.minimum((upto[state] <= rng.random(number)[:, None]).sum(axis=1), 26)
+        drawn[:, step] = np.where(c == 0, 32, c + 96)
+        state = state % 27 * 27 + c
+    texts = [bytes(x).decode() for x in drawn]
+    style = [lambda t: t.replace(" ", ""), lambda t: t.title().replace(" ", ""), lambda t: t.strip().replace(" ", "-")]
+    return [style[i % 3](t)[:length] for i, t in enumerate(texts)]
+
+
+def reference_counts(docs: DataFrame, cands: DataFrame, tested: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Length class -> reference tokens by bin, of the lengths of the class's candidates
+    (``MAX_LENGTH`` at most). More are drawn where few of the candidates look random, so that
+    a rare find can be told from chance; classes where none does need no reference."""
+    passing = {s: n[: _bin(MIN_RANDOMNESS) + 1].sum() for s, n in tested.items()}
+    wanted = {s: min(MAX_REFERENCE, max(MIN_REFERENCE, int(1000 * n.sum() / passing[s]))) for s, n in tested.items() if passing[s]}
+    if not wanted:
+        return {}
+    length = F.least(F.col("length"), F.lit(MAX_LENGTH))
+    draws, chunk = [], 0
+    for r in cands.groupBy("size", length.alias("length")).agg(F.count("*").alias("n")).orderBy("size", "length").collect():
+        if r["size"] in wanted:
+            left = math.ceil(wanted[r["size"]] * r["n"] / tested[r["size"]].sum())
+            while left > 0:
+                draws.append((r["size"], r["length"], min(left, _PER_DRAW), chunk))
+                left, chunk = left - _PER_DRAW, chunk + 1
+    model = word_model(docs)
+
+    def run(rows):
+        for r in rows:
+            bins = np.bincount([_bin(randomness(t)[-1]) for t in written_tokens(model, r["length"], r["n"], [r["length"], r["chunk"]])], minlength=BINS)
+            yield from ({"size": r["size"], "bin": int(b), "n": int(bins[b])} for b in np.flatnonzero(bins))
+
+    jobs = docs.sparkSession.createDataFrame(draws, "size int, length int, n int, chunk int")
+    out = {s: np.zeros(BINS) for s in wanted}
+    for r in map_batches(jobs, "size int, bin int, n long", run, ["size", "length", "n", "chunk"]).groupBy("size", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r["size"]][r["bin"]] = r["n"]
+    return out
+
+
+def discovery_limits(tested: dict[int, np.ndarray], reference: dict[int, np.ndarray], rate: float) -> dict[int, int]:
     """Length class -> largest bin that is still a discovery (Benjamini-Hochberg in each
-    class). ``rows``: (class, bin, tested tokens, reference words)."""
-    tested: dict[int, np.ndarray] = {}
-    words: dict[int, np.ndarray] = {}
-    for size, b, n, ref in rows:
-        tested.setdefault(size, np.zeros(BINS))[b] += n
-        words.setdefault(size, np.zeros(BINS))[b] += ref
+    class), from the candidates and the reference tokens of each class by bin. A class
+    without reference has no discoveries."""
     random_enough = np.arange(BINS) <= _bin(MIN_RANDOMNESS)
     out = {}
     for size, n in tested.items():
-        found, ref = np.cumsum(n), np.cumsum(words[size])
-        if found[-1] == 0:
-            continue
-        p_text = ref / max(1.0, ref[-1])  # share of words that look at least this random
-        ok = np.flatnonzero((p_text <= rate * found / found[-1]) & (found > 0) & random_enough)
+        found, ref = np.cumsum(n), np.cumsum(reference.get(size, np.zeros(BINS)))
+        p_text = (ref + 1) / (ref[-1] + 1)  # share of written tokens that look at least this random
+        ok = np.flatnonzero((p_text <= rate * found / max(1, found[-1])) & (found > 0) & random_enough)
         if len(ok):
             out[size] = int(ok.max())
     return out
@@ -168,20 +250,22 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFra
 
     Defined cases: a null text is empty; a null doc_id stays null; repeated rows give
     repeated results (and count as often in the statistics); an empty table gives no rows;
-    other columns of ``docs`` are not looked at. Candidates of letters alone are the
-    reference and never secrets themselves."""
+    other columns of ``docs`` are not looked at. Candidates of letters alone are tested like
+    any other."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = land(map_batches(src, _SCAN_SCHEMA, _scan, ["doc_id", "text"]), "secret-scan")
-    c = seen.select(F.explode("cands").alias("c")).select("c.size", "c.bin", F.col("c.word").cast("long").alias("word"))
-    hist = c.groupBy("size", "bin").agg(F.sum(1 - F.col("word")), F.sum("word")).collect()
-    limits = discovery_limits([tuple(r) for r in hist], rate)
+    c = seen.select(F.explode("cands").alias("c")).select("c.size", "c.bin", "c.length")
+    tested: dict[int, np.ndarray] = {}
+    for r in c.groupBy("size", "bin").agg(F.count("*").alias("n")).collect():
+        tested.setdefault(r["size"], np.zeros(BINS))[r["bin"]] = r["n"]
+    limits = discovery_limits(tested, reference_counts(src, c, tested), rate)
 
     def decide(rows):
         for r in rows:
             base = [{**b, "kind": KINDS[b["kind"]], "order": b["kind"], "enc": None, "p": None} for b in r["base"]]
             extra = [
                 {"start": c["start"], "kind": KINDS[3], "order": 3, "end": c["end"], "enc": c["enc"], "p": c["p"]}
-                for c in r["cands"] if not c["word"] and c["bin"] <= limits.get(c["size"], -1)
+                for c in r["cands"] if c["bin"] <= limits.get(c["size"], -1)
             ]
             found = sorted(base + extra, key=lambda x: (x["start"], x["order"]))
             yield {"doc_id": r["doc_id"], "found": [{k: x[k] for k in ("start", "kind", "end", "enc", "p")} for x in found]}

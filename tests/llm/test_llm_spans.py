@@ -1,9 +1,11 @@
 """Personal data and secrets: base spans against Python's regular expressions."""
 
 import hashlib
+import random
 import re
 import secrets as tokens
 
+import numpy as np
 import pytest
 from helpers import SMOKE, docs_of
 from pyspark.sql import functions as F
@@ -104,3 +106,33 @@ def test_randomness_battery():
     assert secrets.infer_encoding("0123456789") == "decimal"
     assert secrets.infer_encoding("DEADBEEF") == "HEX"
     assert secrets.infer_encoding("aZ09+/==") == "base64"
+
+
+def test_random_tokens_of_letters_alone_are_found(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    prose = "the committee met again and wrote down what every member of the council had said about the old harbour"
+    made = ["".join(rng.choice(letters) for _ in range(n)) for n in (40, 44, 52, 60) for _ in range(15)]
+    texts = [f"{prose} {t} and so on" for t in made]
+    texts += [f"{prose} {'Internationalisation' * 2}{i % 7 * 'of'}Things and so on" for i in range(60)]
+    rows = {r.doc_id: r.spans for r in secrets.span_columns(secrets.find_secrets(docs_of(spark, texts))).collect()}
+    assert sum("random:" in rows[i] for i in range(60)) >= 50
+    assert not any("random:" in rows[i] for i in range(60, 120))
+
+
+def test_short_words_are_no_discoveries_without_long_ones(spark):
+    # no candidate of letters alone, and a battery that short written tokens often pass
+    words = ["harbour", "council", "member", "written", "bright", "morning", "people", "village"]
+    rng = random.Random(7)
+    texts = [f"the {rng.choice(words)}-{rng.choice(words)}_{rng.choice(words)} of the town" for _ in range(300)]
+    rows = secrets.span_columns(secrets.find_secrets(docs_of(spark, texts))).collect()
+    assert sum("random:" in r.spans for r in rows) <= 3
+
+
+def test_no_discovery_without_a_reference():
+    n = np.zeros(secrets.BINS)
+    n[:3] = 5
+    assert secrets.discovery_limits({8: n}, {}, 0.01) == {}
+    full = np.zeros(secrets.BINS)
+    full[300] = 20_000
+    assert secrets.discovery_limits({8: n}, {8: full}, 0.01) == {8: secrets._bin(secrets.MIN_RANDOMNESS)}
