@@ -9,7 +9,8 @@
    that kind over all its instances plus one (at least ``min_support`` of them known); an
    unknown instance scores 1 - product(1 - confidence) over its patterns and is taken up at
    ``min_score``. Scores are aggregations and joins over the landed edges; the loop ends
-   when a round takes up nothing new, at the latest after ``max_rounds``.
+   when a round changes neither the instances taken up nor their kinds and scores. Rounds that
+   have not settled after ``max_rounds`` are an error, never a result.
 4. All occurrences of the instances taken up that touch no seed become spans of their kind.
 
 SQL functions only. Joins meet one row per pattern or instance on one side, so a hot one is
@@ -25,7 +26,9 @@ from canframes.llm.spans import let, matches
 from canframes.session import land
 
 KINDS = ["email", "ip", "card", "phone"]
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, MAX_ROUNDS = 3, 0.5, 0.8, 5
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE = 3, 0.5, 0.8
+MAX_ROUNDS = 1000  # no bound on the result: rounds that do not settle by then are an error
+SETTLED = 1e-9  # scores that differ by less are equal: sums vary with the order of rows
 CONTEXT_CHARS = 80
 
 # The leftmost match never starts inside a run of its first class unless the match before
@@ -120,13 +123,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_key", F.concat(*map(seeds, range(4))).alias("base"), tokens.alias("tokens"))
 
 
+def _settled(now: DataFrame, before: DataFrame) -> bool:
+    """True if both hold the same instances with the same kinds and scores."""
+    old = before.select("instance", F.col("kind").alias("old_kind"), F.col("score").alias("old_score"))
+    same = (F.col("kind") == F.col("old_kind")) & (F.abs(F.col("score") - F.col("old_score")) <= SETTLED)
+    return now.join(old, "instance", "full").filter(~F.coalesce(same, F.lit(False))).isEmpty()
+
+
 def bootstrap(edges: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(instance, kind, score) of the instances taken up. ``edges``: distinct (pattern,
-    instance, kind), kind 0 to 3 for seeds and 4 for unknown instances."""
+    instance, kind), kind 0 to 3 for seeds and 4 for unknown instances. Rounds go on until
+    one changes nothing; RuntimeError if that takes more than ``max_rounds``."""
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     seeds = edges.filter("kind < 4").select("instance", "kind").distinct().withColumn("score", F.lit(1.0))
     unknown = edges.filter("kind = 4").select("pattern", "instance")
-    known, taken, before = seeds, None, 0
+    known, before = seeds, None
     for _ in range(max_rounds):
         support = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("pos"), F.count("*").alias("n"))
         confident = (
@@ -140,11 +151,10 @@ def bootstrap(edges: DataFrame, min_support: int = MIN_SUPPORT, min_confidence:
         taken = land(
             best.select("instance", (-F.col("b.k")).alias("kind"), F.col("b.score").alias("score")).filter(F.col("score") >= min_score), "pii-instances"
         )
-        n = taken.count()
-        if n == before:
-            break
-        before, known = n, seeds.unionByName(taken)
-    return taken
+        if taken.isEmpty() if before is None else _settled(taken, before):
+            return taken
+        before, known = taken, seeds.unionByName(taken)
+    raise RuntimeError(f"the bootstrap has not settled after {max_rounds} rounds")
 
 
 def find_personal_data(docs: DataFrame, **params) -> DataFrame:

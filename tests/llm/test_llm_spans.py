@@ -136,3 +136,27 @@ def test_no_discovery_without_a_reference():
     full = np.zeros(secrets.BINS)
     full[300] = 20_000
     assert secrets.discovery_limits({8: n}, {8: full}, 0.01) == {8: secrets._bin(secrets.MIN_RANDOMNESS)}
+
+
+def chain(steps, width=6):
+    """Edges of a chain: each group of instances is reached only by patterns of the group before."""
+    groups = [[(f"0:s{i}", 0) for i in range(width)]] + [[(f"?:{k}x{i}", 4) for i in range(width)] for k in range(steps)]
+    out = []
+    for k, (known, new) in enumerate(zip(groups, groups[1:], strict=False)):
+        out += [(f"p{k} {i} {side}", *x) for i, one in enumerate(new) for side in "lr" for x in [*known, one]]
+    return out
+
+
+def test_the_bootstrap_goes_on_until_nothing_changes(spark):
+    edges = spark.createDataFrame(chain(9), "pattern string, instance string, kind int")
+    assert pii.bootstrap(edges).count() == 54
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(edges, max_rounds=4)
+
+
+def test_a_swap_or_a_raised_score_is_a_change(spark):
+    taken = lambda *rows: spark.createDataFrame(rows, "instance string, kind int, score double")
+    a = taken(("x", 0, 0.9), ("y", 1, 0.8))
+    assert pii._settled(a, taken(("y", 1, 0.8), ("x", 0, 0.9 + 1e-13)))
+    for other in (taken(("x", 0, 0.9), ("z", 1, 0.8)), taken(("x", 0, 0.9), ("y", 2, 0.8)), taken(("x", 0, 0.9), ("y", 1, 0.81)), taken(("x", 0, 0.9))):
+        assert not pii._settled(a, other) and not pii._settled(other, a)
