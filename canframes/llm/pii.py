@@ -1,8 +1,8 @@
 """Personal data: fixed patterns as seeds, and a contextual bootstrap from them.
 
 1. Seeds: e-mail addresses, IPv4 numbers, card numbers (Luhn) and phone numbers.
-2. Every seed, and every other identifier-like token (with a digit or ``@``, 4 to 64
-   characters), gives edges of a pattern-instance graph: its two words to the left, and its
+2. Every seed, and every other identifier-like token (with a digit or ``@``, 4 characters
+   or more), gives edges of a pattern-instance graph: its two words to the left, and its
    neighbour words on both sides, are the lexical patterns; its normalised surface is the
    instance. Edges are distinct, so copies of a text do not count again.
 3. Rounds: a pattern's confidence for a kind is the summed score of its instances known for
@@ -117,9 +117,11 @@ def scan(docs: DataFrame) -> DataFrame:
         inner = F.ltrim(m["surface"], F.lit(_EDGE_PUNCTUATION))
         core = F.rtrim(inner, F.lit(_EDGE_PUNCTUATION))
         start = m["start"] + F.length(m["surface"]) - F.length(inner)
-        return _occurrence(4, start, start + F.length(core), F.concat(F.lit("?:"), F.lower(core)), m)
+        # long surfaces stand as their digest; no short one starts with #, which is trimmed
+        name = let(F.lower(core), lambda x: F.when(F.length(x) <= 64, x).otherwise(F.concat(F.lit("#"), F.sha2(x.cast("binary"), 256))))
+        return _occurrence(4, start, start + F.length(core), F.concat(F.lit("?:"), name), m)
 
-    tokens = F.filter(F.transform("m4", token), lambda o: F.length(o["instance"]).between(6, 66))
+    tokens = F.filter(F.transform("m4", token), lambda o: F.length(o["instance"]) >= 6)
     return found.select("doc_id", "text_key", F.concat(*map(seeds, range(4))).alias("base"), tokens.alias("tokens"))
 
 

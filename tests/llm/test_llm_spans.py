@@ -160,3 +160,11 @@ def test_a_swap_or_a_raised_score_is_a_change(spark):
     assert pii._settled(a, taken(("y", 1, 0.8), ("x", 0, 0.9 + 1e-13)))
     for other in (taken(("x", 0, 0.9), ("z", 1, 0.8)), taken(("x", 0, 0.9), ("y", 2, 0.8)), taken(("x", 0, 0.9), ("y", 1, 0.81)), taken(("x", 0, 0.9))):
         assert not pii._settled(a, other) and not pii._settled(other, a)
+
+
+def test_a_long_identifier_is_a_candidate(spark):
+    texts = [f"please contact agent number user{i}@acme.org today" for i in range(6)]
+    long = "ZX-" + "99871" * 14
+    texts += [f"please contact agent number {long}, today"]
+    rows = {r.doc_id: r.spans for r in pii.span_columns(pii.find_personal_data(docs_of(spark, texts))).collect()}
+    assert rows[6] == f"email:28:{28 + len(long)}"
