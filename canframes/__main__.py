@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
 
         long = compare_files(spark, ("first", args.first), ("second", args.second))
         sinks.write_table_csv(M.auc_and_totals(M.curve(long)).select("model", "auc"), f"{args.out_dir}/roc_auc.csv")
-        sinks.write_table_csv(M.roc_curve(M.shared_curve(long)).orderBy("model", "fpr", "tpr"), f"{args.out_dir}/roc_curve.csv")
+        sinks.write_ordered_csv(M.roc_curve(M.shared_curve(long)), f"{args.out_dir}/roc_curve.csv", "model", "fpr", "tpr")
 
 
 if __name__ == "__main__":

@@ -19,6 +19,12 @@ def write_table_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_ordered_csv(df: DataFrame, path: str, *order: str) -> None:
+    """A table of any size as CSV parts with headers, dealt out by ranges: rows ascend in
+    ``order`` within a part and from part to part (by file name)."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     write_table_csv(metrics, path)
 

@@ -174,3 +174,32 @@ def test_command_line_export_on_csv_files(spark):
     assert spark.read.option("header", True).csv(f"{out}/metrics.csv").count() == 3
     meta = spark.read.json(f"{out}/meta.json").first()
     assert meta.features == FEATURES and set(meta.splits.asDict()) == {"train", "test"}
+
+
+def test_an_ordered_table_is_written_in_parts(spark):
+    import glob
+
+    from canframes.__main__ import main
+    from canframes.operators import metrics as M
+
+    s = scores(spark, SMALL)
+    a = _write_pred(spark, s.filter("model = 'a'").select("frame_id", F.col("label").alias("target"), F.col("score").alias("prob")), "parts-a")
+    b = _write_pred(spark, s.filter("model = 'b'").select("frame_id", F.col("label").alias("target"), F.col("score").alias("prob")), "parts-b")
+    out = work_path(spark, "cli-parts")
+    merge = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        main(["compare", a, b, out])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+    parts = sorted(glob.glob(f"{out.removeprefix('file:')}/roc_curve.csv/part-*.csv"))
+    assert len(parts) > 1
+    rows = []
+    for f in parts:
+        with open(f) as lines:
+            head, *body = lines.read().splitlines()
+        assert head == "model,threshold,fpr,tpr"
+        rows += [(m, float(x), float(y)) for m, _, x, y in (r.split(",") for r in body)]
+    assert rows == sorted(rows)
+    whole = spark.read.option("header", True).csv(f"{out}/roc_curve.csv")
+    assert len(rows) == whole.count() == M.roc_curve(M.shared_curve(s)).count()
