@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import decontaminate, language, licenses, linedup, pieces, pii, quality, quotes, secrets, simhash
+from canframes.llm import decontaminate, infill, language, licenses, linedup, periodic, pieces, pii, quality, quotes, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed"), "text")
 
 
+@_query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_columns(periodic.find_runs(table(spark, sf_dir, "documents"), words=periodic.with_periodic_tail))
+
+
+@_query("op12_fill_in_middle", infill.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_columns(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
