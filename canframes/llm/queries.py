@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canframes.llm import decontaminate, infill, language, licenses, linedup, periodic, pieces, pii, quality, quotes, secrets, simhash
+from canframes.llm import decontaminate, infill, language, licenses, linedup, ngramjoin, periodic, pieces, pii, quality, quotes, secrets, simhash
 from canframes.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_columns(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+@_query("op13_ngram_jaccard")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
