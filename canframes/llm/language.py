@@ -8,10 +8,10 @@ language of training rows are looked at, and predictions see only the text."""
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,10 @@ FAMILIES = {
     "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "si", "ur"],
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_NO_WORD = regex.compile(r"[^\p{L}\p{M}]+")  # marks stay with their letters
+#: more languages than this are taken for a wrong column
+MOST_LANGUAGES = 500
 
 
 def family_of(lang: str) -> str:
@@ -41,9 +44,11 @@ def family_of(lang: str) -> str:
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-cased words of letters, one space between and around them; empty without any."""
-    kept = _NOT_LETTERS.sub(" ", text or "").strip()
-    return b" %b " % kept.lower().encode("utf-8") if kept else b""
+    """Lower-cased words of letters and their marks, one space between and around them; empty
+    without a letter."""
+    if not _LETTER.search(text or ""):
+        return b""
+    return b" %b " % _NO_WORD.sub(" ", text).strip().lower().encode("utf-8")
 
 
 def feature_blocks(text: str | None) -> list[np.ndarray]:
@@ -110,9 +115,14 @@ def fit_on(s: Sample) -> LanguageModel:
 
 def fit_language(docs: DataFrame, per_class: int = PER_CLASS) -> LanguageModel:
     """Fit on rows of ``docs`` (doc_id, text, lang); rows with a null or letterless text, a
-    null lang or a null doc_id teach nothing; without any row every text is ``und``."""
-    ids = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label"))
-    return fit_on(bounded_sample(docs, ids, per_class, feature_blocks, DIMS))
+    null lang or a null doc_id teach nothing; without any row every text is ``und``. A row is
+    known by doc_id and lang, so a repeated doc_id never teaches a text under another row's
+    language. More than ``MOST_LANGUAGES`` values of lang raise an error."""
+    own = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
+    own = own.select(F.xxhash64(F.col("doc_id").cast("long"), "lang").alias("doc_id"), F.col("lang").alias("label"), "text")
+    if own.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return fit_on(bounded_sample(own.select("doc_id", "text"), own.select("doc_id", "label"), per_class, feature_blocks, DIMS))
 
 
 def held_out() -> Column:

@@ -1,9 +1,13 @@
 """Quality rules and language identification: counts against the definitions, verdicts and
 languages on held-out rows."""
 
+import itertools
+import math
 import re
+import unicodedata
 import zlib
 
+import pytest
 from helpers import SMALL, SMOKE
 
 from canframes.llm import language, quality
@@ -64,6 +68,91 @@ def test_text_without_letters_is_unknown(spark):
     assert {r.lang_pred for r in language.identify(d, language.fit_language(d.limit(0))).collect()} == {"und"}
 
 
+LETTERLESS = ["½ ② ²", "Ⅷ", "١٢٣", "_ __", "\u0301\u0902", "12½", "①Ⅻ"]
+
+
+@pytest.mark.parametrize("text", LETTERLESS)
+def test_numbers_of_any_script_are_no_letters(spark, text):
+    d = spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "doc_id long, text string, lang string")
+    assert language.fit_language(d).predict(text) == ("und", 0.0)
+
+
+def test_marks_stay_with_their_letters():
+    assert language.letters("हिन्दी में!").decode() == " हिन्दी में "
+    assert language.letters("x½y Ⅷ E\u0301a").decode() == " x y e\u0301a "
+
+
+def _mixed(value, salt, dims):
+    """The slot hash in whole-number arithmetic."""
+    h = (value ^ (salt * 0x27D4EB2F & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ (h >> 15)) * 0x9E3779B1 & 0xFFFFFFFF
+    return (h ^ (h >> 13)) & (dims - 1)
+
+
+def _predicted(model, text):
+    """Family, pair votes and score, n-gram by n-gram."""
+    text = text or ""
+    if not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text).split()
+    raw = (" " + " ".join(words).lower() + " ").encode()
+    grams = []
+    for n in (1, 2, 3, 4):
+        slots = []
+        for i in range(len(raw) - n + 1):
+            h = raw[i]
+            for c in raw[i + 1 : i + n]:
+                h = (h * 0x9E3779B1 + c) & 0xFFFFFFFF
+            slots.append(_mixed(h, n, language.DIMS))
+        grams.append(slots)
+
+    def margin(w, b):
+        w = w.tolist()
+        return b + sum(math.fsum(w[s] for s in slots) / len(slots) for slots in grams if slots)
+
+    z = [margin(w, b) for w, b in zip(model.family_w, model.family_b, strict=True)]
+    family = model.families[z.index(max(z))]
+    share = 1 / sum(math.exp(v - max(z)) for v in z)
+    langs = model.members[family]
+    if len(langs) == 1:
+        return langs[0], share
+    votes, belief = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
+    pairs, w, b, ab = model.pairs[family]
+    assert pairs == list(itertools.combinations(langs, 2))
+    for k, (x, y) in enumerate(pairs):
+        p = 1 / (1 + math.exp(-(ab[k][0] * margin(w[k], b[k]) + ab[k][1])))
+        votes[x if p >= 0.5 else y] += 1
+        belief[x] += p / (len(langs) - 1)
+        belief[y] += (1 - p) / (len(langs) - 1)
+    best = max(langs, key=lambda c: (votes[c], belief[c]))
+    return best, share * belief[best]
+
+
+def test_language_against_a_plain_scorer(spark):
+    """Every text of the smoke table (and some without letters), scored over the fitted weights
+    one n-gram at a time."""
+    docs = table(spark, SMOKE, "documents")
+    model = language.fit_language(docs.filter(~language.held_out()))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if len(r.text) < 20000}
+    texts |= {-1 - k: t for k, t in enumerate([*LETTERLESS, None, "", "Élan vital.", "word"])}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in language.identify(d, model).collect():
+        lang, score = _predicted(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, (r, lang, score)
+
+
+def test_repeated_ids_teach_their_own_language(spark):
+    rows = [(i, t, c) for i in range(30) for t, c in ((f"der hund {i}x und die katze", "de"), (f"the dog {i}x and a cat", "en"))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(d)
+    assert model.predict("der und die")[0] == "de" and model.predict("the and a")[0] == "en"
+    same = [language.fit_language(d.repartition(n)).predict("the hund and cat")[1] for n in (1, 5)]
+    assert abs(same[0] - same[1]) < 1e-9
+    many = spark.range(language.MOST_LANGUAGES + 1).selectExpr("id AS doc_id", "'a b' AS text", "string(id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        language.fit_language(many)
+
+
 def test_families():
     assert language.family_of("de") == language.family_of("en") != language.family_of("fr") == language.family_of("es")
     assert language.family_of("xx") != language.family_of("yy")
