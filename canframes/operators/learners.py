@@ -5,9 +5,9 @@ for the metrics operators.
 Objective mapping (C = 1, W = sum of training weights): a loss of the form
 ``C * sum(w * loss) + 0.5 * |beta|^2`` equals Spark's ``(1/W) * sum(w * loss) +
 regParam/2 * |beta|^2`` with ``regParam = 1 / (C * W)``. Known deviations: Spark does
-not penalize the intercept, LinearSVC uses hinge (not squared hinge), the forest uses
-best splits over 256 bins (not random cuts), and the MLP has no sample weights (the
-training set is class-balanced by seeded resampling instead).
+not penalize the intercept, LinearSVC uses hinge (not squared hinge; ``newton`` has that),
+the forest uses best splits over 256 bins (``extra_trees`` draws random cuts), and the MLP
+has no sample weights (``neural`` has; here the training set is balanced by resampling).
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.split import class_weights, with_class_weight
 from canframes.schema import (
-    EXPORT_FOREST_MIN_LEAF,
-    EXPORT_FOREST_TREES,
     FEATURES,
     FOREST_MAX_DEPTH,
     FOREST_MIN_LEAF,
@@ -98,7 +96,7 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     features = features or FEATURES
     tr = assemble(train, features)
     te = assemble(test, features)
-    if name in ("logreg", "logreg_l1", "svc", "sgd_hinge", "ridge", "tree", "forest", "forest_export"):
+    if name in ("logreg", "logreg_l1", "svc", "sgd_hinge", "ridge", "tree", "forest"):
         tr, W = weighted(tr)
     if name == "logreg":
         m = LogisticRegression(featuresCol=VEC, weightCol="weight", regParam=1.0 / (LOGREG_C * W), standardization=False, maxIter=100, tol=1e-8).fit(tr)
@@ -119,10 +117,9 @@ def fit_and_score(name: str, train: DataFrame, test: DataFrame, features: list[s
     elif name == "tree":
         m = DecisionTreeClassifier(featuresCol=VEC, weightCol="weight", maxDepth=TREE_MAX_DEPTH, minInstancesPerNode=TREE_MIN_LEAF, maxBins=256, seed=seed).fit(tr)
         kind = "probability"
-    elif name in ("forest", "forest_export"):
-        n_trees, leaf = (FOREST_TREES, FOREST_MIN_LEAF) if name == "forest" else (EXPORT_FOREST_TREES, EXPORT_FOREST_MIN_LEAF)
+    elif name == "forest":
         m = RandomForestClassifier(
-            featuresCol=VEC, weightCol="weight", numTrees=n_trees, maxDepth=FOREST_MAX_DEPTH, minInstancesPerNode=leaf,
+            featuresCol=VEC, weightCol="weight", numTrees=FOREST_TREES, maxDepth=FOREST_MAX_DEPTH, minInstancesPerNode=FOREST_MIN_LEAF,
             featureSubsetStrategy="sqrt", bootstrap=False, maxBins=256, seed=seed,
         ).fit(tr)
         kind = "probability"

@@ -40,5 +40,6 @@ def load_all() -> None:
         q_sources,
         q_split,
         q_streaming,
+        q_trees,
         q_wide,
     )

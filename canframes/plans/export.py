@@ -1,10 +1,10 @@
 """Artifact export and batch scoring with stored artifacts.
 
 ``export_artifacts`` fits the three export models (balanced logistic regression,
-Gaussian NB, a 100-tree forest) on the training split, evaluates them on the test split
+Gaussian NB, 100 extremely randomized trees) on the training split, evaluates them on the test split
 and writes: metrics table, thresholds JSON, metadata JSON (features, thresholds, split
-sizes), forest importances, logistic coefficients, scaler / linear / NB parameter tables
-and the two ``pyspark.ml`` model directories. ``score_with_artifacts`` loads them back
+sizes), tree importances, logistic coefficients, scaler / linear / NB parameter tables,
+the tree node table with its class weights and the ``pyspark.ml`` model directory. ``score_with_artifacts`` loads them back
 and scores frames at the stored thresholds.
 
 Thresholds are tuned on a validation split by default (``tune_on="val"``); pass
@@ -13,18 +13,19 @@ Thresholds are tuned on a validation split by default (``tune_on="val"``); pass
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canframes.operators import metrics as M
-from canframes.operators.learners import assemble, coefficient_table, fit_and_score, importance_table, score_column
+from canframes.operators.extra_trees import ExtraTrees, fit_extra_trees
+from canframes.operators.learners import assemble, coefficient_table, fit_and_score, score_column
 from canframes.operators.naive_bayes import GaussianNB, gnb_params
 from canframes.operators.scale import Standardizer, scaler_params
 from canframes.operators import split as S
 from canframes.plans.fixtures import clean_view
 from canframes.plans.q_split import prepared
-from canframes.schema import FEATURES, SEED, TEST_SIZE
+from canframes.schema import EXPORT_FOREST_MIN_LEAF, EXPORT_FOREST_TREES, FEATURES, SEED, TEST_SIZE
 from canframes.session import land
 from canframes.sources import sinks
 
@@ -47,14 +48,15 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
     ztrain = z.filter(F.col("split") == "train")
 
     logreg, lr_scored = fit_and_score("logreg", ztrain, z, seed=seed)
-    forest, rf_scored = fit_and_score("forest_export", ztrain, z, seed=seed)
+    trees = fit_extra_trees(ztrain, EXPORT_FOREST_TREES, min_leaf=EXPORT_FOREST_MIN_LEAF, seed=seed)
+    trees_scored = trees.transform(z)
     gnb = GaussianNB.fit(ztrain)
     gnb_scored = gnb.transform(z)
     cols = ["model", "key", "frame_id", "label", "score", "split"]
     long = (
         lr_scored.select(F.lit(LABELS["logreg"]).alias("model"), F.lit("logreg").alias("key"), "frame_id", "label", "score", "split")
         .unionByName(gnb_scored.select(F.lit(LABELS["gnb"]).alias("model"), F.lit("gnb").alias("key"), *cols[2:]))
-        .unionByName(rf_scored.select(F.lit(LABELS["extratrees"]).alias("model"), F.lit("extratrees").alias("key"), *cols[2:]))
+        .unionByName(trees_scored.select(F.lit(LABELS["extratrees"]).alias("model"), F.lit("extratrees").alias("key"), *cols[2:]))
     )
     long = land(long, "model-scores")  # model scores once; every report reads them from here
     test = long.filter(F.col("split") == "test")
@@ -72,7 +74,7 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
     splits = split_sizes.agg(F.map_from_entries(F.collect_list(F.struct("split", "n")))).scalar()  # one row per split
     meta = meta.select(F.array(*[F.lit(f) for f in FEATURES]).alias("features"), "thresholds", splits.alias("splits"), F.lit(notes).alias("notes"))
     sinks.write_json_row(meta, f"{out_dir}/meta.json")
-    sinks.write_importances(importance_table(forest, spark=spark), f"{out_dir}/extratrees_feature_importances.csv")
+    sinks.write_importances(trees.importance_table(spark), f"{out_dir}/extratrees_feature_importances.csv")
     sinks.write_coefficients(coefficient_table(logreg, spark=spark), f"{out_dir}/logreg_coefficients.csv")
     sinks.write_params(scaler_params(train), f"{out_dir}/scaler")
     lin = spark.createDataFrame(
@@ -82,7 +84,8 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
     sinks.write_params(lin, f"{out_dir}/logreg_params")
     sinks.write_params(gnb_params(ztrain), f"{out_dir}/gnb_params")
     sinks.save_model(logreg, f"{out_dir}/logreg_model")
-    sinks.save_model(forest, f"{out_dir}/extratrees_model")
+    sinks.write_params(trees.nodes(spark), f"{out_dir}/extratrees_nodes")
+    sinks.write_params(spark.createDataFrame(list(enumerate(trees.weights)), "label int, weight double"), f"{out_dir}/extratrees_weights")
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{out_dir}/metrics.csv")
 
 
@@ -111,12 +114,13 @@ def score_frames_with_artifacts(frames: DataFrame, art_dir: str) -> DataFrame:
     thr = spark.read.schema(sinks.THRESHOLDS_SCHEMA).json(f"{art_dir}/thresholds.json").first().models
     z = std.transform(frames)
     lr = LogisticRegressionModel.load(f"{art_dir}/logreg_model")
-    rf = RandomForestClassificationModel.load(f"{art_dir}/extratrees_model")
+    weight = {r.label: r.weight for r in spark.read.parquet(f"{art_dir}/extratrees_weights").collect()}  # two rows
+    trees = ExtraTrees.from_nodes(spark.read.parquet(f"{art_dir}/extratrees_nodes"), FEATURES, (weight[0], weight[1]))
     gnb = load_gnb(spark, f"{art_dir}/gnb_params")
     zv = assemble(z)
     parts = [
         ("logreg", score_column(lr.transform(zv), "probability")),
-        ("extratrees", score_column(rf.transform(zv), "probability")),
+        ("extratrees", trees.transform(z)),
         ("gnb", gnb.transform(z)),
     ]
     out = None

@@ -13,6 +13,7 @@ from canframes.plans.catalog import register
 from canframes.plans.fixtures import oracle
 from canframes.plans.q_scale import EDGES_CTE, SCALE_CTES, bins_cte, standardized
 from canframes.plans.q_split import prepared
+from canframes.plans.train_evaluate import LEARNERS
 from canframes.schema import BERNOULLI_NB_BINS, COMPLEMENT_NB_BINS, FEATURES
 
 
@@ -148,18 +149,6 @@ def q_bnb_scores(spark, sf_dir):
 
 # --- pyspark.ml learners: one metrics row per model (rows-only check) ------------------------
 
-LEARNERS = {
-    "logreg": "LogReg(balanced)",
-    "logreg_l1": "LogReg-L1(balanced)",
-    "svc": "LinearSVC(balanced)",
-    "sgd_hinge": "SGD-hinge(balanced)",
-    "ridge": "RidgeClassifier(balanced)",
-    "tree": "DecisionTree(shallow)",
-    "forest": "ExtraTrees(shallow)",
-    "mlp": "MLP(balanced)",
-}
-
-
 def learner_scores(spark, sf_dir, name):
     z, _ = standardized(spark, sf_dir)
     model, scored = fit_and_score(name, z.filter(F.col("split") == "train"), z.filter(F.col("split") == "test"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from canframes.operators import metrics as M
 from canframes.operators import split as S
+from canframes.operators.extra_trees import fit_extra_trees
 from canframes.operators.irls import fit_irls, predict_proba
 from canframes.operators.learners import fit_and_score
 from canframes.operators.naive_bayes import BernoulliNB, ComplementNB, GaussianNB, Majority
@@ -30,7 +31,7 @@ LEARNERS = {
     "sgd_hinge": "SGD-hinge(balanced)",
     "ridge": "RidgeClassifier(balanced)",
     "tree": "DecisionTree(shallow)",
-    "forest": "ExtraTrees(shallow)",
+    "forest": "RandomForest(shallow)",
     "mlp": "MLP(balanced)",
 }
 BIN_COLS = [f"{c}_bin" for c in FEATURES]
@@ -57,6 +58,8 @@ def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = N
     for key, name in learners.items():
         _, scored = fit_and_score(key, train, test)
         parts.append(scored.select(F.lit(name).alias("model"), *cols))
+    if learners:
+        parts.append(fit_extra_trees(train).transform(test).select(F.lit("ExtraTrees(shallow)").alias("model"), *cols))
     parts.append(predict_proba(test, fit_irls(train)).select(F.lit("LogReg(balanced, IRLS)").alias("model"), *cols))
     for kind, name in (("perceptron", "Perceptron(balanced)"), ("pa", "PassiveAggressive(balanced)")):
         parts.append(decision_function(test, fit_online(train, kind=kind)).select(F.lit(name).alias("model"), *cols))
