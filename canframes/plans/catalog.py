@@ -35,6 +35,7 @@ def load_all() -> None:
         q_clean,
         q_metrics,
         q_models,
+        q_neural,
         q_newton,
         q_scale,
         q_sequence,

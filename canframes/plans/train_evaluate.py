@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canframes.operators import metrics as M
+from canframes.operators import newton
 from canframes.operators import split as S
 from canframes.operators.extra_trees import fit_extra_trees
 from canframes.operators.irls import fit_irls, predict_proba
 from canframes.operators.learners import fit_and_score
 from canframes.operators.naive_bayes import BernoulliNB, ComplementNB, GaussianNB, Majority
+from canframes.operators.neural import fit_mlp
 from canframes.operators.online import decision_function, fit_online
 from canframes.operators.scale import Standardizer, UniformBinner
 from canframes.plans.fixtures import clean_view
-from canframes.schema import FEATURES
+from canframes.schema import FEATURES, SEED
 from canframes.session import land
 
 LEARNERS = {
@@ -32,7 +34,7 @@ LEARNERS = {
     "ridge": "RidgeClassifier(balanced)",
     "tree": "DecisionTree(shallow)",
     "forest": "RandomForest(shallow)",
-    "mlp": "MLP(balanced)",
+    "mlp": "MLP(resampled)",
 }
 BIN_COLS = [f"{c}_bin" for c in FEATURES]
 
@@ -60,6 +62,11 @@ def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = N
         parts.append(scored.select(F.lit(name).alias("model"), *cols))
     if learners:
         parts.append(fit_extra_trees(train).transform(test).select(F.lit("ExtraTrees(shallow)").alias("model"), *cols))
+        inner = S.group_split(train.drop("split"), seed=SEED + 1)  # validation groups inside the training part
+        mlp = fit_mlp(inner.filter("split = 'train'"), inner.filter("split = 'test'"))
+        parts.append(mlp.transform(test).select(F.lit("MLP(balanced)").alias("model"), *cols))
+        parts.append(newton.decision_function(test, newton.fit_squared_hinge(train)).select(F.lit("LinearSVC(squared hinge)").alias("model"), *cols))
+        parts.append(newton.predict_proba(test, newton.fit_l1_logistic(train)).select(F.lit("LogReg-L1(proximal Newton)").alias("model"), *cols))
     parts.append(predict_proba(test, fit_irls(train)).select(F.lit("LogReg(balanced, IRLS)").alias("model"), *cols))
     for kind, name in (("perceptron", "Perceptron(balanced)"), ("pa", "PassiveAggressive(balanced)")):
         parts.append(decision_function(test, fit_online(train, kind=kind)).select(F.lit(name).alias("model"), *cols))
