@@ -16,6 +16,7 @@ from canframes.plans.q_sequence import POS_SQL, windows_sql
 from canframes.plans.q_split import prepared
 from canframes.schema import FEATURES
 from canframes.session import land, work_path
+from canframes.streaming.keyed_windows import keyed_windows, read_keyed_windows, start_keyed_windows
 from canframes.streaming.scoring import alert_counts, score_stream
 from canframes.streaming.windows import read_windows, start_windows
 
@@ -83,6 +84,21 @@ def q_stream_windows(spark, sf_dir):
     return out.filter(~F.col("late")).select("ID", "start", "start_frame_id", "y")
 
 
+@register(
+    "stream_keyed_windows",
+    oracle(
+        "SELECT CAST(ID AS VARCHAR) AS ID, start, start_frame_id, y FROM (" + windows_sql(10, 1, "any") + ") w",
+        ["clean"],
+        [("fpos", POS_SQL)],
+    ),
+)
+def q_stream_keyed_windows(spark, sf_dir):
+    """The same windows from the engine's keyed state (RocksDB), T - 1 frames kept per ID."""
+    path, ck = work_path(spark, "keyed-windows"), work_path(spark, "keyed-windows-ck")
+    start_keyed_windows(keyed_windows(_stream(spark, sf_dir), timesteps=10), path, ck, availableNow=True).awaitTermination()
+    return read_keyed_windows(spark, path).filter(~F.col("late")).select("ID", "start", "start_frame_id", "y")
+
+
 def _fitted(spark, sf_dir):
     df = prepared(spark, sf_dir)
     train = df.filter(F.col("split") == "train")
