@@ -1,16 +1,21 @@
-"""Online linear learners (perceptron, passive-aggressive) trained by iterative parameter
-mixing: every epoch each partition runs one sequential pass over its rows starting from
-the current weights (``mapInPandas``), and the new weights are the row-weighted average
-of the partition results (one small aggregate; only d + 1 numbers reach the driver).
+"""Online linear learners (perceptron, passive-aggressive, hinge descent with a decaying step)
+trained by iterative parameter mixing: every epoch each partition runs one sequential pass
+over its rows starting from the current weights (``mapInPandas``), and the new weights are
+the row-weighted average of the partition results (one small aggregate; only d + 1 numbers
+reach the driver). The step number of the hinge descent goes on over the epochs, by the
+mean rows of a partition. Training stops when the mean loss met during an epoch has not
+fallen by ``tol`` for ``patience`` epochs.
 
 The partition layout is fixed (hash of the frame key into ``partitions``, rows inside a
 partition in seeded shuffle order), so results are repeatable; they depend on that
-layout, as any parameter-mixing scheme does.
+layout, as any parameter-mixing scheme does. With one partition a fit is the plain
+sequential algorithm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,18 +24,25 @@ from pyspark.sql import functions as F
 
 from canframes.functions.hashing import shuffle_key
 from canframes.operators.split import class_weights, with_class_weight
-from canframes.schema import FEATURES, PA_C, PERCEPTRON_ALPHA, SEED
+from canframes.schema import FEATURES, PA_C, PERCEPTRON_ALPHA, SEED, SGD_ALPHA, SGD_MAX_ITER, SGD_TOL
 from canframes.session import cut_lineage
 
 ALPHA = PERCEPTRON_ALPHA  # L2 strength of the perceptron
+PATIENCE = 5  # epochs without improvement
 
 
-def _pass_fn(w0: np.ndarray, features: list[str], kind: str):
+def _first_step(alpha: float) -> float:
+    """Step number the decaying step 1 / (alpha * t) starts from: the first step is about the
+    size that weights of this penalty have."""
+    return 1.0 / (alpha * np.sqrt(1.0 / np.sqrt(alpha)))
+
+
+def _pass_fn(w0: np.ndarray, features: list[str], kind: str, t0: float = 0.0):
     d = len(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = w0.copy()
-        n = 0
+        n, lost = 0, 0.0
         for pdf in batches:
             X = pdf[features].to_numpy(dtype="float64")
             y = np.where(pdf["label"].to_numpy() > 0, 1.0, -1.0)
@@ -39,27 +51,46 @@ def _pass_fn(w0: np.ndarray, features: list[str], kind: str):
                 x = X[i]
                 margin = y[i] * (w[:d] @ x + w[d])
                 if kind == "perceptron":
+                    lost += max(0.0, -margin)
                     w[:d] *= 1.0 - ALPHA
                     if margin <= 0:
                         w[:d] += cw[i] * y[i] * x
                         w[d] += cw[i] * y[i]
+                elif kind == "sgd_hinge":  # step 1 / (alpha * t), t over all rows so far
+                    lost += max(0.0, 1.0 - margin)
+                    eta = 1.0 / (SGD_ALPHA * (_first_step(SGD_ALPHA) + t0 + n + i))
+                    w[:d] *= 1.0 - eta * SGD_ALPHA
+                    if margin < 1:
+                        w[:d] += eta * cw[i] * y[i] * x
+                        w[d] += eta * cw[i] * y[i]
                 else:  # passive-aggressive, hinge loss, PA-I step
                     loss = 1.0 - margin
+                    lost += max(0.0, loss)
                     if loss > 0:
                         tau = min(PA_C * cw[i], loss / (x @ x + 1.0))
                         w[:d] += tau * y[i] * x
                         w[d] += tau * y[i]
             n += len(pdf)
         if n:
-            yield pd.DataFrame({"w": [w.tolist()], "n": [n]})
+            yield pd.DataFrame({"w": [w.tolist()], "n": [n], "lost": [lost]})
 
     return run
 
 
-def fit_online(
-    train: DataFrame, kind: str = "perceptron", epochs: int = 5, partitions: int | None = None, features: list[str] | None = None, seed: int = SEED
-) -> np.ndarray:
-    """Weights [w_1..w_d, b] after ``epochs`` rounds of parameter mixing."""
+@dataclass
+class OnlineFit:
+    """[w_1..w_d, b], mean loss met in each epoch, and whether the tolerance stopped it."""
+
+    w: np.ndarray
+    losses: list[float] = field(default_factory=list)
+    settled: bool = False
+
+
+def run_online(
+    train: DataFrame, kind: str = "perceptron", epochs: int = SGD_MAX_ITER, partitions: int | None = None, features: list[str] | None = None,
+    seed: int = SEED, tol: float = SGD_TOL, patience: int = PATIENCE,
+) -> OnlineFit:
+    """Rounds of parameter mixing until the loss settles, at most ``epochs``. No rows raise an error."""
     features = features or FEATURES
     spark = train.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,13 +101,30 @@ def fit_online(
         .sortWithinPartitions(shuffle_key("frame_id", seed))
     )
     layout = cut_lineage(layout)  # fixed layout, read once per epoch without recomputing the split
-    w = np.zeros(len(features) + 1)
-    for _ in range(epochs):
-        part = layout.mapInPandas(_pass_fn(w, features, kind), "w array<double>, n long")
-        avg = part.select(F.posexplode("w").alias("i", "v"), "n").groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-        got = {r.i: r.v for r in avg.collect()}  # d + 1 rows
-        w = np.array([got[i] for i in range(len(features) + 1)])
-    return w
+    fit, t, best, waited = OnlineFit(np.zeros(len(features) + 1)), 0.0, np.inf, 0
+    while len(fit.losses) < epochs and not fit.settled:
+        part = layout.mapInPandas(_pass_fn(fit.w, features, kind, t), "w array<double>, n long, lost double")
+        avg = part.select(F.posexplode("w").alias("i", "v"), "n", "lost").groupBy("i").agg(
+            (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n"), F.sum("lost").alias("lost"), F.count("*").alias("parts")
+        )
+        got = {r.i: r for r in avg.collect()}  # d + 1 rows
+        if not got:
+            raise ValueError("no rows to fit on")
+        fit.w = np.array([got[i].v for i in range(len(features) + 1)])
+        t += got[0].n / got[0].parts
+        loss = got[0].lost / got[0].n
+        waited = waited + 1 if loss > best - tol else 0
+        best = min(best, loss)
+        fit.losses.append(loss)
+        fit.settled = waited >= patience
+    return fit
+
+
+def fit_online(
+    train: DataFrame, kind: str = "perceptron", epochs: int = SGD_MAX_ITER, partitions: int | None = None, features: list[str] | None = None, seed: int = SEED
+) -> np.ndarray:
+    """Weights [w_1..w_d, b] of :func:`run_online`."""
+    return run_online(train, kind, epochs, partitions, features, seed).w
 
 
 def decision_function(df: DataFrame, w: np.ndarray, features: list[str] | None = None) -> DataFrame:

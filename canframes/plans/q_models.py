@@ -15,6 +15,7 @@ from canframes.plans.q_scale import EDGES_CTE, SCALE_CTES, bins_cte, standardize
 from canframes.plans.q_split import prepared
 from canframes.plans.train_evaluate import LEARNERS
 from canframes.schema import BERNOULLI_NB_BINS, COMPLEMENT_NB_BINS, FEATURES
+from canframes.session import land
 
 
 def _prob_sql(j0: str, j1: str) -> str:
@@ -203,6 +204,30 @@ def q_passive_aggressive_metrics(spark, sf_dir):
     return _online_metrics(spark, sf_dir, "pa", "PassiveAggressive(balanced)")
 
 
+@register("sgd_decay_metrics")
+def q_sgd_decay_metrics(spark, sf_dir):
+    """Hinge descent with the decaying step, stopped by the tolerance."""
+    return _online_metrics(spark, sf_dir, "sgd_hinge", "SGD-hinge(decaying step)")
+
+
+@register(
+    "online_stops",
+    "SELECT k.kind, true AS settled, true AS loss_fell FROM (VALUES ('perceptron'), ('pa'), ('sgd_hinge')) k(kind)",
+)
+def q_online_stops(spark, sf_dir):
+    """Every online learner stops by its tolerance before the epoch limit, with a lower loss than
+    that of the first epoch."""
+    from canframes.operators.online import run_online
+
+    z, _ = standardized(spark, sf_dir)
+    train = land(z.filter(F.col("split") == "train"), "online-train")
+    rows = []
+    for kind in ("perceptron", "pa", "sgd_hinge"):
+        fit = run_online(train, kind, epochs=200)
+        rows.append((kind, fit.settled, bool(min(fit.losses) <= fit.losses[0])))
+    return spark.createDataFrame(rows, "kind string, settled boolean, loss_fell boolean")
+
+
 def _seq_metrics(spark, sf_dir, improved: bool):
     from canframes.operators import sequence as Q
     from canframes.operators.seq_models import fit_sequence_mlp, sequence_dataset

@@ -30,7 +30,7 @@ LEARNERS = {
     "logreg": "LogReg(balanced)",
     "logreg_l1": "LogReg-L1(balanced)",
     "svc": "LinearSVC(balanced)",
-    "sgd_hinge": "SGD-hinge(balanced)",
+    "sgd_hinge": "Hinge(batch)",
     "ridge": "RidgeClassifier(balanced)",
     "tree": "DecisionTree(shallow)",
     "forest": "RandomForest(shallow)",
@@ -68,7 +68,8 @@ def train_evaluate_frames(frames: DataFrame, learners: dict[str, str] | None = N
         parts.append(newton.decision_function(test, newton.fit_squared_hinge(train)).select(F.lit("LinearSVC(squared hinge)").alias("model"), *cols))
         parts.append(newton.predict_proba(test, newton.fit_l1_logistic(train)).select(F.lit("LogReg-L1(proximal Newton)").alias("model"), *cols))
     parts.append(predict_proba(test, fit_irls(train)).select(F.lit("LogReg(balanced, IRLS)").alias("model"), *cols))
-    for kind, name in (("perceptron", "Perceptron(balanced)"), ("pa", "PassiveAggressive(balanced)")):
+    online = [("perceptron", "Perceptron(balanced)"), ("pa", "PassiveAggressive(balanced)"), ("sgd_hinge", "SGD-hinge(balanced)")]
+    for kind, name in online:
         parts.append(decision_function(test, fit_online(train, kind=kind)).select(F.lit(name).alias("model"), *cols))
     parts.append(GaussianNB.fit(train).transform(test).select(F.lit("GaussianNB").alias("model"), *cols))
     for n_bins, cls, name in ((16, ComplementNB, "ComplementNB(binned)"), (2, BernoulliNB, "BernoulliNB(binarized)")):

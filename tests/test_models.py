@@ -66,6 +66,50 @@ def test_parameter_mixing_one_partition_is_sequential_pass(spark, z):
     assert np.allclose(w, expect)
 
 
+def _sequential_hinge(X, y, cw, alpha, epochs):
+    """Hinge descent row after row with the step 1 / (alpha * t); mean loss met per epoch."""
+    w, b, t, losses = np.zeros(X.shape[1]), 0.0, 0, []
+    t0 = 1 / (alpha * (1 / alpha**0.5) ** 0.5)
+    for _ in range(epochs):
+        lost = 0.0
+        for x, s, c in zip(X, y, cw, strict=True):
+            eta = 1 / (alpha * (t0 + t))
+            m = s * (w @ x + b)
+            lost += max(0.0, 1 - m)
+            w = w * (1 - eta * alpha)
+            if m < 1:
+                w, b = w + eta * c * s * x, b + eta * c * s
+            t += 1
+        losses.append(lost / len(X))
+    return [*w, b], losses
+
+
+def test_hinge_descent_one_partition_is_the_sequential_pass(spark, z):
+    from canframes.functions.hashing import shuffle_key
+    from canframes.operators.online import run_online
+    from canframes.operators.split import class_weights, with_class_weight
+    from canframes.schema import SGD_ALPHA
+
+    train = z.filter(F.col("split") == "train").limit(400).cache()
+    fit = run_online(train, "sgd_hinge", epochs=4, partitions=1)
+    rows = with_class_weight(train, class_weights(train)).withColumn("k", shuffle_key("frame_id")).toPandas().sort_values("k")
+    w, losses = _sequential_hinge(rows[FEATURES].to_numpy("float64"), np.where(rows["label"] > 0, 1.0, -1.0), rows["weight"].to_numpy("float64"), SGD_ALPHA, 4)
+    assert np.allclose(fit.w, w) and np.allclose(fit.losses, losses)
+
+
+def test_online_learners_stop_by_tolerance(spark, z):
+    from canframes.operators.online import run_online
+
+    train = z.filter(F.col("split") == "train").limit(300).cache()
+    never = run_online(train, "sgd_hinge", epochs=7, partitions=2, tol=-1e9)
+    assert not never.settled and len(never.losses) == 7
+    fit = run_online(train, "sgd_hinge", epochs=100, partitions=2, patience=3)
+    best = fit.losses.index(min(fit.losses))
+    assert fit.settled and len(fit.losses) < 100 and all(x > min(fit.losses) - 1e-3 for x in fit.losses[-3:]) and best < len(fit.losses)
+    with pytest.raises(ValueError, match="no rows"):
+        run_online(train.limit(0), "pa")
+
+
 def test_metric_row_shape(spark):
     import __spark_entry__ as entry
 
@@ -101,7 +145,7 @@ def test_train_evaluate_closed_form_models(spark):
     models = {r.model: r for r in metrics.collect()}
     assert set(models) == {
         "Dummy(most_frequent)", "LogReg(balanced, IRLS)", "Perceptron(balanced)", "PassiveAggressive(balanced)",
-        "GaussianNB", "ComplementNB(binned)", "BernoulliNB(binarized)",
+        "SGD-hinge(balanced)", "GaussianNB", "ComplementNB(binned)", "BernoulliNB(binarized)",
     }
     assert models["Dummy(most_frequent)"].auc == 0.5 and models["GaussianNB"].auc > 0.8
     a = audit.first()

@@ -144,7 +144,7 @@ def test_command_line_train_evaluate_on_csv_files(spark):
     out = work_path(spark, "cli-out")
     main(["train-evaluate", data, out, "--partitioned"])
     metrics = spark.read.option("header", True).csv(f"{out}/metrics.csv")
-    assert metrics.count() == 19  # every detector of the flow
+    assert metrics.count() == 20  # every detector of the flow
     audit = spark.read.option("header", True).csv(f"{out}/leakage_audit.csv").first()
     assert audit.n_overlap == "0" and audit.n_dup == "0"
 
