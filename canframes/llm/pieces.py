@@ -19,12 +19,11 @@ rest get those units from a shuffle join and are encoded the same way."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,60 +109,152 @@ def load_pieces(path: str = DEFAULT_MODEL) -> PieceTable:
     return PieceTable(pieces, [in_bytes[f"<0x{b:02X}>"] for b in range(256)] if in_bytes else None, sp.unk_id())
 
 
+_CUT = b"\xff"  # stands in no UTF-8 text
+_BASE = np.uint64(0x9E3779B97F4A7C13)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _byte_values() -> np.ndarray:
+    """A drawn 64-bit value for every byte; none for the cut."""
+    values = np.random.default_rng(42).integers(1, 1 << 64, 256, dtype=np.uint64)
+    values[_CUT[0]] = 0
+    return values
+
+
+def hash_pieces(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, start + size) of a byte array that they fill up but
+    for the cuts behind them: a polynomial in the drawn byte values, mixed with the length."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    inside = np.arange(len(raw)) - np.repeat(starts, sizes + 1)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), _BASE)]))
+    h = np.add.reduceat(_byte_values()[raw] * power[inside], starts)
+    h = (h ^ (h >> np.uint64(32)) ^ sizes.astype(np.uint64)) * _MIX
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def unit_hash(unit: str) -> int:
+    """The hash of one unit."""
+    raw = np.frombuffer(unit.encode("utf-8") + _CUT, dtype=np.uint8)
+    return int(hash_pieces(raw, np.zeros(1, np.int64), np.array([len(raw) - 1]))[0])
+
+
+@dataclass
+class Cut:
+    """The units of a chunk of texts: one byte array with a cut behind every unit, where each
+    unit starts, its size, its hash, and the number of units up to the end of every text."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    ends: np.ndarray
+
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The units at some places, as strings."""
+        size = self.sizes[at]
+        data = self.raw[_ranges(self.starts[at], size)]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data.tobytes()))
+
+
 class Units:
-    """Cuts a text into its units."""
+    """Cuts texts into their units, a chunk at a time: a cut byte goes behind every unit."""
 
     def __init__(self, table: PieceTable):
-        self.prefix, self.pattern = MARK if table.dummy_prefix else "", table.unit_pattern()
-        self._find = None
-
-    def __call__(self, text: str | None) -> list[str]:
-        self._find = self._find or re.compile(self.pattern).findall
-        return self._find(self.prefix + text.replace(" ", MARK)) if text else []
+        self.prefix, self.pattern = table.dummy_prefix, table.unit_pattern()
+
+    def normal(self, texts: pa.Array, space: str) -> pa.Array:
+        """The texts with ``space`` for spaces, and one before a text that is not empty."""
+        texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        if space != " ":
+            texts = pc.replace_substring(texts, " ", space)
+        if not self.prefix:
+            return texts
+        return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(space, pa.large_string()), texts, pa.scalar("", pa.large_string())))
+
+    def __call__(self, texts: pa.Array) -> Cut:
+        marked = pc.replace_substring_regex(self.normal(texts, MARK), pattern=self.pattern, replacement=b"\\0" + _CUT)
+        offsets, raw = _contents(marked)
+        cuts = np.flatnonzero(raw == _CUT[0])
+        starts = np.concatenate([[0], cuts[:-1] + 1]) if len(cuts) else cuts
+        return Cut(raw, starts, cuts - starts, hash_pieces(raw, starts, cuts - starts), np.searchsorted(cuts, offsets[1:]))
+
+
+def _contents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of the values, bytes) of a large string array, from its first value on."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return offsets - offsets[0], raw
+
+
+_OPEN_UNITS = 200_000  # distinct units a task counts before it hands them on
+_CHUNK_CHARS = 400_000
 
 
-_OPEN_UNITS = 100_000  # distinct units a task counts before it hands them on
+def _chunks(batch: pa.RecordBatch, chars: int):
+    """Slices of a batch with about ``chars`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + chars)))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def count_units(texts: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n) of the column ``text``. Tasks count in Arrow batches and hand on at most
-    ``_OPEN_UNITS`` units at a time; Spark sums them up."""
-    units = Units(table)
+    """(unit, h, n) of the column ``text``. Tasks count in Arrow batches and hand on at most
+    about ``_OPEN_UNITS`` units at a time; Spark sums them up."""
+    cut = Units(table)
 
     def run(batches):
-        counts: Counter = Counter()
+        open_, held = [], 0
 
-        def handed():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-            counts.clear()
-            return out
+        def summed() -> pa.Table:
+            return pa.concat_tables(open_).group_by(["unit", "h"]).aggregate([("n", "sum")]).rename_columns(["unit", "h", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(units(text.as_py()))
-                if len(counts) >= _OPEN_UNITS:
-                    yield handed()
-        if counts:
-            yield handed()
-
-    return texts.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+            for part in _chunks(batch, _CHUNK_CHARS):
+                found = cut(part["text"])
+                h, first, n = np.unique(found.hashes, return_index=True, return_counts=True)
+                open_.append(pa.table([found.strings(first), pa.array(h), pa.array(n)], names=["unit", "h", "n"]))
+                held += len(h)
+                if held >= _OPEN_UNITS:
+                    open_ = [summed()]
+                    held = open_[0].num_rows
+                    if held >= _OPEN_UNITS // 2:
+                        yield from open_[0].to_batches()
+                        open_, held = [], 0
+        if open_:
+            yield from summed().to_batches()
+
+    return texts.select("text").mapInArrow(run, "unit string, h long, n long").groupBy("unit", "h").agg(F.sum("n").alias("n"))
 
 
 UNITS_PER_TASK = 20_000
+_HEAD = 3  # characters that bound how long a piece can go on
 
 
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     """(h, unit, n, edges): every piece that stands somewhere in a unit as one number, with
     its end, its length and its place + 1 among the useful pieces in the bits from high to
-    low, sorted; place -1 for a character without a piece. ``units`` is a landed table; its
-    size sets the number of tasks, so that none spills."""
+    low, sorted; place -1 for a character without a piece. ``units`` is a landed
+    table (unit, h, n); its size sets the number of tasks, so that none spills."""
     useful = [(p, k) for k, (p, _, _) in enumerate(table.useful())]
     pieces = F.broadcast(units.sparkSession.createDataFrame(useful, "piece string, place int"))
     longest = max((len(p) for p, _ in useful), default=1)
     tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_PER_TASK))
-    dealt = units.withColumn("h", F.xxhash64("unit")).repartition(tasks, "h").withColumn("size", F.length("unit"))
+    dealt = units.repartition(tasks, "h").withColumn("size", F.length("unit"))
     starts = dealt.select("h", "unit", "n", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("start"))
-    ends = F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start") + 1))
+    # no substring is longer than the longest piece with its first characters
+    reach: dict[str, int] = {}
+    for p, _ in useful:
+        reach[p[:_HEAD]] = max(reach.get(p[:_HEAD], 0), len(p))
+    heads = F.broadcast(units.sparkSession.createDataFrame([x for x in reach.items() if len(x[0]) == _HEAD], "head string, reach int"))
+    starts = starts.withColumn("head", F.substring(F.col("unit"), F.col("start"), F.lit(_HEAD))).join(heads, "head", "left")
+    ends = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(min(_HEAD - 1, longest))), F.col("size") - F.col("start") + 1))
     parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("len"))
     parts = parts.withColumn("piece", F.substring(F.col("unit"), F.col("start"), F.col("len")))
     met = parts.join(pieces, "piece", "left").filter("place IS NOT NULL OR len = 1")
@@ -223,18 +314,47 @@ def best_path(edges: Column, size: Column, scores: Column, longest: int, most: C
     return let(last, lambda x: F.flatten(F.concat(x["full"], F.array(x["block"]))))
 
 
+_SHORT = 64
+
+
+def short_path(edges: Column, size: Column, scores: Column) -> Column:
+    """The same for units of few positions: the state is the best (score, code) of every position,
+    each a back pointer by its length, and one walk back from the end gives the path. The state
+    grows by one small entry a position, so no path is copied."""
+    first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("code")))
+
+    def step(best: Column, end: Column) -> Column:
+        here = F.filter(edges, lambda x: F.shiftright(x, 32) == end)
+        ways = F.transform(here, lambda x: F.struct((F.get(best, end.cast("int") - _len(x))["s"] + F.get(scores, _place(x))).alias("s"), x.alias("code")))
+        return F.concat(best, F.array(F.array_max(ways)))
+
+    def back(best: Column) -> Column:
+        none = F.struct(size.alias("at"), F.array().cast("array<bigint>").alias("path"))
+
+        def walk(acc: Column, end: Column) -> Column:
+            code = F.get(best, end)["code"]
+            taken = F.struct((end - _len(code)).alias("at"), F.concat(F.array(code), acc["path"]).alias("path"))
+            return F.when(acc["at"] == end, taken).otherwise(acc)
+
+        return F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), none, walk, lambda acc: acc["path"])
+
+    return let(F.aggregate(F.sequence(F.lit(1).cast("bigint"), size.cast("bigint")), first, step), back)
+
+
 def _constants(values: list, kind: str) -> Column:
     """A constant array: one literal once the plan is optimised, however long."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def segment(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(h, unit, n, ids): the piece ids of every distinct unit of a landed table (unit, n)."""
+    """(h, unit, n, ids): the piece ids of every distinct unit of a landed table (unit, h, n)."""
     useful = table.useful()
     scores = _constants([table.unknown_score, *[s for _, _, s in useful]], "double")
     longest = max((len(p) for p, _, _ in useful), default=1)
     most = F.when(F.col("unit").rlike(_OTHER.pattern), F.lit(table.most_ending(False))).otherwise(F.lit(table.most_ending(True)))
-    path = let(most, lambda m: best_path(F.col("edges"), F.length("unit"), scores, longest, m))
+    size = F.length("unit")
+    long = let(most, lambda m: best_path(F.col("edges"), size, scores, longest, m))
+    path = F.when(size <= _SHORT, short_path(F.col("edges"), size, scores)).otherwise(long)
     if table.byte_ids:
         byte_ids = _constants(table.byte_ids, "int")
 
@@ -311,49 +431,23 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def unit_hash(unit: str) -> int:
-    """Spark's xxhash64 of a string."""
-    h = xxhash.xxh64_intdigest(unit.encode("utf-8"), 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-_CHUNK_CHARS = 400_000
-
-
-def _chunks(batch: pa.RecordBatch, chars: int):
-    """Slices of a batch with about ``chars`` characters of text, and their texts."""
-    texts, at, held = [], 0, 0
-    for i, value in enumerate(batch["text"]):
-        texts.append(value.as_py())
-        held += len(texts[-1] or "")
-        if held >= chars or i == batch.num_rows - 1:
-            yield batch.slice(at, len(texts)), texts
-            texts, at, held = [], i + 1, 0
-
-
-def _decode_alike(texts, flat, ends, of, units, pool, begin, size, spell, prefix) -> list[bool]:
-    """Whether the ids of each text decode to it. Decoding joins the bytes of the pieces, so
-    the ids of a text give the text of its units if the ids of every unit do; the units must
-    make up the whole normal form, and the text itself must be free of marks."""
-    want = [u.replace(MARK, " ").encode("utf-8") for u in units]
-    good = np.ones(len(units), dtype=bool)
-    if spell.raw(pool[_ranges(begin, size)]) != b"".join(want):
-        good = np.array([spell.raw(pool[b : b + n]) == w for b, n, w in zip(begin, size, want, strict=True)], dtype=bool)
-    length = np.array([len(u) for u in units], dtype=np.int64)
-    total = np.concatenate([[0], np.cumsum(length[of])])
-    wrong = np.concatenate([[0], np.cumsum(~good[of])])
-    out, start = [], 0
-    for t, end in zip(texts, ends, strict=True):
-        whole = not t or total[end] - total[start] == len(prefix) + len(t)
-        out.append(bool(whole and wrong[end] == wrong[start] and MARK not in (t or "")))
-        start = end
-    return out
+def _decode_alike(cut: Units, texts: pa.Array, ids: np.ndarray, ends: np.ndarray, spell: Spelling) -> list[bool]:
+    """Whether the ids of each text (up to ``ends``) decode to it: the bytes of all emitted ids, cut
+    at the texts, against the bytes of the texts with their leading space."""
+    size = spell.offsets[ids + 1] - spell.offsets[ids]
+    made = spell.buffer[_ranges(spell.offsets[ids], size)]
+    at = np.concatenate([[0], np.concatenate([[0], np.cumsum(size)])[ends]])
+    offsets, raw = _contents(cut.normal(texts, " "))
+    if len(made) == len(raw) and (at == offsets).all():
+        wrong = np.concatenate([[0], np.cumsum(made != raw)])
+        return (wrong[offsets[1:]] == wrong[offsets[:-1]]).tolist()
+    return [made[a:b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True)]
 
 
 def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
     """mapInArrow function over (key columns..., text[, more]): ids, or with ``missing`` the
-    distinct units that the broadcast dictionary lacks. ``more`` maps a text's rare units
-    to ids. With the ids comes ``round_trip``: whether they decode to the text."""
+    hashes of the distinct units that the broadcast dictionary lacks. ``more`` maps the hashes of a
+    text's rare units to ids. With the ids comes ``round_trip``: whether they decode to the text."""
     cut = Units(table)
 
     def run(batches):
@@ -361,37 +455,30 @@ def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
         for batch in batches:
             names = batch.schema.names
             keep = [i for i, n in enumerate(names) if n not in ("text", "more")]
-            for part, texts in _chunks(batch, _CHUNK_CHARS):
-                counts, flat = [], []
-                for t in texts:
-                    units = cut(t)
-                    counts.append(len(units))
-                    flat += units
-                coded = pa.array(flat, pa.string()).dictionary_encode()
-                of, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # token -> place among the chunk's units
-                ends = np.cumsum(counts)
-                begin, size = d.find(np.fromiter(map(unit_hash, units), dtype=np.int64, count=len(units)))
+            for part in _chunks(batch, _CHUNK_CHARS):
+                found = cut(part["text"])
+                units, of = np.unique(found.hashes, return_inverse=True)  # token -> place among the chunk's units
+                begin, size = d.find(units)
                 head = [part.column(i) for i in keep]
                 if missing:
-                    lack = [dict.fromkeys(x[size[x] < 0].tolist()) for x in np.split(of, ends[:-1])]
-                    value = pa.array([[units[u] for u in x] for x in lack], type=pa.list_(pa.string()))
+                    lack = [np.unique(x[size[x] < 0]) for x in np.split(of, found.ends[:-1])]
+                    value = pa.array([units[x] for x in lack], type=pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([*head, value], names=[names[i] for i in keep] + ["units"])
                     continue
                 pool = d.ids
                 if "more" in names:
-                    place, extra = {u: k for k, u in enumerate(units)}, {}
-                    for x in part["more"].to_pylist():
-                        extra |= {place[e["unit"]]: e["ids"] for e in x or [] if e["unit"] in place}
-                    own = np.array(list(extra), dtype=np.int64)
-                    lengths = np.array([len(v) for v in extra.values()], dtype=np.int64)
+                    extra = {e["h"]: e["ids"] for x in part["more"].to_pylist() for e in x or []}
+                    keys = np.array(sorted(extra), dtype=np.int64)
+                    own = np.searchsorted(units, keys)
+                    lengths = np.array([len(extra[k]) for k in keys.tolist()], dtype=np.int64)
                     begin[own], size[own] = len(pool) + np.cumsum(lengths) - lengths, lengths
-                    pool = np.concatenate([pool.astype(np.int32), np.array([i for v in extra.values() for i in v], dtype=np.int32)])
+                    pool = np.concatenate([pool.astype(np.int32), np.array([i for k in keys.tolist() for i in extra[k]], dtype=np.int32)])
                 if len(size) and size.min() < 0:
                     raise ValueError("a unit of the text is in no dictionary")
                 ids = pool[_ranges(begin[of], size[of])].astype(np.int32)
-                offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(size[of])])[ends]]).astype(np.int32)
-                value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                same = _decode_alike(texts, flat, ends, of, units, pool, begin, size, spell, cut.prefix)
+                ends = np.concatenate([[0], np.cumsum(size[of])])[found.ends]
+                value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                same = _decode_alike(cut, part["text"], ids, ends, spell)
                 yield pa.RecordBatch.from_arrays([*head, pa.array(same, pa.bool_()), value], names=[names[i] for i in keep] + ["round_trip", "ids"])
 
     return run
@@ -399,7 +486,8 @@ def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
 
 def encode(docs: DataFrame, table: PieceTable | None = None, max_dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip) for every row: the piece ids of the whole text and
-    whether decoding them gives the text back (a mark U+2581 in a text decodes to a space).
+    whether decoding them gives the text back (a mark U+2581 in a text decodes to a space, so that
+    such a text does not come back).
 
     Defined cases: a null or empty text has no ids (an empty array); a null doc_id stays
     null; repeated rows give repeated results; an empty table gives no rows; other columns
@@ -422,13 +510,14 @@ def encode(docs: DataFrame, table: PieceTable | None = None, max_dictionary_byte
     spelling = Shared(spark, Spelling.of(table))
     result = "doc_id long, round_trip boolean, ids array<int>"
     if at_least > 1:
-        rare = known.filter(F.col("n") < at_least).select("unit", "ids")
+        rare = known.filter(F.col("n") < at_least).select("h", "ids")
         keyed = src.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-        lacks = keyed.mapInArrow(_encode_batches(table, shared, spelling, True), "doc_id long, key string, units array<string>")
+        lacks = keyed.mapInArrow(_encode_batches(table, shared, spelling, True), "doc_id long, key string, units array<long>")
         more = (
-            lacks.select("key", F.explode("units").alias("unit")).distinct().join(rare, "unit")
-            .groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+            lacks.select("key", F.explode("units").alias("h")).distinct().join(rare, "h")
+            .groupBy("key").agg(F.collect_list(F.struct("h", "ids")).alias("more"))
         )
+        more = land(more, "piece-more")  # landed, so that a text that many rows hold can be split
         src = keyed.join(more, "key", "left").select("doc_id", "text", "more")
     return src.mapInArrow(_encode_batches(table, shared, spelling, False), result).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SMOKE, docs_of, same_as_oracle
 from pyspark.sql import functions as F
@@ -130,10 +132,59 @@ def test_units_are_not_crossed_by_any_piece():
         pieces.PieceTable([("a▁b", 1, -1.0)], None, 0).unit_pattern()
 
 
-def test_unit_hash_is_that_of_spark(spark):
-    texts = ["▁the", "é", "", "x" * 100]
-    got = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()]
-    assert got == [pieces.unit_hash(t) for t in texts]
+def _polynomial(unit):
+    """The unit hash in whole-number arithmetic."""
+    values, base, raw = pieces._byte_values().tolist(), int(pieces._BASE), unit.encode()
+    h = sum(values[b] * pow(base, i, 1 << 64) for i, b in enumerate(raw)) % (1 << 64)
+    h = (h ^ (h >> 32) ^ len(raw)) * int(pieces._MIX) % (1 << 64)
+    h ^= h >> 29
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_units_and_their_hashes(spark):
+    """Cutting and hashing whole chunks equals findall and the polynomial, unit by unit."""
+    import re
+
+    model = pieces.load_pieces()
+    texts = [*TRICKY, None, "", "▁▁ a▁b", "ab" * 400, "a\xffb ÿ"] + [r.text for r in table(spark, SMOKE, "documents").collect()]
+    pattern = re.compile(model.unit_pattern())
+    want = [pattern.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    found = pieces.Units(model)(pa.array(texts, pa.string()))
+    assert found.ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+    units = [u for x in want for u in x]
+    assert found.strings(np.arange(len(units))).to_pylist() == units
+    distinct = dict.fromkeys(units)
+    assert dict(zip(units, found.hashes.tolist(), strict=True)) == {u: _polynomial(u) for u in distinct}
+    assert len(set(found.hashes.tolist())) == len(distinct) and pieces.unit_hash("é1") == _polynomial("é1")
+
+
+def test_short_and_long_paths_agree(spark):
+    model = pieces.load_pieces()
+    rng = random.Random(6)
+    units = ["▁" + "".join(rng.choice("abcdehtéing") for _ in range(rng.randint(1, 60))) for _ in range(200)] + ["你", "x1²"]
+    frame = spark.createDataFrame([(u, pieces.unit_hash(u), 1) for u in units], "unit string, h long, n long")
+    edges = pieces.lattice(frame, model)
+    scores = pieces._constants([model.unknown_score, *[s for _, _, s in model.useful()]], "double")
+    size = F.length("unit")
+    longest = max(len(p) for p, _, _ in model.useful())
+    both = edges.select(
+        pieces.short_path(F.col("edges"), size, scores).alias("short"),
+        pieces.best_path(F.col("edges"), size, scores, longest, F.lit(model.most_ending(False))).alias("long"),
+    ).collect()
+    assert len(both) == len(set(units)) and all(r.short == r.long for r in both)
+
+
+def test_a_text_that_its_ids_do_not_give_back_is_marked(spark):
+    model = pieces.load_pieces()
+    rows = pieces.encode(docs_of(spark, ["a▁b", "a b", "x" * 50]), model).collect()
+    assert [r.round_trip for r in sorted(rows)] == [False, True, True]
+    cut, spell = pieces.Units(model), pieces.Spelling.of(model)
+    ids = np.array([i for r in sorted(rows)[1:] for i in r.ids])
+    ends = np.cumsum([len(r.ids) for r in sorted(rows)[1:]])
+    texts = pa.array(["a b", "x" * 50])
+    assert pieces._decode_alike(cut, texts, ids, ends, spell) == [True, True]
+    ids[-1] = ids[0]
+    assert pieces._decode_alike(cut, texts, ids, ends, spell) == [True, False]
 
 
 def test_long_units_fold_in_blocks(spark):
