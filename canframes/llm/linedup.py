@@ -12,12 +12,12 @@ to the *earliest* document that holds it, however many hold it: a document meets
 one partner per key, all keys of a shared block lead to documents that hold that block's
 lines, and boilerplate in a third of all documents stays linear (no cap, nothing
 dropped). Each pair is aligned with patience diff on the line hashes (texts do not travel):
-lines unique on both sides anchor the alignment along their longest increasing run, the
-gaps between anchors are aligned the same way, and where no line is unique equal
-occurrence numbers stand in. Aligned blocks of at least ``min_block_words`` words go from
-the later document, and the rest is aligned again for moved blocks. An alignment keeps the
-most lines, not the most words, so a block may lose its place to a short line that stands in
-another order: the keys shared with the partner name the lines of such blocks directly."""
+the shared runs anchor the alignment along their ascending part with the most words, so that no
+short line in another order takes the place of a longer run; between anchors, lines unique on
+both sides anchor it along their longest increasing run, the gaps are aligned the same
+way, and where no line is unique equal occurrence numbers stand in. Aligned blocks of at
+least ``min_block_words`` words go from the later document, and runs that an alignment could
+not hold are aligned again until none is left."""
 
 import bisect
 
@@ -122,42 +122,87 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _heaviest(pairs: list[tuple[int, int]], size: list[int]) -> list[tuple[int, int]]:
+    """The part of ``pairs`` (i, j) that ascends in both and has the most words in the lines j (of
+    equal ones the most lines), by a prefix-maximum tree over i."""
+    pairs = sorted(pairs, key=lambda p: (p[1], -p[0]))
+    if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:])):
+        return pairs
+    rank = {i: k + 1 for k, i in enumerate(sorted({i for i, _ in pairs}))}
+    tree, back = [(0, -1)] * (len(rank) + 1), []
+    for at, (i, j) in enumerate(pairs):
+        best, k = (0, -1), rank[i] - 1
+        while k:
+            best, k = max(best, tree[k]), k & (k - 1)
+        back.append(best[1])
+        now, k = (best[0] + size[j] * len(pairs) + 1, at), rank[i]
+        while k < len(tree):
+            tree[k], k = max(tree[k], now), k + (k & -k)
+    at, out, best, k = -1, [], (0, -1), len(rank)
+    while k:
+        best, k = max(best, tree[k]), k & (k - 1)
+    at = best[1]
+    while at >= 0:
+        out.append(pairs[at])
+        at = back[at]
+    return out[::-1]
+
+
+def _aligned_blocks(first: list[int], later: list[int], size: list[int], anchors: list[tuple[int, int]], min_words: int) -> set[int]:
+    """Lines of ``later`` in blocks of at least ``min_words`` words (consecutive on both sides) of
+    the alignment that holds the ``anchors`` and is patience diff between them."""
+    aligned, alo, blo = [], 0, 0
+    for i, j in [*anchors, (len(first), len(later))]:
+        if alo < i and blo < j:
+            aligned += [(alo + x, blo + y) for x, y in patience(first[alo:i], later[blo:j])]
+        aligned.append((i, j))
+        alo, blo = i + 1, j + 1
+    aligned[-1] = (-9, -9)  # the end ends the last block
+    found, block = set(), []
+    for i, j in aligned:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(size[x] for _, x in block) >= min_words:
+                found.update(x for _, x in block)
+            block = []
+        block.append((i, j))
+    return found
+
+
 def common_block_lines(first: list[int], later: list[int], size: list[int], min_words: int = MIN_BLOCK_WORDS) -> list[int]:
     """Lines of ``later`` in blocks shared with ``first`` of at least ``min_words`` words
-    (a block: consecutive on both sides). Aligned blocks go first, and what is left is
-    aligned again. Where the alignment finds no more, a block can still stand in another
-    order than shorter common lines, or overlap one that is gone: the shared runs meet
-    those, so no common block is left whatever the order."""
-    gone = set(_shared_run_lines(first, later, size, min_words))
-    left = list(range(len(later)))
-    while left:
-        found, block = set(), []
-        for i, q in [*patience(first, [later[j] for j in left]), (-9, -9)]:
-            j = left[q] if q >= 0 else -9
-            if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-                if sum(size[x] for _, x in block) >= min_words:
-                    found.update(x for _, x in block)
-                block = []
-            block.append((i, j))
-        if not found:
-            break
+    (a block: consecutive on both sides), all from alignments. An alignment is anchored on the
+    heaviest ascending part, in words, of the runs that no block holds yet, and is patience diff
+    between the anchors; its blocks go, and the runs that it could not hold (they stand in
+    another order, or overlap) are aligned again. Where anchors of crossing runs leave only
+    short blocks, the heaviest run alone is the anchor, so every round settles one run or more
+    and none is left."""
+    open_, gone = _shared_runs(first, later, size, min_words), set()
+    while open_:
+        lone = max(open_, key=lambda r: (sum(size[r[0] : r[1]]), -r[0]))
+        for runs in (open_, [lone]):
+            anchors = _heaviest(list({(i + k, a + k) for a, b, i in runs for k in range(b - a)}), size)
+            found = _aligned_blocks(first, later, size, anchors, min_words)
+            if not found <= gone:
+                break
         gone |= found
-        left = [j for j in left if j not in found]
+        open_ = [r for r in open_ if not gone.issuperset(range(r[0], r[1]))]
     return sorted(gone)
 
 
-def _shared_run_lines(first: list[int], later: list[int], size: list[int], min_words: int) -> set[int]:
-    """Lines of ``later`` in a shortest run of ``min_words`` words that ``first`` holds too:
-    every line with a word of every common block lies in one. Linear in both texts."""
+def _shared_runs(first: list[int], later: list[int], size: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, place in ``first``) of the shortest runs of ``min_words`` words in ``later`` that
+    ``first`` holds too, at their first place there. Linear in both texts."""
     words = dict(zip(later, size, strict=True))  # a line that only first has ends its runs
-    held, piece = set(), []
-    for h in [*first, None]:
+    place: dict[tuple, int] = {}
+    piece: list[int] = []
+    for at, h in enumerate([*first, None]):
         if h in words:
             piece.append(h)
             continue
-        held.update(tuple(piece[a:b]) for a, b in _runs([words[x] for x in piece], min_words))
+        for a, b in sorted(_runs([words[x] for x in piece], min_words)):
+            place.setdefault(tuple(piece[a:b]), at - len(piece) + a)
         piece = []
-    return {x for a, b in _runs(size, min_words) if tuple(later[a:b]) in held for x in range(a, b)}
+    return [(a, b, place[run]) for a, b in sorted(_runs(size, min_words)) if (run := tuple(later[a:b])) in place]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
