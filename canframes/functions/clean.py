@@ -17,23 +17,25 @@ from canframes.schema import (
 )
 
 
-_SPACE_AROUND = r"^\s+|\s+$"
-_NUMBER = r"(?i)^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+# what the cast takes beyond decimal and exponent forms and inf: type suffixes, hexadecimal
+# forms, nan, and control characters around a number
+_NOT_DECIMAL = r"[\x00-\x08\x0E-\x1FdDpPxX]|[0-9.][fF]|[nN][aA]"
 
 
 def parse_number(c: str | Column, to: str = "float") -> Column:
     """Text as a number: decimal or exponent form (or inf) with white space around it
     allowed; anything else, such as ``1D``, ``0F`` or ``0x1p3``, is null."""
     col = F.col(c) if isinstance(c, str) else c
-    txt = F.regexp_replace(col, _SPACE_AROUND, "")
-    return F.when(txt.rlike(_NUMBER), txt.try_cast(to))
+    return F.when(~col.rlike(_NOT_DECIMAL), col.try_cast(to))
 
 
 def to_float32(c: str | Column, is_text: bool = True) -> Column:
     """Numeric coercion: unparseable text -> null (not an error), NaN -> null, float32."""
     col = F.col(c) if isinstance(c, str) else c
-    v = parse_number(col) if is_text else col.try_cast("float")
-    return F.when(F.isnan(v), F.lit(None).cast("float")).otherwise(v)
+    if is_text:
+        return parse_number(col)  # never NaN
+    v = col.try_cast("float")
+    return F.when(~F.isnan(v), v)
 
 
 def missing_tokens_to_null(c: str | Column) -> Column:

@@ -2,19 +2,18 @@
 ``(model, label, score)``.
 
 Everything is derived from one score-grouped table ``(model, score, p, n)`` (partial
-aggregation before the shuffle, ties collapsed; checkpointed, so the raw scores are read
-once) and its cumulative counts in descending score order. The running sums use a two-level prefix sum so that no single task orders
-all distinct scores of a model:
-
-1. bucket boundaries per model from ``percentile_approx`` over the distinct scores
-   (a bounded array per model; only when a model has more distinct scores than one task
-   should order, otherwise one bucket per model),
-2. per-(model, bucket) totals -> offsets (models x buckets rows, broadcast behind a size
-   check),
-3. a running sum inside each (model, bucket) window + the bucket offset.
-
-The point index ``idx`` (1-based rank of the distinct score) is cumulated the same way,
-which turns neighbour access (``lag``/``lead`` for ROC point dropping) into equi-joins.
+aggregation before the shuffle, ties collapsed) and its cumulative counts in descending
+score order:
+
+1. the table is range-partitioned on (model, score) and landed, so the raw scores are read
+   once and no single task orders all distinct scores of a model,
+2. totals per (model, partition) give offsets (models x partitions rows, broadcast behind a
+   size check),
+3. a running sum inside each (model, partition) is added to the offset.
+
+The point index ``idx`` (1-based rank of the distinct score) comes from the landed places,
+and the counts of the next point (for ROC point dropping) from the same window, over the
+edge of a partition from the offsets: no self-join.
 """
 
 from __future__ import annotations
@@ -44,11 +43,14 @@ def score_counts(scores: DataFrame, model: str = "model", score: str = "score",
 
 def cumulative_counts(counts: DataFrame, parts: int | None = None) -> DataFrame:
     """Add ``tp``/``fp`` (counts with score >= this score), ``idx`` (1-based point number in
-    descending score order), totals ``tot_p``/``tot_n`` and ``m`` (points of the model)."""
+    descending score order), totals ``tot_p``/``tot_n``, ``m`` (points of the model) and ``next``
+    (``p`` and ``n`` of the next lower score, null at the last point)."""
     g = ranged(counts, [F.col("model").asc_nulls_last(), F.col("score").desc()], parts)
     totals = g.groupBy("model", "_pid").agg(
-        F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"), F.min("_mid").alias("_m0")
+        F.sum("p").alias("_sp"), F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sc"), F.min("_mid").alias("_m0"),
+        F.min_by(F.struct("p", "n"), "_mid").alias("_first"),
     )
+    after = Window.partitionBy("model").orderBy("_pid")
     before = Window.partitionBy("model").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("model")
     offsets = land(
@@ -62,11 +64,15 @@ def cumulative_counts(counts: DataFrame, parts: int | None = None) -> DataFrame:
             F.sum("_sp").over(whole).alias("tot_p"),
             F.sum("_sn").over(whole).alias("tot_n"),
             F.sum("_sc").over(whole).alias("m"),
+            F.lead("_first").over(after).alias("_over"),
         ),
         "curve-offsets",
     )
     run = Window.partitionBy("model", "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    local = g.select("model", "_pid", "_mid", "score", "p", "n", F.sum("p").over(run).alias("_lp"), F.sum("n").over(run).alias("_ln"))
+    local = g.select(
+        "model", "_pid", "_mid", "score", "p", "n", F.sum("p").over(run).alias("_lp"), F.sum("n").over(run).alias("_ln"),
+        F.lead(F.struct("p", "n")).over(Window.partitionBy("model", "_pid").orderBy("_mid")).alias("_next"),
+    )
     joined = join_same(local, offsets, ["model", "_pid"], offsets.count(), 128)
     return joined.select(
         "model",
@@ -79,6 +85,7 @@ def cumulative_counts(counts: DataFrame, parts: int | None = None) -> DataFrame:
         "tot_p",
         "tot_n",
         "m",
+        F.coalesce("_next", "_over").alias("next"),
     )
 
 
@@ -178,17 +185,14 @@ def metrics_report(scores: DataFrame, thresholds: DataFrame | None = None, thr_c
 def roc_curve(cum: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """ROC points ``(model, threshold, fpr, tpr)`` plus the (0, 0, +inf) start point.
 
-    A point is dropped when the steps before and after it are equal in both fp and tp
-    (second differences zero), first and last points kept, only when a model has more
-    than two points. Neighbours come from equi-joins on the point index."""
-    base = cum.select("model", "score", "idx", "tp", "fp", "tot_p", "tot_n", "m")
+    A point is dropped when the steps before and after it are equal in both fp and tp, first
+    and last points kept, only when a model has more than two points. The steps are the
+    counts of the point and of the next one."""
+    base = cum
     if drop_intermediate:
-        prev = cum.select("model", (F.col("idx") + 1).alias("idx"), F.col("tp").alias("_tp0"), F.col("fp").alias("_fp0"))
-        nxt = cum.select("model", (F.col("idx") - 1).alias("idx"), F.col("tp").alias("_tp2"), F.col("fp").alias("_fp2"))
-        j = base.join(prev, ["model", "idx"], "left").join(nxt, ["model", "idx"], "left")
-        interior = F.col("_tp0").isNotNull() & F.col("_tp2").isNotNull()
-        flat = ((F.col("_fp2") - 2 * F.col("fp") + F.col("_fp0")) == 0) & ((F.col("_tp2") - 2 * F.col("tp") + F.col("_tp0")) == 0)
-        base = j.filter(~((F.col("m") > 2) & interior & flat))
+        interior = (F.col("idx") > 1) & (F.col("idx") < F.col("m"))
+        flat = (F.col("p") == F.col("next.p")) & (F.col("n") == F.col("next.n"))
+        base = cum.filter(~(interior & F.coalesce(flat, F.lit(False))))
     pts = base.select(
         "model",
         F.col("score").alias("threshold"),

@@ -238,3 +238,39 @@ def test_ids_of_digits_sort_as_numbers(spark):
 
     assert index(["10", "2", "300", "2", None]) == {"2": 0, "10": 1, "300": 2}
     assert index(["10", "2", "gid_1"]) == {"10": 0, "2": 1, "gid_1": 2}
+
+
+def test_number_forms(spark):
+    import re
+
+    from canframes.functions.clean import parse_number
+
+    form = re.compile(r"[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|inf|infinity)", re.I)
+    texts = ["1", " 1\t", "\n-2.5 ", "+.5", "5.", "1e3", "1E-2", "1.e5", ".", "", " ", "e5", "1e", "1D", "1d", "0F", "1.f", "2.5F", "1e5f", "0x1p3", "0X10", "nan", "NaN", "+nan"]
+    texts += ["inf", "-Inf", "+Infinity", "INFINITY", "infinit", "Infinityf", "1 2", "1_0", "--1", "\x015", "5\x1f", "5\x0b", "1,5", "bad", "١", "1e400", "dead", "f", "F5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(len(texts), None)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", parse_number("t", "double").alias("v")).collect()}
+    for i, t in enumerate(texts):
+        core = t.strip(" \t\n\x0b\f\r")
+        assert got[i] == (float(core) if form.fullmatch(core) else None), repr(t)
+    assert got[len(texts)] is None
+
+
+def test_roc_points_dropped_across_partition_edges(spark):
+    """Equal steps are found where the next point lies in another partition or block of ties."""
+    from canframes.operators import metrics as M
+
+    rows = [(m, k, float(k), 1 if (k * 7 + (m == "a") * 3) % 5 < 2 else 0) for m in ("a", "b") for k in range(400)]
+    rows += [("c", 0, 1.0, 1), ("d", 0, 2.0, 0), ("d", 1, 1.0, 0)]
+    df = spark.createDataFrame(rows, "model string, i int, score double, label int")
+    want = None
+    for parts in (1, 3, 16):
+        got = sorted(tuple(r) for r in M.roc_curve(M.curve(df, parts)).select("model", "threshold", "tpr").collect() if r.model != "d")
+        want = want or got
+        assert got == want
+    expect = []
+    for m in ("a", "b"):
+        steps = [lab for _, lab in sorted(((s, lab) for mm, _, s, lab in rows if mm == m), reverse=True)]
+        scores = sorted((s for mm, _, s, _ in rows if mm == m), reverse=True)
+        expect += [(m, s) for k, s in enumerate(scores) if k in (0, len(scores) - 1) or steps[k] != steps[k + 1]]
+    assert sorted((r[0], r[1]) for r in want if r[0] in "ab" and r[1] != float("inf")) == sorted(expect)
