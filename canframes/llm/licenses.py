@@ -2,11 +2,12 @@
 is mapped to the identifier of a known licence sentence, and the sequence of identifiers is
 matched against ordered licence rules.
 
-A sentence ends at ``. ! ? ; :`` before white space or at an empty line; one that runs over
-several lines is looked up as a whole, line by line, and by its last lines (up to 12), since
-a notice may follow a line without an end. Normalising drops comment signs, case and punctuation.
-A rule is met where its identifiers occur in this order, others between them allowed; a rule
-whose sequence lies inside that of another rule met is not reported beside it.
+A run of text ends at ``. ! ? ; :`` before white space or at an empty line. It is normalised as
+a whole (comment signs, line ends, case and punctuation go), and known sentences are looked for
+at every word of it, left to right, the longest first and not overlapping, since a notice may be
+wrapped anywhere and stand between words without a stop. A rule is met where its identifiers
+occur in this order, others between them allowed; a rule whose sequence lies inside that of
+another rule met is not reported beside it.
 
 Everything happens inside a row (SQL functions, no join, no shuffle): the catalogue is fixed
 and small. Only sentences with one of ``TRIGGERS`` are normalised; every catalogue sentence
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from canframes.llm.spans import let
 
-TAIL_LINES = 12
-
 # fixed values: words of which every catalogue sentence has one
-TRIGGERS = ["licen[sc]e", "copyright", "permission", "permitted", "warrant", "rights reserved", "redistribut", "public domain", "cc by", "cc0", "spdx", "liable", "creative commons"]
+TRIGGERS = ["licen[sc]e", "copyright", "permission", "permitted", "warrant", "rights reserved", "redistribut", "public domain", "cc by", "cc0", "spdx", "liable", "creative commons", "gnu gpl"]
 
 # fixed values: licence sentences as published, by identifier
 SENTENCES = {
@@ -44,8 +43,21 @@ SENTENCES = {
     "ref.ccbynd4": ["Licensed under CC BY-ND 4.0.", "This work is licensed under CC BY-ND 4.0."],
     "ref.cc0": ["Released under CC0 1.0.", "Licensed under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0."],
     "rights": ["All rights reserved.", "All Rights Reserved"],
-    "copyright": ["copyright holder"],
+    "ref.gpl3+": ["GNU General Public License, version 3 or later", "GNU General Public License, version 3 or any later version", "GNU General Public License, version 3, or (at your option) any later version", "GNU General Public License v3.0 or later", "GNU GPL version 3 or later"],
+    "ref.gpl2+": ["GNU General Public License, version 2 or later", "GNU General Public License, version 2 or any later version", "GNU General Public License, version 2, or (at your option) any later version", "GNU General Public License v2.0 or later", "GNU GPL version 2 or later"],
+    "ref.lgpl3+": ["GNU Lesser General Public License, version 3 or later", "GNU Lesser General Public License, version 3, or (at your option) any later version"],
+    "ref.agpl3+": ["GNU Affero General Public License, version 3 or later", "GNU Affero General Public License, version 3, or (at your option) any later version"],
     "title.mit": ["MIT License", "The MIT License"],
+    "title.apache2": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License v2.0"],
+    "title.bsd2": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "title.bsd3": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "title.isc": ["ISC License"],
+    "title.mpl2": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+    "title.gpl2": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU General Public License v2"],
+    "title.gpl3": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU General Public License v3"],
+    "title.lgpl3": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0"],
+    "title.agpl3": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0"],
+    "bsd.asis": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
     "mit.grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit.notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "asis": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
@@ -73,25 +85,40 @@ SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "
 # fixed values: (licence, ordered sentence identifiers)
 RULES = [
     ("MIT", ["ref.mit"]),
+    ("MIT", ["title.mit"]),
     ("MIT", ["mit.grant", "mit.notice", "asis", "liable"]),
     ("MIT", ["mit.grant", "mit.notice"]),
     ("Apache-2.0", ["ref.apache2"]),
+    ("Apache-2.0", ["title.apache2"]),
+    ("Apache-2.0", ["apache.head"]),
     ("Apache-2.0", ["apache.head", "apache.use", "apache.copy", "apache.law"]),
     ("Apache-2.0", ["apache.head", "apache.use"]),
     ("BSD-2-Clause", ["ref.bsd2"]),
+    ("BSD-2-Clause", ["title.bsd2"]),
     ("BSD-2-Clause", ["bsd.grant", "bsd.source", "bsd.binary"]),
     ("BSD-3-Clause", ["ref.bsd3"]),
+    ("BSD-3-Clause", ["title.bsd3"]),
     ("BSD-3-Clause", ["bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse"]),
     ("ISC", ["ref.isc"]),
+    ("ISC", ["title.isc"]),
     ("ISC", ["isc.grant"]),
     ("MPL-2.0", ["ref.mpl2"]),
+    ("MPL-2.0", ["title.mpl2"]),
     ("GPL-2.0-only", ["ref.gpl2"]),
+    ("GPL-2.0-only", ["title.gpl2"]),
+    ("GPL-2.0-or-later", ["ref.gpl2+"]),
     ("GPL-2.0-or-later", ["gpl.grant2"]),
     ("GPL-3.0-only", ["ref.gpl3"]),
+    ("GPL-3.0-only", ["title.gpl3"]),
+    ("GPL-3.0-or-later", ["ref.gpl3+"]),
     ("GPL-3.0-or-later", ["gpl.grant3"]),
     ("LGPL-3.0-only", ["ref.lgpl3"]),
+    ("LGPL-3.0-only", ["title.lgpl3"]),
+    ("LGPL-3.0-or-later", ["ref.lgpl3+"]),
     ("LGPL-3.0-or-later", ["lgpl.grant3"]),
     ("AGPL-3.0-only", ["ref.agpl3"]),
+    ("AGPL-3.0-only", ["title.agpl3"]),
+    ("AGPL-3.0-or-later", ["ref.agpl3+"]),
     ("AGPL-3.0-or-later", ["agpl.grant3"]),
     ("CC-BY-4.0", ["ref.ccby4"]),
     ("CC-BY-SA-4.0", ["ref.ccbysa4"]),
@@ -104,12 +131,11 @@ RULES = [
 ]
 RULES += [(name, [f"spdx.{name.lower()}"]) for name in SPDX]
 
-_TRIGGER = "|".join(TRIGGERS)
+_TRIGGER = "|".join(t.replace(" ", "[^a-z0-9]+") for t in TRIGGERS)
 _NORMAL = [  # (pattern, replacement) on lower case, in order
     (r"[^a-z0-9.+]+", " "),
     (r"[.]+( |$)", r"\1"),
     (r"^ +| +$", ""),
-    (r"^copyright (c |[0-9][0-9][0-9][0-9]).*$", "copyright holder"),
 ]
 
 
@@ -136,36 +162,36 @@ def _normal(sentence: Column) -> Column:
     return s
 
 
-def _sentences(text: Column) -> Column:
-    marked = F.regexp_replace(text, r"(?i)spdx-license-identifier:[ \t\r\n\f]*", "SPDX-License-Identifier=")
-    marked = F.regexp_replace(F.regexp_replace(marked, r"([.!?;:])[ \t\r\n\f]+", "$1\x01"), r"\n[ \t\r\n\f]*\n", "\x01")
-    return F.filter(F.split(marked, "\x01"), lambda s: F.lower(s).rlike(_TRIGGER))
+# a copyright line is known by its first two words
+_HOLDER = "copyright (?:c|[0-9][0-9][0-9][0-9])"
 
 
-def _units(sentence: Column) -> Column:
-    """The sentence, its lines, and its last lines from the second on."""
+def _known_pattern() -> str:
+    """Any known sentence between spaces: by first word, the longest first."""
+    by_first: dict[str, list[str]] = {}
+    for key in sorted(CATALOGUE, key=lambda k: (-len(k.split(" ")), k)):
+        by_first.setdefault(key.split(" ")[0], []).append(re.escape(key.partition(" ")[2]))
+    tries = [re.escape(w) + " (?:" + "|".join(rest) + ")" for w, rest in by_first.items()]
+    return "(?<= )(?:" + "|".join([*tries, _HOLDER]) + ")(?= )"
 
-    def build(lines: Column) -> Column:
-        last = F.size(lines)
-        tails = F.transform(
-            F.sequence(F.greatest(F.lit(2), last - (TAIL_LINES - 1)), F.greatest(F.lit(2), last)),
-            lambda i: F.array_join(F.slice(lines, i, last), " "),
-        )
-        return F.when(last > 1, F.concat(F.array(sentence), lines, tails)).otherwise(F.array(sentence))
 
-    return let(F.split(sentence, "\n"), build)
+def _runs(text: Column) -> Column:
+    marked = F.regexp_replace(text, r"(?i)spdx-license-identifier:[ \t\r\n\f]*", "SPDX-License-Identifier=")
+    marked = F.regexp_replace(marked, r"([ \n,(][vV])\.[ \t\r\n\f#*/-]+([0-9])", "$1 $2")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"([.!?;:])[ \t\r\n\f]+", "$1\x01"), r"\n[ \t\r\n\f]*\n", "\x01")
+    return F.filter(F.split(marked, "\x01"), lambda s: F.lower(s).rlike(_TRIGGER))
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order, each once a run."""
     known = F.create_map(*[F.lit(x) for pair in CATALOGUE.items() for x in pair])
 
-    def ids(sentence: Column) -> Column:
-        found = F.transform(_units(sentence), lambda u: F.element_at(known, _normal(u)))
-        return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    def ids(run: Column) -> Column:
+        met = F.regexp_extract_all(F.concat(F.lit(" "), _normal(run), F.lit(" ")), F.lit(_known_pattern()), F.lit(0))
+        return F.array_distinct(F.transform(met, lambda m: F.coalesce(F.element_at(known, m), F.lit("copyright"))))
 
     none = F.array().cast("array<string>")
-    return F.when(F.lower(text).rlike(_TRIGGER), F.flatten(F.transform(_sentences(text), ids))).otherwise(none)
+    return F.when(F.lower(text).rlike(_TRIGGER), F.flatten(F.transform(_runs(text), ids))).otherwise(none)
 
 
 def _meets(line: Column, rule: list[str]) -> Column:
@@ -209,8 +235,9 @@ def oracle() -> str:
     normal = "lower(u)"
     for pattern, to in _NORMAL:
         normal = f"regexp_replace({normal}, {quote(pattern)}, {quote(to)}, 'g')"
-    known = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in CATALOGUE.items()) + "}"
+    catalogue = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in CATALOGUE.items())
     marked = "regexp_replace(coalesce(text, ''), '(?i)spdx-license-identifier:[ \\t\\r\\n\\f]*', 'SPDX-License-Identifier=', 'g')"
+    marked = f"regexp_replace({marked}, '([ \\n,(][vV])\\.[ \\t\\r\\n\\f#*/-]+([0-9])', '\\1 \\2', 'g')"
     marked = f"regexp_replace({marked}, '([.!?;:])[ \\t\\r\\n\\f]+', '\\1' || chr(1), 'g')"
     marked = f"regexp_replace({marked}, '\\n[ \\t\\r\\n\\f]*\\n', chr(1), 'g')"
     meets = ["regexp_matches(line, " + quote("," + "(.*,)?".join(re.escape(x) + "," for x in rule)) + f") AS r{i}" for i, (_, rule) in enumerate(RULES)]
@@ -219,18 +246,25 @@ def oracle() -> str:
         above = "".join(f" AND NOT r{j}" for j, (_, other) in enumerate(RULES) if _inside(rule, other))
         names.append(f"CASE WHEN r{i}{above} THEN {quote(name)} END")
     return f"""
-WITH cut AS (
-  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split({marked}, chr(1)), lambda s: regexp_matches(lower(s), {quote(_TRIGGER)})) AS sentences FROM documents
-), units AS (
-  SELECT rid, doc_id, list_transform(sentences, lambda s: CASE WHEN contains(s, chr(10)) THEN
-    list_concat([s], string_split(s, chr(10)),
-      list_transform(range(greatest(2, len(string_split(s, chr(10))) - {TAIL_LINES - 1}), len(string_split(s, chr(10))) + 1),
-        lambda i: array_to_string(string_split(s, chr(10))[i:], ' ')))
-    ELSE [s] END) AS units FROM cut
-), found AS (
-  SELECT rid, doc_id, list_transform(units, lambda us: list_filter(list_transform(us, lambda u: ({known})[{normal}]), lambda x: x IS NOT NULL)) AS per FROM units
-), ids AS (
-  SELECT rid, doc_id, flatten(list_transform(per, lambda p: list_filter(p, lambda x, i: list_position(p, x) = i))) AS ids FROM found
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents
+), cut AS (
+  SELECT rid, unnest(runs) AS u, generate_subscripts(runs, 1) AS run FROM (
+    SELECT rid, list_filter(string_split({marked}, chr(1)), lambda s: regexp_matches(lower(s), {quote(_TRIGGER)})) AS runs FROM texts)
+), words AS (SELECT rid, run, string_split({normal}, ' ') AS w FROM cut
+), catalogue AS (SELECT string_split(k, ' ') AS k, id FROM (VALUES {catalogue}) c(k, id)
+), starts AS (SELECT rid, run, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), places AS (
+  SELECT rid, run, i, max(len(k)) AS n, max_by(id, len(k)) AS id FROM starts JOIN catalogue ON w[i] = k[1] AND w[i:i + len(k) - 1] = k GROUP BY ALL
+  UNION ALL
+  SELECT rid, run, i, 2, 'copyright' FROM starts WHERE w[i] = 'copyright' AND (w[i + 1] = 'c' OR regexp_full_match(w[i + 1], '[0-9]{{4}}'))
+), taken AS (
+  SELECT rid, run, min(i) AS i, min_by(n, i) AS n, min_by(id, i) AS id FROM places GROUP BY rid, run
+  UNION ALL
+  SELECT t.rid, t.run, min(p.i), min_by(p.n, p.i), min_by(p.id, p.i) FROM taken t JOIN places p ON p.rid = t.rid AND p.run = t.run AND p.i >= t.i + t.n
+  GROUP BY t.rid, t.run
+), once AS (SELECT rid, run, id, min(i) AS i FROM taken GROUP BY rid, run, id
+), per AS (SELECT rid, list(id ORDER BY run, i) AS ids FROM once GROUP BY rid
+), ids AS (SELECT rid, doc_id, coalesce(ids, CAST([] AS VARCHAR[])) AS ids FROM texts LEFT JOIN per USING (rid)
 ), lines AS (SELECT *, ',' || array_to_string(ids, ',') || ',' AS line FROM ids
 ), met AS (SELECT *, {", ".join(meets)} FROM lines
 ), named AS (

@@ -76,8 +76,69 @@ def test_every_known_sentence_has_a_trigger_and_every_rule_known_sentences():
     import re
 
     trigger = re.compile(licenses._TRIGGER)
-    assert all(trigger.search(t.lower()) for texts in licenses.SENTENCES.values() for t in texts if t != "copyright holder")
-    assert all(name in licenses.CATALOGUE.values() for _, rule in licenses.RULES for name in rule)
+    assert all(trigger.search(t.lower()) for texts in licenses.SENTENCES.values() for t in texts)
+    assert all(name in {*licenses.CATALOGUE.values(), "copyright"} for _, rule in licenses.RULES for name in rule)
+
+
+WRAPPED = {
+    "# Released under the\n# MIT License\n# more code words": "MIT",
+    "Licensed under the Apache License,\nVersion 2.0\nand other words": "Apache-2.0",
+    "Licensed under the MIT license, see LICENSE file.": "MIT",
+    "Dual licensed under the MIT License and Apache License 2.0.": "Apache-2.0,MIT",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3": "GPL-3.0-only",
+    "under the GNU General Public License, version 3 or later, as you like": "GPL-3.0-or-later",
+    "the GNU Lesser General Public License, version 2.1": "",
+    "subject to the terms of the Mozilla Public License,\n// v. 2.0. If a copy": "MPL-2.0",
+    "MIT License": "MIT",
+    "Copyright (c) 2020 Somebody\nLicensed under the MIT License\nCopyright 2021 Other": "MIT",
+    "permit licenses of summit license boards": "",
+    "the copyright holder of this permission": "",
+    "word " * 5000 + "\n * released\n * under the ISC\n * License\n" + "word " * 5000: "ISC",
+}
+
+
+def test_wrapped_licences(spark):
+    d = docs_of(spark, list(WRAPPED))
+    out = licenses.find_licenses(d)
+    same_as_oracle(out, licenses.oracle(), documents=d)
+    assert [r.licenses for r in sorted(out.collect())] == list(WRAPPED.values())
+
+
+def test_planted_licence_sentences_are_all_found(spark):
+    """Every known sentence, wrapped at drawn places behind comment signs, at the start, in the
+    middle and at the end of words without a stop; and a plain left-to-right search."""
+    import random
+
+    rng = random.Random(5)
+    words = "alpha beta license gamma delta warranty epsilon permission the under licensed copyright".split()
+    filler = lambda n: [rng.choice(words) for _ in range(n)]
+    keys = {tuple(k.split(" ")): v for k, v in licenses.CATALOGUE.items()}
+    planted = []
+    for name, texts in [*licenses.SENTENCES.items(), *[(f"spdx.{x.lower()}", [f"SPDX-License-Identifier: {x}"]) for x in licenses.SPDX]]:
+        for sentence in texts:
+            for before, after in ((0, 9), (9, 9), (9, 0)):
+                parts = filler(before) + ([sentence] if name.startswith("spdx") else sentence.split()) + filler(after)
+                planted.append((name, sentence, "".join(w + rng.choice([" ", " ", " ", "\n# ", "\n   // "]) for w in parts)))
+    d = docs_of(spark, [t for *_, t in planted])
+    out = licenses.find_licenses(d)
+    rows = [r.sentence_ids.split(",") for r in sorted(out.collect())]
+    assert [(n, s) for (n, s, _), ids in zip(planted, rows, strict=True) if n not in ids] == []
+    same_as_oracle(out, licenses.oracle(), documents=d)
+
+    runs = [" ".join(rng.choice([*filler(2), *rng.choice(list(keys))]) for _ in range(60)) for _ in range(40)]
+    runs += [" ".join(" ".join(rng.choice([tuple(filler(3)), *keys])) for _ in range(8)) for _ in range(80)]
+    want = []
+    for run in runs:
+        w, i, ids = licenses.normalised(run).split(" "), 0, []
+        while i < len(w):
+            hits = [(len(k), v) for k, v in keys.items() if tuple(w[i : i + len(k)]) == k]
+            if w[i] == "copyright" and i + 1 < len(w) and (w[i + 1] == "c" or (len(w[i + 1]) == 4 and w[i + 1].isdigit())):
+                hits.append((2, "copyright"))
+            n, v = max(hits, default=(1, None))
+            ids += [v] if v and v not in ids else []
+            i += n
+        want.append(",".join(ids))
+    assert [r.sentence_ids for r in sorted(licenses.find_licenses(docs_of(spark, runs)).collect())] == want
 
 
 def best_score(text, table):
