@@ -228,20 +228,21 @@ def q_online_stops(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, settled boolean, loss_fell boolean")
 
 
-def _seq_metrics(spark, sf_dir, improved: bool):
+def _seq_metrics(spark, sf_dir, improved: bool, boosted: bool = False):
     from canframes.operators import sequence as Q
-    from canframes.operators.seq_models import fit_sequence_mlp, sequence_dataset
+    from canframes.operators.seq_models import fit_sequence_gbt, fit_sequence_mlp, sequence_dataset
     from canframes.plans.q_sequence import framed
 
     fp = framed(spark, sf_dir)
     if improved:
         fp = Q.add_sequence_context(fp)
         data = sequence_dataset(fp, Q.context_features(), timesteps=20, label_rule="ratio", pos_ratio=0.3, with_id=True)
-        name = "SeqMLP(seq+ID)"
+        name = "(seq+ID)"
     else:
         data = sequence_dataset(fp, FEATURES, timesteps=10, label_rule="any")
-        name = "SeqMLP(seq)"
-    scored = fit_sequence_mlp(data, with_id=improved).select(F.lit(name).alias("model"), "frame_id", "label", "score")
+        name = "(seq)"
+    fit, name = (fit_sequence_gbt, f"SeqGBT{name}") if boosted else (fit_sequence_mlp, f"SeqMLP{name}")
+    scored = fit(data, with_id=improved).select(F.lit(name).alias("model"), "frame_id", "label", "score")
     return M.round_doubles(M.metrics_table(M.eval_with_thresholds(scored, thr=0.5)))
 
 
@@ -253,10 +254,40 @@ def q_seq_mlp_metrics(spark, sf_dir):
 
 @register("seq_id_mlp_metrics")
 def q_seq_id_mlp_metrics(spark, sf_dir):
-    """T=20 windows of 32 context features (label = attack share >= 0.3) + one-hot ID, MLP."""
+    """T=20 windows of 32 context features (label = attack share >= 0.3) + encoded ID, MLP."""
     return _seq_metrics(spark, sf_dir, improved=True)
 
 
+@register("seq_gbt_metrics")
+def q_seq_gbt_metrics(spark, sf_dir):
+    """Flattened T=10 windows (label = any attack frame), split by ID, gradient-boosted trees."""
+    return _seq_metrics(spark, sf_dir, improved=False, boosted=True)
+
+
+@register("seq_id_gbt_metrics")
+def q_seq_id_gbt_metrics(spark, sf_dir):
+    """T=20 windows of 32 context features + encoded ID, gradient-boosted trees."""
+    return _seq_metrics(spark, sf_dir, improved=True, boosted=True)
+
+
+_ID_RATE = """SELECT p.frame_id, p.split,
+  round(CASE WHEN p.split = 'train' THEN (a.p - f.p + 20 * o.share) / (a.n - f.n + 20)
+             WHEN a.n IS NULL THEN o.share ELSE (a.p + 20 * o.share) / (a.n + 20) END, 9) AS id_rate
+FROM folded p LEFT JOIN (SELECT ID, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM folded WHERE split = 'train' GROUP BY ID) a ON a.ID = p.ID
+LEFT JOIN (SELECT ID, fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM folded WHERE split = 'train' GROUP BY ID, fold) f
+  ON f.ID = p.ID AND f.fold = p.fold
+CROSS JOIN (SELECT avg(CAST(label AS DOUBLE)) AS share FROM folded WHERE split = 'train') o"""
+_FOLDED = "SELECT *, CAST('0x' || substr(sha1('42:' || frame_id), 1, 8) AS BIGINT) % 5 AS fold FROM prepared"
+
+
+@register("id_target_encoding", oracle(_ID_RATE, ["prepared"], [("folded", _FOLDED)]))
+def q_id_target_encoding(spark, sf_dir):
+    """Out-of-fold smoothed attack rate of each frame's ID (the input that stands for the ID)."""
+    from canframes.operators.target_encoding import target_encode
+
+    return M.round_doubles(target_encode(prepared(spark, sf_dir), "ID").select("frame_id", "split", "id_rate"))
+
+
 @register("logreg_irls_metrics")
 def q_logreg_irls_metrics(spark, sf_dir):
     """Balanced L2 logistic regression with the bias penalized (Newton / IRLS, one

@@ -21,6 +21,31 @@ def q_row_hash(spark, sf_dir):
     return S.with_group_key(clean_view(spark, sf_dir)).select("frame_id", "group_key")
 
 
+def _bytes_sql(cols: list[str]) -> str:
+    """DuckDB: sha1 of the float32 bytes of the columns, little-endian, from the bit cast."""
+    word = lambda c: f"hex(CAST(CAST(CAST({c} AS FLOAT) AS BIT) AS BLOB))"
+    return "sha1(unhex(" + " || ".join(f"substr({word(c)}, {at}, 2)" for c in cols for at in (7, 5, 3, 1)) + "))"
+
+
+_SHIFTED_SQL = "SELECT frame_id, " + ", ".join(f"{c}, CAST((CAST({c} AS DOUBLE) - 3) / 7 AS FLOAT) AS {c}_s" for c in FEATURES) + " FROM clean"
+
+
+@register(
+    "row_hash_bytes",
+    oracle(
+        f"SELECT frame_id, {_bytes_sql(FEATURES)} AS payload_key, {_bytes_sql([c + '_s' for c in FEATURES])} AS shifted_key FROM shifted",
+        ["clean"], [("shifted", _SHIFTED_SQL)],
+    ),
+)
+def q_row_hash_bytes(spark, sf_dir):
+    """Digest of the float32 bytes of the payload, and of a shifted and scaled payload
+    (negative values and fractions)."""
+    from canframes.functions.hashing import row_hash_bytes
+
+    df = clean_view(spark, sf_dir).withColumns({f"{c}_s": ((F.col(c).cast("double") - 3) / 7).cast("float") for c in FEATURES})
+    return df.select("frame_id", row_hash_bytes().alias("payload_key"), row_hash_bytes([f"{c}_s" for c in FEATURES]).alias("shifted_key"))
+
+
 @register("group_split", oracle("SELECT frame_id, group_key, split FROM prepared", ["prepared"]))
 def q_group_split(spark, sf_dir):
     return prepared(spark, sf_dir).select("frame_id", "group_key", "split")
@@ -145,6 +170,33 @@ def q_distinct_counts(spark, sf_dir):
     return S.distinct_counts(prepared(spark, sf_dir), ["group_key", "ID", "label"])
 
 
+_SKETCHED = ["frame_id", "group_key", "ID", "DATA_0"]
+
+
+@register(
+    "distinct_sketches",
+    oracle(
+        " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n_exact, true AS within_error, true AS source_within_error FROM prepared" for c in _SKETCHED),
+        ["prepared"],
+    ),
+)
+def q_distinct_sketches(spark, sf_dir):
+    """Sketches stored per source file and merged over the files, against the exact counts: both
+    the merged estimate and that of every file lie within three standard errors."""
+    from canframes.plans.fixtures import frames, source_of
+    from canframes.session import land
+
+    df = S.with_group_key(frames(spark, sf_dir).withColumn("source", source_of()))
+    stored = land(S.distinct_sketches(df, _SKETCHED, ["source"]), "sketches")
+    exact = S.distinct_counts(df, _SKETCHED).first()  # one row
+    merged = S.merged_distinct(stored, _SKETCHED).first()
+    per = df.groupBy("source").agg(*[F.countDistinct(c).alias(f"x_{c}") for c in _SKETCHED]).join(S.merged_distinct(stored, _SKETCHED, ["source"]), "source")
+    bound = lambda n: max(1.0, 3 * 1.04 / 2**7 * n)
+    near = per.agg(*[F.bool_and(F.abs(F.col(f"x_{c}") - F.col(f"n_{c}")) <= F.greatest(F.lit(1.0), 3 * 1.04 / 2**7 * F.col(f"x_{c}"))).alias(c) for c in _SKETCHED]).first()
+    rows = [(c, exact[f"n_{c}"], abs(merged[f"n_{c}"] - exact[f"n_{c}"]) <= bound(exact[f"n_{c}"]), near[c]) for c in _SKETCHED]
+    return spark.createDataFrame(rows, "name string, n_exact long, within_error boolean, source_within_error boolean")
+
+
 def _line_sql(select: str) -> str:
     """Oracle over the lineitem frames: the frame views re-pointed at ``lineitem``."""
     from canframes.plans.fixtures import CLEAN_SQL, LINE_FRAMES_SQL, SPLIT_SQL

@@ -161,3 +161,48 @@ def test_margin_and_sequence_models_beat_chance(spark):
         r = qs[name](spark, SMALL).first()
         assert r.auc > floor, (name, r.auc)
         assert r.thr_default == (0.0 if name in ("svc_metrics", "sgd_hinge_metrics") else 0.5)
+
+
+def test_boosted_windows_beat_the_network_on_held_out_ids(spark):
+    import __spark_entry__ as entry
+
+    qs = entry.queries()
+    for boosted, network in (("seq_gbt_metrics", "seq_mlp_metrics"), ("seq_id_gbt_metrics", "seq_id_mlp_metrics")):
+        b, n = qs[boosted](spark, SMALL).first(), qs[network](spark, SMALL).first()
+        assert b.auc > 0.6 and b.auc > n.auc, (boosted, b.auc, n.auc)
+
+
+def test_target_encoding_by_hand(spark):
+    """Unseen and null keys take the overall share, a training row's own fold never counts, and
+    neither the order of the rows nor the partitions matter."""
+    import hashlib
+
+    from canframes.operators.target_encoding import target_encode
+
+    rows = [(i, ["a", "b", None, "hot"][min(i % 7, 3)], i % 3 == 0, "train") for i in range(300)]
+    rows += [(1000 + i, k, False, "test") for i, k in enumerate(["a", "hot", "new", None])]
+    df = spark.createDataFrame([(i, k, int(y), s) for i, k, y, s in rows], "frame_id long, ID string, label int, split string")
+    fold = lambda i: int(hashlib.sha1(f"42:{i}".encode()).hexdigest()[:8], 16) % 5
+    train = [r for r in rows if r[3] == "train"]
+    prior = sum(r[2] for r in train) / len(train)
+    want = {}
+    for i, k, _, s in rows:
+        mine = [r[2] for r in train if k is not None and r[1] == k and (s != "train" or fold(r[0]) != fold(i))]
+        want[i] = (sum(mine) + 20 * prior) / (len(mine) + 20)
+    for parts in (1, 7):
+        got = {r.frame_id: r.id_rate for r in target_encode(df.repartition(parts), "ID").collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    with pytest.raises(ValueError):
+        target_encode(df.filter("split = 'test'"), "ID")
+
+
+def test_sequence_input_is_as_wide_with_any_number_of_ids(spark):
+    from canframes.operators.seq_models import _sides, sequence_dataset
+
+    widths = set()
+    for ids in (6, 40):
+        rows = [(i * 100 + k, f"id{i}", k, 30, float(k % 5 + i), int(k % 4 == 0)) for i in range(ids) for k in range(30)]
+        fp = spark.createDataFrame(rows, "frame_id long, ID string, pos long, n_in_id long, x1 double, label int")
+        data = sequence_dataset(fp, ["x1"], timesteps=4, with_id=True)
+        widths.add(len(_sides(data, True, 1)[0].select("features").first()[0]))
+    assert widths == {5}

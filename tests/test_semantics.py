@@ -274,3 +274,35 @@ def test_roc_points_dropped_across_partition_edges(spark):
         scores = sorted((s for mm, _, s, _ in rows if mm == m), reverse=True)
         expect += [(m, s) for k, s in enumerate(scores) if k in (0, len(scores) - 1) or steps[k] != steps[k + 1]]
     assert sorted((r[0], r[1]) for r in want if r[0] in "ab" and r[1] != float("inf")) == sorted(expect)
+
+
+def test_float32_bytes_of_every_kind_of_value(spark):
+    """Zeros of both signs, denormals, powers of two and their neighbours, infinities, NaN, null."""
+    import struct
+
+    import numpy as np
+
+    from canframes.functions.hashing import float32_hex
+
+    rng = np.random.default_rng(3)
+    patterns = {0, 1, 2, 0x007FFFFF, 0x00800000, 0x7F7FFFFF, 0x7F800000, *[e << 23 for e in range(255)]}
+    patterns |= {p + d for p in list(patterns) for d in (-1, 1) if 0 <= p + d <= 0x7F800000}
+    patterns |= {int(x) for x in rng.integers(0, 0x7F800000, 4000)}
+    bits = sorted(patterns | {p | 0x80000000 for p in patterns})
+    values = [struct.unpack("<f", struct.pack("<I", b))[0] for b in bits]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, float("nan"), None])], "i int, v float")
+    got = {r.i: r.h for r in df.select("i", float32_hex("v").alias("h")).collect()}
+    assert [got[i] for i in range(len(bits))] == [struct.pack("<I", b).hex().upper() for b in bits]
+    assert got[len(bits)] == got[len(bits) + 1] == "0000C07F"
+
+
+def test_sketches_merge_over_files(spark):
+    from canframes.operators.split import distinct_sketches, merged_distinct
+
+    df = spark.range(60000).selectExpr("id % 20000 AS k", "CAST(id % 3 AS STRING) AS few", "id % 6 AS file", "IF(id % 2 = 0, id, NULL) AS half")
+    stored = distinct_sketches(df, ["k", "few", "half"], ["file"])
+    got = merged_distinct(stored, ["k", "few", "half"]).first()
+    assert abs(got.n_k - 20000) < 20000 * 3 * 1.04 / 128 and got.n_few == 3 and abs(got.n_half - 30000) < 30000 * 3 * 1.04 / 128
+    per = {r.file: r.n_few for r in merged_distinct(stored, ["few"], ["file"]).collect()}
+    assert per == {f: 1 for f in range(6)}
+    assert merged_distinct(stored.filter("file < 0"), ["k"]).first().n_k in (0, None)
