@@ -59,8 +59,11 @@ def weighted(train: DataFrame) -> tuple[DataFrame, float]:
     return tw, total
 
 
-def score_column(pred: DataFrame, kind: str) -> DataFrame:
-    """Probability of class 1 when the model has one, else the margin, else the prediction."""
+def score_column(pred: DataFrame, kind: str | None = None) -> DataFrame:
+    """Probability of class 1 when the model has one, else the margin, else the prediction;
+    ``kind`` (``probability``, ``raw``, ``prediction``) overrides what the columns say."""
+    if kind is None:
+        kind = "probability" if "probability" in pred.columns else "raw" if "rawPrediction" in pred.columns else "prediction"
     if kind == "probability":
         return pred.withColumn("score", vector_to_array("probability")[1])
     if kind == "raw":

@@ -4,7 +4,8 @@
 Gaussian NB, 100 extremely randomized trees) on the training split, evaluates them on the test split
 and writes: metrics table, thresholds JSON, metadata JSON (features, thresholds, split
 sizes), tree importances, logistic coefficients, scaler / linear / NB parameter tables,
-the tree node table with its class weights and the ``pyspark.ml`` model directory. ``score_with_artifacts`` loads them back
+the tree node table with its class weights, the ``pyspark.ml`` model directory and the whole
+logistic scoring path as one saved pipeline (scaling, assembling, model). ``score_with_artifacts`` loads them back
 and scores frames at the stored thresholds.
 
 Thresholds are tuned on a validation split by default (``tune_on="val"``); pass
@@ -13,13 +14,15 @@ Thresholds are tuned on a validation split by default (``tune_on="val"``); pass
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canframes.operators import metrics as M
 from canframes.operators.extra_trees import ExtraTrees, fit_extra_trees
-from canframes.operators.learners import assemble, coefficient_table, fit_and_score, score_column
+from canframes.operators.learners import VEC, assemble, coefficient_table, fit_and_score, score_column
 from canframes.operators.naive_bayes import GaussianNB, gnb_params
 from canframes.operators.scale import Standardizer, scaler_params
 from canframes.operators import split as S
@@ -84,11 +87,23 @@ def export_artifacts_frames(frames: DataFrame, out_dir: str, tune_on: str = "val
     sinks.write_params(lin, f"{out_dir}/logreg_params")
     sinks.write_params(gnb_params(ztrain), f"{out_dir}/gnb_params")
     sinks.save_model(logreg, f"{out_dir}/logreg_model")
+    sinks.save_model(scoring_pipeline(std, logreg), f"{out_dir}/scoring_pipeline")
     sinks.write_params(trees.nodes(spark), f"{out_dir}/extratrees_nodes")
     sinks.write_params(spark.createDataFrame(list(enumerate(trees.weights)), "label int, weight double"), f"{out_dir}/extratrees_weights")
     return spark.read.option("header", True).option("inferSchema", True).csv(f"{out_dir}/metrics.csv")
 
 
+def scoring_pipeline(std: Standardizer, model) -> PipelineModel:
+    """Scaling, assembling and a fitted linear model as one pipeline for cleaned frames."""
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - ({std.mean[c]!r}D)) / {std.scale[c]!r}D AS z_{c}" for c in FEATURES)
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol=VEC, handleInvalid="keep"),
+        model,
+    ]
+    return PipelineModel(stages)
+
+
 def load_gnb(spark: SparkSession, path: str) -> GaussianNB:
     rows = spark.read.parquet(path).collect()  # classes x features rows
     prior, mean, var = {}, {}, {}

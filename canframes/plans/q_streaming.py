@@ -17,7 +17,7 @@ from canframes.plans.q_split import prepared
 from canframes.schema import FEATURES
 from canframes.session import land, work_path
 from canframes.streaming.keyed_windows import keyed_windows, read_keyed_windows, start_keyed_windows
-from canframes.streaming.scoring import alert_counts, score_stream
+from canframes.streaming.scoring import alert_counts, score_stream, score_stream_with_artifacts
 from canframes.streaming.windows import read_windows, start_windows
 
 STREAM_SLICES = 3
@@ -156,3 +156,18 @@ def q_stream_alert_counts(spark, sf_dir):
     std, gnb = _fitted(spark, sf_dir)
     scored = score_stream(_stream(spark, sf_dir), std, gnb, ALERT_THRESHOLD)
     return run_to_sink(alert_counts(scored), spark, "stream-alerts")
+
+
+@register("stream_stored_pipeline", oracle("SELECT frame_id, true AS same_score, true AS same_alert FROM clean", ["clean"]))
+def q_stream_stored_pipeline(spark, sf_dir):
+    """Export, then the saved pipeline over the frame stream: every frame has the score and the
+    alert of batch scoring with the stored tables."""
+    from canframes.plans.export import export_artifacts, score_frames_with_artifacts
+    from canframes.plans.fixtures import clean_view
+
+    art = work_path(spark, "artifacts")
+    export_artifacts(spark, sf_dir, art)
+    scored = score_stream_with_artifacts(_stream(spark, sf_dir), art)
+    out = run_to_sink(scored.select("frame_id", "score", "alert"), spark, "stream-stored")
+    batch = score_frames_with_artifacts(clean_view(spark, sf_dir), art).filter(F.col("model") == "logreg").select("frame_id", F.col("score").alias("b"), "pred")
+    return out.join(batch, "frame_id", "full").select("frame_id", (F.abs(F.col("score") - F.col("b")) < 1e-12).alias("same_score"), (F.col("alert") == F.col("pred")).alias("same_alert"))

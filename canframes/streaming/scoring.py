@@ -3,11 +3,14 @@ frame stream; alerts counted per tumbling event-time window with a watermark."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canframes.functions.clean import drop_incomplete, read_and_clean
 from canframes.functions.thresholds import predict
+from canframes.operators.learners import score_column
+from canframes.sources import sinks
 
 
 def score_stream(frames: DataFrame, scaler, model, threshold: float, features: list[str] | None = None) -> DataFrame:
@@ -20,6 +23,16 @@ def score_stream(frames: DataFrame, scaler, model, threshold: float, features: l
     return scored.withColumn("alert", predict("score", threshold))
 
 
+def score_stream_with_artifacts(frames: DataFrame, art_dir: str, features: list[str] | None = None) -> DataFrame:
+    """Stateless scoring with what an export wrote: the saved pipeline is loaded once and put
+    behind the cleaning, the alert is that of the stored threshold. Frames may be static or
+    streaming; a frame that cleaning drops gets no score."""
+    threshold = sinks.read_json_row(frames.sparkSession, f"{art_dir}/thresholds.json").first().models["logreg"]["thr_bestF1"]
+    cleaned = drop_incomplete(read_and_clean(frames, features))
+    scored = score_column(PipelineModel.load(f"{art_dir}/scoring_pipeline").transform(cleaned), "probability")
+    return scored.select(*cleaned.columns, "score", predict("score", threshold).alias("alert"))
+
+
 def alert_counts(scored: DataFrame, window: str = "1 hour", delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Frames and alerts per tumbling window; a window is emitted (append mode) once, when
     the watermark (max event time - ``delay``) passes its end. Frames within the delay are

@@ -206,3 +206,15 @@ def test_sequence_input_is_as_wide_with_any_number_of_ids(spark):
         data = sequence_dataset(fp, ["x1"], timesteps=4, with_id=True)
         widths.add(len(_sides(data, True, 1)[0].select("features").first()[0]))
     assert widths == {5}
+
+
+def test_score_kind_is_found_from_the_columns(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from canframes.operators.learners import score_column
+
+    df = spark.createDataFrame([(Vectors.dense([0.3, 0.7]), Vectors.dense([-1.5, 1.5]), 1.0)], ["probability", "rawPrediction", "prediction"])
+    assert score_column(df).first().score == 0.7
+    assert score_column(df.drop("probability")).first().score == 1.5
+    assert score_column(df.select("prediction")).first().score == 1.0
+    assert score_column(df, "raw").first().score == 1.5
