@@ -30,6 +30,43 @@ def test_quotes(spark):
     assert rows[2, 0].reply_to is None  # another conversation said it
 
 
+def test_drawn_quotes_lead_to_their_originals(spark):
+    """The given conversations with replies written into them: each quotes one earlier turn, whole
+    or a line of it, wrapped anew, in other case and punctuation, below quotes of what that turn
+    quoted. Every reply finds its turn, and all rows equal the oracle's."""
+    rng = random.Random(11)
+    talk, parents = [], {}
+    turns = table(spark, SMOKE, "conversations").filter("text IS NOT NULL").orderBy("conv_id", "turn").collect()
+    by_conv = {}
+    for r in turns:
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for conv, rows in by_conv.items():
+        own, quoted = {}, {}
+        for t in range(max(6, len(rows))):
+            words = (rows[t % len(rows)].text.split() or ["empty"])[:40]
+            own[t] = [f"turn {conv} {t} says " + " ".join(words[:20]), f"and then {conv} {t} " + " ".join(words[20:])]
+            lines = []
+            if t and rng.random() < 0.8:
+                parent = parents[conv, t] = rng.randrange(t)
+                said = own[parent] if rng.random() < 0.5 else [rng.choice(own[parent])]
+                if rng.random() < 0.5:
+                    said = ["".join(c.upper() if c.isascii() else c for c in x) + "!" for x in said]
+                if rng.random() < 0.4:  # wrapped anew as one passage
+                    flat = " ".join(own[parent]).split()
+                    said = [" ".join(flat[i : i + 7]) for i in range(0, len(flat), 7)]
+                deeper = quoted.get(parent, [])[:6]
+                lines = [f"On day {t}, user{parent} wrote:", *["> " + x for x in deeper], *[rng.choice(["> ", ">", "  > "]) + x for x in said]]
+            quoted[t] = lines[1:]
+            talk.append((conv, t, rng.choice(["user", "assistant"]), "\n".join([*lines, "" if rng.random() < 0.5 else "\n", *own[t]])))
+    d = spark.createDataFrame(rng.sample(talk, len(talk)), "conv_id long, turn long, role string, text string")
+    out = quotes.link_quotes(d)
+    same_as_oracle(out, quotes.ORACLE, conversations=d)
+    got = {(r.conv_id, r.turn): r for r in out.collect()}
+    assert len(parents) > 50 and {k: got[k].reply_to for k in parents} == parents
+    assert all(r.reply_to is None for k, r in got.items() if k not in parents)
+    assert all(">" not in r.text and "wrote:" not in r.text for r in got.values())
+
+
 def test_a_long_reply_chain(spark):
     n = 70
     talk = [(9, i, "u", (f"> word{i - 1} said here\n" if i else "") + f"word{i} said here") for i in range(n)]
