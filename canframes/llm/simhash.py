@@ -1,17 +1,21 @@
 """SimHash near-duplicates: 64-bit fingerprints linked at a small bit distance.
 
-Links are found with an inverted index over positional bytes. Two fingerprints that differ
-in at most ``max_bits`` = 2 bits agree in at least 6 of their 8 byte positions, and so in at
-least 2 of the 4 positions of adjacent byte pairs. A posting is therefore keyed by two of
-the four positional byte pairs (6 postings a fingerprint, 32 key bits: single bytes as
-keys would make postings that grow with the square of the corpus). For each pair met in a
-posting the shared positional bytes are tallied; pairs below the guaranteed minimum go, the
-rest is verified by its bit distance.
+Links are found with an inverted index over positional bytes and a count filter. A posting
+is keyed by a block of four of the eight byte positions and the bytes there (single bytes
+as keys would make postings that grow with the square of the corpus). The 14 blocks are the
+sets of four positions whose numbers have XOR 0; any three positions stand together in
+exactly one of them, so the number of blocks that two fingerprints share tells how many
+positional bytes they share: 14 of 14 blocks for 8 bytes, 7 for 7, 3 for 6, at most 1 for
+fewer. Fingerprints within ``max_bits`` = 2 bits share at least 6 bytes and so at least 3
+postings: the shared postings of each pair are tallied, pairs below that guaranteed minimum
+go, the rest is verified by its bit distance.
 
 Postings longer than ``max_posting`` fingerprints (groups of near copies) are not paired:
 their fingerprints go to *midpoints* instead, themselves and their 64 one-bit neighbours.
 Two fingerprints share a midpoint exactly if they differ in at most 2 bits, and a midpoint
-has at most 65 fingerprints, so these groups stay linear and no link is lost."""
+has at most 65 fingerprints, so these groups stay linear. No link is lost: a pair within
+the distance either meets in short postings alone, and then its tally is whole, or meets in
+a long one, and then both are at midpoints."""
 
 from __future__ import annotations
 
@@ -27,6 +31,7 @@ from canframes.llm.components import connected_components
 from canframes.session import land
 
 SEED = 42
+BLOCKS = [b for b in itertools.combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
 _CHUNK = 1 << 16
 
 
@@ -63,12 +68,9 @@ def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
 
 
-def _shared_bytes(x: Column) -> Column:
-    """How many of the eight positional bytes are zero in the difference ``x``."""
-    n = F.lit(0)
-    for i in range(8):
-        n = n + (_byte(x, i) == 0).cast("int")
-    return n
+def least_shared(max_bits: int) -> int:
+    """Blocks that two fingerprints share at least when ``max_bits`` bytes differ."""
+    return sum(not set(range(max_bits)) & set(block) for block in BLOCKS)
 
 
 def links(nodes: DataFrame, max_bits: int = 2, max_posting: int = 64) -> DataFrame:
@@ -78,23 +80,23 @@ def links(nodes: DataFrame, max_bits: int = 2, max_posting: int = 64) -> DataFra
     if max_bits not in (1, 2):
         raise ValueError("the index is laid out for a bit distance of 1 or 2")
     fp = F.col("fp")
-    word = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [
-        F.struct(F.lit(k).alias("place"), F.shiftleft(word(i), 16).bitwiseOR(word(j)).alias("key"))
-        for k, (i, j) in enumerate(itertools.combinations(range(4), 2))
-    ]
+    keys = []
+    for place, block in enumerate(BLOCKS):
+        key = F.lit(0).cast("long")
+        for i in block:
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, i))
+        keys.append(F.struct(F.lit(place).alias("place"), key.alias("key")))
     postings = nodes.select("fp", F.explode(F.array(*keys)).alias("p")).select("fp", "p.place", "p.key")
-    sizes = postings.groupBy("place", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # landed, so that a key that many fingerprints share can be split
+    sizes = land(postings.groupBy("place", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     shared = land(postings.join(sizes, ["place", "key"]), "simhash-postings")
     short, long = shared.filter(F.col("n") <= max_posting), shared.filter(F.col("n") > max_posting)
     left = short.select("place", "key", F.col("fp").alias("a"))
     right = short.select("place", "key", F.col("fp").alias("b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
+    tally = left.join(right, ["place", "key"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("blocks"))
     paired = (
-        left.join(right, ["place", "key"])
-        .filter("a < b")
-        .filter(_shared_bytes(diff) >= 8 - max_bits)
-        .filter(F.bit_count(diff) <= max_bits)
+        tally.filter(F.col("blocks") >= least_shared(max_bits))
+        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         .select("a", "b")
     )
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])
