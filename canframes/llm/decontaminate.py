@@ -4,14 +4,19 @@ Shingles are five words (letters and digits of the lower-cased text; a shorter s
 one shingle as a whole). An item counts as found in a document that holds at least
 ``containment`` = 0.8 of its distinct shingles.
 
-Candidates come from a MinHash sketch of the *items* alone, partitioned by item size: for an
-item of n distinct shingles the k = n - ceil(0.8 n) + 1 smallest (by sharing, then hash) are kept. A
-document with 0.8 of the shingles misses at most n - ceil(0.8 n) of them, so it holds at
-least one of the sketch: no pair is lost, whatever the document's length (a sketch of the
-whole document would be dominated by its other text). Size classes (powers of two of n)
-keep k in proportion to the item and stand in the sketch as a column.
-
-The sketch is a fifth of the benchmark's shingles. It is broadcast if its counted size is
+Candidates come from bottom-k MinHash sketches of the *items* alone, partitioned by item
+size: class c holds the items of 2^c to 2^(c+1) - 1 distinct shingles and asks for
+m = max(1, c) matches. An item of n shingles misses at most n - ceil(0.8 n) of them in a
+document that contains it, so of its k = n - ceil(0.8 n) + m sketch shingles such a document
+holds at least m, whatever the document's length (a sketch of the whole document would be
+dominated by its other text). The matches of each document and item are tallied, pairs under
+the m of the class go, and documents with fewer shingles than an item needs are not asked
+for it: no pair is lost. The order of the sketch is by hash inside bands of sharing (powers
+of two of the items that have the shingle): by hash alone a phrase of a third of the items
+stands in all their sketches and brings each document with that phrase together with each
+of them.
+
+The sketch is a part of the benchmark's shingles. It is broadcast if its counted size is
 under the library's broadcast bound (64 MB), else joined by shuffle; document shingles are hashed in a narrow
 pass. Candidate pairs are then verified by exact shingle containment on strings. SQL
 functions only."""
@@ -57,16 +62,21 @@ def needed(n: Column, containment: float = CONTAINMENT) -> Column:
     return F.ceil(F.round(n * F.lit(containment), 6)).cast("int")
 
 
+def matches(size_class: Column, need: Column) -> Column:
+    """Sketch shingles that a document which contains an item of this class has at least."""
+    return F.least(F.greatest(size_class, F.lit(1)), need)
+
+
 def sketch(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(h, item, size_class): of every item the k first shingles in the order (items that
-    share the shingle, hash). Shingles of one item come before shared phrasing, which would
-    bring every document with that phrasing together with every such item."""
-    each = items.select("item", "n", F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h")).distinct()
-    shared = each.groupBy("h").agg(F.count("*").alias("sharing"))
-    first = Window.partitionBy("item").orderBy("sharing", "h")
-    ranked = each.join(shared, "h").withColumn("rank", F.row_number().over(first))
-    low = ranked.filter(F.col("rank") <= F.col("n") - needed(F.col("n"), containment) + 1)
-    return low.select("h", "item", F.floor(F.log2("n")).cast("int").alias("size_class"))
+    """(h, item, size_class, need): of every item the k lowest shingles in the order (band of
+    sharing, hash), with the shingles that a document must have for the item."""
+    each = items.select("item", "n", F.explode(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("h"))
+    shared = land(each.groupBy("h").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("band")), "leak-bands")
+    lowest = Window.partitionBy("item").orderBy("band", "h")
+    classed = each.join(shared, "h").withColumns({"size_class": F.floor(F.log2("n")).cast("int"), "need": needed(F.col("n"), containment)})
+    ranked = classed.withColumn("rank", F.row_number().over(lowest))
+    low = ranked.filter(F.col("rank") <= F.col("n") - F.col("need") + matches(F.col("size_class"), F.col("need")))
+    return low.select("h", "item", "size_class", "need")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -76,9 +86,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     low = land(sketch(items, containment), "leak-sketch")
     # one row a text: equal texts are searched once
     text = docs.select(text_key(F.col("text")).alias("text_key"), "text").filter("text IS NOT NULL")
-    hashed = text.select("text_key", F.explode(F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("h"))
-    met = join_small(hashed, low.select("h", "item"), "h", "inner", low.count(), 80)
-    pairs = land(met.select("text_key", "item").distinct(), "leak-pairs")
+    parts = let(shingles(F.col("text")), lambda p: F.struct(F.size(p).alias("has"), F.transform(p, lambda s: F.xxhash64(s)).alias("hs")))
+    hashed = text.select("text_key", parts.alias("p")).select("text_key", F.col("p.has").alias("has"), F.explode("p.hs").alias("h"))
+    met = join_small(hashed, low, "h", "inner", low.count(), 96).filter(F.col("has") >= F.col("need"))
+    # at most k hashes a pair
+    tally = met.groupBy("text_key", "item", "size_class", "need").agg(F.size(F.collect_set("h")).alias("hits"))
+    pairs = land(tally.filter(F.col("hits") >= matches(F.col("size_class"), F.col("need"))).select("text_key", "item"), "leak-pairs")
     keys = pairs.select("text_key").distinct()
     n_keys = keys.count()
     bodies = join_small(text, keys, "text_key", "left_semi", n_keys, 64).dropDuplicates(["text_key"])

@@ -1,7 +1,9 @@
 """SimHash groups, components, line dedup and decontamination against brute force."""
 
+import itertools
 import random
 
+import pytest
 import xxhash
 from helpers import SMOKE, components, docs_of, same_as_oracle
 
@@ -51,6 +53,41 @@ def test_long_postings_link_the_same_groups(spark):
         assert components({i: i for i in signed}, lambda a, b, m=met: frozenset((a, b)) in m) == expected
 
 
+def test_shared_blocks_tell_the_shared_bytes():
+    assert len(simhash.BLOCKS) == 14
+    for three in itertools.combinations(range(8), 3):
+        assert sum(set(three) <= set(b) for b in simhash.BLOCKS) == 1
+    for n in range(5):
+        for other in itertools.combinations(range(8), n):
+            blocks = sum(not set(other) & set(b) for b in simhash.BLOCKS)
+            assert blocks == {0: 14, 1: 7, 2: 3, 3: 1}[n] if n < 4 else blocks <= 1
+    assert (simhash.least_shared(1), simhash.least_shared(2)) == (7, 3)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+@pytest.mark.parametrize("most", [1, 4, 64])
+def test_links_are_all_pairs_within_the_distance(spark, bits, most):
+    """Fingerprints that meet in short and long postings, some with pairs in both."""
+    rng = random.Random(10 * bits + most)
+    values = set()
+    for _ in range(6):
+        centre = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 40)):
+            x = centre
+            for b in rng.sample(range(64), rng.randint(0, 3)):
+                x ^= 1 << b
+            values.add(x)
+    order = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in order]
+    edges = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, most).collect()}
+    within = lambda a, b: (a ^ b).bit_count() <= bits
+    pairs = {(a, b) for a, x in zip(signed, order, strict=True) for b, y in zip(signed, order, strict=True) if a < b and within(x, y)}
+    if most == 64:
+        assert edges == pairs
+    met = {frozenset(e) for e in edges}
+    assert components(dict(zip(signed, order, strict=True)), within) == components({v: v for v in signed}, lambda a, b: frozenset((a, b)) in met)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3), (5, None)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -135,6 +172,26 @@ def test_sketch_misses_no_pair_at_the_threshold(spark):
     same_as_oracle(decontaminate.find_leaks(d, b), decontaminate.ORACLE, documents=d, benchmark=b)
 
 
+def test_sketch_asks_each_size_class_for_its_matches(spark):
+    """A document with half of a sketch, one with a shared phrase alone, items of all classes."""
+    phrase = " ".join(f"every{i}" for i in range(12))
+    items = [phrase + " " + " ".join(f"i{k}w{i}" for i in range(6 * k)) for k in range(40)]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    each = decontaminate.item_shingles(b)
+    low = decontaminate.sketch(each).groupBy("item", "size_class", "need").count().join(each.select("item", "n"), "item").collect()
+    assert len(low) == 40
+    assert all(r.size_class == r.n.bit_length() - 1 and r["count"] == r.n - r.need + max(1, r.size_class) for r in low)
+    rng = random.Random(5)
+    texts = [phrase + " and nothing else of any item", "x " * 50 + items[30] + " y" * 50]
+    for k in range(120):
+        w = items[k % 40].split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "zz"
+        texts.append(" ".join(w))
+    d = docs_of(spark, texts + texts[:20])
+    same_as_oracle(decontaminate.find_leaks(d, b), decontaminate.ORACLE, documents=d, benchmark=b)
+
+
 def runs_searched(first, later, size, least=8):
     """Lines with a word of ``later`` in any common run of ``least`` words, by comparing all pairs of starts."""
     out = set()
