@@ -9,9 +9,8 @@ size: class c holds the items of 2^c to 2^(c+1) - 1 distinct shingles and asks f
 m = max(1, c) matches. An item of n shingles misses at most n - ceil(0.8 n) of them in a
 document that contains it, so of its k = n - ceil(0.8 n) + m sketch shingles such a document
 holds at least m, whatever the document's length (a sketch of the whole document would be
-dominated by its other text). The matches of each document and item are tallied, pairs under
-the m of the class go, and documents with fewer shingles than an item needs are not asked
-for it: no pair is lost. The order of the sketch is by hash inside bands of sharing (powers
+dominated by its other text). The matches of each document and item are tallied and pairs under
+the m of the class go: no pair is lost. The order of the sketch is by hash inside bands of sharing (powers
 of two of the items that have the shingle): by hash alone a phrase of a third of the items
 stands in all their sketches and brings each document with that phrase together with each
 of them.
@@ -69,7 +68,7 @@ def matches(size_class: Column, need: Column) -> Column:
 
 def sketch(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(h, item, size_class, need): of every item the k lowest shingles in the order (band of
-    sharing, hash), with the shingles that a document must have for the item."""
+    sharing, hash), with its class and the shingles that a document must have of it."""
     each = items.select("item", "n", F.explode(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("h"))
     shared = land(each.groupBy("h").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("band")), "leak-bands")
     lowest = Window.partitionBy("item").orderBy("band", "h")
@@ -86,9 +85,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     low = land(sketch(items, containment), "leak-sketch")
     # one row a text: equal texts are searched once
     text = docs.select(text_key(F.col("text")).alias("text_key"), "text").filter("text IS NOT NULL")
-    parts = let(shingles(F.col("text")), lambda p: F.struct(F.size(p).alias("has"), F.transform(p, lambda s: F.xxhash64(s)).alias("hs")))
-    hashed = text.select("text_key", parts.alias("p")).select("text_key", F.col("p.has").alias("has"), F.explode("p.hs").alias("h"))
-    met = join_small(hashed, low, "h", "inner", low.count(), 96).filter(F.col("has") >= F.col("need"))
+    hashed = text.select("text_key", F.explode(F.transform(shingles(F.col("text")), lambda s: F.xxhash64(s))).alias("h"))
+    met = join_small(hashed, low, "h", "inner", low.count(), 96)
     # at most k hashes a pair
     tally = met.groupBy("text_key", "item", "size_class", "need").agg(F.size(F.collect_set("h")).alias("hits"))
     pairs = land(tally.filter(F.col("hits") >= matches(F.col("size_class"), F.col("need"))).select("text_key", "item"), "leak-pairs")
