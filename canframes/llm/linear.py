@@ -15,6 +15,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ class Sample:
         return np.bincount(self.col, weights=self.val * g[self.row], minlength=self.dims)
 
     def part(self, keep: np.ndarray) -> Sample:
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(np.int32)
         m = keep[self.row]
         return Sample([x for x, k in zip(self.labels, keep, strict=True) if k], self.fold[keep], number[self.row[m]], self.col[m], self.val[m], self.dims)
 
@@ -117,12 +118,24 @@ def bounded_sample(docs: DataFrame, ids: DataFrame, per_class: int, blocks_of, d
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
     got = map_batches(src, "doc_id long, label string, fold int, mark long, slots array<int>, vals array<float>", run, ["doc_id", "label", "fold", "text"], 32).toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("mark", "ascending")]).combine_chunks()
-    ids_, sizes = got["doc_id"].to_numpy(), got["slots"].combine_chunks().value_lengths().to_numpy()
-    if not len(ids_):
+    order = got.select(["doc_id", "mark"]).combine_chunks()
+    order = np.lexsort((order["mark"].to_numpy(), order["doc_id"].to_numpy()))
+    if not len(order):
         return empty
-    flat = lambda name: got[name].combine_chunks().flatten().to_numpy()
-    s = Sample(got["label"].to_pylist(), got["fold"].to_numpy(), np.repeat(np.arange(len(ids_)), sizes), flat("slots"), flat("vals"), dims)
+    # row by row into arrays of the final size: the driver holds no second copy of the sample
+    where = [(c, i) for c, chunk in enumerate(got["slots"].chunks) for i in range(len(chunk))]
+    slots, vals = got["slots"].chunks, got["vals"].chunks
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in slots])[order]
+    col, val = np.empty(sizes.sum(), dtype=np.int32), np.empty(sizes.sum(), dtype=np.float32)
+    ends = np.cumsum(sizes)
+    for k, end in zip(order.tolist(), ends.tolist(), strict=True):
+        c, i = where[k]
+        part = slots[c][i].values.to_numpy()
+        col[end - len(part) : end], val[end - len(part) : end] = part, vals[c][i].values.to_numpy()
+    ids_, fold, labels = got["doc_id"].to_numpy()[order], got["fold"].to_numpy()[order], got["label"].to_pylist()
+    s = Sample([labels[k] for k in order.tolist()], fold, np.repeat(np.arange(len(order), dtype=np.int32), sizes), col, val, dims)
+    del got, slots, vals
+    pa.default_memory_pool().release_unused()
     once = np.concatenate([[True], ids_[1:] != ids_[:-1]])  # a repeated id trains once
     return s if once.all() else s.part(once)
 
