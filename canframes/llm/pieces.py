@@ -191,6 +191,7 @@ def _contents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _OPEN_UNITS = 200_000  # distinct units a task counts before it hands them on
 _CHUNK_CHARS = 400_000
+_ENCODE_CHARS = 200_000  # beside the dictionary
 
 
 def _chunks(batch: pa.RecordBatch, chars: int):
@@ -237,13 +238,20 @@ UNITS_PER_TASK = 20_000
 _HEAD = 3  # characters that bound how long a piece can go on
 
 
+def _small_table(spark, rows: list[tuple[str, int]], text: str, number: str) -> DataFrame:
+    """(text, number) as an Arrow table: rows in a list would be pickled anew by Python workers on the
+    executors, which stay there beside those of the encoding."""
+    data = pa.table([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int32())], names=[text, number])
+    return spark.createDataFrame(data, f"{text} string, {number} int")
+
+
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     """(h, unit, n, edges): every piece that stands somewhere in a unit as one number, with
     its end, its length and its place + 1 among the useful pieces in the bits from high to
     low, sorted; place -1 for a character without a piece. ``units`` is a landed
     table (unit, h, n); its size sets the number of tasks, so that none spills."""
     useful = [(p, k) for k, (p, _, _) in enumerate(table.useful())]
-    pieces = F.broadcast(units.sparkSession.createDataFrame(useful, "piece string, place int"))
+    pieces = F.broadcast(_small_table(units.sparkSession, useful, "piece", "place"))
     longest = max((len(p) for p, _ in useful), default=1)
     tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_PER_TASK))
     dealt = units.repartition(tasks, "h").withColumn("size", F.length("unit"))
@@ -252,7 +260,7 @@ def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     reach: dict[str, int] = {}
     for p, _ in useful:
         reach[p[:_HEAD]] = max(reach.get(p[:_HEAD], 0), len(p))
-    heads = F.broadcast(units.sparkSession.createDataFrame([x for x in reach.items() if len(x[0]) == _HEAD], "head string, reach int"))
+    heads = F.broadcast(_small_table(units.sparkSession, [x for x in reach.items() if len(x[0]) == _HEAD], "head", "reach"))
     starts = starts.withColumn("head", F.substring(F.col("unit"), F.col("start"), F.lit(_HEAD))).join(heads, "head", "left")
     ends = F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(min(_HEAD - 1, longest))), F.col("size") - F.col("start") + 1))
     parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("len"))
@@ -455,7 +463,7 @@ def _encode_batches(table: PieceTable, shared, spelling: Shared, missing: bool):
         for batch in batches:
             names = batch.schema.names
             keep = [i for i, n in enumerate(names) if n not in ("text", "more")]
-            for part in _chunks(batch, _CHUNK_CHARS):
+            for part in _chunks(batch, _ENCODE_CHARS):
                 found = cut(part["text"])
                 units, of = np.unique(found.hashes, return_inverse=True)  # token -> place among the chunk's units
                 begin, size = d.find(units)
