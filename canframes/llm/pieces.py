@@ -8,8 +8,9 @@ are whole words). Each distinct unit of the corpus is segmented once:
 1. its substrings up to the longest piece are exploded and equi-joined to the piece table
    (a vocabulary of fixed size, broadcast; a character without a piece stands for its bytes);
 2. the edges met are grouped by unit, in the partitioning the distinct units already have;
-3. the best path is a Viterbi fold over the edges by end position with ``aggregate``: highest
-   summed score, of equal ones the longest last piece.
+3. the best path is a Viterbi fold over the edges by end position: highest summed score, of equal
+   ones the longest last piece. It runs over all units of an Arrow batch at a time; the few units of
+   more than ``_SHORT`` characters go one by one, with ``aggregate``.
 
 Texts are then encoded in Arrow batches from the unit dictionary, without a shuffle of
 texts. The most frequent units up to ``max_dictionary_bytes`` are broadcast in packed form
@@ -109,40 +110,46 @@ def load_pieces(path: str = DEFAULT_MODEL) -> PieceTable:
     return PieceTable(pieces, [in_bytes[f"<0x{b:02X}>"] for b in range(256)] if in_bytes else None, sp.unk_id())
 
 
-_CUT = b"\xff"  # stands in no UTF-8 text
 _BASE = np.uint64(0x9E3779B97F4A7C13)
+_BASE_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def _byte_values() -> np.ndarray:
-    """A drawn 64-bit value for every byte; none for the cut."""
+    """A drawn 64-bit value for every byte of UTF-8."""
     values = np.random.default_rng(42).integers(1, 1 << 64, 256, dtype=np.uint64)
-    values[_CUT[0]] = 0
+    values[255] = 0
     return values
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1, as products of those of a row and those of its end."""
+    row = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4095, base)]))
+    ends = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(row[-1:] * base, n >> 12)]))
+    return (ends[:, None] * row).ravel()[:n]
+
+
 def hash_pieces(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the stretches [start, start + size) of a byte array that they fill up but
-    for the cuts behind them: a polynomial in the drawn byte values, mixed with the length."""
+    """64-bit hashes of the stretches [start, start + size) that fill up a byte array: a polynomial in
+    the drawn byte values, mixed with the length. The powers run through the whole array; a stretch is
+    then divided by that of its start (the base is odd, so it has an inverse)."""
     if not len(starts):
         return np.zeros(0, dtype=np.int64)
-    inside = np.arange(len(raw)) - np.repeat(starts, sizes + 1)
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), _BASE)]))
-    h = np.add.reduceat(_byte_values()[raw] * power[inside], starts)
+    h = np.add.reduceat(_byte_values()[raw] * _powers(_BASE, len(raw)), starts) * _powers(_BASE_BACK, len(raw))[starts]
     h = (h ^ (h >> np.uint64(32)) ^ sizes.astype(np.uint64)) * _MIX
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def unit_hash(unit: str) -> int:
     """The hash of one unit."""
-    raw = np.frombuffer(unit.encode("utf-8") + _CUT, dtype=np.uint8)
-    return int(hash_pieces(raw, np.zeros(1, np.int64), np.array([len(raw) - 1]))[0])
+    raw = np.frombuffer(unit.encode("utf-8"), dtype=np.uint8)
+    return int(hash_pieces(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
 @dataclass
 class Cut:
-    """The units of a chunk of texts: one byte array with a cut behind every unit, where each
-    unit starts, its size, its hash, and the number of units up to the end of every text."""
+    """The units of a chunk of texts, end to end in one byte array: where each unit starts, its
+    size, its hash, and the number of units up to the end of every text."""
 
     raw: np.ndarray
     starts: np.ndarray
@@ -158,11 +165,20 @@ class Cut:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data.tobytes()))
 
 
+_OTHERS, _LETTER, _SPACE, _TWO, _THREE = range(5)  # kinds of characters; of first bytes: more bytes tell
+
+
 class Units:
-    """Cuts texts into their units, a chunk at a time: a cut byte goes behind every unit."""
+    """Cuts texts into their units, a chunk at a time, as ``unit_pattern`` says: by the kinds of
+    neighbouring characters, in arrays."""
 
     def __init__(self, table: PieceTable):
-        self.prefix, self.pattern = table.dummy_prefix, table.unit_pattern()
+        table.unit_pattern()  # raises where units can't be told
+        self.prefix = table.dummy_prefix
+        letter = re.compile("(?!)" if table.mixed() else f"[{_LETTERS}]")
+        self.kinds = np.array([_LETTER if letter.match(chr(c)) else _OTHERS for c in range(1 << 11)], dtype=np.uint8)
+        leads = {b: _TWO for b in range(0xC2, 0xE0)} | {MARK.encode()[0]: _THREE}
+        self.leads = bytes(self.kinds[:0x80]) + bytes(leads.get(b, _OTHERS) for b in range(0x80, 0x100))
 
     def normal(self, texts: pa.Array, space: str) -> pa.Array:
         """The texts with ``space`` for spaces, and one before a text that is not empty."""
@@ -173,12 +189,29 @@ class Units:
             return texts
         return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(space, pa.large_string()), texts, pa.scalar("", pa.large_string())))
 
+    def kind(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The kinds of the characters that start at some places. Characters of three or more bytes are
+        no letters here."""
+        kinds = np.frombuffer(raw.tobytes().translate(self.leads), dtype=np.uint8)[at]
+        after = lambda which, k: raw[np.minimum(at[which] + k, len(raw) - 1)]
+        two, three = np.flatnonzero(kinds == _TWO), np.flatnonzero(kinds == _THREE)
+        kinds[two] = self.kinds[(after(two, 0) & 0x1F).astype(np.int64) << 6 | after(two, 1) & 0x3F]
+        _, second, third = MARK.encode()
+        kinds[three] = np.where((after(three, 1) == second) & (after(three, 2) == third), _SPACE, _OTHERS)
+        return kinds
+
     def __call__(self, texts: pa.Array) -> Cut:
-        marked = pc.replace_substring_regex(self.normal(texts, MARK), pattern=self.pattern, replacement=b"\\0" + _CUT)
-        offsets, raw = _contents(marked)
-        cuts = np.flatnonzero(raw == _CUT[0])
-        starts = np.concatenate([[0], cuts[:-1] + 1]) if len(cuts) else cuts
-        return Cut(raw, starts, cuts - starts, hash_pieces(raw, starts, cuts - starts), np.searchsorted(cuts, offsets[1:]))
+        offsets, raw = _contents(self.normal(texts, MARK))
+        begins = offsets[:-1][offsets[1:] > offsets[:-1]]
+        new = (raw & 0xC0) != 0x80
+        new[begins] = True
+        at = np.flatnonzero(new)
+        kinds = self.kind(raw, at)
+        new[at[1:]] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)
+        new[begins] = True
+        starts = np.flatnonzero(new)
+        sizes = np.diff(starts, append=len(raw))
+        return Cut(raw, starts, sizes, hash_pieces(raw, starts, sizes), np.searchsorted(starts, offsets[1:]))
 
 
 def _contents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +229,15 @@ _ENCODE_CHARS = 200_000  # beside the dictionary
 
 def _chunks(batch: pa.RecordBatch, chars: int):
     """Slices of a batch with about ``chars`` bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    yield from _slices(batch, pc.binary_length(batch["text"]), chars)
+
+
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int):
+    """Slices of a batch whose sizes add up to about ``most``."""
+    ends, at = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + chars)))
+        stop = max(at + 1, int(np.searchsorted(ends, before + most)))
         yield batch.slice(at, stop - at)
         at = stop
 
@@ -328,7 +365,8 @@ _SHORT = 64
 def short_path(edges: Column, size: Column, scores: Column) -> Column:
     """The same for units of few positions: the state is the best (score, code) of every position,
     each a back pointer by its length, and one walk back from the end gives the path. The state
-    grows by one small entry a position, so no path is copied."""
+    grows by one small entry a position, so no path is copied. ``segment`` does this by batches
+    (``Paths``), at a fraction of the time; this is the form in SQL that it is tested against."""
     first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("code")))
 
     def step(best: Column, end: Column) -> Column:
@@ -354,15 +392,105 @@ def _constants(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
+@dataclass
+class Paths:
+    """Best paths of a batch of units over their edges (codes as ``lattice`` gives them), all units one
+    end position after the other: the same sums and choices as ``short_path``, as array work."""
+
+    scores: np.ndarray  # by place + 1
+    ids: np.ndarray  # by place + 1
+    byte_ids: np.ndarray | None
+    unknown: int
+
+    @staticmethod
+    def of(table: PieceTable) -> Paths:
+        useful = table.useful()
+        scores = np.array([table.unknown_score, *[s for _, _, s in useful]])
+        ids = np.array([-1, *[i for _, i, _ in useful]], dtype=np.int32)
+        return Paths(scores, ids, np.array(table.byte_ids, dtype=np.int32) if table.byte_ids else None, table.unknown)
+
+    def taken(self, codes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each edge is on its unit's best path. ``first``: where the edges of each unit start,
+        and their number; ``sizes``: characters of each unit."""
+        cells = np.concatenate([[0], np.cumsum(sizes + 1)])  # one for every position of every unit
+        end = codes >> 32
+        length = (codes >> 24) & 255
+        order = np.argsort(end.astype(np.int32), kind="stable")  # edges by end, then unit, then length
+        end, length = end[order], length[order]
+        at = np.repeat(cells[:-1], np.diff(first))[order] + end
+        before, gain = at - length, self.scores[(codes & ((1 << 24) - 1))[order]]
+        groups = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        cell, edges_to = at[groups], np.searchsorted(end, np.arange(1, int(end[-1]) + 2))
+        groups_to = np.searchsorted(groups, edges_to)
+        best, total = np.zeros(cells[-1]), np.empty(len(codes))
+        for k in range(len(edges_to) - 1):
+            lo, hi, g, h = edges_to[k], edges_to[k + 1], groups_to[k], groups_to[k + 1]
+            total[lo:hi] = best[before[lo:hi]] + gain[lo:hi]
+            best[cell[g:h]] = np.maximum.reduceat(total[lo:hi], groups[g:h] - lo)
+        win = np.flatnonzero(total == best[at])
+        last = np.zeros(cells[-1], dtype=np.int64)
+        last[at[win]] = win  # of equal ones the longest, which comes last
+        taken = np.zeros(len(codes), dtype=bool)
+        start, here = cells[:-1], cells[:-1] + sizes
+        while len(here):
+            step = last[here]
+            taken[order[step]] = True
+            here = here - length[step]
+            left = here > start
+            start, here = start[left], here[left]
+        return taken
+
+    def spelled(self, units: pa.Array, edges: pa.Array) -> pa.Array:
+        """The piece ids of every unit."""
+        first = edges.offsets.to_numpy()
+        codes = edges.values.to_numpy()[first[0] : first[-1]]
+        first = first.astype(np.int64) - first[0]
+        sizes = codes[first[1:] - 1] >> 32  # the last edge ends the unit
+        taken = self.taken(codes, first, sizes)
+        codes, of = codes[taken], np.repeat(np.arange(len(sizes)), np.diff(first))[taken]
+        place = codes & ((1 << 24) - 1)
+        made, n = self.ids[place], np.ones(len(codes), dtype=np.int64)
+        alone = place == 0
+        if alone.any():
+            if self.byte_ids is None:
+                made[alone] = self.unknown
+            else:
+                _, raw = _contents(pc.cast(units, pa.large_string()))
+                chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start
+                char = (np.cumsum(sizes) - sizes)[of[alone]] + (codes[alone] >> 32) - 1
+                n[alone] = chars[char + 1] - chars[char]
+                made = np.repeat(made, n)
+                made[np.repeat(alone, n)] = self.byte_ids[raw[_ranges(chars[char], n[alone])]]
+        count = np.bincount(of, weights=n, minlength=len(sizes)).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(made, pa.int32()))
+
+
+_EDGES = 200_000  # of a batch that are worked on at a time
+
+
 def segment(units: DataFrame, table: PieceTable) -> DataFrame:
     """(h, unit, n, ids): the piece ids of every distinct unit of a landed table (unit, h, n)."""
+    few = F.length("unit") <= _SHORT
+    paths = Shared(units.sparkSession, Paths.of(table))
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, pc.list_value_length(batch["edges"]), _EDGES):
+                ids = paths.value.spelled(part["unit"], part["edges"])
+                yield pa.RecordBatch.from_arrays([part["h"], part["unit"], part["n"], ids], names=["h", "unit", "n", "ids"])
+
+    short = lattice(units.filter(few), table).mapInArrow(run, "h long, unit string, n long, ids array<int>")
+    long = units.filter(~few)
+    return short if long.isEmpty() else short.unionByName(_segment_long(long, table))
+
+
+def _segment_long(units: DataFrame, table: PieceTable) -> DataFrame:
+    """The same for units of many positions, with paths in blocks."""
     useful = table.useful()
     scores = _constants([table.unknown_score, *[s for _, _, s in useful]], "double")
     longest = max((len(p) for p, _, _ in useful), default=1)
     most = F.when(F.col("unit").rlike(_OTHER.pattern), F.lit(table.most_ending(False))).otherwise(F.lit(table.most_ending(True)))
-    size = F.length("unit")
-    long = let(most, lambda m: best_path(F.col("edges"), size, scores, longest, m))
-    path = F.when(size <= _SHORT, short_path(F.col("edges"), size, scores)).otherwise(long)
+    path = let(most, lambda m: best_path(F.col("edges"), F.length("unit"), scores, longest, m))
     if table.byte_ids:
         byte_ids = _constants(table.byte_ids, "int")
 
