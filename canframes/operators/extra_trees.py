@@ -1,9 +1,9 @@
 """Extremely randomized trees, grown level by level for all trees at once.
 
 Every open node draws a few non-constant features and one uniform cut between the least and
-the largest value each has in the node. One pass over the rows per level (Arrow batches)
-routes each row through the trees so far and adds it to the two sides of its node's cuts:
-frames of each class, least and largest value of each feature. The tasks' sums are one
+the largest value each has in the node. One pass over the rows per level (Arrow batches, joined
+to larger blocks) deals the rows through the trees so far and adds the rows of an open node to the
+two sides of its cuts: frames of each class, least and largest value of each feature. The tasks' sums are one
 grouped aggregate of at most trees x open nodes x cuts x 2 rows; with them the driver keeps
 the best valid cut of each node (weighted Gini) and knows the value ranges of the children.
 
@@ -14,6 +14,7 @@ bounded size (trees x 2^depth); class weights enter through whole-number counts.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from canframes.schema import FEATURES, FOREST_MAX_DEPTH, FOREST_MIN_LEAF, FOREST
 from canframes.session import land
 
 MAX_DEPTH_LIMIT = 16
+BLOCK_ROWS = 1 << 17  # rows that a task deals through the trees at once
 NODE_SCHEMA = "tree int, node int, feature string, cut double, n0 long, n1 long, share double"
 
 
@@ -141,7 +143,61 @@ def _decrease(l0: int, l1: int, r0: int, r1: int, w0: float, w1: float) -> float
     return left + right - _squares((l0 + r0) * w0, (l1 + r1) * w1)
 
 
-def _level_pass(rows: DataFrame, features: list[str], feature: np.ndarray, cut: np.ndarray, level: int, slot: np.ndarray, cand_f: np.ndarray, cand_c: np.ndarray):
+def _leaves(x: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, its rows) for every node of one tree that some row ends in; ``x`` has a row per
+    feature. Each split deals the rows of its node only."""
+    held = [(1, np.arange(x.shape[1]))]
+    while held:
+        node, own = held.pop()
+        if not len(own):
+            continue
+        if (f := feature[node]) < 0:
+            yield node, own
+            continue
+        right = x[f].take(own) > cut[node]
+        held += [(2 * node + 1, own[right]), (2 * node, own[~right])]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], features: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values with a row per feature, label is 1) of about ``BLOCK_ROWS`` rows at a time."""
+    held, n = [], 0
+
+    def block():
+        return np.stack([np.concatenate([b.column(c).to_numpy() for b in held]) for c in features]), np.concatenate([b.column("label").to_numpy() for b in held]) == 1
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield block()
+            held, n = [], 0
+    if n:
+        yield block()
+
+
+def _add_sums(x: np.ndarray, y: np.ndarray, feature: np.ndarray, cut: np.ndarray, slot: np.ndarray, cand_f: np.ndarray, cand_c: np.ndarray, count: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+    """Adds the rows of one block to the sums of the open nodes' cuts."""
+    cuts = cand_f.shape[1]
+    for t in np.flatnonzero((slot >= 0).any(axis=1)):
+        for node, own in _leaves(x, feature[t], cut[t]):
+            if (s := slot[t, node]) < 0:
+                continue
+            mine, positive = x.take(own, axis=1), y.take(own)
+            for k in range(cuts):
+                if (f := cand_f[s, k]) < 0:
+                    continue
+                right = mine[f] > cand_c[s, k]
+                for side, part in enumerate((~right, right)):
+                    if not (n := np.count_nonzero(part)):
+                        continue
+                    key, n1 = (s * cuts + k) * 2 + side, np.count_nonzero(positive & part)
+                    values = mine.compress(part, axis=1)
+                    count[key] += n - n1, n1
+                    lo[key] = np.minimum(lo[key], values.min(axis=1))
+                    hi[key] = np.maximum(hi[key], values.max(axis=1))
+
+
+def _level_pass(rows: DataFrame, features: list[str], feature: np.ndarray, cut: np.ndarray, slot: np.ndarray, cand_f: np.ndarray, cand_c: np.ndarray):
     """Merged sums of one level: {key: (n0, n1, lo, hi)}, key = (slot * cuts + cut) * 2 + side."""
     d, cuts = len(features), cand_f.shape[1]
     n_keys = len(cand_f) * cuts * 2
@@ -150,25 +206,8 @@ def _level_pass(rows: DataFrame, features: list[str], feature: np.ndarray, cut:
     def run(batches):
         count = np.zeros((n_keys, 2), dtype=np.int64)
         lo, hi = np.full((n_keys, d), np.inf), np.full((n_keys, d), -np.inf)
-        for batch in batches:
-            y = batch.column("label").to_numpy()
-            x = np.column_stack([batch.column(c).to_numpy() for c in features])
-            for t in range(len(feature)):
-                at = slot[t][_route(x, feature[t], cut[t], level)]
-                own = np.flatnonzero(at >= 0)
-                for k in range(cuts):
-                    f = cand_f[at[own], k]
-                    mine = own[f >= 0]
-                    s, f = at[mine], f[f >= 0]
-                    if not len(s):
-                        continue
-                    key = (s * cuts + k) * 2 + (x[mine, f] > cand_c[s, k])
-                    order = np.argsort(key, kind="stable")
-                    first = np.flatnonzero(np.diff(key[order], prepend=-1))
-                    which = key[order][first]
-                    np.add.at(count, (key, y[mine]), 1)
-                    lo[which] = np.minimum(lo[which], np.minimum.reduceat(x[mine][order], first, axis=0))
-                    hi[which] = np.maximum(hi[which], np.maximum.reduceat(x[mine][order], first, axis=0))
+        for x, y in _blocks(batches, features):
+            _add_sums(x, y, feature, cut, slot, cand_f, cand_c, count, lo, hi)
         met = np.flatnonzero(count.sum(axis=1))
         cols = [met, count[met, 0], count[met, 1], *lo[met].T, *hi[met].T]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
@@ -204,7 +243,7 @@ def fit_extra_trees(
     model = ExtraTrees(features, np.full(shape, -1, dtype=np.int16), np.zeros(shape), np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64), weights)
     model.n0[:, 1], model.n1[:, 1] = (w.get(c, (0,))[0] for c in (0, 1))
     open_ = {(t, 1): (np.array(ends[:d]), np.array(ends[d:])) for t in range(n_trees)}
-    for level in range(max_depth):
+    for _ in range(max_depth):
         drawn = {}
         for (t, v), (lo, hi) in open_.items():
             n0, n1 = int(model.n0[t, v]), int(model.n1[t, v])
@@ -218,7 +257,7 @@ def fit_extra_trees(
             slot[t, v] = s
             for k, (f, c) in enumerate(mine):
                 cand_f[s, k], cand_c[s, k] = f, c
-        sums = _level_pass(rows, features, model.feature, model.cut, level, slot, cand_f, cand_c)
+        sums = _level_pass(rows, features, model.feature, model.cut, slot, cand_f, cand_c)
         open_ = {}
         for s, ((t, v), mine) in enumerate(drawn.items()):
             best = None

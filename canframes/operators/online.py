@@ -14,6 +14,7 @@ sequential algorithm.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,7 @@ from canframes.session import cut_lineage
 
 ALPHA = PERCEPTRON_ALPHA  # L2 strength of the perceptron
 PATIENCE = 5  # epochs without improvement
+LEAST_SIZE = 1e-9  # common factor of the weights below which it is multiplied in
 
 
 def _first_step(alpha: float) -> float:
@@ -41,38 +43,36 @@ def _pass_fn(w0: np.ndarray, features: list[str], kind: str, t0: float = 0.0):
     d = len(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = w0.copy()
+        w, b, size = w0[:d].tolist(), float(w0[d]), 1.0  # the weights are size * w: a shrink of all is one product
         n, lost = 0, 0.0
+        first = _first_step(SGD_ALPHA) + t0
         for pdf in batches:
-            X = pdf[features].to_numpy(dtype="float64")
-            y = np.where(pdf["label"].to_numpy() > 0, 1.0, -1.0)
-            cw = pdf["weight"].to_numpy(dtype="float64")
-            for i in range(len(pdf)):
-                x = X[i]
-                margin = y[i] * (w[:d] @ x + w[d])
+            rows = pdf[features].to_numpy(dtype="float64").tolist()
+            labels = np.where(pdf["label"].to_numpy() > 0, 1.0, -1.0).tolist()
+            for i, (x, y, cw) in enumerate(zip(rows, labels, pdf["weight"].to_numpy(dtype="float64").tolist(), strict=True)):
+                margin = y * (size * math.sumprod(w, x) + b)
                 if kind == "perceptron":
+                    size *= 1.0 - ALPHA
                     lost += max(0.0, -margin)
-                    w[:d] *= 1.0 - ALPHA
-                    if margin <= 0:
-                        w[:d] += cw[i] * y[i] * x
-                        w[d] += cw[i] * y[i]
+                    step = cw * y if margin <= 0 else 0.0
                 elif kind == "sgd_hinge":  # step 1 / (alpha * t), t over all rows so far
+                    eta = 1.0 / (SGD_ALPHA * (first + n + i))
+                    size *= 1.0 - eta * SGD_ALPHA
                     lost += max(0.0, 1.0 - margin)
-                    eta = 1.0 / (SGD_ALPHA * (_first_step(SGD_ALPHA) + t0 + n + i))
-                    w[:d] *= 1.0 - eta * SGD_ALPHA
-                    if margin < 1:
-                        w[:d] += eta * cw[i] * y[i] * x
-                        w[d] += eta * cw[i] * y[i]
+                    step = eta * cw * y if margin < 1 else 0.0
                 else:  # passive-aggressive, hinge loss, PA-I step
                     loss = 1.0 - margin
                     lost += max(0.0, loss)
-                    if loss > 0:
-                        tau = min(PA_C * cw[i], loss / (x @ x + 1.0))
-                        w[:d] += tau * y[i] * x
-                        w[d] += tau * y[i]
+                    step = min(PA_C * cw, loss / (math.sumprod(x, x) + 1.0)) * y if loss > 0 else 0.0
+                if step:
+                    by = step / size
+                    w = [a + by * v for a, v in zip(w, x)]
+                    b += step
+                if size < LEAST_SIZE:
+                    w, size = [size * a for a in w], 1.0
             n += len(pdf)
         if n:
-            yield pd.DataFrame({"w": [w.tolist()], "n": [n], "lost": [lost]})
+            yield pd.DataFrame({"w": [[*(size * a for a in w), b]], "n": [n], "lost": [lost]})
 
     return run
 

@@ -29,7 +29,7 @@ Value = tuple[float, np.ndarray]  # loss and gradient
 MEMORY = 10  # curvature pairs
 TOLERANCE = 1e-6
 SETTLED = 20  # steps over which the loss must fall by the tolerance
-ROWS = 2048  # rows of one matrix product
+ROWS = 512  # rows of one matrix product
 
 
 def model_of(spark: SparkSession, layers: list[int], seed: int, theta: np.ndarray | None = None) -> MultilayerPerceptronClassificationModel:
@@ -46,11 +46,12 @@ def forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> tuple
         into.append(x)
         x = x @ w
         x += b
-        if k < len(layers) - 1:  # the sigmoid, without overflow
-            x *= 0.5
-            np.tanh(x, out=x)
+        if k < len(layers) - 1:  # the sigmoid; far below zero the exponential is infinite and the result 0
+            np.negative(x, out=x)
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
             x += 1
-            x *= 0.5
+            np.reciprocal(x, out=x)
     return x, into
 
 
